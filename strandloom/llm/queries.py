@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 from .exact_dedup import exact_groups
+from .language_id import identify
 from .packing import pack
+from .quality import score_quality
 from .sharding import kd_shards
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 
 #: Where the vocabulary files lie; a parameter of the operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +26,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(mod: int, rest: int):
+    return F.coalesce(fold(F.col("doc_id"), mod) == rest, F.lit(False))
+
+
+def _trained(scored: DataFrame, mod: int, rest: int) -> DataFrame:
+    first, *others = scored.columns
+    return scored.select(first, _held_out(mod, rest).alias("held_out"), *others)
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _trained(score_quality(docs, labels, ~_held_out(5, 0)), 5, 0)
+
+
+def op4_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _trained(score_toxicity(docs, labels, ~_held_out(4, 2)), 4, 2)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(identify(table(spark, sf_dir, "documents"), ~_held_out(5, 0)), 5, 0)
+
+
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -41,6 +67,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_gam": op3_quality_gam,
+    "op4_toxicity_weak_supervision": op4_toxicity_weak_supervision,
+    "op6_language_id": op6_language_id,
     "op5_kd_sharding": op5_kd_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
