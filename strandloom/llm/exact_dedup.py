@@ -21,6 +21,26 @@ from .common import ascii_lower, written
 KEY = ["digest", "check", "size"]
 
 
+def merge_runs(rows: DataFrame, key: list[str], *, keep: str, runs: int, fan_in: int) -> DataFrame:
+    """``rows`` (doc_id, the key and more) with keep_id and group_size of their group; null for groups of one row."""
+    best = {"largest": F.max, "smallest": F.min}[keep]
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
+    level = rows.groupBy("run", *key).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    levels, left = [level], runs
+    while left > 1:
+        up = F.floor(F.col("run") / fan_in).cast("int")
+        level = level.groupBy(up.alias("run"), *key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        levels.append(level)
+        left = -(-left // fan_in)
+    found = levels.pop().filter("group_size > 1")
+    for level in reversed(levels):
+        up = F.floor(F.col("run") / fan_in).cast("int")
+        down = level.select(up.alias("up"), F.col("run").alias("own"), *key)
+        above = found.withColumnRenamed("run", "up")
+        found = down.join(above, ["up", *key]).drop("up").withColumnRenamed("own", "run")
+    return rows.join(found, ["run", *key], "left").drop("run")
+
+
 def exact_groups(
     docs: DataFrame,
     *,
@@ -37,36 +57,19 @@ def exact_groups(
     kept where that id is kept; a null id is kept only in a group without any other id (its
     keep_id is null).  Other columns of the input are ignored; an empty table gives no rows.
     """
-    best = {"largest": F.max, "smallest": F.min}[keep]
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("t")).select(
         "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"),
         F.unhex(F.sha2("t", 256)).alias("digest"),
         F.xxhash64("t").alias("check"),
         F.octet_length("t").alias("size"),
     )
-    rows = written(rows, "digests")
-    level = rows.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    levels, left = [level], runs
-    while left > 1:
-        up = F.floor(F.col("run") / fan_in).cast("int")
-        level = level.groupBy(up.alias("run"), *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        levels.append(level)
-        left = -(-left // fan_in)
-    found = levels.pop().filter("n > 1")
-    for level in reversed(levels):
-        up = F.floor(F.col("run") / fan_in).cast("int")
-        down = level.select(up.alias("up"), F.col("run").alias("own"), *KEY)
-        found = (
-            down.join(found.withColumnRenamed("run", "up"), ["up", *KEY]).drop("up").withColumnRenamed("own", "run")
-        )
-    joined = rows.join(found, ["run", *KEY], "left")
-    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    joined = merge_runs(written(rows, "digests"), KEY, keep=keep, runs=runs, fan_in=fan_in)
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
         keep_id.alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         keep_id.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
