@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .language_id import identify
+from .line_dedup import deduplicate_lines
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import score_quality
@@ -36,6 +38,21 @@ def _trained(scored: DataFrame, mod: int, rest: int) -> DataFrame:
     return scored.select(first, _held_out(mod, rest).alias("held_out"), *others)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = deduplicate_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        F.col("_sl_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_sl_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join("_sl_removed", " ").alias("removed_lines"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return _trained(score_quality(docs, labels, ~_held_out(5, 0)), 5, 0)
@@ -72,6 +89,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_gam": op3_quality_gam,
     "op4_toxicity_weak_supervision": op4_toxicity_weak_supervision,
     "op6_language_id": op6_language_id,
