@@ -41,16 +41,11 @@ def variant_end(variant) -> Column:
 
 def variant_type(variant) -> Column:
     """One of ``TYPES``, else 'unknown'."""
-    change = F.coalesce(variant_change(variant), F.lit(""))
-    return (
-        F.when(F.contains(change, F.lit(">")), "substitution")
-        .when(F.contains(change, F.lit("delins")), "delins")
-        .when(F.contains(change, F.lit("del")), "deletion")
-        .when(F.contains(change, F.lit("ins")), "insertion")
-        .when(F.contains(change, F.lit("dup")), "duplication")
-        .when(F.contains(change, F.lit("inv")), "inversion")
-        .otherwise("unknown")
-    )
+    # the sign of a substitution counts wherever it is; of the others the first
+    change = F.regexp_replace(F.coalesce(variant_change(variant), F.lit("")), "^.*>.*$", ">")
+    names = {">": "substitution", "delins": "delins", "del": "deletion", "ins": "insertion", "dup": "duplication", "inv": "inversion"}
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.regexp_extract(change, "(>|delins|del|ins|dup|inv)", 1)), F.lit("unknown"))
 
 
 def header_type(header) -> Column:

@@ -12,24 +12,24 @@ def error_rate(phred) -> Column:
     return F.pow(F.lit(10.0), -_col(phred) / 10)
 
 
+def scores(quality) -> Column:
+    """Phred scores of a quality string."""
+    return F.transform(F.filter(F.split(_col(quality), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+
+
 def mean_quality(quality) -> Column:
-    q = _col(quality)
-    total = F.aggregate(positions(F.length(q)), F.lit(0), lambda a, i: a + F.ascii(F.substring(q, i, F.lit(1))) - 33)
-    return F.when(F.length(q) > 0, total / F.length(q))
+    return F.try_divide(F.aggregate(scores(quality), F.lit(0), lambda a, x: a + x), F.length(_col(quality)))
 
 
 def unqualified_share(quality, phred: int) -> Column:
     """Share of bases under the quality."""
-    q = _col(quality)
-    low = F.filter(positions(F.length(q)), lambda i: F.ascii(F.substring(q, i, F.lit(1))) - 33 < phred)
-    return F.when(F.length(q) > 0, F.size(low) / F.length(q)).otherwise(0.0)
+    return F.coalesce(F.try_divide(F.size(F.filter(scores(quality), lambda x: x < phred)), F.length(_col(quality))), F.lit(0.0))
 
 
 def mask_low_quality(sequence, quality, phred: int) -> Column:
     """Bases under the quality become N."""
-    s, q = _col(sequence), _col(quality)
-    base = lambda i: F.when(F.ascii(F.substring(q, i, F.lit(1))) - 33 < phred, "N").otherwise(F.substring(s, i, F.lit(1)))
-    return F.array_join(F.transform(positions(F.length(s)), base), "")
+    base = lambda b, q: F.when(F.ascii(q) - 33 < phred, "N").otherwise(b)
+    return F.array_join(F.zip_with(F.split(_col(sequence), ""), F.split(_col(quality), ""), base), "")
 
 
 def cut_window_tail(sequence, quality, window: int, mean: int) -> Column:

@@ -72,6 +72,16 @@ def tandem_suffix(unit, flank) -> Column:
     return tandem_prefix(F.reverse(_col(unit)), F.reverse(_col(flank)))
 
 
+def tiles(seq, size: int, overlap: int) -> Column:
+    """array<struct(at, bases)>: pieces of ``size`` bases, each with ``overlap`` bases of the next.
+
+    The pieces are cut in one pass, so long sequences cost no more than their length.
+    """
+    pieces = F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    after = lambda i: F.coalesce(F.left(F.get(pieces, i + 1), F.lit(overlap)), F.lit(""))
+    return F.transform(pieces, lambda p, i: F.struct((i.cast("long") * size).alias("at"), F.concat(p, after(i)).alias("bases")))
+
+
 def kmers(seq, k: int, stranded: bool = True) -> Column:
     """All windows of k bases, in order; with the reverse complement's after them if not stranded."""
     seq = _col(seq)

@@ -78,9 +78,7 @@ def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: st
     that is no longer than a tile lies in the tile that begins at or before it.  Longer windows
     (deletions of over ``TILE`` bases) read the sequence itself.
     """
-    n = F.length("sequence")
-    tiles = sequences.select("seq_id", "sequence", F.explode(F.sequence(F.lit(0), F.greatest((n - 1) / TILE, F.lit(0)).cast("int"))).alias("_tile"))
-    tiles = tiles.select("seq_id", "_tile", F.substring("sequence", F.col("_tile") * TILE + 1, F.lit(2 * TILE)).alias("_bases"))
+    tiles = sequences.select("seq_id", F.posexplode(S.tiles("sequence", TILE, TILE)).alias("_tile", "_t")).select("seq_id", "_tile", F.col("_t.bases").alias("_bases"))
     short = (F.col(high) - F.col(low)) <= TILE
     tile = F.floor(F.greatest(F.col(low), F.lit(0)) / TILE).cast("int")
     near = rows.filter(short).withColumn("_tile", tile).join(tiles, ["seq_id", "_tile"], "left")
