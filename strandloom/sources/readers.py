@@ -154,7 +154,7 @@ def read_equivalence_classes(spark: SparkSession, path, transcripts) -> DataFram
     names = row_numbers(spark.read.text(transcripts).select(F.col("value").alias("target"), F.monotonically_increasing_id().alias("_o")), "_o", name="_n")
     names = names.select((F.col("_n") - 1).cast("long").alias("t"), "target")
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(f[0].cast("int").alias("ec"), F.explode(F.split(f[1], ",")).cast("long").alias("t"))
+    rows = spark.read.text(path).select(f[0].cast("int").alias("ec"), F.explode(F.split(f[1], ",")).alias("t")).withColumn("t", F.col("t").cast("long"))
     named = rows.join(names, "t", "left").withColumn("target", F.coalesce("target", F.lit("dlist")))
     return named.groupBy("ec").agg(F.array_sort(F.collect_list(F.struct("t", "target"))).alias("x")).select("ec", F.col("x.target").alias("targets"))
 
