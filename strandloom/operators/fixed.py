@@ -15,3 +15,16 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the session's checkpoint folder, for tables that several plans read again.
+
+    Without such a folder it stays a plan, and is worked out wherever it is used.
+    """
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -17,6 +17,7 @@ from ..operators import reads as RD
 from ..operators import simulate as SIM
 from ..operators.build import Built, BuildOptions
 from ..operators.build import build as _build
+from ..operators.fixed import materialised
 from . import technology as T
 
 #: Filters of ``reference`` where none are given.
@@ -113,9 +114,10 @@ def reference(variants: DataFrame, sequences: DataFrame, filters=DEFAULT_FILTERS
     parsed = FL.parse_filters(filters)
     built = build(variants, sequences, k=k, w=w, **options)
     needs_genome = {"alignment_to_reference", "pseudoaligned_to_reference"}
-    columns = [f.column for f in parsed if f.column not in built.vcrs.columns and (genome is not None or f.column not in needs_genome)]
-    described = info(built.vcrs, list(dict.fromkeys(columns)), k=k, reference=genome, stranded=stranded)
-    kept = filter(described, parsed).select(*built.vcrs.columns)
+    vcrs = materialised(built.vcrs)
+    columns = [f.column for f in parsed if f.column not in vcrs.columns and (genome is not None or f.column not in needs_genome)]
+    described = info(vcrs, list(dict.fromkeys(columns)), k=k, reference=genome, stranded=stranded)
+    kept = materialised(filter(described, parsed).select(*vcrs.columns))
     return kept, K.kmer_index(kept, k, stranded, "vcrs_id", "vcrs_sequence")
 
 
