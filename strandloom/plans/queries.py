@@ -345,7 +345,7 @@ def read_counts_unique(spark, d):
     return C.count_matrix(_bus(spark, d), umis=False)
 
 
-@query("""+ x AS (SELECT read_index, barcode, list_distinct([t1, t2]) AS targets, CASE WHEN read_index % 5 = 0 THEN [] ELSE ['G' || right(t3, 1), 'G' || right(t1, 1)] END AS seen FROM bus),
+@query("""+ x AS (SELECT read_index, barcode, list_distinct([t1, t2]) AS targets, CASE WHEN t1 = t2 THEN [] ELSE ['G' || right(t3, 1), 'G' || right(t1, 1)] END AS seen FROM bus),
     e AS (SELECT read_index, barcode, unnest(targets) AS t, seen FROM x),
     k AS (SELECT * FROM e WHERE list_contains(seen, 'G' || right(t, 1)) OR len(seen) = 0), z AS (SELECT *, count(*) OVER (PARTITION BY barcode, read_index) AS m FROM k)
     SELECT barcode, t AS vcrs_id, count(*)::DOUBLE AS "count" FROM z WHERE m = 1 GROUP BY ALL""", "bus")
@@ -353,7 +353,7 @@ def genome_aware_recount(spark, d):
     b = T.bus(spark, d)
     gene = lambda c: F.concat(F.lit("G"), F.right(F.col(c), F.lit(1)))
     reads = b.select("barcode", "read_index", F.array_distinct(F.array("t1", "t2")).alias("targets"))
-    genome = b.filter("read_index % 5 <> 0").select("barcode", "read_index", F.array(gene("t3"), gene("t1")).alias("genes"))
+    genome = b.filter("t1 <> t2").select("barcode", "read_index", F.array(gene("t3"), gene("t1")).alias("genes"))
     genes = spark.range(10).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("vcrs_id"), F.array(F.concat(F.lit("G"), F.col("id").cast("string"))).alias("genes"))
     return C.recount_by_genome(reads, genome, genes)
 
@@ -401,15 +401,14 @@ def paired_barcodes(spark, d):
 
 
 @query("""+ b AS (SELECT event_id, substr(md5(user_id::VARCHAR), 1, 4) AS raw0 FROM events), r AS (SELECT event_id, translate(raw0, '0123456789abcdef', 'ACGTACGTACGTACGT') AS barcode FROM b),
-    wl AS (SELECT DISTINCT translate(substr(md5((c_custkey + 1000000)::VARCHAR), 1, 4), '0123456789abcdef', 'ACGTACGTACGTACGT') AS w FROM customer WHERE c_custkey % 50 = 0),
+    wl AS (SELECT DISTINCT translate(substr(md5((s_suppkey + 1000000)::VARCHAR), 1, 4), '0123456789abcdef', 'ACGTACGTACGTACGT') AS w FROM supplier),
     o AS (SELECT DISTINCT barcode FROM r), p AS (SELECT barcode, i, b, substr(barcode, 1, i - 1) || substr('ACGT', b, 1) || substr(barcode, i + 1) AS w, i * 4 + b - 1 AS rank
         FROM o, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS b)), q AS (SELECT barcode, w, rank FROM p UNION ALL SELECT barcode, barcode, -1 FROM o),
     f AS (SELECT barcode, arg_min(q.w, rank) AS c FROM q JOIN wl ON wl.w = q.w GROUP BY 1) SELECT event_id, c AS barcode FROM r JOIN f USING (barcode)""", "bus")
 def barcode_rescue(spark, d):
     code = lambda c: F.translate(F.substring(F.md5(c.cast("string")), 1, 4), "0123456789abcdef", "ACGTACGTACGTACGT").alias("barcode")
     reads = T.read(spark, d, "events").select("event_id", code(F.col("user_id")))
-    # the whitelist of the kit: one code in fifty
-    listed = T.read(spark, d, "customer").filter("c_custkey % 50 = 0").select(code(F.col("c_custkey") + 1000000))
+    listed = T.read(spark, d, "supplier").select(code(F.col("s_suppkey") + 1000000))
     return C.rescue_barcodes(reads, listed).select("event_id", "barcode")
 
 
@@ -466,15 +465,13 @@ def gene_totals(spark, d):
     return I.gene_totals(v).withColumnRenamed("number_of_variants_in_this_gene_total", "total")
 
 
-@query("""+ a AS (SELECT doc_id, seq FROM dna WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN seq || 'A' ELSE seq END AS seq FROM dna WHERE doc_id % 4 <> 0)
-    SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' WHEN a.seq IS DISTINCT FROM b.seq THEN 'different' END AS status
-      FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE status IS NOT NULL""", "dna")
+@query("""WITH a AS (SELECT doc_id, cast(n_chars > 1000 AS INTEGER) AS v FROM documents), b AS (SELECT doc_id, quality AS v FROM labels)
+    SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right' WHEN a.v IS DISTINCT FROM b.v THEN 'different' END AS status
+      FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE status IS NOT NULL""")
 def map_comparison(spark, d):
-    # two different maps are what is compared here
-    t = T.dna(spark, d)
-    a = t.filter("doc_id % 3 <> 0").select("doc_id", "seq")
-    b = t.filter("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("seq", F.lit("A"))).otherwise(F.col("seq")).alias("seq"))
-    return E.compare_maps(a, b, "doc_id", "seq")
+    a = T.read(spark, d, "documents").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("v"))
+    b = T.read(spark, d, "labels").select("doc_id", F.col("quality").alias("v"))
+    return E.compare_maps(a, b, "doc_id", "v")
 
 
 # ---- reads
