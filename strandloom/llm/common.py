@@ -6,6 +6,7 @@ import os
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,3 +65,10 @@ def on_workers(df: DataFrame) -> DataFrame:
     if place not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([place, *filter(None, paths)])
     return df
+
+
+def smaller(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in pieces, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

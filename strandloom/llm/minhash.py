@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chars import Hasher, mix, runs, slices
-from .common import on_workers, written
+from .common import on_workers, smaller, written
 from .components import components
 from .exact_dedup import merge_runs
 
@@ -91,7 +91,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
         number = mix(np.arange(bands, dtype=np.uint64) + np.uint64(77))
-        for batch in batches:
+        for batch in smaller(batches):
             n, h1, h2, keys = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingles(batch.column(1).to_pylist(), words):
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """The full shingle sets of the texts with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             sets = list(shingles(batch.column(1).to_pylist(), words))
             for at in range(0, len(sets), 512):
                 some = sets[at : at + 512]
@@ -132,21 +132,22 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return on_workers(picked).mapInArrow(run, f"id {id_type}, items array<long>")
 
 
-def _star(rows: DataFrame, seed: int, shares: int, percent: int) -> DataFrame:
+def _stars(rows: DataFrame, seeds: range, shares: int, percent: int) -> DataFrame:
     """Candidate edges (a, b): texts with their share's leader, and those with the bucket's.
 
-    ``rows``: key, rep, n, component.  Leaders come first in one random order of all texts, so a
-    text meets the same few leaders in all its buckets.
+    ``rows``: key, rep, n, component.  Each seed is a random order of all texts, and leaders come
+    first in it; so a text meets the same few leaders in all its buckets.
     """
-    order = F.xxhash64("rep", F.lit(seed))
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)))
+    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    each = each.withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)))
+    order = F.xxhash64("rep", "seed")
     pick = lambda c: F.min_by(c, order).alias(f"l_{c}")
-    own = rows.groupBy("key", "share").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("size"))
+    own = each.groupBy("key", "seed", "share").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("size"))
     names = {f"l_{c}": c for c in ("rep", "n", "component")}
     heads = own.withColumnsRenamed(names)
-    top = heads.groupBy("key").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("shares")).filter("shares > 1")
-    pairs = rows.join(own.filter("size > 1"), ["key", "share"]).select("rep", "n", "component", *names)
-    pairs = pairs.union(heads.join(top, "key").select("rep", "n", "component", *names))
+    top = heads.groupBy("key", "seed").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("shares")).filter("shares > 1")
+    pairs = each.join(own.filter("size > 1"), ["key", "seed", "share"]).select("rep", "n", "component", *names)
+    pairs = pairs.union(heads.join(top, ["key", "seed"]).select("rep", "n", "component", *names))
     possible = F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent
     return (
         pairs.filter((F.col("component") != F.col("l_component")) & possible)
@@ -156,6 +157,18 @@ def _star(rows: DataFrame, seed: int, shares: int, percent: int) -> DataFrame:
     )
 
 
+def _extended(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after new links: only the components that these touch are worked out again."""
+    to_a, to_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    joined = new.join(to_a, "a", "left").join(to_b, "b", "left")
+    lifted = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
+    above = components(lifted)
+    fresh = above.join(found, "node", "left_anti")
+    top = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(moved.union(fresh), "components")
+
+
 def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
     """The edges whose full sets are similar enough."""
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -175,7 +188,7 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 6,
     shares: int = 32,
-    patience: int = 2,
+    orders: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -191,35 +204,39 @@ def near_duplicates(
     sketch = written(sketches(docs, words, bands, rows), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     # equal sets are one class, named by its smallest id
-    classed = merge_runs(usable, ["h1", "h2", "n"], keep="smallest", runs=1024, fan_in=32)
-    classed = classed.withColumn("rep", F.coalesce("keep_id", "doc_id"))
-    banded = classed.filter("rep = doc_id").select("rep", "n", F.col("rep").alias("component"), F.explode("bands").alias("key"))
+    classed = merge_runs(usable.drop("bands"), ["h1", "h2", "n"], keep="smallest", runs=1024, fan_in=1024)
+    classed = written(classed.select("doc_id", "n", F.coalesce("keep_id", "doc_id").alias("rep")), "classes")
+    reps = classed.filter("rep = doc_id").select("doc_id")
+    banded = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands")
+    banded = banded.select("rep", "n", F.col("rep").alias("component"), F.explode("bands").alias("key"))
     # written first, so that both sides of the join are exchanged and hot buckets can be split
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = written(banded.join(sizes, "key"), "buckets")
 
-    tested = written(_star(shared, 0, shares, percent), "candidates")
+    # several random orders of leaders at once; buckets of two texts are settled by any of them
+    tested = written(_stars(shared, range(orders), shares, percent), "candidates")
     links = written(_confirm(docs, tested, words, percent), "links")
     found = components(links)
     # buckets of three texts and more may hide links that no star has met
-    rest, seed, idle = shared.filter("size > 2").drop("component"), 0, 0
-    while idle < patience:
-        seed += 1
+    rest, seed = shared.filter("size > 2").drop("component"), orders
+    while True:
         known = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         known = known.withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        active = written(known.join(written(mixed.select("key"), "mixed"), "key", "left_semi"), "active")
-        edges = written(_star(active, seed, shares, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not edges.limit(1).count():
+        mixed = written(mixed.select("key"), "mixed")
+        if mixed.isEmpty():
+            break
+        active = written(known.join(mixed, "key", "left_semi"), "active")
+        edges = _stars(active, range(seed, seed + orders), shares, percent)
+        edges = written(edges.join(tested, ["a", "b"], "left_anti"), "candidates")
+        if edges.isEmpty():
             break
         new = written(_confirm(docs, edges, words, percent), "links")
-        tested = tested.union(edges)
-        if new.limit(1).count():
-            links, idle = links.union(new), 0
-            found = components(links)
-        else:
-            idle += 1
-        rest = active.drop("component")
+        if new.isEmpty():
+            break
+        tested, links = tested.union(edges), links.union(new)
+        found = _extended(found, new)
+        rest, seed = active.drop("component"), seed + orders
 
     member = classed.select("doc_id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
