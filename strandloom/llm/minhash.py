@@ -5,8 +5,8 @@ bin takes the value of the first full bin in a random order of its own (optimal
 Bins form bands, and equal bands put texts into one bucket.  A bucket's texts are not paired with
 each other but with a leader, in stars of two levels: texts with the leader of their share of the
 bucket, and those leaders with the bucket's.  Candidate edges are confirmed on the full shingle
-sets.  Buckets that still hold more than one component get other leaders and go round again,
-until rounds find nothing new.
+sets.  Buckets that still hold more than one component get other leaders, more in every round,
+until a round with many of them finds no link.
 
 With 40 bands of 6 rows, a pair at similarity 0.8 shares no bucket with probability 5e-6.
 """
@@ -132,29 +132,37 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return on_workers(picked).mapInArrow(run, f"id {id_type}, items array<long>")
 
 
-def _stars(rows: DataFrame, seeds: range, shares: int, percent: int) -> DataFrame:
+def _star(rows: DataFrame, shares: int, percent: int) -> DataFrame:
     """Candidate edges (a, b): texts with their share's leader, and those with the bucket's.
 
-    ``rows``: key, rep, n, component.  Each seed is a random order of all texts, and leaders come
-    first in it; so a text meets the same few leaders in all its buckets.
+    ``rows``: key, rep, n, component.  Leaders come first in one random order of all texts, so a
+    text meets the same few leaders in all its buckets.
     """
-    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    each = each.withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)))
-    order = F.xxhash64("rep", "seed")
+    order = F.xxhash64("rep", F.lit(0))
+    each = rows.withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)))
     pick = lambda c: F.min_by(c, order).alias(f"l_{c}")
-    own = each.groupBy("key", "seed", "share").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("size"))
-    names = {f"l_{c}": c for c in ("rep", "n", "component")}
-    heads = own.withColumnsRenamed(names)
-    top = heads.groupBy("key", "seed").agg(pick("rep"), pick("n"), pick("component"), F.count("*").alias("shares")).filter("shares > 1")
-    pairs = each.join(own.filter("size > 1"), ["key", "seed", "share"]).select("rep", "n", "component", *names)
-    pairs = pairs.union(heads.join(top, ["key", "seed"]).select("rep", "n", "component", *names))
+    own = each.groupBy("key", "share").agg(pick("rep"), pick("n"), F.count("*").alias("size"))
+    heads = own.select("key", F.col("l_rep").alias("rep"), F.col("l_n").alias("n"))
+    top = heads.groupBy("key").agg(pick("rep"), pick("n"), F.count("*").alias("shares")).filter("shares > 1")
+    pairs = each.join(own.filter("size > 1"), ["key", "share"]).select("rep", "n", "l_rep", "l_n")
+    pairs = pairs.union(heads.join(top, "key").select("rep", "n", "l_rep", "l_n"))
+    return _edges(pairs, percent)
+
+
+def _more_stars(rows: DataFrame, seeds: range, percent: int) -> DataFrame:
+    """Candidate edges with the bucket's leaders in several orders, across components only."""
+    lead = lambda s: F.min(F.struct(F.xxhash64("rep", F.lit(s)).alias("o"), "rep", "n", "component"))
+    heads = written(rows.groupBy("key").agg(F.array_distinct(F.array(*map(lead, seeds))).alias("heads")), "heads")
+    other = F.filter("heads", lambda h: h["component"] != F.col("component"))
+    pairs = rows.join(heads, "key").select("rep", "n", F.explode(other).alias("h"))
+    return _edges(pairs.select("rep", "n", F.col("h.rep").alias("l_rep"), F.col("h.n").alias("l_n")), percent)
+
+
+def _edges(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of pairs whose sizes allow the similarity."""
     possible = F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent
-    return (
-        pairs.filter((F.col("component") != F.col("l_component")) & possible)
-        .select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b"))
-        .filter("a <> b")
-        .distinct()
-    )
+    both = pairs.filter(possible & (F.col("rep") != F.col("l_rep")))
+    return both.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
 
 
 def _extended(found: DataFrame, new: DataFrame) -> DataFrame:
@@ -188,7 +196,7 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 6,
     shares: int = 32,
-    orders: int = 3,
+    most_leaders: int = 32,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -213,12 +221,10 @@ def near_duplicates(
     sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     shared = written(banded.join(sizes, "key"), "buckets")
 
-    # several random orders of leaders at once; buckets of two texts are settled by any of them
-    tested = written(_stars(shared, range(orders), shares, percent), "candidates")
-    links = written(_confirm(docs, tested, words, percent), "links")
-    found = components(links)
-    # buckets of three texts and more may hide links that no star has met
-    rest, seed = shared.filter("size > 2").drop("component"), orders
+    tested = written(_star(shared, shares, percent), "candidates")
+    found = components(written(_confirm(docs, tested, words, percent), "links"))
+    # buckets of three texts and more may hide links that no star has met: more leaders every round
+    rest, seed = shared.filter("size > 2").drop("component"), 1
     while True:
         known = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         known = known.withColumn("component", F.coalesce("component", "rep"))
@@ -227,16 +233,17 @@ def near_duplicates(
         if mixed.isEmpty():
             break
         active = written(known.join(mixed, "key", "left_semi"), "active")
-        edges = _stars(active, range(seed, seed + orders), shares, percent)
+        leaders = min(4 * seed, most_leaders)
+        edges = _more_stars(active, range(seed, seed + leaders), percent)
         edges = written(edges.join(tested, ["a", "b"], "left_anti"), "candidates")
-        if edges.isEmpty():
-            break
         new = written(_confirm(docs, edges, words, percent), "links")
         if new.isEmpty():
-            break
-        tested, links = tested.union(edges), links.union(new)
-        found = _extended(found, new)
-        rest, seed = active.drop("component"), seed + orders
+            if leaders == most_leaders:
+                break
+        else:
+            found = _extended(found, new)
+        tested = tested.union(edges)
+        rest, seed = active.drop("component"), seed + leaders
 
     member = classed.select("doc_id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
