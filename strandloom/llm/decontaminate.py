@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import SPACE
 from .chars import Slice, mix, slices, tables
-from .common import on_workers
+from .common import on_workers, smaller
 
 FILTER_BITS = 22
 
@@ -203,7 +203,7 @@ def contamination(
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             known = block.value
-            for batch in batches:
+            for batch in smaller(batches):
                 rows = []
                 if known.ids:
                     for part in slices(batch.column(1).to_pylist()):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER
 from .chars import slices, tables
-from .common import on_workers
+from .common import on_workers, smaller
 
 UNKNOWN = "und"
 
@@ -61,7 +61,7 @@ def learn(docs: DataFrame, train: Column, *, max_docs: int = 20_000, counter: Ng
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in smaller(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             for part in slices(batch.column(1).to_pylist()):
                 grams, _ = counter.buckets(part)
@@ -114,7 +114,7 @@ def identify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in smaller(batches):
             pred, sure = [], []
             for part in slices(batch.column(1).to_pylist()):
                 grams, letters = counter.buckets(part)

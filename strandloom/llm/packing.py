@@ -4,7 +4,7 @@ Each task streams over its rows and holds a fixed number of open bins in a bitse
 space: bit ``f`` is set while some open bin has ``f`` places free.  A piece goes to the open bin
 that it leaves fullest; where none has room a new bin opens, and when too many are open the
 fullest closes first.  Where a piece lies is known at once, so rows go out as they come and
-memory stays bounded.  Within an Arrow batch the longest pieces go first.
+memory stays bounded.  Within each 2000 documents the longest pieces go first.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import on_workers
+from .common import on_workers, smaller
 
 SCHEMA = (
     "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -86,7 +86,7 @@ def pack(
         words = bpe.load(tokenizer_path)
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 33)
         tail = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in smaller(batches, 2000):
             doc, piece, start, length, crc, all_ids = [], [], [], [], [], []
             for first, counts, ids in words.encode(batch.column(1).to_pylist()):
                 ids = ids.astype("<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, NUMBER, OTHER, SPACE
 from .chars import Hasher, Slice, runs, slices, tables
-from .common import on_workers
+from .common import on_workers, smaller
 
 FEATURES = [
     "log_chars", "letters", "upper", "digits", "signs", "spaces", "word_chars", "sign_repeats", "sign_runs",
@@ -196,7 +196,7 @@ def train_model(docs: DataFrame, labels: DataFrame, train: Column, *, label: str
     picked = docs.join(F.broadcast(label_sample(labels, label, train, max_rows)), "doc_id")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             for part in slices(batch.column(1).to_pylist()):
                 y = batch.column(0).slice(part.first, len(part.end))
                 yield pa.RecordBatch.from_arrays([y, *map(pa.array, features(part).T)], ["y", *FEATURES])
@@ -223,7 +223,7 @@ def score_quality(
         model = train_model(source, labels, train, max_rows=max_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             parts = [model.score(features(part)) for part in slices(batch.column(1).to_pylist())]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import on_workers
+from .common import on_workers, smaller
 
 
 def token_counts(
@@ -26,7 +26,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.load(tokenizer_path)
-        for batch in batches:
+        for batch in smaller(batches):
             texts = batch.column(1).to_pylist()
             n_bytes = [0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts]
             n_tokens = [n for _, counts, _ in words.encode(texts, with_ids=False) for n in counts.tolist()]

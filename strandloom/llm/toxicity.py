@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, OTHER
 from .chars import Hasher, Slice, hash_of, runs, slices, tables
-from .common import on_workers
+from .common import on_workers, smaller
 from .quality import label_sample
 
 #: A general lexicon of abuse; mined voters add what a corpus has besides.
@@ -196,7 +196,7 @@ def train_model(docs: DataFrame, labels: DataFrame, train: Column, *, label: str
     model = ToxicityModel(np.unique(np.array(words + mine(sample, voters=voters), np.uint64)), np.zeros(0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             for part in slices(batch.column(1).to_pylist()):
                 votes, extra = model.columns(part)
                 at = [np.flatnonzero(v).tolist() for v in votes]
@@ -237,7 +237,7 @@ def score_toxicity(
         model = train_model(source, labels, train, max_rows=max_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches):
             parts = [model.score(part) for part in slices(batch.column(1).to_pylist())]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
