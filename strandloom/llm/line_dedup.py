@@ -2,13 +2,15 @@
 
 Every non-blank line is hashed.  The gram of a line is the shortest run of lines that begins there
 and has at least ``gram_words`` words; of all grams that begin within ``window_words`` words of a
-line, the one with the smallest hash is a fingerprint.  So any run of ``gram_words +
-window_words`` words (less one) that two texts share holds a fingerprint that both have.  Each
-fingerprint's occurrences are joined with its first one, and matched line by line both ways over
-the lines around them.  Runs that reach ``min_words`` are deleted in the later text.
-
-An occurrence whose run with the first one stays short may still share a long run with another:
-there the runs of at least ``min_words`` around it are looked up themselves, in a second join.
+line, the one with the smallest hash is the line's fingerprint.  So any run of ``gram_words +
+window_words`` words (less one) that two texts share holds a fingerprint that both have, and it is
+the fingerprint of the run's first line.
+
+Where a fingerprint occurs more than once, the runs are looked up themselves: the shortest runs of
+``min_words`` words or more that begin with a line or end with it.  Every occurrence but the first
+goes.  These runs cover all lines of any longer repeated run: its first one begins with it, and a
+line behind that one ends such a run of its own.  So a repeated run goes as a whole, however long
+it and its lines are and whichever of the earlier texts has it.
 """
 
 from __future__ import annotations
@@ -40,16 +42,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumn("before", F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
 
 
-def _gram(reach: int, name: str) -> dict[str, Column]:
+def _gram(reach: int, name: str, *, back: bool = False) -> dict[str, Column]:
     """Columns ``name`` and ``name``_end: hash and last position of the shortest run from here with
-    at least ``reach`` words (null where the text ends before)."""
-    # lines that begin within reach-1 words of this one: together they have at least reach words
-    ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, reach - 1)
-    run = F.collect_list("hash").over(ahead)
-    enough = F.sum("words").over(ahead) >= reach
+    at least ``reach`` words (null where the text ends before).
+
+    With ``back``, of the shortest run that ends here; ``name``_end is its first position.
+    """
+    # lines that begin within reach-1 words of this one (or end so): together they have at least reach words
+    if back:
+        span = Window.partitionBy("row").orderBy("after").rangeBetween(1 - reach, 0)
+    else:
+        span = Window.partitionBy("row").orderBy("before").rangeBetween(0, reach - 1)
+    run = F.collect_list("hash").over(span)
+    enough = F.sum("words").over(span) >= reach
+    end = F.min("pos") if back else F.max("pos")
     return {
         name: F.when(enough, F.xxhash64(run, F.lit(reach))),
-        f"{name}_end": F.when(enough, F.max("pos").over(ahead)),
+        f"{name}_end": F.when(enough, end.over(span)),
     }
 
 
@@ -57,67 +66,43 @@ def repeated_lines(
     docs: DataFrame, *, min_words: int = 50, gram_words: int = 25, window_words: int = 25,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(row, pos) of every line that lies in a later occurrence of a repeated run.
+    """(row, pos) of every line that lies in a later occurrence of a repeated run, and of blank lines in it.
 
     Texts come in the order of their ids (null first), lines in their order; the first occurrence
     of a run stays.  Runs of fewer than ``min_words`` words stay everywhere.  Within one text a
     later repetition of a run is deleted as well.
     """
-    lines = _lines(docs, id_col, text_col).withColumns(_gram(gram_words, "gram"))
+    # every run of min_words words must hold a fingerprint
+    gram_words = min(gram_words, (min_words + 1) // 2)
+    window_words = min(window_words, min_words + 1 - gram_words)
+    lines = _lines(docs, id_col, text_col).withColumn("after", F.col("before") + F.col("words"))
+    lines = lines.withColumns(_gram(gram_words, "gram"))
     near = Window.partitionBy("row").orderBy("before").rangeBetween(0, window_words - 1)
-    around = Window.partitionBy("row").orderBy("before").rangeBetween(-min_words - gram_words, min_words + gram_words)
     # of equal hashes the last one in the window, in both texts alike
     best = F.min(F.struct(F.col("gram").isNull().alias("none"), "gram", (-F.col("pos")).alias("at"))).over(near)
     whole = F.sum("words").over(near) >= window_words
-    tagged = lines.withColumns({"best": best, "whole": whole} | _gram(min_words, "long"))
-    tagged = written(tagged.select("doc", "row", "pos", "hash", "words", "before", "gram", "long", "long_end", "best", "whole"), "lines")
-
-    chosen = tagged.filter("NOT best.none AND whole").select("row", (-F.col("best.at")).alias("pos")).distinct()
-    context = F.sort_array(F.collect_list(F.struct("pos", "hash", "words")).over(around))
-    # texts shorter than a window have no fingerprint, and no run long enough
-    marked = tagged.join(chosen.withColumn("chosen", F.lit(True)), ["row", "pos"], "left").withColumn("context", context)
-    prints = marked.filter("chosen").select("doc", "row", "pos", "before", "gram", "context")
-    counts = tagged.join(chosen, ["row", "pos"], "left_semi").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    # written first, so that both sides of the joins below are exchanged and hot grams can be split
-    prints = written(prints.join(written(counts.select("gram"), "grams"), "gram", "left_semi"), "fingerprints")
-    place = F.struct("doc", "row", "pos")
-    first = written(prints.groupBy("gram").agg(F.min(place).alias("first")), "first")
-    first = prints.join(first, "gram").filter(place == F.col("first")).select("gram", "first", F.col("context").alias("first_context"))
-    pairs = prints.join(written(first, "canonical"), "gram").filter(place != F.col("first"))
-
-    def side(context: str, pos: Column, ahead: bool) -> Column:
-        """Lines from ``pos`` on (or before it, the nearest first)."""
-        kept = F.filter(context, lambda x: x["pos"] >= pos if ahead else x["pos"] < pos)
-        return kept if ahead else F.reverse(kept)
-
-    def matched(ahead: bool) -> Column:
-        """Those lines that are equal in both contexts, up to the first that is not."""
-        mine, other = side("context", F.col("pos"), ahead), side("first_context", F.col("first.pos"), ahead)
-        both = F.zip_with(
-            mine,
-            other,
-            lambda x, y: F.struct(x["hash"].eqNullSafe(y["hash"]).alias("same"), x["pos"].alias("pos"), x["words"].alias("words")),
-        )
-        stop = F.array_position(F.transform(both, lambda x: x["same"]), False)
-        return F.when(stop == 0, both).otherwise(F.slice(both, 1, F.greatest(stop - 1, F.lit(0)).cast("int")))
-
-    runs = pairs.withColumns({"right": matched(True), "left": matched(False)})
-    run = F.filter(F.concat("left", "right"), lambda x: x["pos"].isNotNull())
-    runs = runs.select("gram", "row", "pos", "doc", "before", run.alias("run"))
-    total = F.aggregate("run", F.lit(0), lambda a, x: a + x["words"])
-    runs = written(runs.select("gram", "row", "pos", "run.pos", total.alias("total")).toDF("gram", "row", "at", "run", "total"), "runs")
-    direct = runs.filter(F.col("total") >= min_words).select("row", F.explode("run").alias("pos"))
-
-    # fingerprints that stayed short somewhere: look at the long runs that hold them
-    short = written(runs.filter(F.col("total") < min_words).select("gram").distinct(), "short")
-    doubtful = prints.join(short, "gram", "left_semi").select("row", F.col("pos").alias("at"))
-    spots = tagged.select("doc", "row", "pos", "long", "long_end").filter("long IS NOT NULL")
-    spots = spots.join(doubtful, "row").filter((F.col("pos") <= F.col("at")) & (F.col("long_end") >= F.col("at")))
-    spots = written(spots.select("doc", "row", "pos", "long", "long_end").distinct(), "spots")
-    head = spots.groupBy("long").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = spots.join(written(head, "heads"), "long").filter(place != F.col("first"))
-    indirect = later.select("row", F.explode(F.sequence("pos", "long_end")).alias("pos"))
-    return direct.union(indirect).distinct()
+    tagged = lines.withColumns({"best": best, "whole": whole} | _gram(min_words, "long") | _gram(min_words, "past", back=True))
+    tagged = tagged.withColumn("mark", F.when(~F.col("best.none") & F.col("whole"), F.col("best.gram")))
+    back = Window.partitionBy("row").orderBy("after").rangeBetween(1 - min_words, 0)
+    tagged = tagged.withColumns({"past_mark": F.first("mark").over(back), "at": -F.col("best.at")})
+    tagged = written(tagged.select("doc", "row", "pos", "mark", "at", "long", "long_end", "past", "past_end", "past_mark"), "lines")
+
+    # a fingerprint may be that of several lines; texts shorter than a window have none, and no run long enough
+    prints = tagged.filter("mark IS NOT NULL").select("mark", "row", "at").distinct()
+    marks = written(prints.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "marks")
+    ahead = F.struct(F.col("mark"), F.col("long").alias("run"), F.col("pos").alias("start"), F.col("long_end").alias("end"))
+    behind = F.struct(F.col("past_mark").alias("mark"), F.col("past").alias("run"), F.col("past_end").alias("start"), F.col("pos").alias("end"))
+    both = F.filter(F.array(ahead, behind), lambda x: x["run"].isNotNull())
+    spots = tagged.select("doc", "row", F.inline(both)).join(marks, "mark", "left_semi")
+    # written first, so that both sides of the join below are exchanged and hot runs can be split
+    spots = written(spots.select("doc", "row", "run", "start", "end"), "spots")
+    place = F.struct("doc", "row", "start")
+    head = spots.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    later = spots.join(written(head.select("run", "first"), "heads"), "run").filter(place != F.col("first"))
+    later = later.groupBy("row", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = later.withColumn("from", F.greatest("start", F.max("end").over(before) + 1)).filter(F.col("from") <= F.col("end"))
+    return fresh.select("row", F.explode(F.sequence("from", "end")).alias("pos"))
 
 
 def deduplicate_lines(
@@ -141,6 +126,8 @@ def deduplicate_lines(
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = keyed.join(F.broadcast(gone) if few else gone, "_sl_row", "left").drop("_sl_row")
     parts = F.split(text, "\n")
+    filled = F.filter("_sl_removed", lambda i: F.trim(F.translate(F.get(parts, i), "\r\t", "  ")) != "")
+    joined = joined.withColumn("_sl_removed", filled)
     stay = F.filter(parts, lambda x, i: ~F.array_contains("_sl_removed", i))
     cleaned = F.when(F.col("_sl_removed").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     joined = joined.withColumn("_sl_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)))

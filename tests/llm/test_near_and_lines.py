@@ -85,6 +85,41 @@ def test_line_dedup(spark):
     assert got[6]["text"] is None and got[9]["text"] == "" and got[8]["text"] == rows[7][1] and got[4]["row"] == "a"
 
 
+def brute_lines(rows, words=50):
+    """Per id the lines in a run of so many words that stands somewhere earlier as well."""
+    texts = [(i, [(p, x.strip()) for p, x in enumerate(t.split("\n")) if x.strip()]) for i, t in sorted(rows)]
+    gone = {i: set() for i, _ in rows}
+    for at, (i, mine) in enumerate(texts):
+        for j, other in texts[: at + 1]:
+            for shift in range(-len(other), len(mine)):
+                if i == j and shift <= 0:
+                    continue
+                run = []
+                for k in range(max(0, shift), min(len(mine), len(other) + shift) + 1):
+                    if k < min(len(mine), len(other) + shift) and mine[k][1] == other[k - shift][1]:
+                        run.append(mine[k])
+                        continue
+                    if sum(x.count(" ") + 1 for _, x in run) >= words:
+                        gone[i] |= {p for p, _ in run}
+                    run = []
+    return {i: sorted(g) for i, g in gone.items()}
+
+
+def removed(spark, rows):
+    got = deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: list(r["_sl_removed"] or []) for r in got}
+
+
+def test_line_dedup_extends_past_long_lines(spark):
+    rng = random.Random(11)
+    long, tail = sentence(rng, 80), sentence(rng, 8)
+    rows = [(i, "\n".join([sentence(rng, 30), long, tail, sentence(rng, 9)])) for i in (1, 2)]
+    assert removed(spark, rows) == {1: [], 2: [1, 2]}
+    pool = [sentence(rng, n) for n in (3, 8, 8, 20, 26, 40, 55, 80, 130)]
+    rows = [(i, "\n".join(rng.choice(pool + [""]) if rng.random() < 0.8 else sentence(rng, 9) for _ in range(25))) for i in range(12)]
+    assert removed(spark, rows) == brute_lines(rows)
+
+
 def test_contamination(spark):
     rng = random.Random(7)
     items = [(i, sentence(rng, 40).capitalize()) for i in range(6)] + [(7, None), (8, ""), (9, "tiny")]
