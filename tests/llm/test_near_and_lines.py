@@ -120,6 +120,14 @@ def test_line_dedup_extends_past_long_lines(spark):
     assert removed(spark, rows) == brute_lines(rows)
 
 
+def test_line_dedup_against_every_earlier_text(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, n) for n in (30, 30, 20))
+    parts = [[a, b, sentence(rng, 9)], [sentence(rng, 9), a, b, c, sentence(rng, 9)], [sentence(rng, 9), a, b, c, sentence(rng, 9)]]
+    # the first text has all fingerprints of the run, the second more of its lines
+    assert removed(spark, [(i, "\n".join(p)) for i, p in enumerate(parts)]) == {0: [], 1: [1, 2], 2: [1, 2, 3]}
+
+
 def test_contamination(spark):
     rng = random.Random(7)
     items = [(i, sentence(rng, 40).capitalize()) for i in range(6)] + [(7, None), (8, ""), (9, "tiny")]
