@@ -6,7 +6,8 @@ Bins form bands, and equal bands put texts into one bucket.  A bucket's texts ar
 each other but with a leader, in stars of two levels: texts with the leader of their share of the
 bucket, and those leaders with the bucket's.  Candidate edges are confirmed on the full shingle
 sets.  Buckets that still hold more than one component get other leaders, more in every round,
-until a round with many of them finds no link.
+until a round with many of them finds no link.  The texts of the buckets that are mixed then are
+joined exactly, by their rarest shingles (prefix filter), so no two texts of a bucket stay unmet.
 
 With 40 bands of 6 rows, a pair at similarity 0.8 shares no bucket with probability 5e-6.
 """
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chars import Hasher, mix, runs, slices
@@ -180,7 +181,11 @@ def _extended(found: DataFrame, new: DataFrame) -> DataFrame:
 def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
     """The edges whose full sets are similar enough."""
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(docs, ids, words), "sets")
+    return _similar(written(_sets(docs, ids, words), "sets"), edges, percent)
+
+
+def _similar(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """The edges whose sets (id, items) are similar enough."""
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"s_{c}")) for c in "ab")
     both = edges.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -188,6 +193,55 @@ def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> Dat
     return both.filter(common * 100 >= union * percent).select("a", "b")
 
 
+def _prefix_pairs(sets: DataFrame, percent: int, hot: int = 2000) -> DataFrame:
+    """All (a, b) across components that can be similar enough, by an exact prefix filter.
+
+    ``sets``: id, component, items.  Items are ordered from rare to frequent.  Similar sets have so
+    many items in common that the first common one lies in a short prefix of both, with enough
+    items behind it.  Items of more than ``hot`` texts are dealt out by a salt.
+    """
+    items = sets.select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    range_of = (F.min("component").alias("lo"), F.max("component").alias("hi"))
+    common = written(items.groupBy("item").agg(F.count("*").alias("texts"), *range_of).filter("texts > 1"), "frequencies")
+    # an item of one text only comes first, whatever its hash
+    ranked = items.join(common, "item", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    at = F.row_number().over(Window.partitionBy("id").orderBy("texts", "item"))
+    ranked = ranked.withColumn("at", at).filter(F.col("n") - F.col("at") + 1 >= F.ceil(F.col("n") * percent / 100))
+    ranked = ranked.filter("lo <> hi").withColumn("salts", F.ceil(F.col("texts") / hot).cast("int"))
+    ranked = written(ranked.select("item", "id", "component", "n", "at", "salts"), "prefixes")
+    # the smaller set of a pair needs a still shorter prefix
+    low = ranked.filter((F.col("n") - F.col("at") + 1) * (100 + percent) >= 2 * percent * F.col("n"))
+    low = low.select("item", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.struct("n", "id", "component", "at").alias("x"))
+    high = ranked.select("item", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("n", "id", "component", "at").alias("y"))
+    behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
+    fits = (
+        (F.col("x.component") != F.col("y.component"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+        & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+        & (behind * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    )
+    pairs = low.alias("l").join(high.alias("h"), (F.col("l.item") == F.col("h.item")) & (F.col("l.salt") == F.col("h.salt")) & fits)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _exact_rest(docs: DataFrame, active: DataFrame, found: DataFrame, tested: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components after all links between the texts of ``active`` (rep, component)."""
+    texts = written(active.select(F.col("rep").alias("id"), "component").distinct(), "texts")
+    sets = written(_sets(docs, texts.select("id"), words).join(texts, "id"), "sets")
+    edges = written(_prefix_pairs(sets, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
+    sets = sets.select("id", "items")
+    to_a, to_b = (texts.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    # a few edges between each two components first; then all that still lie between two
+    known = edges.join(to_a, "a").join(to_b, "b")
+    one = lambda s: F.min(F.struct(F.xxhash64("a", "b", F.lit(s)).alias("o"), "a", "b"))
+    some = known.groupBy(F.least("c_a", "c_b").alias("lo"), F.greatest("c_a", "c_b").alias("hi")).agg(F.array(*map(one, range(4))).alias("e"))
+    some = some.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
+    found = _extended(found, written(_similar(sets, some, percent), "links"))
+    to_a, to_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    left = edges.join(to_a, "a", "left").join(to_b, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    return _extended(found, written(_similar(sets, left.select("a", "b"), percent), "links"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -239,6 +293,7 @@ def near_duplicates(
         new = written(_confirm(docs, edges, words, percent), "links")
         if new.isEmpty():
             if leaders == most_leaders:
+                found = _exact_rest(docs, active, found, tested, words, percent)
                 break
         else:
             found = _extended(found, new)

@@ -59,6 +59,34 @@ def test_near_duplicates(spark):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (sizes[r["doc_id"]], label[r["doc_id"]], r["doc_id"] == label[r["doc_id"]]), r
 
 
+def test_near_duplicates_of_templates(spark):
+    rng = random.Random(17)
+    frame, hub = sentence(rng, 160).split(), sentence(rng, 200).split()
+    fresh = lambda n: [f"{w}{rng.randrange(10**6)}" for w in sentence(rng, n).split()]
+    texts = [frame + fresh(20) for _ in range(1000)]  # at 0.797 with each other
+    for i in range(60):
+        texts.append(frame + texts[i][160:161] + fresh(19))  # at 0.806 with one
+    for _ in range(150):  # at 0.85 with the hub, most of them below 0.8 with each other
+        copy = list(hub)
+        for at in rng.sample(range(2, 195, 4), 4):
+            copy[at] = fresh(1)[0]
+        texts.append(copy)
+    texts.append(hub)
+    rng.shuffle(texts)
+    sets = [{tuple(t[j : j + 4]) for j in range(len(t) - 3)} for t in texts]
+    label = list(range(len(texts)))
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(sets[a] & sets[b]) if label[a] != label[b] else 0
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert len(set(label)) == 1001
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=4).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 90), (90, 95), (200, 201)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
