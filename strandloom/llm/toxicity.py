@@ -2,8 +2,9 @@
 
 Voters are words of a small fixed lexicon, words and word beginnings mined from the labelled
 sample, and patterns of the whole text.  A generative label model estimates each voter's accuracy
-and the voters' correlations within a class (by expectation maximisation, anchored on the known
-labels), and gives every sampled text a posterior label.  A linear classifier over the votes and
+and the voters' correlations within a class (by expectation maximisation over labelled and
+unlabelled texts; a known label is only a mild prior that the voters can outweigh), and gives every
+sampled text a posterior label.  A linear classifier over the votes and
 their densities is trained on those posteriors and scores all texts in vectorised batches.
 """
 
@@ -118,21 +119,26 @@ class LabelModel:
     bias: float
 
     @classmethod
-    def fit(cls, votes: np.ndarray, known: np.ndarray, *, rounds: int = 8, trust: float = 9.0) -> tuple[LabelModel, np.ndarray]:
+    def fit(cls, votes: np.ndarray, known: np.ndarray, *, rounds: int = 8, trust: float = 2.0) -> tuple[LabelModel, np.ndarray]:
         """``votes``: texts x voters in {0, 1}; ``known``: 0 or 1 per text, else -1.
 
         Each round estimates rates (accuracies) and within-class covariances (correlations) from
         the present posterior, and then the posterior from both; a known label adds ``trust`` to
-        its side in log odds.
+        its side in log odds, less than the voters can (6).
         """
-        post = np.where(known < 0, 0.5, known.astype(float))
+        share = known[known >= 0].mean() if (known >= 0).any() else 0.5
+        post = np.where(known < 0, share, known.astype(float))
         post = 0.05 + 0.9 * post
         anchor = np.where(known < 0, 0.0, trust * (2 * known - 1))
+        together = votes.T @ votes
         for _ in range(rounds):
             n1, n0 = post.sum() + 1, (1 - post).sum() + 1
             m1, m0 = (post @ votes + 0.5) / (n1 + 1), ((1 - post) @ votes + 0.5) / (n0 + 1)
-            c1, c0 = votes - m1, votes - m0
-            within = ((c1 * post[:, None]).T @ c1 + (c0 * (1 - post)[:, None]).T @ c0) / len(votes)
+            within = together.copy()
+            for p, m in ((post, m1), (1 - post, m0)):
+                cross = np.outer(p @ votes, m)
+                within += p.sum() * np.outer(m, m) - cross - cross.T
+            within /= len(votes)
             within[np.diag_indices(len(within))] += 1e-3 + 0.1 * np.diag(within)
             weights = np.linalg.solve(within, m1 - m0)
             prior = np.log(n1 / n0)
@@ -188,10 +194,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.c_[votes, extra] @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", max_rows: int = 20_000, voters: int = 300) -> ToxicityModel:
-    """Learn from about ``max_rows`` labelled rows at most for which ``train`` holds."""
-    picked = docs.join(F.broadcast(label_sample(labels, label, train, max_rows)), "doc_id").select("_sl_label", "text")
-    sample = on_workers(picked)
+def unlabelled_sample(docs: DataFrame, used: DataFrame, train: Column, max_rows: int) -> DataFrame:
+    """About ``max_rows`` ids at most (a documented bound) without a label in use, chosen by a hash of the id."""
+    usable = docs.select("doc_id").filter(train & F.col("doc_id").isNotNull()).join(F.broadcast(used.select("doc_id")), "doc_id", "left_anti")
+    share = min(1.0, max_rows / max(1, usable.count()))
+    return usable.filter(F.abs(F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_003) < int(share * 1_000_003)).distinct()
+
+
+def train_model(
+    docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", max_rows: int = 20_000, max_unlabelled: int = 10_000, voters: int = 300
+) -> ToxicityModel:
+    """Learn from about ``max_rows`` labelled and ``max_unlabelled`` other rows at most for which ``train`` holds."""
+    used = label_sample(labels, label, train, max_rows)
+    sample = on_workers(docs.join(F.broadcast(used), "doc_id").select("_sl_label", "text"))
+    others = docs.join(F.broadcast(unlabelled_sample(docs, used, train, max_unlabelled)), "doc_id").select(F.lit(-1).alias("_sl_label"), "text")
     words = [hash_of(w) for w in LEXICON]
     model = ToxicityModel(np.unique(np.array(words + mine(sample, voters=voters), np.uint64)), np.zeros(0))
 
@@ -203,10 +219,11 @@ def train_model(docs: DataFrame, labels: DataFrame, train: Column, *, label: str
                 y = batch.column(0).slice(part.first, len(part.end))
                 yield pa.RecordBatch.from_arrays([y, pa.array(at, pa.list_(pa.int32())), pa.array(extra.tolist(), pa.list_(pa.float64()))], ["y", "votes", "extra"])
 
-    rows = sample.mapInArrow(measure, "y int, votes array<int>, extra array<double>").toPandas()
+    rows = sample.union(others).mapInArrow(measure, "y int, votes array<int>, extra array<double>").toPandas()
     width = len(model.terms) + len(PATTERNS)
-    if not len(rows) or rows["y"].nunique() < 2:
-        share = (rows["y"].sum() + 1) / (len(rows) + 2)
+    given = rows["y"][rows["y"] >= 0]
+    if given.nunique() < 2:
+        share = (given.sum() + 1) / (len(given) + 2)
         model.weights = np.zeros(width + 9)
         model.weights[-1] = np.log(share / (1 - share))
         return model

@@ -79,6 +79,26 @@ def test_label_model_discounts_correlated_voters():
     assert np.corrcoef(post, y)[0, 1] > 0.4
 
 
+def test_votes_move_posteriors_of_labelled_texts():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 3000)
+    votes = (rng.random((3000, 8)) < np.where(y == 1, 0.8, 0.05)[:, None]).astype(float)
+    known = np.where(rng.random(3000) < 0.5, y, -1)
+    known[:2], votes[0], votes[1] = 0, 1, 0  # the same label, and all voters or none
+    _, post = LabelModel.fit(votes, known)
+    assert post[0] > 0.5 > post[1]
+    votes[0] = 0
+    assert LabelModel.fit(votes, known)[1][0] < 0.5
+
+
+def test_label_model_sees_unlabelled_rows(spark, monkeypatch):
+    docs, table, _ = corpus(spark, n=120)
+    seen, fit_model = [], LabelModel.fit
+    monkeypatch.setattr(LabelModel, "fit", lambda votes, known: seen.append(known) or fit_model(votes, known))
+    score_toxicity(docs, table.filter("doc_id < 80"), train())
+    assert {-1, 0, 1} == set(seen[0].tolist())
+
+
 def test_languages(spark):
     rng = random.Random(2)
     kinds = {"aa": ["ba", "to", "ne"], "bb": ["ch", "ü", "gr"], "cc": ["ñu", "llo", "que"]}
