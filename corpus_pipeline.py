@@ -51,7 +51,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``n_chars`` follows the text.
     """
     cleaned = deduplicate_lines(docs)
-    emptied = F.col("_sl_removed").isNotNull() & (F.trim(F.col("text")) == "")
+    emptied = F.col("_sl_removed").isNotNull() & ~F.col("text").rlike(r"\S")
     cleaned = cleaned.filter(~emptied)
     size = F.when(F.col("_sl_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.withColumn("n_chars", size).select(*docs.columns)

@@ -37,3 +37,10 @@ def test_stages(spark, tmp_path):
     assert left["line_dedup"][101]["n_chars"] == len(left["line_dedup"][101]["text"])
     assert 102 in left["near_dedup"] and 103 not in left["near_dedup"]
     assert 104 not in left["decontamination"] and {i for i, _ in clean} <= set(left["packing"])
+
+
+def test_copy_with_blank_lines_goes(spark):
+    rng = random.Random(10)
+    text = sentence(rng, 60) + "\n\n \n" + sentence(rng, 60)
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in P.lines(spark, docs, "").collect()] == [1]
