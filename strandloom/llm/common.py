@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that may be broadcast to pick rows; beyond that they are joined.
+BROADCAST_KEYS = 200_000
 #: Working columns begin with this, so that columns of the caller never clash with them.
 OWN = "_sl_"
 
@@ -19,12 +21,14 @@ OWN = "_sl_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Where it is unset a session on one machine gets a temporary folder; a cluster gets an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -35,7 +39,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/strandloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sl_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, when the tables made from them are written themselves."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._sl_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def picked(df: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``df`` with (or, ``left_anti``, without) the rows whose columns are in ``keys``, a written table.
+
+    Keys are counted first: few go to every task, so that ``df`` stays where it is.
+    """
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, keys.columns, how)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
-#: Rows with deletions that may be broadcast to the texts; beyond that they are joined.
-BROADCAST_ROWS = 200_000
+#: Rows with deletions and deleted lines that may be broadcast to the texts; beyond that they are joined.
+BROADCAST_LINES = 1_000_000
 
 
 def row_key(id_col: str, text: Column) -> Column:
@@ -62,47 +62,71 @@ def _gram(reach: int, name: str, *, back: bool = False) -> dict[str, Column]:
     }
 
 
-def repeated_lines(
+def removed_lines(
     docs: DataFrame, *, min_words: int = 50, gram_words: int = 25, window_words: int = 25,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(row, pos) of every line that lies in a later occurrence of a repeated run, and of blank lines in it.
+    """row and removed (positions, in order) of every text with a later occurrence of a repeated run.
 
     Texts come in the order of their ids (null first), lines in their order; the first occurrence
     of a run stays.  Runs of fewer than ``min_words`` words stay everywhere.  Within one text a
-    later repetition of a run is deleted as well.
+    later repetition of a run is deleted as well, and so are blank lines inside deleted runs.
     """
     # every run of min_words words must hold a fingerprint
     gram_words = min(gram_words, (min_words + 1) // 2)
     window_words = min(window_words, min_words + 1 - gram_words)
-    lines = _lines(docs, id_col, text_col).withColumn("after", F.col("before") + F.col("words"))
-    lines = lines.withColumns(_gram(gram_words, "gram"))
+    lines = _lines(docs, id_col, text_col).withColumns(_gram(gram_words, "gram"))
     near = Window.partitionBy("row").orderBy("before").rangeBetween(0, window_words - 1)
     # of equal hashes the last one in the window, in both texts alike
     best = F.min(F.struct(F.col("gram").isNull().alias("none"), "gram", (-F.col("pos")).alias("at"))).over(near)
     whole = F.sum("words").over(near) >= window_words
-    tagged = lines.withColumns({"best": best, "whole": whole} | _gram(min_words, "long") | _gram(min_words, "past", back=True))
-    tagged = tagged.withColumn("mark", F.when(~F.col("best.none") & F.col("whole"), F.col("best.gram")))
-    back = Window.partitionBy("row").orderBy("after").rangeBetween(1 - min_words, 0)
-    tagged = tagged.withColumns({"past_mark": F.first("mark").over(back), "at": -F.col("best.at")})
-    tagged = written(tagged.select("doc", "row", "pos", "mark", "at", "long", "long_end", "past", "past_end", "past_mark"), "lines")
-
-    # a fingerprint may be that of several lines; texts shorter than a window have none, and no run long enough
-    prints = tagged.filter("mark IS NOT NULL").select("mark", "row", "at").distinct()
-    marks = written(prints.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "marks")
-    ahead = F.struct(F.col("mark"), F.col("long").alias("run"), F.col("pos").alias("start"), F.col("long_end").alias("end"))
-    behind = F.struct(F.col("past_mark").alias("mark"), F.col("past").alias("run"), F.col("past_end").alias("start"), F.col("pos").alias("end"))
-    both = F.filter(F.array(ahead, behind), lambda x: x["run"].isNotNull())
-    spots = tagged.select("doc", "row", F.inline(both)).join(marks, "mark", "left_semi")
-    # written first, so that both sides of the join below are exchanged and hot runs can be split
-    spots = written(spots.select("doc", "row", "run", "start", "end"), "spots")
+    lines = lines.withColumns({"best": best, "whole": whole})
+    lines = lines.withColumn("mark", F.when(~F.col("best.none") & F.col("whole"), F.col("best.gram")))
+    # neighbours share a fingerprint, and its place only moves on: one of them stands for it
+    last = F.lag(F.when(F.col("mark").isNotNull(), F.col("best.at"))).over(Window.partitionBy("row").orderBy("before"))
+    lines = lines.withColumn("fresh", F.col("mark").isNotNull() & ~last.eqNullSafe(F.col("best.at")))
+    lines = written(lines.select("doc", "row", "pos", "hash", "words", "before", "mark", "fresh"), "lines")
+
+    # texts shorter than a window have no fingerprint, and no run long enough
+    prints = lines.filter("fresh").select("mark", "row")
+    marks = prints.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    hits = written(prints.join(marks, "mark"), "hits")
+    spots = written(_spots(lines, hits, min_words), "spots")
+    discard(lines, hits)
+
     place = F.struct("doc", "row", "start")
     head = spots.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    later = spots.join(written(head.select("run", "first"), "heads"), "run").filter(place != F.col("first"))
-    later = later.groupBy("row", "start").agg(F.max("end").alias("end"))
+    later = spots.join(head.select("run", "first"), "run").filter(place != F.col("first")).select("row", "start", "end")
+    later = later.repartition("row").groupBy("row", "start").agg(F.max("end").alias("end"))
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = later.withColumn("from", F.greatest("start", F.max("end").over(before) + 1)).filter(F.col("from") <= F.col("end"))
-    return fresh.select("row", F.explode(F.sequence("from", "end")).alias("pos"))
+    later = later.withColumn("from", F.greatest("start", F.max("end").over(before) + 1)).filter(F.col("from") <= F.col("end"))
+    removed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from", "end"))), lambda x: F.sequence(x["from"], x["end"])))
+    out = written(later.groupBy("row").agg(removed.alias("removed")), "removed")
+    discard(spots)
+    return out
+
+
+def _spots(lines: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """doc, row, run, start, end of the runs to look up: those that begin with a line of a repeated
+    fingerprint.  Each is the shortest run of ``min_words`` words from its first line, or to its last.
+
+    ``hits`` are (mark, row) of the repeated fingerprints; texts without any are left out before
+    their runs are hashed.
+    """
+    nothing = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("doc", "pos", "hash", "words", "before")]
+    marked = hits.distinct().select(*nothing[:1], "row", *nothing[1:], "mark", F.lit(True).alias("hit"))
+    both = lines.select("doc", "row", "pos", "hash", "words", "before", "mark", F.lit(False).alias("hit")).union(marked)
+    both = both.repartition("row").withColumns(
+        {"any": F.max("hit").over(Window.partitionBy("row")), "again": F.max("hit").over(Window.partitionBy("row", "mark"))}
+    )
+    known = both.filter("any AND NOT hit").withColumn("after", F.col("before") + F.col("words"))
+    known = known.withColumns(_gram(min_words, "long") | _gram(min_words, "past", back=True))
+    back = Window.partitionBy("row").orderBy("after").rangeBetween(1 - min_words, 0)
+    known = known.withColumns({"again": F.col("mark").isNotNull() & F.col("again")}).withColumn("past_again", F.first("again").over(back))
+    ahead = F.struct(F.col("again"), F.col("long").alias("run"), F.col("pos").alias("start"), F.col("long_end").alias("end"))
+    behind = F.struct(F.col("past_again").alias("again"), F.col("past").alias("run"), F.col("past_end").alias("start"), F.col("pos").alias("end"))
+    found = F.filter(F.array(ahead, behind), lambda x: x["again"] & x["run"].isNotNull())
+    return known.select("doc", "row", F.inline(found)).drop("again")
 
 
 def deduplicate_lines(
@@ -116,14 +140,11 @@ def deduplicate_lines(
     Rows that are equal in id and text are one text and stay equal.  Words are counted as spaces
     between them; lines are compared without the white space around them.
     """
-    gone = repeated_lines(
-        docs, min_words=min_words, gram_words=gram_words, window_words=window_words, id_col=id_col, text_col=text_col
-    )
-    gone = gone.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("_sl_removed")).withColumnRenamed("row", "_sl_row")
-    gone = written(gone, "removed")
+    gone = removed_lines(docs, min_words=min_words, gram_words=gram_words, window_words=window_words, id_col=id_col, text_col=text_col)
+    gone = gone.select(F.col("row").alias("_sl_row"), F.col("removed").alias("_sl_removed"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("_sl_row", row_key(id_col, text))
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (gone.agg(F.count("*") + F.sum(F.size("_sl_removed"))).first()[0] or 0) <= BROADCAST_LINES
     joined = keyed.join(F.broadcast(gone) if few else gone, "_sl_row", "left").drop("_sl_row")
     parts = F.split(text, "\n")
     filled = F.filter("_sl_removed", lambda i: F.trim(F.translate(F.get(parts, i), "\r\t", "  ")) != "")
