@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import _col, complement, lenient_reverse_complement, reverse_complement
+from .sequence import _col, complement, lenient_reverse_complement, let, reverse_complement
 
 #: Fixed patterns of variant names and headers.
 PATTERN = r"(?:c|g)\.([0-9_\-\+\*\(\)\?]+)([a-zA-Z>]+)"
@@ -41,11 +41,29 @@ def variant_end(variant) -> Column:
 
 def variant_type(variant) -> Column:
     """One of ``TYPES``, else 'unknown'."""
-    # the sign of a substitution counts wherever it is; of the others the first
-    change = F.regexp_replace(F.coalesce(variant_change(variant), F.lit("")), "^.*>.*$", ">")
-    names = {">": "substitution", "delins": "delins", "del": "deletion", "ins": "insertion", "dup": "duplication", "inv": "inversion"}
-    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.regexp_extract(change, "(>|delins|del|ins|dup|inv)", 1)), F.lit("unknown"))
+
+    def kind(change: Column) -> Column:
+        return (
+            F.when(F.contains(change, F.lit(">")), "substitution")
+            .when(F.contains(change, F.lit("delins")), "delins")
+            .when(F.contains(change, F.lit("del")), "deletion")
+            .when(F.contains(change, F.lit("ins")), "insertion")
+            .when(F.contains(change, F.lit("dup")), "duplication")
+            .when(F.contains(change, F.lit("inv")), "inversion")
+            .otherwise("unknown")
+        )
+
+    return let(variant_change(variant), kind)
+
+
+def has_strict_header(header) -> Column:
+    """Whether a header is one transcript or chromosome with one variant, and nothing else."""
+    return _col(header).rlike(STRICT_HEADER)
+
+
+def has_header(header) -> Column:
+    """Whether a header is any sequence's id with one variant, and nothing else."""
+    return _col(header).rlike(GENERAL_HEADER)
 
 
 def header_type(header) -> Column:

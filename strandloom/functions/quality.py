@@ -27,9 +27,9 @@ def unqualified_share(quality, phred: int) -> Column:
 
 
 def mask_low_quality(sequence, quality, phred: int) -> Column:
-    """Bases under the quality become N."""
-    base = lambda b, q: F.when(F.ascii(q) - 33 < phred, "N").otherwise(b)
-    return F.array_join(F.zip_with(F.split(_col(sequence), ""), F.split(_col(quality), ""), base), "")
+    """Bases under the quality become N; an empty read stays empty."""
+    bases, marks = (F.filter(F.split(_col(c), ""), lambda x: x != "") for c in (sequence, quality))
+    return F.array_join(F.zip_with(bases, marks, lambda b, q: F.when(F.ascii(q) - 33 < phred, "N").otherwise(b)), "")
 
 
 def cut_window_tail(sequence, quality, window: int, mean: int) -> Column:

@@ -18,6 +18,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` worked out once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def reverse_complement(seq) -> Column:
     """Null stays null; characters without a complement stay as they are."""
     return F.reverse(F.translate(_col(seq), BASES, COMPLEMENTS))
@@ -77,9 +82,12 @@ def tiles(seq, size: int, overlap: int) -> Column:
 
     The pieces are cut in one pass, so long sequences cost no more than their length.
     """
-    pieces = F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    after = lambda i: F.coalesce(F.left(F.get(pieces, i + 1), F.lit(overlap)), F.lit(""))
-    return F.transform(pieces, lambda p, i: F.struct((i.cast("long") * size).alias("at"), F.concat(p, after(i)).alias("bases")))
+
+    def cut(pieces: Column) -> Column:
+        after = lambda i: F.coalesce(F.left(F.get(pieces, i + 1), F.lit(overlap)), F.lit(""))
+        return F.transform(pieces, lambda p, i: F.struct((i.cast("long") * size).alias("at"), F.concat(p, after(i)).alias("bases")))
+
+    return let(F.regexp_extract_all(_col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), cut)
 
 
 def kmers(seq, k: int, stranded: bool = True) -> Column:

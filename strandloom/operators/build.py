@@ -12,8 +12,9 @@ from ..functions import sequence as S
 from .fixed import fixed
 from .number import numbered
 
-#: Bases of a tile of a long sequence; a variant's window is cut from one tile of twice that length.
-TILE = 1 << 17
+#: Bases of a tile of a long sequence, and how many of the next tile it has besides.  A window that is
+#: no longer than the overlap lies in one tile.
+TILE, OVERLAP = 1 << 12, 1 << 9
 #: Why a variant is left out, in the order in which it is looked at.
 REASONS = [
     "missing", "duplicate", "unknown_sequence", "uncertain", "ambiguous_position", "intronic", "posttranslational",
@@ -75,17 +76,21 @@ def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: st
     """``rows`` with the bases [low, high) of their sequence as column ``name``.
 
     Sequences are dealt in overlapping tiles, so no row ever carries a whole chromosome: a window
-    that is no longer than a tile lies in the tile that begins at or before it.  Longer windows
-    (deletions of over ``TILE`` bases) read the sequence itself.
+    that is no longer than the overlap lies in the tile that begins at or before it.  Longer windows
+    (of long deletions) are put together from the tiles that they touch.
     """
-    tiles = sequences.select("seq_id", F.posexplode(S.tiles("sequence", TILE, TILE)).alias("_tile", "_t")).select("seq_id", "_tile", F.col("_t.bases").alias("_bases"))
-    short = (F.col(high) - F.col(low)) <= TILE
-    tile = F.floor(F.greatest(F.col(low), F.lit(0)) / TILE).cast("int")
-    near = rows.filter(short).withColumn("_tile", tile).join(tiles, ["seq_id", "_tile"], "left")
+    tiles = sequences.select("seq_id", F.inline(S.tiles("sequence", TILE, OVERLAP)))
+    tiles = tiles.select("seq_id", (F.col("at") / TILE).cast("int").alias("_tile"), F.col("bases").alias("_bases"))
+    number = lambda c: F.floor(F.greatest(c, F.lit(0)) / TILE).cast("int")
     cut = S.slice_between("_bases", F.col(low) - F.col("_tile") * TILE, F.col(high) - F.col("_tile") * TILE)
+    short = (F.col(high) - F.col(low)) <= OVERLAP
+    near = rows.filter(short).withColumn("_tile", number(F.col(low))).join(tiles, ["seq_id", "_tile"], "left")
     near = near.withColumn(name, cut).drop("_tile", "_bases")
-    far = rows.filter(~short).join(sequences.select("seq_id", "sequence"), "seq_id", "left")
-    far = far.withColumn(name, S.slice_between("sequence", low, high)).drop("sequence")
+    far = rows.filter(~short)
+    touched = far.select("seq_id", low, high).distinct().select("*", F.explode(F.sequence(number(F.col(low)), number(F.col(high) - 1))).alias("_tile"))
+    parts = touched.join(tiles.withColumn("_bases", F.left("_bases", F.lit(TILE))), ["seq_id", "_tile"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_tile", cut.alias("_part")))), lambda p: p["_part"]), "")
+    far = far.join(parts.groupBy("seq_id", low, high).agg(whole.alias(name)), ["seq_id", low, high], "left")
     return near.unionByName(far)
 
 

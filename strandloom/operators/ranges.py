@@ -50,16 +50,22 @@ def nearest_junction(variants: DataFrame, junctions: DataFrame, *, seq: str = "s
     """``variants`` with distance_to_nearest_splice_junction (null without junctions on the
     sequence) and is_near_splice_junction_<near>.
 
-    ``junctions``: seq, position.  Both are put in one order, and the junction before and after
-    each end of a variant is carried along it.
+    ``junctions``: seq, position.  Both are put in one order inside bins of positions, and the
+    junction before and after each end of a variant is carried along it.  What a bin gets from the
+    bins around it comes from a table of one row per bin.
     """
     places = variants.select(F.col(seq).alias("_seq"), F.explode(F.array(start, end)).alias("_at")).distinct()
     marks = junctions.select(F.col(seq).alias("_seq"), F.col("position").alias("_at"), F.col("position").alias("_mark")).distinct()
     both = places.withColumn("_mark", F.lit(None).cast(dict(marks.dtypes)["_mark"])).union(marks)
-    order = Window.partitionBy("_seq").orderBy("_at")
-    before = F.last("_mark", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_mark", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("_at") - before, after - F.col("_at"))
+    both = both.withColumn("_bin", F.floor(F.col("_at") / BIN))
+    bins = both.groupBy("_seq", "_bin").agg(F.min("_mark").alias("_lo"), F.max("_mark").alias("_hi"))
+    up, down = (Window.partitionBy("_seq").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_bin"), F.desc("_bin")))
+    bins = bins.select("_seq", "_bin", F.max("_hi").over(up).alias("_left"), F.min("_lo").over(down).alias("_right"))
+    own = Window.partitionBy("_seq", "_bin")
+    before = F.max("_mark").over(own.orderBy("_at"))
+    after = F.min("_mark").over(own.orderBy(F.desc("_at")))
+    both = both.select("*", before.alias("_before"), after.alias("_after")).join(bins, ["_seq", "_bin"])
+    gap = F.least(F.col("_at") - F.coalesce("_before", "_left"), F.coalesce("_after", "_right") - F.col("_at"))
     gaps = both.withColumn("_gap", gap).filter("_mark IS NULL").select("_seq", "_at", "_gap")
     out = variants
     for i, c in enumerate((start, end)):
@@ -76,7 +82,9 @@ def genome_to_transcript(points: DataFrame, exons: DataFrame) -> DataFrame:
     size = F.col("end") - F.col("start") + 1
     order = Window.partitionBy("transcript_id").orderBy(F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start")))
     placed = exons.withColumn("_before", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size)
-    joined = points.join(placed, "transcript_id", "left").filter(F.col("pos").between(F.col("start"), F.col("end")))
+    placed = placed.select("*", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))).alias("_bin"))
+    keyed = points.select("transcript_id", "pos").distinct().withColumn("_bin", F.floor(F.col("pos") / BIN))
+    joined = keyed.join(placed, ["transcript_id", "_bin"]).filter(F.col("pos").between(F.col("start"), F.col("end")))
     within = F.when(F.col("strand") == "-", F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start")) + 1
     found = joined.groupBy("transcript_id", "pos").agg(F.min(F.col("_before") + within).alias("transcript_pos"))
     return points.join(found, ["transcript_id", "pos"], "left")

@@ -49,6 +49,8 @@ def vcf_lines(records: DataFrame, samples: bool = False) -> DataFrame:
 
 def write_vcf(records: DataFrame, path: str, sample_names: list[str] | None = None, mode: str = "errorifexists") -> None:
     head = ["##fileformat=VCFv4.2", '##INFO=<ID=AO,Number=1,Type=Integer,Description="Alternate reads">', '##INFO=<ID=NS,Number=1,Type=Integer,Description="Samples with the variant">']
+    if sample_names:
+        head.append('##FORMAT=<ID=AO,Number=1,Type=Integer,Description="Alternate reads of the sample">')
     head.append("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *sample_names] if sample_names else [])]))
     body = vcf_lines(records, bool(sample_names)).orderBy("CHROM", "POS").select("value")
     top = records.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1)
