@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hgvs as H
@@ -41,9 +41,11 @@ def collapse(rows: DataFrame, columns: list[str], header: str = "vcrs_header", o
 
 
 def gene_totals(rows: DataFrame, gene: str = "gene_name") -> DataFrame:
-    """number_of_variants_in_this_gene_total; null genes have none."""
-    n = F.count("*").over(Window.partitionBy(gene))
-    return rows.withColumn("number_of_variants_in_this_gene_total", F.when(F.col(gene).isNotNull(), n))
+    """number_of_variants_in_this_gene_total; null genes have none, and are not brought together."""
+    name = "number_of_variants_in_this_gene_total"
+    totals = rows.filter(F.col(gene).isNotNull()).groupBy(gene).agg(F.count("*").alias(name))
+    named = rows.filter(F.col(gene).isNotNull()).join(totals, gene).select(*rows.columns, name)
+    return named.unionByName(rows.filter(F.col(gene).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
 def compare_cdna_genome(cdna: DataFrame, genome: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fixed import materialised
+
 
 def row_numbers(rows: DataFrame, *order: str, name: str = "row_number", parts: int = 64) -> DataFrame:
     """``rows`` numbered from 1 in the order of numeric or string columns ``order``.
@@ -32,7 +34,11 @@ def row_numbers(rows: DataFrame, *order: str, name: str = "row_number", parts: i
 
 
 def numbered(rows: DataFrame, *order: str, prefix: str = "vcrs_", name: str = "vcrs_id") -> DataFrame:
-    """Ids like vcrs_07: numbers in order, with as many digits as the last one has."""
+    """Ids like vcrs_07: numbers in order, with as many digits as the last one has.
+
+    The rows are written down first: they are read several times, and have to be the same each time.
+    """
+    rows = materialised(rows)
     out = row_numbers(rows, *order, name="_number")
     total = rows.agg(F.length(F.count("*").cast("string")).alias("_digits"))
     out = out.crossJoin(F.broadcast(total))
