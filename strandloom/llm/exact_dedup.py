@@ -1,11 +1,13 @@
 """Exact deduplication as a tree merge of sorted digest runs, with DataFrame operations only.
 
-Rows are dealt into ``runs`` runs by a hash of their id.  Within a run equal digests collapse
-to one entry (digest, kept id, rows).  Then, round after round, ``fan_in`` neighbouring runs
-merge into one, until one run is left; every round is one aggregation keyed by (run, digest),
-so Spark combines before the shuffle and no key ever holds more than ``fan_in`` entries.
-The verdicts travel the same tree back down, from the root's groups of two rows and more to
-the rows themselves, so a group that holds a third of all rows is never joined under one key.
+Every partition of the digests is a run: it is written in the order of its digests, with its
+number.  In binomial rounds the runs whose numbers differ in one digit only (i, i + w, i + 2w ...)
+exchange their entries, digest range by digest range, and merge: what meets is sorted, and equal
+digests become one entry (digest, kept id, rows).  After the last round one run is left, in as many
+ranges as there were before, so no round ends in one task, and no digest ever brings more entries
+together than a round merges runs.  The verdicts travel the same tree back down, from the root's
+groups of two rows and more to the rows themselves, so a group that holds a third of all rows is
+never joined under one key.
 
 Entries are verified at every level: two texts are the same only if SHA-256, a second
 independent 64-bit hash and the byte length agree.
@@ -13,7 +15,7 @@ independent 64-bit hash and the byte length agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
@@ -21,24 +23,35 @@ from .common import ascii_lower, written
 KEY = ["digest", "check", "size"]
 
 
-def merge_runs(rows: DataFrame, key: list[str], *, keep: str, runs: int, fan_in: int) -> DataFrame:
-    """``rows`` (doc_id, the key and more) with keep_id and group_size of their group; null for groups of one row."""
+def digest_ranges(df: DataFrame) -> int:
+    """How many ranges digests are dealt into: a power of two, 16 for each shuffle partition or more."""
+    return 1 << (16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+
+
+def merge_runs(rows: DataFrame, key: list[str], head: Column, *, keep: str, ways: int = 32) -> DataFrame:
+    """``rows`` (doc_id, the key and more) with keep_id and group_size of their group; null for groups of one row.
+
+    ``head`` is a long, the leading 64 bits of the digest.  ``ways`` runs (a power of two) merge into
+    one in every round.  The sorted runs are a written table that the result reads.
+    """
     best = {"largest": F.max, "smallest": F.min}[keep]
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
-    level = rows.groupBy("run", *key).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    levels, left = [level], runs
+    bits, ranges = ways.bit_length() - 1, digest_ranges(rows)
+    place = F.shiftrightunsigned(head, 65 - ranges.bit_length()).cast("int")
+    runs = rows.withColumns({"run": F.spark_partition_id(), "range": place}).sortWithinPartitions("range", *key)
+    runs = written(runs, "runs")
+    level = runs.groupBy("run", "range", *key).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    levels, left = [level], (runs.agg(F.max("run")).first()[0] or 0) + 1
     while left > 1:
-        up = F.floor(F.col("run") / fan_in).cast("int")
-        level = level.groupBy(up.alias("run"), *key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        met = level.withColumn("run", F.shiftright("run", bits)).repartition("run", "range").sortWithinPartitions("run", "range", *key)
+        level = met.groupBy("run", "range", *key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         levels.append(level)
-        left = -(-left // fan_in)
+        left = -(-left // ways)
     found = levels.pop().filter("group_size > 1")
     for level in reversed(levels):
-        up = F.floor(F.col("run") / fan_in).cast("int")
-        down = level.select(up.alias("up"), F.col("run").alias("own"), *key)
+        down = level.select(F.shiftright("run", bits).alias("up"), F.col("run").alias("own"), "range", *key)
         above = found.withColumnRenamed("run", "up")
-        found = down.join(above, ["up", *key]).drop("up").withColumnRenamed("own", "run")
-    return rows.join(found, ["run", *key], "left").drop("run")
+        found = down.join(above, ["up", "range", *key]).drop("up").withColumnRenamed("own", "run")
+    return runs.join(found, ["run", "range", *key], "left").drop("run", "range")
 
 
 def exact_groups(
@@ -47,8 +60,7 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "largest",
-    runs: int = 1024,
-    fan_in: int = 32,
+    ways: int = 32,
 ) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -64,7 +76,8 @@ def exact_groups(
         F.xxhash64("t").alias("check"),
         F.octet_length("t").alias("size"),
     )
-    joined = merge_runs(written(rows, "digests"), KEY, keep=keep, runs=runs, fan_in=fan_in)
+    head = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    joined = merge_runs(rows, KEY, F.shiftleft(head, 8), keep=keep, ways=ways)
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",

@@ -3,13 +3,19 @@
 Every shingle is hashed once.  Its hash names a bin, and the bin keeps the smallest hash; an empty
 bin takes the value of the first full bin in a random order of its own (optimal densification).
 Bins form bands, and equal bands put texts into one bucket.  A bucket's texts are not paired with
-each other but with a leader, in stars of two levels: texts with the leader of their share of the
-bucket, and those leaders with the bucket's.  Candidate edges are confirmed on the full shingle
-sets.  Buckets that still hold more than one component get other leaders, more in every round,
-until a round with many of them finds no link.  The texts of the buckets that are mixed then are
-joined exactly, by their rarest shingles (prefix filter), so no two texts of a bucket stay unmet.
+each other but with one leader, in a star, so candidate edges are fewer than the bucket's rows.
+Edges pass a bitmap filter, and those left are confirmed on the full shingle sets.
 
-With 40 bands of 6 rows, a pair at similarity 0.8 shares no bucket with probability 5e-6.
+The bitmap of a text holds the parity of how many of its shingles fall on each of 2048 places, so
+two sets differ in at least as many shingles as their bitmaps differ in bits: the filter loses no
+link (Sandes, Teodoro and Melo, "Bitmap filter", 2017).
+
+Buckets that still hold more than one component after the stars are joined exactly, inside the
+join, across components only, on sizes and bitmaps: texts outside the bucket's largest component with all others.
+Where that would be too many looks for one bucket, its texts are joined by their rarest shingles
+instead (prefix filter), which is exact as well.  So no two texts of a bucket stay unmet.
+
+With 30 bands of 5 rows, a pair at similarity 0.8 shares no bucket with probability 7e-6.
 """
 
 from __future__ import annotations
@@ -19,19 +25,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chars import Hasher, mix, runs, slices
-from .common import on_workers, smaller, written
+from .common import discard, on_workers, picked, smaller, written
 from .components import components
 from .exact_dedup import merge_runs
 
 #: ASCII white space splits words: U+0020 and U+0009 to U+000D (fixed values).
 BLANKS = np.zeros(0x110000, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
-#: Ids that may be broadcast to pick the candidates' texts; beyond that they are joined.
-BROADCAST_IDS = 200_000
+#: 64-bit words of a text's bitmap.
+BITMAP = 32
 
 
 def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -86,14 +92,20 @@ def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes on each place, as ``BITMAP`` words."""
+    place = (hashes & np.uint64(64 * BITMAP - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (shingles), h1 and h2 (hashes of the whole set), bands (one key each)."""
+    """doc_id, n (shingles), h1 and h2 (hashes of the whole set), bands (one key each), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
         number = mix(np.arange(bands, dtype=np.uint64) + np.uint64(77))
         for batch in smaller(batches):
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, bits = [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingles(batch.column(1).to_pylist(), words):
                     n.append(len(s))
@@ -102,15 +114,16 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     if len(s):
                         band = (signature(s, bands * rows) * odd).reshape(bands, rows).sum(axis=1)
                         keys.append(mix(band + number).view(np.int64))
-            offsets = np.r_[0, np.cumsum(np.array(n) > 0) * bands].astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                        bits.append(bitmap(s))
+            some = np.r_[0, np.cumsum(np.array(n) > 0)].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(some * w), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, w in ((keys, bands), (bits, BITMAP))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "n", "h1", "h2", "bands"],
-            )
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists],
+                ["doc_id", "n", "h1", "h2", "bands", "bits"],
+            )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return on_workers(docs).mapInArrow(run, f"doc_id {id_type}, n long, h1 long, h2 long, bands array<long>")
+    return on_workers(docs).mapInArrow(run, f"doc_id {id_type}, n long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -127,61 +140,9 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(at, len(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "items"]
                 )
 
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    some = picked(docs.select(F.col("doc_id").alias("id"), "text"), ids)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return on_workers(picked).mapInArrow(run, f"id {id_type}, items array<long>")
-
-
-def _star(rows: DataFrame, shares: int, percent: int) -> DataFrame:
-    """Candidate edges (a, b): texts with their share's leader, and those with the bucket's.
-
-    ``rows``: key, rep, n, component.  Leaders come first in one random order of all texts, so a
-    text meets the same few leaders in all its buckets.
-    """
-    order = F.xxhash64("rep", F.lit(0))
-    each = rows.withColumn("share", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shares)))
-    pick = lambda c: F.min_by(c, order).alias(f"l_{c}")
-    own = each.groupBy("key", "share").agg(pick("rep"), pick("n"), F.count("*").alias("size"))
-    heads = own.select("key", F.col("l_rep").alias("rep"), F.col("l_n").alias("n"))
-    top = heads.groupBy("key").agg(pick("rep"), pick("n"), F.count("*").alias("shares")).filter("shares > 1")
-    pairs = each.join(own.filter("size > 1"), ["key", "share"]).select("rep", "n", "l_rep", "l_n")
-    pairs = pairs.union(heads.join(top, "key").select("rep", "n", "l_rep", "l_n"))
-    return _edges(pairs, percent)
-
-
-def _more_stars(rows: DataFrame, seeds: range, percent: int) -> DataFrame:
-    """Candidate edges with the bucket's leaders in several orders, across components only."""
-    lead = lambda s: F.min(F.struct(F.xxhash64("rep", F.lit(s)).alias("o"), "rep", "n", "component"))
-    heads = written(rows.groupBy("key").agg(F.array_distinct(F.array(*map(lead, seeds))).alias("heads")), "heads")
-    other = F.filter("heads", lambda h: h["component"] != F.col("component"))
-    pairs = rows.join(heads, "key").select("rep", "n", F.explode(other).alias("h"))
-    return _edges(pairs.select("rep", "n", F.col("h.rep").alias("l_rep"), F.col("h.n").alias("l_n")), percent)
-
-
-def _edges(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of pairs whose sizes allow the similarity."""
-    possible = F.least("n", "l_n") * 100 >= F.greatest("n", "l_n") * percent
-    both = pairs.filter(possible & (F.col("rep") != F.col("l_rep")))
-    return both.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
-
-
-def _extended(found: DataFrame, new: DataFrame) -> DataFrame:
-    """Components after new links: only the components that these touch are worked out again."""
-    to_a, to_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-    joined = new.join(to_a, "a", "left").join(to_b, "b", "left")
-    lifted = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
-    above = components(lifted)
-    fresh = above.join(found, "node", "left_anti")
-    top = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return written(moved.union(fresh), "components")
-
-
-def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
-    """The edges whose full sets are similar enough."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return _similar(written(_sets(docs, ids, words), "sets"), edges, percent)
+    return on_workers(some).mapInArrow(run, f"id {id_type}, items array<long>")
 
 
 def _similar(sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
@@ -224,22 +185,110 @@ def _prefix_pairs(sets: DataFrame, percent: int, hot: int = 2000) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _exact_rest(docs: DataFrame, active: DataFrame, found: DataFrame, tested: DataFrame, words: int, percent: int) -> DataFrame:
-    """Components after all links between the texts of ``active`` (rep, component)."""
-    texts = written(active.select(F.col("rep").alias("id"), "component").distinct(), "texts")
-    sets = written(_sets(docs, texts.select("id"), words).join(texts, "id"), "sets")
-    edges = written(_prefix_pairs(sets, percent).join(tested, ["a", "b"], "left_anti"), "candidates")
-    sets = sets.select("id", "items")
-    to_a, to_b = (texts.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+def _extended(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after new links: only the components that these touch are worked out again."""
+    to_a, to_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+    joined = new.join(to_a, "a", "left").join(to_b, "b", "left")
+    lifted = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
+    above = components(lifted)
+    fresh = above.join(found, "node", "left_anti")
+    top = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(moved.union(fresh), "components")
+
+
+def _near(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether two texts (n, bits) can be similar enough, by their sizes and then by their bitmaps."""
+    differ = sum((F.bit_count(F.get(x["bits"], i).bitwiseXOR(F.get(y["bits"], i))) for i in range(BITMAP)), F.lit(0))
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    return sizes & (differ * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent))
+
+
+def _fields(struct: str) -> dict[str, Column]:
+    return {c: F.col(f"{struct}.{c}") for c in ("n", "bits")}
+
+
+def _filtered(edges: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) that the bitmaps let pass."""
+    ends = [profiles.select(F.col("id").alias(c), F.struct("n", "bits").alias(f"p_{c}")) for c in "ab"]
+    both = edges.join(ends[0], "a").join(ends[1], "b")
+    return both.filter(_near(_fields("p_a"), _fields("p_b"), percent)).select("a", "b").distinct()
+
+
+def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
+    """The edges whose full sets are similar enough, as a written table."""
+    ids = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = written(_sets(docs, ids, words), "sets")
+    links = written(_similar(sets, edges, percent), "links")
+    discard(sets)
+    return links
+
+
+def _star(rows: DataFrame, seed: int) -> DataFrame:
+    """Edges (a, b) between texts and the bucket's leader, across components.  ``rows``: key, id, component.
+
+    Leaders come first in one random order of all texts, so a text has few leaders in all its buckets.
+    """
+    first = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed))).alias("leader")
+    pairs = rows.join(rows.groupBy("key").agg(first), "key").filter("component <> leader.component")
+    return pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, id, component) of the buckets that hold more than one component, as a written table."""
+    known = buckets.join(found.withColumnRenamed("node", "id"), "id", "left")
+    known = written(known.select("key", "id", F.coalesce("component", "id").alias("component")), "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    out = written(known.join(mixed.select("key"), "key", "left_semi"), "mixed")
+    discard(known)
+    return out
+
+
+def _bucket_pairs(rows: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) across the components of a bucket that can be similar enough.
+
+    ``rows``: key, id, component, main (the bucket's largest component).
+    """
+    rich = written(rows.join(profiles, "id"), "rich")
+    text = F.struct("id", "component", "main", "n", "bits")
+    x, y = (rich.select("key", text.alias(c)) for c in "xy")
+    # of two texts outside the largest component one look is enough
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    meet = (F.col("x.component") != F.col("y.component")) & once & _near(_fields("x"), _fields("y"), percent)
+    pairs = x.filter("x.component <> x.main").alias("l").join(y.alias("r"), (F.col("l.key") == F.col("r.key")) & meet)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    out = written(pairs, "pairs")
+    discard(rich)
+    return out
+
+
+def _rest(
+    docs: DataFrame, mixed: DataFrame, found: DataFrame, profiles: DataFrame, words: int, percent: int, most_looks: int
+) -> DataFrame:
+    """Components after all links inside the buckets of ``mixed`` (key, id, component)."""
+    parts = mixed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    whole = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.max("size").alias("most")
+    )
+    whole = written(whole.select("key", "main", ((F.col("size") - F.col("most")) * F.col("size")).alias("looks")), "looks")
+    rows = mixed.join(whole.filter(F.col("looks") <= most_looks).drop("looks"), "key")
+    edges = _bucket_pairs(rows, profiles, percent)
+    hot = mixed.join(whole.filter(F.col("looks") > most_looks).select("key"), "key", "left_semi")
+    hot = written(hot.select("id", "component").distinct(), "hot")
+    if not hot.isEmpty():
+        sets = written(_sets(docs, hot.select("id").distinct(), words).join(hot, "id"), "sets")
+        edges = written(edges.union(_filtered(_prefix_pairs(sets, percent), profiles, percent)).distinct(), "pairs")
     # a few edges between each two components first; then all that still lie between two
+    to_a, to_b = (mixed.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")).distinct() for c in "ab")
     known = edges.join(to_a, "a").join(to_b, "b")
-    one = lambda s: F.min(F.struct(F.xxhash64("a", "b", F.lit(s)).alias("o"), "a", "b"))
-    some = known.groupBy(F.least("c_a", "c_b").alias("lo"), F.greatest("c_a", "c_b").alias("hi")).agg(F.array(*map(one, range(4))).alias("e"))
-    some = some.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
-    found = _extended(found, written(_similar(sets, some, percent), "links"))
+    one = lambda s: F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(s)))
+    some = known.groupBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).agg(F.array(*map(one, range(4))).alias("e"))
+    some = written(some.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct(), "some")
+    found = _extended(found, _confirm(docs, some, words, percent))
     to_a, to_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     left = edges.join(to_a, "a", "left").join(to_b, "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    return _extended(found, written(_similar(sets, left.select("a", "b"), percent), "links"))
+    left = written(left.select("a", "b"), "left")
+    return found if left.isEmpty() else _extended(found, _confirm(docs, left, words, percent))
 
 
 def near_duplicates(
@@ -247,10 +296,10 @@ def near_duplicates(
     *,
     words: int = 5,
     percent: int = 80,
-    bands: int = 40,
-    rows: int = 6,
-    shares: int = 32,
-    most_leaders: int = 32,
+    bands: int = 30,
+    rows: int = 5,
+    stars: int = 2,
+    most_looks: int = 50_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -260,45 +309,44 @@ def near_duplicates(
     ``percent`` in a hundred or more; component_id is the smallest doc_id that can be reached over
     links, itself included.  Null and empty texts have no shingles and are linked with nothing.  A row
     without an id can't be named: its component_id is null, and it is kept.  Rows that repeat an id
-    are one document.  Other columns are ignored; an empty table gives no rows.
+    are one document, linked with all that any of its texts is linked with.  Other columns are
+    ignored; an empty table gives no rows.  ``most_looks`` decides by which of two exact ways a
+    bucket is joined, and changes no result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(sketches(docs, words, bands, rows), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     # equal sets are one class, named by its smallest id
-    classed = merge_runs(usable.drop("bands"), ["h1", "h2", "n"], keep="smallest", runs=1024, fan_in=1024)
-    classed = written(classed.select("doc_id", "n", F.coalesce("keep_id", "doc_id").alias("rep")), "classes")
-    reps = classed.filter("rep = doc_id").select("doc_id")
-    banded = usable.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands")
-    banded = banded.select("rep", "n", F.col("rep").alias("component"), F.explode("bands").alias("key"))
-    # written first, so that both sides of the join are exchanged and hot buckets can be split
-    sizes = written(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    shared = written(banded.join(sizes, "key"), "buckets")
-
-    tested = written(_star(shared, shares, percent), "candidates")
-    found = components(written(_confirm(docs, tested, words, percent), "links"))
-    # buckets of three texts and more may hide links that no star has met: more leaders every round
-    rest, seed = shared.filter("size > 2").drop("component"), 1
-    while True:
-        known = rest.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        known = known.withColumn("component", F.coalesce("component", "rep"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        mixed = written(mixed.select("key"), "mixed")
-        if mixed.isEmpty():
-            break
-        active = written(known.join(mixed, "key", "left_semi"), "active")
-        leaders = min(4 * seed, most_leaders)
-        edges = _more_stars(active, range(seed, seed + leaders), percent)
-        edges = written(edges.join(tested, ["a", "b"], "left_anti"), "candidates")
-        new = written(_confirm(docs, edges, words, percent), "links")
-        if new.isEmpty():
-            if leaders == most_leaders:
-                found = _exact_rest(docs, active, found, tested, words, percent)
-                break
-        else:
-            found = _extended(found, new)
-        tested = tested.union(edges)
-        rest, seed = active.drop("component"), seed + leaders
+    classed = merge_runs(usable.select("doc_id", "h1", "h2", "n"), ["h1", "h2", "n"], F.col("h1"), keep="smallest")
+    classed = written(classed.select("doc_id", "h1", "n", F.coalesce("keep_id", "doc_id").alias("rep")), "classes")
+    copies = classed.filter("rep <> doc_id").select("doc_id", "h1")
+    banded = picked(usable, copies, "left_anti").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    # a bucket of two is an edge; the rows of larger ones are gathered
+    ends = (F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("size"), *ends).filter("a <> b"), "shared")
+    buckets = written(picked(banded, shared.filter("size > 2").select("key")), "buckets")
+    alone = F.col("id").alias("component")
+    edges = shared.filter("size = 2").select("a", "b").union(_star(buckets.select("*", alone), 0)).distinct()
+    edges = written(edges, "edges")
+    met = buckets.select("id").union(edges.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    profiles = picked(usable.select(F.col("doc_id").alias("id"), "n", "bits"), written(met, "met"))
+    profiles = written(profiles, "profiles")
+    near = written(_filtered(edges, profiles, percent), "near")
+    discard(shared, edges)
+    # the texts of a repeated id belong together
+    twice = classed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b")
+    twice = twice.select(F.explode(F.array("a", "b")).alias("b"), F.col("doc_id").alias("a")).filter("a <> b")
+    found = components(_confirm(docs, near, words, percent).union(twice.select("a", "b")))
+    mixed = _mixed(buckets, found)
+    for seed in range(1, stars):
+        near = written(_filtered(_star(mixed, seed), profiles, percent), "near")
+        found = _extended(found, _confirm(docs, near, words, percent))
+        rest = _mixed(mixed.drop("component"), found)
+        discard(mixed, near)
+        mixed = rest
+    if not mixed.isEmpty():
+        found = _rest(docs, mixed, found, profiles, words, percent, most_looks)
+    discard(buckets, mixed, profiles)
 
     member = classed.select("doc_id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
