@@ -7,7 +7,7 @@ counted in overlapping bands of diagonals; bands that reach the bound are aligne
 band only, and those within k edits are matches.
 
 The benchmark is a stated query set: it is collected in blocks of bounded size, and each block is
-held against all texts.
+held against all texts and freed before the next.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import SPACE
 from .chars import Slice, mix, slices, tables
-from .common import on_workers, smaller
+from .common import on_workers, smaller, written
 
 FILTER_BITS = 22
+#: Counts of shared q-grams that are worked off at a time.
+CHUNK = 500_000
 
 
 def normalise(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +60,10 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of benchmark items: their q-grams, sorted, with item and place."""
+    """A block of benchmark items: their q-grams, sorted, with item and places.
+
+    Neighbouring places of one and the same q-gram are one entry, so a ruled line has few.
+    """
 
     ids: list
     texts: list[np.ndarray]
@@ -66,9 +71,10 @@ class Items:
     budget: np.ndarray  # edits allowed
     bound: np.ndarray  # q-grams that must be shared
     hashes: np.ndarray
-    begin: np.ndarray  # of each distinct hash in item and place
+    begin: np.ndarray  # of each distinct hash in item, first and last
     item: np.ndarray
-    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
     seen: np.ndarray
 
     @classmethod
@@ -91,37 +97,95 @@ class Items:
         place = np.concatenate([np.arange(len(g)) for g in all_grams]) if texts else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         flat, item, place = flat[order], item[order], place[order]
+        head = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)][: len(flat)])
+        last = place[np.r_[head[1:], len(flat)][: len(head)] - 1]
+        flat, item, first = flat[head], item[head], place[head]
         hashes, begin = np.unique(flat, return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[hashes >> np.uint64(64 - FILTER_BITS)] = True
-        return cls(kept, texts, q, budget, np.maximum(1, size - q + 1 - budget * q), hashes, np.r_[begin, len(flat)], item, place, seen)
+        return cls(kept, texts, q, budget, np.maximum(1, size - q + 1 - budget * q), hashes, np.r_[begin, len(flat)], item, first, last, seen)
 
 
-def align(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(edits, begin, end) of the item's best occurrence in ``text`` with at most ``budget`` edits.
+def align(item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, begin, end) of the item's best occurrence with at most ``budget`` edits in a band of ``text``.
 
-    ``text`` is the stretch that a band of diagonals covers, so the whole of it is the band.  Rows
-    are worked off as vectors; begins travel with the costs.
+    The band are the ``width`` diagonals (place in the text less place in the item) from ``first``
+    on; no cell outside it is looked at.  A row of the band is worked off as a vector, by its
+    diagonals; begins travel with the costs, both in one number.
     """
-    n = len(text)
-    step = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), step.copy()
-    scale = n + 1
-    for i, c in enumerate(item.tolist(), 1):
-        across = cost[:-1] + (text != c)
-        down = cost[1:] + 1
-        best = np.where(across <= down, across, down)
-        from_ = np.where(across <= down, begin[:-1], begin[1:])
-        first = i
+    plain = text[max(0, first) : max(0, first + width - 1 + len(item))].tobytes().find(item.tobytes())
+    if plain >= 0 and plain % text.itemsize == 0:  # nothing is better than an exact occurrence
+        begin = max(0, first) + plain // text.itemsize
+        return 0, begin, begin + len(item)
+    scale, far = np.int64(len(text) + 1), np.int64(budget + 1)
+    step = np.arange(width)
+    padded = np.full(len(item) + width, -1, np.int64)  # the text under the band, from its first diagonal on
+    lo, hi = max(0, first), min(len(text), first + len(padded))
+    if lo < hi:
+        padded[lo - first : hi - first] = text[lo:hi]
+    spot = first + step
+    cell = np.where((spot >= 0) & (spot <= len(text)), spot, far * scale)
+    for i, c in enumerate(item.tolist()):
+        across = cell + scale * (padded[i : i + width] != c)
+        down = np.r_[cell[1:], far * scale] + scale
+        best = np.minimum(across, down)
+        spot = first + i + 1 + step
+        best[(spot < 0) | (spot > len(text))] = far * scale
         # gaps in the item: the least of (cost - place) so far, plus the place
-        joined = np.r_[first, best] - step
-        packed = joined * scale + np.r_[0, from_]
-        low = np.minimum.accumulate(packed)
-        cost, begin = low // scale + step, low % scale
-        if cost.min() > budget:
+        cell = np.minimum.accumulate(best - step * scale) + step * scale
+        cell[(spot < 0) | (spot > len(text))] = far * scale
+        if cell.min() >= far * scale:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= budget else None
+    end = int(cell.argmin())
+    return int(cell[end] // scale), int(cell[end] % scale), first + len(item) + end
+
+
+def _shared(spot: np.ndarray, at: np.ndarray, text: np.ndarray, begin: np.ndarray, lowest: int, block: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(band, q-grams shared in it) for hits of a text's q-gram (``spot``) with an item's (``at``).
+
+    A band is one number: text, item and cell.  Diagonals are cut into cells as wide as the item's
+    budget and one, and a band is a cell with the next one.  Hits are worked off in pieces of
+    bounded size, and a run of neighbouring places counts once for each cell.
+    """
+    bands, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = (block.begin[at + 1] - block.begin[at]).astype(np.int64)
+    for hits in _pieces(size):
+        n = size[hits]
+        entry = np.repeat(block.begin[at[hits]], n) + _count_up(n)
+        t, place = np.repeat(text[hits], n), np.repeat(spot[hits], n)
+        item = block.item[entry]
+        width = block.budget[item] + 1
+        low, high = (place - begin[t] - x - lowest for x in (block.last[entry], block.first[entry]))
+        group = (t * np.int64(len(block.texts)) + item) << np.int64(32)
+        cells = high // width - low // width + 1
+        for p in _pieces(cells):
+            c = cells[p]
+            w, lo, hi = (np.repeat(x[p], c) for x in (width, low, high))
+            cell = lo // w + _count_up(c)
+            own = np.minimum(hi, (cell + 1) * w - 1) - np.maximum(lo, cell * w) + 1
+            key = np.repeat(group[p], c) + cell
+            bands, counts = _summed([*bands, key + 1, key], [*counts, own, own])
+    return bands[0], counts[0]
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of ``sizes`` that add up to ``CHUNK`` at most (or hold one number)."""
+    total = np.r_[0, np.cumsum(sizes)]
+    done = 0
+    while done < len(sizes):
+        stop = max(done + 1, int(np.searchsorted(total, total[done] + CHUNK, side="right")) - 1)
+        yield slice(done, stop)
+        done = stop
+
+
+def _count_up(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, then 0 .. n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    unique, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return [unique], [np.bincount(back, np.concatenate(values), len(unique)).astype(np.int64)]
 
 
 def matches(part: Slice, block: Items) -> list[tuple[int, int, int, int, int, int]]:
@@ -137,45 +201,25 @@ def matches(part: Slice, block: Items) -> list[tuple[int, int, int, int, int, in
     spot, at, text = spot[inside], at[inside], text[inside]
     if not len(spot):
         return []
-    # every shared q-gram with every item that holds it
-    count = block.begin[at + 1] - block.begin[at]
-    entry = np.repeat(block.begin[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    item, spot, text = block.item[entry], np.repeat(spot, count), np.repeat(text, count)
-    diagonal = spot - block.place[entry] - text_begin[text]
-    width = block.budget[item] + 1
-    out = []
-    lowest = -(block.budget.max() + 1)
-    cell = (diagonal - lowest) // width
-    shift = np.int64(1) << 40
-    group = text * np.int64(len(block.texts)) + item
-    keys = np.concatenate([group * shift + cell + 1, group * shift + cell])  # each diagonal is in two bands
-    unique, shared = np.unique(keys, return_counts=True)
-    group, cell = unique // shift, unique % shift
+    # no diagonal lies below; band 0 is the one before the first cell
+    lowest = -(max(map(len, block.texts)) + 1)
+    bands, shared = _shared(spot, at, text, text_begin, lowest, block)
+    group, cell = bands >> 32, bands & 0xFFFFFFFF
     text, item = group // len(block.texts), group % len(block.texts)
-    reach = np.flatnonzero(shared >= block.bound[item])
+    out = []
     done: dict[tuple[int, int], int] = {}
-    for i in reach.tolist():
+    for i in np.flatnonzero(shared >= block.bound[item]).tolist():
         t, j, k = int(text[i]), int(item[i]), int(block.budget[item[i]])
-        first = (int(cell[i]) - 1) * (k + 1) + int(lowest)  # the band's lowest diagonal
-        lo = max(0, first - k) + int(text_begin[t])
-        hi = min(int(text_end[t]), first + 2 * (k + 1) + k + len(block.texts[j]) + int(text_begin[t]))
-        lo = max(lo, done.get((t, j), 0))  # what an overlapping band has matched is not matched again
-        found = _find(block.texts[j], chars[lo:hi], k)
+        low = max(int(text_begin[t]), done.get((t, j), 0))  # what an overlapping band has matched is not matched again
+        first = int(text_begin[t]) + (int(cell[i]) - 1) * (k + 1) + lowest - low  # the band's first diagonal, from there
+        found = align(block.texts[j], chars[low : min(int(text_end[t]), low + max(0, first) + len(block.texts[j]) + 2 * (k + 1))], first, 2 * (k + 1), k)
         if found:
             edits, begin, end = found
-            done[t, j] = lo + end
-            last = place[lo + end - 1] + 1
-            out.append((t, j, int(place[lo + begin]), int(last), edits, int(shared[i])))
+            done[t, j] = low + end
+            out.append((t, j, int(place[low + begin]), int(place[low + end - 1]) + 1, edits, int(shared[i])))
     return out
 
 
-def _find(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    plain = text.tobytes().find(item.tobytes())
-    if plain >= 0 and plain % 4 == 0:
-        return 0, plain // 4, plain // 4 + len(item)
-    return align(item, text, budget)
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.06, block_chars: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -185,7 +229,7 @@ def contamination(
     An item matches where it occurs in a text with at most ``rate`` edits a character, after lower
     case and with white space as one space.  The budget of a short item is cut to what the lemma
     can bound; items under ``q`` characters, and null ones, match nothing.  Null and empty texts
-    match nothing.  Ids may be null or repeat: each row stands for itself.  An empty table on
+    match nothing.  Ids may be null or repeat, and so may rows: each stands for itself.  An empty table on
     either side gives no rows.  Other columns are ignored.  The texts are never shuffled.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -223,5 +267,8 @@ def contamination(
                 )
 
         one = on_workers(source).mapInArrow(run, schema)
+        if blocks > 1:  # one block at a time is in memory
+            one = written(one, "matches")
+            block.destroy()
         found = one if found is None else found.union(one)
     return found
