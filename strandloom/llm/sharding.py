@@ -4,8 +4,10 @@ The rows are split again and again at a weighted median along the dimension in w
 widest, until the leaves reach the target bytes.  A median is found exactly and distributed: rows
 of a node are ordered by (coordinate, hash of the text, hash of the id), and each pass of a radix
 selection sums weights by (node, digit) and brings no more than nodes x digits sums to the driver.
-The coordinates depend on the text alone, so equal texts lie side by side; a split moves to the
-nearer edge of such a group unless the group weighs too much, when the ids' hash cuts through it.
+The coordinates depend on the text alone, so equal texts lie side by side.  A split moves to the
+nearer edge of a light group of equal texts; a heavier one goes to one side as a whole, and the
+split moves as far as makes up for it.  Only a group that is heavier than a leaf, or for which
+neither side has room, is cut, by the ids' hash.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 DIGIT = 11
 HASH_BITS = 31
@@ -47,6 +49,18 @@ def _nodes(rows: DataFrame, nodes: list[Node], extra: dict[int, int] | None = No
     return rows.join(F.broadcast(cuts), "node", "left")
 
 
+def _placed(rows: DataFrame, groups: list[tuple[int, int, bool]]) -> DataFrame:
+    """Adds to_left, for rows of groups (node, key, whether left) that go to one side as a whole.
+
+    There are fewer of them than nodes over the share of a leaf at which a group is heavy.
+    """
+    if not groups:
+        return rows.withColumn("to_left", F.lit(None).cast("boolean"))
+    values = ", ".join(f"({n}, {k}L, {str(left).lower()})" for n, k, left in groups)
+    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(node, order, to_left)")
+    return rows.join(F.broadcast(table), ["node", "order"], "left")
+
+
 def _order(dims: int) -> Column:
     """Place of a row in its node: its coordinate, then the hash of its text."""
     wide = F.element_at(F.array(*(F.col(f"c{i}") for i in range(dims))), F.col("dim") + 1)
@@ -63,8 +77,10 @@ def default_dimensions(text: Column) -> list[Column]:
     ]
 
 
-def _select(rows: DataFrame, nodes: list[Node], want: dict[int, float], order: Column, bits: int, slack: float):
-    """For each node the key up to which the weight is nearest to the wanted one.
+def _select(
+    rows: DataFrame, nodes: list[Node], want: dict[int, float], order: Column, bits: int, slack: float, groups: list[tuple[int, int, bool]] = ()
+):
+    """For each node the key up to which the weight is nearest to the wanted one, without these groups.
 
     Returns {node: (key, weight before it, weight at it)}; the weight at it is 0 unless one
     single key is heavier than ``slack``.
@@ -76,8 +92,9 @@ def _select(rows: DataFrame, nodes: list[Node], want: dict[int, float], order: C
         shift -= step
         inside = _nodes(rows, [n for n in nodes if n.first in live], {k: v[0] for k, v in live.items()})
         sums = (
-            inside.filter(F.col("prefix").isNotNull())
-            .select("node", "weight", "prefix", order.alias("key"))
+            _placed(inside.filter(F.col("prefix").isNotNull()).withColumn("order", order), groups)
+            .filter("to_left IS NULL")
+            .select("node", "weight", "prefix", F.col("order").alias("key"))
             .filter(F.shiftright("key", shift + step) == F.col("prefix"))
             .groupBy("node", F.shiftright("key", shift).alias("digit"))
             .agg(F.sum("weight").alias("w"))
@@ -106,6 +123,28 @@ def _select(rows: DataFrame, nodes: list[Node], want: dict[int, float], order: C
     return found
 
 
+def _cuts(rows: DataFrame, level: list[Node], want: dict[int, float], order: Column, slack: float):
+    """({node: (key, weight before it, weight at it if it must be cut, how much of that goes left)}, groups placed whole)."""
+    found, groups, pending = {}, [], list(level)
+    room = {n.first: [want[n.first], n.weight - want[n.first]] for n in level}  # left and right
+    while pending:
+        got = _select(rows, pending, {n.first: room[n.first][0] for n in pending}, order, COORD_BITS + HASH_BITS, slack, groups)
+        again = []
+        for n in pending:
+            key, before, heavy = got[n.first]
+            left = room[n.first][0]
+            sides = [0, 1] if before + heavy / 2 <= left else [1, 0]
+            free = [side for side in sides if room[n.first][side] >= heavy]
+            if heavy and heavy <= n.weight / n.shards and free:
+                groups.append((n.first, key, free[0] == 0))
+                room[n.first][free[0]] -= heavy
+                again.append(n)
+            else:
+                found[n.first] = (key, before, heavy, left - before)
+        pending = again
+    return found, groups
+
+
 def kd_shards(
     docs: DataFrame,
     *,
@@ -121,8 +160,9 @@ def kd_shards(
 
     ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``.  Leaves are as many as
     ``shards``, or as bring them down to ``target_bytes``; their bytes are near equal.  Equal
-    texts share a shard as long as they weigh less than ``group_slack`` of a leaf at a cut;
-    heavier groups may be cut by their ids.  Slots count from 0 in each shard without gaps.
+    texts share a shard unless they weigh more than a leaf, or several heavy groups leave none of
+    the leaves with room for one; those are cut by their ids.  A cut is off by half of a group of at
+    most ``group_slack`` of a leaf.  Slots count from 0 in each shard without gaps.
     Null texts count as empty; null and repeated ids are rows of their own (rows equal in id and
     text have no order between them).  Other columns are ignored; an empty table gives no rows.
     """
@@ -159,18 +199,21 @@ def kd_shards(
                 n.low, width = s[f"lo{n.dim}"], s[f"hi{n.dim}"] - s[f"lo{n.dim}"]
                 n.scale = ((1 << COORD_BITS) - 1) / width if width > 0 else 0.0
             want[n.first] = n.weight * (n.shards // 2) / n.shards
-        found = _select(rows, level, want, order, COORD_BITS + HASH_BITS, slack)
+        found, groups = _cuts(rows, level, want, order, slack)
         for n in level:
             n.key = found[n.first][0]
         if heavy := [n for n in level if found[n.first][2]]:
-            rest = {n.first: want[n.first] - found[n.first][1] for n in heavy}
+            rest = {n.first: found[n.first][3] for n in heavy}
             ties = _select(rows, heavy, rest, F.when(order == F.col("cut"), F.col("row_hash")), HASH_BITS, slack / 100)
             for n in heavy:
                 n.tie = ties[n.first][0]
-        cut = _nodes(rows, level)
-        left = (order < F.col("cut")) | ((order == F.col("cut")) & (F.col("row_hash") < F.col("tie")))
+        cut = _placed(_nodes(rows, level).withColumn("order", order), groups)
+        left = (F.col("order") < F.col("cut")) | ((F.col("order") == F.col("cut")) & (F.col("row_hash") < F.col("tie")))
+        left = F.coalesce("to_left", left)
         node = F.col("node") + F.when(left, 0).otherwise(F.coalesce("half", F.lit(0)))
-        rows = written(cut.select(*(c for c in rows.columns if c != "node"), node.cast("int").alias("node")), "level")
+        below = written(cut.select(*(c for c in rows.columns if c != "node"), node.cast("int").alias("node")), "level")
+        discard(rows)
+        rows = below
         halves = [(n, n.shards // 2) for n in level]
         below = [b for n, h in halves for b in (Node(n.first, h), Node(n.first + h, n.shards - h))]
         level = [n for n in below if n.shards > 1]
