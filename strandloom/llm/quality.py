@@ -1,8 +1,8 @@
 """Quality classifier: a generalised additive model with pairwise interactions.
 
 Each feature is cut into bins.  Cyclic boosting goes round the features: a shallow tree over one
-feature's bins (and, at the end, over the cells of the most useful pairs of features) is fitted to
-what is still unexplained, and added to that feature's lookup table.  A score is then a sum of
+feature's bins is fitted to what is still unexplained, and added to that feature's lookup table.
+At the end the same is done with trees over the cells of the most useful pairs of features.  A score is then a sum of
 table entries, looked up for whole batches at once.
 """
 
@@ -142,6 +142,23 @@ def _tree(gain: np.ndarray, weight: np.ndarray, leaves: int, ridge: float) -> np
     return out
 
 
+def _pair_tree(gain: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Values of a tree of depth two over a grid of cells: the best cut along both sides, Newton leaves."""
+    g, h = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for x in (gain, weight))
+    rows, columns = np.arange(1, gain.shape[0])[:, None], np.arange(1, gain.shape[1])[None, :]
+
+    def quarters(s: np.ndarray, i, j) -> list[np.ndarray]:
+        return [s[i, j], s[i, -1] - s[i, j], s[-1, j] - s[i, j], s[-1, -1] - s[i, -1] - s[-1, j] + s[i, j]]
+
+    worth = sum(a**2 / (b + ridge) for a, b in zip(quarters(g, rows, columns), quarters(h, rows, columns), strict=True))
+    i, j = (int(x) + 1 for x in np.unravel_index(worth.argmax(), worth.shape))
+    out = np.zeros(gain.shape)
+    boxes = ((slice(i), slice(j)), (slice(i), slice(j, None)), (slice(i, None), slice(j)), (slice(i, None), slice(j, None)))
+    for box, a, b in zip(boxes, quarters(g, i, j), quarters(h, i, j), strict=True):
+        out[box] = a / (b + ridge)
+    return out
+
+
 def fit(
     x: np.ndarray, y: np.ndarray, *, bins: int = 48, rounds: int = 120, rate: float = 0.15, leaves: int = 4,
     pairs: int = 8, pair_bins: int = 8, pair_rounds: int = 40, ridge: float = 4.0,
@@ -175,7 +192,8 @@ def fit(
     for _ in range(pair_rounds):
         for _, _, c, t in chosen:
             p = 1 / (1 + np.exp(-total))
-            step = rate * np.bincount(c, y - p, pair_bins**2) / (np.bincount(c, p * (1 - p), pair_bins**2) + ridge)
+            g, h = (np.bincount(c, v, pair_bins**2).reshape(pair_bins, pair_bins) for v in (y - p, p * (1 - p)))
+            step = rate * _pair_tree(g, h, ridge).ravel()
             t += step
             total += step[c]
     model.pairs = [(i, j, coarse[i], coarse[j], t.reshape(pair_bins, pair_bins)) for i, j, _, t in chosen]
@@ -215,7 +233,8 @@ def score_quality(
 
     ``labels`` has doc_id and quality; ``train`` is a condition on doc_id that names the rows to
     learn from.  Null texts count as empty and get the score of an empty text.  Without labels of
-    both kinds every text gets the smoothed share of label 1.  Ids may be null or repeat; other
+    both kinds every text gets the smoothed share of label 1.  An id that is labelled twice has the
+    larger label.  Ids may be null or repeat, and so may rows: each gets its text's score.  Other
     columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
