@@ -1,13 +1,14 @@
 """op3, op4, op6: held-out accuracy on planted data, and nulls, empty tables and missing labels."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import fold
 from strandloom.llm.language_id import identify
-from strandloom.llm.quality import fit, score_quality
+from strandloom.llm.quality import _pair_tree, fit, score_quality
 from strandloom.llm.toxicity import LabelModel, score_toxicity
 
 
@@ -45,6 +46,8 @@ def check(docs, labels, scorer, at, spark):
     held = {r["doc_id"] for r in docs.filter(fold(F.col("doc_id"), 5) == 0).collect()}
     rows = [x for x in labels[1] if x[0] in held]
     assert auc([x[at] for x in rows], [got[x[0]]["score"] for x in rows]) > 0.95
+    twice = scorer(docs.union(docs), labels[0].union(labels[0]), train()).collect()
+    assert len(twice) == 2 * docs.count()
     none = scorer(docs, labels[0].limit(0), train()).collect()
     assert len({r["score"] for r in none}) == 1
     assert scorer(docs.limit(0), labels[0], train()).count() == 0
@@ -68,6 +71,28 @@ def test_pair_interactions():
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
 
 
+def test_pair_tree_against_brute_force():
+    rng = np.random.default_rng(4)
+    gain, weight = rng.normal(size=(5, 6)), rng.random((5, 6)) + 0.1
+    best = (-1.0, None)
+    for i in range(1, 5):
+        for j in range(1, 6):
+            boxes = [np.s_[:i, :j], np.s_[:i, j:], np.s_[i:, :j], np.s_[i:, j:]]
+            best = max(best, (sum(gain[b].sum() ** 2 / (weight[b].sum() + 4) for b in boxes), boxes), key=lambda x: x[0])
+    want = np.zeros((5, 6))
+    for b in best[1]:
+        want[b] = gain[b].sum() / (weight[b].sum() + 4)
+    assert np.allclose(_pair_tree(gain, weight, 4.0), want)
+
+
+def test_noise_voters_give_the_prior():
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.3).astype(int)
+    known = np.where(rng.random(4000) < 0.6, y, -1)
+    _, post = LabelModel.fit((rng.random((4000, 20)) < 0.2).astype(float), known)
+    assert abs(post[known < 0] - 0.3).mean() < 0.07 and post[known < 0].std() < 0.06
+
+
 def test_label_model_discounts_correlated_voters():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 4000)
@@ -99,6 +124,28 @@ def test_label_model_sees_unlabelled_rows(spark, monkeypatch):
     assert {-1, 0, 1} == set(seen[0].tolist())
 
 
+def test_languages_against_brute_force(spark):
+    """The same log probabilities, n-gram by n-gram, without hashing into a matrix."""
+    rng = random.Random(8)
+    kinds = {"aa": ["ba", "to", "ne"], "bb": ["chi", "ur", "gra"], "cc": ["nu", "llo", "que"]}
+    rows = [(i, words(rng, [*kinds[k], "mi"], rng.randint(1, 9)), k) for i in range(120) for k in [rng.choice(list(kinds))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r["doc_id"] for r in docs.filter(~train()).collect()}
+
+    def grams(text):
+        return [text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1) if text[i : i + n].strip()]
+
+    counts = {k: Counter(g for i, t, lang in rows if lang == k and i not in held for g in grams(t)) for k in kinds}
+    size = 1 << 20
+    total = {k: sum(c.values()) + 0.5 * size for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in identify(docs, train(), bits=20).collect()}
+    for i, t, _ in rows:
+        s = {k: sum(np.log((counts[k][g] + 0.5) / total[k]) for g in grams(t)) for k in kinds}
+        best = max(s, key=s.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(np.exp(v - s[best]) for v in s.values())) < 1e-3
+
+
 def test_languages(spark):
     rng = random.Random(2)
     kinds = {"aa": ["ba", "to", "ne"], "bb": ["ch", "ü", "gr"], "cc": ["ñu", "llo", "que"]}

@@ -1,11 +1,14 @@
 """op5, op7, op8, op10: brute-force versions, and nulls, empty tables and clashing columns."""
 
 import hashlib
+import math
+import random
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from strandloom.llm.bpe import load
@@ -35,7 +38,7 @@ def test_exact_groups(docs):
     for i, t in rows:
         groups[t].append(i)
     for keep, best in (("largest", max), ("smallest", min)):
-        got = exact_groups(docs, keep=keep, runs=8, fan_in=2).collect()
+        got = exact_groups(docs, keep=keep, ways=2).collect()
         assert len(got) == len(rows)
         text = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows}
         for r in got:
@@ -100,6 +103,63 @@ def test_shards(spark):
     assert {r["text_crc32"] for r in got} == {zlib.crc32((t or "").encode()) for _, t in rows}
 
 
+def brute_shards(texts, shards):
+    """The tree over distinct texts: widest dimension, nearest edge to the weighted median."""
+    rows = []
+    for t in texts:
+        raw = t.encode()
+        at = [math.log1p(x) for x in (len(raw), len(raw) - len(t), t.count("\n"), t.count(" "))]
+        rows.append((at, xxhash.xxh64(raw, seed=42).intdigest() >> 33, len(raw) + 8, t))
+    spread = [max(r[0][i] for r in rows) - min(r[0][i] for r in rows) for i in range(4)]
+    out = {}
+
+    def split(own, first, n):
+        if n == 1:
+            out.update({r[3]: first for r in own})
+            return
+        lows = [min(r[0][i] for r in own) for i in range(4)]
+        wide = [max(r[0][i] for r in own) - lows[i] for i in range(4)]
+        dim = max(range(4), key=lambda i: wide[i] / spread[i] if spread[i] else 0.0)
+        scale = ((1 << 24) - 1) / wide[dim]
+        own = sorted(own, key=lambda r: (int((r[0][dim] - lows[dim]) * scale), r[1]))
+        want, total, cut = sum(r[2] for r in own) * (n // 2) / n, 0, 0
+        while total + own[cut][2] < want:
+            total, cut = total + own[cut][2], cut + 1
+        cut += total + own[cut][2] - want < want - total
+        split(own[:cut], first, n // 2)
+        split(own[cut:], first + n // 2, n - n // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+def test_shards_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = list({" ".join("".join(rng.choice("abü\n") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 60))) for _ in range(500)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r["doc_id"]]: r["shard"] for r in kd_shards(docs, shards=7, group_slack=0.3).collect()}
+    want = brute_shards(texts, 7)
+    # a cut may be off by half of the slack, which is some rows here
+    assert sum(got[t] == want[t] for t in texts) > 0.97 * len(texts)
+
+
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc \n") for _ in range(rng.randint(20, 400))) for _ in range(600)]
+    for n in (5, 20, 40, 60, 90, 200):  # some weigh most of a leaf, the last more than one
+        texts += ["".join(rng.choice("abc \n") for _ in range(200))] * n
+    docs = spark.createDataFrame([(i, t, "a", 0, 1.5) for i, t in enumerate(texts)], "doc_id long, text string, node string, cut int, weight double")
+    got = kd_shards(docs, shards=8).collect()
+    size, where = defaultdict(int), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    leaf = sum(size.values()) / 8
+    heavy = {t for t in where if texts.count(t) * (len(t) + 8) > leaf}
+    assert len(heavy) == 1 and all(len(s) == 1 for t, s in where.items() if t not in heavy)
+    assert len(size) == 8 and max(size.values()) < 1.06 * leaf and min(size.values()) > 0.94 * leaf
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (exact_groups, lambda d: token_counts(d, PATH), lambda d: pack(d, PATH), lambda d: kd_shards(d, shards=4)):

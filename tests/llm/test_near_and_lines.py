@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from strandloom.llm.chars import slices
 from strandloom.llm.components import components
-from strandloom.llm.decontaminate import align, contamination
+from strandloom.llm.decontaminate import Items, align, contamination, matches
 from strandloom.llm.line_dedup import deduplicate_lines
 from strandloom.llm.minhash import near_duplicates
 
@@ -178,16 +180,68 @@ def test_contamination(spark):
     assert contamination(docs, bench.limit(0)).count() == 0 and contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_against_brute_force(spark):
+    """Every item that occurs within its budget is found, and nothing else is."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcd ") for _ in range(n)).strip()
+    items = [(i, " ".join(letters(rng.randrange(30, 90)).split())) for i in range(8)] + [(8, "-" * 60), (9, "=-" * 30)]
+    rows = []
+    for i in range(60):
+        text = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        rows.append((i, letters(40) + "".join(text) + letters(40)))
+    rows += [(60, "-" * 200), (61, "=-" * 90), (62, "- " * 40)]
+    want = set()
+    for d, t in rows:
+        t = " ".join(t.split()) if t.split() else ""
+        for j, x in items:
+            budget = min(int(len(x) * 0.06), max((len(x) - 10) // 10, 0))
+            if best_edits(x, t) <= budget:
+                want.add((d, j))
+    assert 20 < len(want) < 120
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = contamination(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    twice = contamination(docs.union(docs), bench).count()
+    assert twice == 2 * len(got)
+
+
+def best_edits(item, text):
+    """The fewest edits of any occurrence of ``item`` in ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_ruled_lines_stay_bounded():
+    item = "-" * 2000
+    block = Items.build([1], [item], 10, 0.06)
+    part = next(slices(["-" * 20000]))
+    tracemalloc.start()
+    found = matches(part, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(a, b) for _, _, a, b, _, _ in found] == [(i * 2000, i * 2000 + 2000) for i in range(10)] and peak < 300e6
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_alignment(seed):
     rng = np.random.default_rng(seed)
     item, text = rng.integers(0, 3, 12), rng.integers(0, 3, 30)
-    best = min(
-        (lev(item.tolist(), text[a:b].tolist()) for a in range(31) for b in range(a, 31)),
-    )
-    found = align(item, text, 12)
+    places = [(a, b) for a in range(31) for b in range(a, 31)]
+    best = min(lev(item.tolist(), text[a:b].tolist()) for a, b in places)
+    found = align(item, text, -12, 60, 12)
     assert found[0] == best and lev(item.tolist(), text[found[1] : found[2]].tolist()) == best
-    assert align(item, text, best - 1) is None
+    assert align(item, text, -12, 60, best - 1) is None
+    for first in range(-3, 20):  # a narrow band gives no less, and what the text has
+        if narrow := align(item, text, first, 5, 12):
+            assert narrow[0] >= lev(item.tolist(), text[narrow[1] : narrow[2]].tolist()) >= best and first <= narrow[1] < first + 5
 
 
 def lev(a, b):

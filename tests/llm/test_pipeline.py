@@ -39,6 +39,31 @@ def test_stages(spark, tmp_path):
     assert 104 not in left["decontamination"] and {i for i, _ in clean} <= set(left["packing"])
 
 
+def test_rows_without_ids_and_empty_tables(spark, tmp_path):
+    rng = random.Random(12)
+    item, copy = sentence(rng, 40), sentence(rng, 120)
+    junk = " ".join(w + "%%%" for w in sentence(rng, 40).split())
+    clean = [(i, sentence(rng, 50) + ".") for i in range(46)]
+    rows = clean + [(100 + i, junk.replace("a", "e", i)) for i in range(30)] + [(45, junk), (None, junk), (None, copy), (50, copy), (None, sentence(rng, 50) + " " + item), (None, None), (None, clean[0][1] + " x")]
+    docs = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = str(tmp_path)
+    df = spark.createDataFrame(docs, schema)
+    labels = [(i, 1, 0) for i, _ in clean[:40]] + [(100 + i, 0, 0) for i in range(30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+    texts = lambda stage: sorted(((r["doc_id"], r["text"]) for r in stage(spark, df, folder).collect()), key=str)
+    good = texts(P.quality)
+    # the junk that repeats id 45 or has none goes, and the clean text of id 45 stays
+    assert (45, junk) not in good and (None, junk) not in good and set(clean) <= set(good)
+    near = texts(P.near)
+    assert (50, copy) in near and (None, copy) not in near and (None, None) in near and (None, clean[0][1] + " x") not in near
+    pure = texts(P.benchmark)
+    assert len(pure) == len(rows) - 1 and not [t for _, t in pure if t and item in t]
+    none = df.limit(0)
+    assert all(stage(spark, none, folder).count() == 0 for _, stage in P.STAGES)
+
+
 def test_copy_with_blank_lines_goes(spark):
     rng = random.Random(10)
     text = sentence(rng, 60) + "\n\n \n" + sentence(rng, 60)
