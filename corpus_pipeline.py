@@ -11,25 +11,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
-from strandloom.llm.common import shared_dir, table
+from strandloom.llm.common import picked, shared_dir, table
 from strandloom.llm.decontaminate import contamination
-from strandloom.llm.line_dedup import deduplicate_lines
+from strandloom.llm.line_dedup import deduplicate_lines, row_key
 from strandloom.llm.minhash import near_duplicates
 from strandloom.llm.packing import pack
-from strandloom.llm.quality import score_quality
-from strandloom.llm.queries import tokenizer_path
+from strandloom.llm.quality import score_quality, train_model
+from strandloom.llm.queries import TOKENIZER
 
 #: Documents scored below this are rejected.
 MIN_QUALITY = 0.3
-#: Ids that may be broadcast to pick documents; beyond that they are joined.
-BROADCAST_IDS = 200_000
+#: A row's own key: its id, which may be null or repeat, and its text.
+KEY = "_sl_key"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows with these ids (a column ``_sl_id``); rows without an id stay."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_sl_id"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, row_key("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed ``docs`` without the rows with these keys."""
+    return picked(docs, keys, "left_anti").drop(KEY)
 
 
 def _kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -39,10 +43,15 @@ def _kept(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject.  All labels may be learned from here."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), threshold=MIN_QUALITY)
-    rejected = scored.filter("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_sl_id")).distinct()
-    return _without(docs, _kept(rejected, spark, "rejected"))
+    """Documents that the classifier does not reject.  All labels may be learned from here.
+
+    Each row is judged by its text; a null text counts as empty, and a null id does no harm.
+    """
+    model = train_model(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), F.lit(True))
+    keyed = _keyed(docs)
+    scored = score_quality(keyed, docs.limit(0), F.lit(True), id_col=KEY, threshold=MIN_QUALITY, model=model)
+    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias(KEY)).distinct()
+    return _without(keyed, _kept(rejected, spark, "rejected"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,22 +67,36 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = near_duplicates(docs, words=5, percent=80)
-    gone = groups.filter("NOT kept").select(F.col("doc_id").alias("_sl_id")).distinct()
-    return _without(docs, _kept(gone, spark, "near"))
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    A row without an id takes part under a large number made from its text, so a near copy that has
+    an id stays in its place.  Rows with null or blank texts are near nothing and stay.
+    """
+    keyed = _keyed(docs)
+    if isinstance(docs.schema["doc_id"].dataType, LongType | IntegerType):
+        own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + (1 << 62))
+        keyed = keyed.withColumn(KEY, own)
+    else:
+        keyed = keyed.withColumn(KEY, F.col("doc_id"))
+    groups = near_duplicates(keyed, words=5, percent=80, id_col=KEY)
+    gone = groups.filter("NOT kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return _without(keyed, _kept(gone, spark, "near"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_sl_id")).distinct()
-    return _without(docs, _kept(gone, spark, "contaminated"))
+    """Documents without any passage of the benchmark; null ids and null texts do no harm."""
+    keyed = _keyed(docs)
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    gone = found.select(F.col("doc_id").alias(KEY)).distinct()
+    return _without(keyed, _kept(gone, spark, "contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of at most 2048 tokens."""
-    return pack(docs, tokenizer_path(), capacity=2048)
+    """Pieces of the documents and their places in sequences of at most 2048 tokens.
+
+    A null text is packed as an empty one; each row is a document, whatever its id.
+    """
+    return pack(docs, TOKENIZER, capacity=2048)
 
 
 STAGES = [

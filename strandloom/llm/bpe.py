@@ -300,7 +300,13 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def load(path: str) -> WordBpe:
-    """The vocabulary, once in a process."""
+    """The vocabulary, once in a process.  A name without a folder is one of the installed public ones,
+    which each worker finds for itself."""
     if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
+        place = path
+        if "/" not in path:
+            import public_tokenizers
+
+            place = public_tokenizers.path(path)
+        _LOADED[path] = WordBpe(place)
     return _LOADED[path]

@@ -19,16 +19,10 @@ from .sharding import kd_shards
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 
-#: Where the vocabulary files lie; a parameter of the operators.
+#: The vocabulary, a parameter of the operators: a path, or the name of an installed public one.
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def _held_out(mod: int, rest: int):
     return F.coalesce(fold(F.col("doc_id"), mod) == rest, F.lit(False))
 
@@ -73,7 +67,7 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+    return token_counts(table(spark, sf_dir, "documents"), TOKENIZER, limit=2048)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +79,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
