@@ -83,7 +83,7 @@ def _select(
     """For each node the key up to which the weight is nearest to the wanted one, without these groups.
 
     Returns {node: (key, weight before it, weight at it)}; the weight at it is 0 unless one
-    single key is heavier than ``slack``.
+    single key of several rows is heavier than ``slack``.
     """
     live = {n.first: (0, want[n.first]) for n in nodes}  # prefix so far, weight still wanted
     found, shift = {}, bits
@@ -97,16 +97,16 @@ def _select(
             .select("node", "weight", "prefix", F.col("order").alias("key"))
             .filter(F.shiftright("key", shift + step) == F.col("prefix"))
             .groupBy("node", F.shiftright("key", shift).alias("digit"))
-            .agg(F.sum("weight").alias("w"))
+            .agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
             .collect()
         )
         by_node: dict[int, list] = {}
         for r in sums:
-            by_node.setdefault(r["node"], []).append((r["digit"], r["w"]))
+            by_node.setdefault(r["node"], []).append((r["digit"], r["w"], r["n"]))
         for first, (_, wanted) in list(live.items()):
             before = 0.0
             cells = sorted(by_node.get(first, []))
-            for digit, w in cells:
+            for digit, w, n in cells:
                 if before + w >= wanted or digit == cells[-1][0]:
                     break
                 before += w
@@ -114,7 +114,7 @@ def _select(
                 found[first] = (0, 0.0, 0.0)
                 del live[first]
             elif w <= slack or shift == 0:
-                heavy = w if w > slack else 0.0
+                heavy = w if w > slack and n > 1 else 0.0
                 after = not heavy and (before + w - wanted) < (wanted - before)
                 found[first] = ((digit + after) << shift, want[first] - wanted + before + after * w, heavy)
                 del live[first]
@@ -161,8 +161,8 @@ def kd_shards(
     ``size`` is the text's UTF-8 bytes (null: none) plus ``overhead``.  Leaves are as many as
     ``shards``, or as bring them down to ``target_bytes``; their bytes are near equal.  Equal
     texts share a shard unless they weigh more than a leaf, or several heavy groups leave none of
-    the leaves with room for one; those are cut by their ids.  A cut is off by half of a group of at
-    most ``group_slack`` of a leaf.  Slots count from 0 in each shard without gaps.
+    the leaves with room for one; those are cut by their ids.  A cut is off by half of a row, or of a
+    group of at most ``group_slack`` of a leaf.  Slots count from 0 in each shard without gaps.
     Null texts count as empty; null and repeated ids are rows of their own (rows equal in id and
     text have no order between them).  Other columns are ignored; an empty table gives no rows.
     """
