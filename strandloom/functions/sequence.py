@@ -56,10 +56,12 @@ def positions(n) -> Column:
 
 
 def common_prefix_length(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    n = F.least(F.length(a), F.length(b))
-    differ = F.filter(positions(n), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.coalesce(F.array_min(differ) - 1, n)
+    def length(pair: Column) -> Column:
+        n = F.least(F.length(pair["a"]), F.length(pair["b"]))
+        same = lambda m, i: F.when((m == i - 1) & (F.substring(pair["a"], i, F.lit(1)) == F.substring(pair["b"], i, F.lit(1))), i).otherwise(m)
+        return F.when(F.left(pair["a"], n) == F.left(pair["b"], n), n).otherwise(F.aggregate(positions(n), F.lit(0), same))
+
+    return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), length)
 
 
 def common_suffix_length(a, b) -> Column:
@@ -102,6 +104,18 @@ def canonical(kmer) -> Column:
     return F.least(_col(kmer), reverse_complement(kmer))
 
 
+def canonical_kmers(seq, k: int) -> Column:
+    """The canonical k-mer of every window; the sequence is turned round once."""
+    seq = _col(seq)
+    pair = F.struct(seq.alias("f"), reverse_complement(seq).alias("r"), F.length(seq).alias("n"))
+
+    def windows(p: Column) -> Column:
+        turned = lambda i: F.substring(p["r"], p["n"] - i - (k - 2), F.lit(k))
+        return F.transform(positions(p["n"] - (k - 1)), lambda i: F.least(F.substring(p["f"], i, F.lit(k)), turned(i)))
+
+    return let(pair, windows)
+
+
 def shares_kmer(mutant, wild, k: int) -> Column:
     """Whether a k-mer of ``mutant`` is in ``wild``; the last k-mer isn't looked at, by definition here.
 
