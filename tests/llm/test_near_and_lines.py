@@ -7,11 +7,11 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from strandloom.llm.chars import slices
+from strandloom.llm.chars import mix, slices
 from strandloom.llm.components import components
 from strandloom.llm.decontaminate import Items, align, contamination, matches
 from strandloom.llm.line_dedup import deduplicate_lines
-from strandloom.llm.minhash import near_duplicates
+from strandloom.llm.minhash import bitmap, near_duplicates, signature
 
 WORDS = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
 
@@ -85,8 +85,84 @@ def test_near_duplicates_of_templates(spark):
                 label = [new if x == old else x for x in label]
     assert len(set(label)) == 1001
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=4).collect()}
-    assert got == dict(enumerate(label))
+    for most_looks in (50_000_000, 0):  # inside the bucket, and by the rarest shingles
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=4, most_looks=most_looks).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_near_duplicates_of_many_short_texts(spark):
+    """2,400 texts of 4 to 40 words, many of them copies with a change or two, and repeated ids."""
+    rng = random.Random(23)
+    rows = []
+    while len(rows) < 2400:
+        base = sentence(rng, rng.choice([4, 6, 9, 14, 25, 40])).split()
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(7, rows[1200][1]), (9, rows[1500][1]), (9, rows[1500][1]), (2399, sentence(rng, 30))]  # one document each
+    sets, holders = [], {}
+    for i, t in rows:
+        w = t.split()
+        s = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or {tuple(w)}
+        for x in s:
+            holders.setdefault(x, []).append(len(sets))
+        sets.append(s)
+    label = {i: i for i, _ in rows}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for number, own in enumerate(sets):
+        for other in {o for x in own for o in holders[x] if o < number}:
+            both = len(own & sets[other])
+            if 100 * both >= 80 * (len(own) + len(sets[other]) - both):
+                a, b = sorted((top(rows[number][0]), top(rows[other][0])))
+                label[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicates(docs, words=4).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: top(i) for i in label}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize("size", [8, 18, 45, 400])
+def test_recall_of_the_bands(size):
+    """Of pairs at a similarity just over 0.8 all but a few in a hundred thousand share a bucket."""
+    rng = np.random.default_rng(size)
+    missed, pairs = 0, 1500
+    odd = mix(np.arange(1, 151, dtype=np.uint64)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for _ in range(pairs):
+            common = int(np.ceil(size * 8 / 9))  # of two sets of this size
+            some = rng.integers(0, 2**63, 2 * size - common).astype(np.uint64)
+            a, b = np.unique(mix(some[:size])), np.unique(mix(np.r_[some[:common], some[size:]]))
+            bands = [(signature(x, 150) * odd).reshape(30, 5).sum(axis=1) for x in (a, b)]
+            missed += not (bands[0] == bands[1]).any()
+    assert missed <= 1
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (3, 200, 5000):
+        a, b = (rng.integers(0, 2**63, size).astype(np.uint64) for _ in range(2))
+        b[: size // 2] = a[: size // 2]
+        differ = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count((bitmap(a) ^ bitmap(b)).view(np.uint64)).sum())
+        assert bits <= differ and (size > 300 or bits > 0.7 * differ)
+
+
+def test_near_duplicates_of_very_long_and_repeated_rows(spark):
+    rng = random.Random(29)
+    long = sentence(rng, 30000).split()
+    other = long[:15000] + ["changed"] + long[15001:]
+    rows = [(3, " ".join(long)), (1, " ".join(other)), (2, sentence(rng, 30)), (2, sentence(rng, 30)), (4, None), (4, "")] + [(5, "x y z")] * 4
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], "doc_id long, text string, id int, key string, component int")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (2, 2, True), (2, 2, True), (3, 1, False), (4, 4, True), (4, 4, True), *[(5, 5, True)] * 4]
 
 
 def test_components(spark):
