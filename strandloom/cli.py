@@ -7,6 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators import ranges as R_
+from .plans import technology as T
 from .plans import verbs as V
 from .sources import readers as R
 from .sources import writers as W
@@ -49,12 +51,36 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mask-below", type=int)
     p.add_argument("--split-n", action="store_true")
     p.add_argument("--min-length", type=int, default=0)
-    p = verb("count", "counts of variants", "fastq", "vcrs")
+    p.add_argument("--max-n", type=int)
+    p.add_argument("--mean-quality", type=int)
+    p.add_argument("--trim-head", type=int, default=0)
+    p.add_argument("--trim-tail", type=int, default=0)
+    p.add_argument("--cut-window", type=int, help="cut where the mean quality of so many bases falls under --cut-mean")
+    p.add_argument("--cut-mean", type=int, default=13)
+    p.add_argument("--trim-poly-g", type=int, help="least length of a run of Gs at the end that is cut")
+    p = verb("count", "counts of variants", "vcrs")
+    p.add_argument("--fastq", required=True, nargs="+", help="bulk: one file for each sample; else the files of a read, in order")
     p.add_argument("-k", type=int, default=59)
-    p.add_argument("--sample", default="sample")
+    p.add_argument("--sample", nargs="*", help="names of the samples (bulk)")
+    p.add_argument("--technology", default="bulk")
+    p.add_argument("--umi", nargs=3, type=int, metavar=("FILE", "START", "END"))
+    p.add_argument("--whitelist", help="barcodes, one a line")
     p.add_argument("--union", action="store_true")
     p.add_argument("--no-multimapping", action="store_true")
-    p = verb("clean", "thresholds and totals", "counts")
+    p = verb("clean", "recount, thresholds and totals", "counts")
+    p.add_argument("--assigned", help="reads of count, to be recounted by --genome-reads")
+    p.add_argument("--genome-reads", help="the same reads with their genes: barcode, read_index, genes")
+    p.add_argument("--mates-apart", action="store_true")
+    p.add_argument("--drop-different-mates", action="store_true")
+    p.add_argument("--mistake-ratio", type=float)
+    p.add_argument("--multimapping", action="store_true")
+    p.add_argument("--vcrs", help="sequences with vcrs_id and vcrs_header, for genes and headers")
+    p.add_argument("--t2g")
+    p.add_argument("--metadata", help="table with vcrs_id")
+    p.add_argument("--gtf", help="with --technology and --read-length: only variants that reads can reach")
+    p.add_argument("--technology", default="bulk")
+    p.add_argument("--strand-bias-end", choices=["5p", "3p"])
+    p.add_argument("--read-length", type=int)
     p.add_argument("--min-counts", type=float, default=2)
     p.add_argument("--binary", action="store_true")
     p.add_argument("--drop-empty", action="store_true")
@@ -68,6 +94,30 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _whitelist(spark: SparkSession, path: str | None):
+    return spark.read.text(path).select(F.col("value").alias("barcode")) if path else None
+
+
+def _reads(spark: SparkSession, a: argparse.Namespace):
+    """The FASTQ files as reads: bulk files one after the other, files of a read side by side."""
+    tables = [R.read_fastq(spark, path) for path in a.fastq]
+    if T.BARCODES[T.known(a.technology)] is None:
+        names = a.sample or [f"sample{i}" if i else "sample" for i in range(len(tables))]
+        if len(names) != len(tables):
+            raise SystemExit("as many names of samples as files are needed")
+        # a read is known by its file and number
+        numbered = [t.withColumns({"sample": F.lit(n), "read_index": F.col("read_index") * len(tables) + i}) for i, (t, n) in enumerate(zip(tables, names, strict=True))]
+        out = numbered[0]
+        for t in numbered[1:]:
+            out = out.unionByName(t)
+        return out
+    sides = [t.select("read_index", F.col("sequence").alias(f"read_{i}")) for i, t in enumerate(tables)]
+    out = sides[0]
+    for t in sides[1:]:
+        out = out.join(t, "read_index")
+    return out.withColumn("sequence", F.col(f"read_{T.TRANSCRIPT_FILE[T.known(a.technology)]}"))
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName(f"strandloom {a.verb}").getOrCreate()
@@ -111,18 +161,30 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         save(V.filter(R.read_table(spark, a.table), a.filters), "filtered")
     elif a.verb == "fastqpp":
         reads = R.read_fastq(spark, a.fastq)
-        control = {"min_length": a.min_length} if a.min_length else None
-        W.write_fastq(V.clean_reads(reads, control=control, mask_below=a.mask_below, split_n=a.split_n, min_length=a.min_length or None), f"{a.out}/reads.fastq", mode=mode)
+        control = {"min_length": a.min_length, "max_n": a.max_n, "mean_quality": a.mean_quality}
+        trim = {"head": a.trim_head, "tail": a.trim_tail, "window": a.cut_window, "mean": a.cut_mean, "poly_g": a.trim_poly_g}
+        W.write_fastq(V.clean_reads(reads, trim=trim, control=control, mask_below=a.mask_below, split_n=a.split_n, min_length=a.min_length or None), f"{a.out}/reads.fastq", mode=mode)
     elif a.verb == "count":
         from .operators.kmers import kmer_index
 
         index = kmer_index(spark.read.parquet(a.vcrs), a.k, False, "vcrs_id", "vcrs_sequence")
-        reads = R.read_fastq(spark, a.fastq).withColumn("sample", F.lit(a.sample))
-        assigned, matrix = V.count(reads, index, a.k, multimapping=not a.no_multimapping, union=a.union)
+        options = {"multimapping": not a.no_multimapping, "union": a.union, "umi": tuple(a.umi) if a.umi else None}
+        assigned, matrix = V.count(_reads(spark, a), index, a.k, a.technology, whitelist=_whitelist(spark, a.whitelist), **options)
         save(assigned, "assigned")
         save(matrix, "counts")
     elif a.verb == "clean":
-        matrix, totals = V.clean(spark.read.parquet(a.counts), min_counts=a.min_counts, use_binary=a.binary, drop_empty=a.drop_empty)
+        vcrs = spark.read.parquet(a.vcrs) if a.vcrs else None
+        t2g = R.read_t2g(spark, a.t2g).toDF("name", "label") if a.t2g else None
+        matrix = spark.read.parquet(a.counts)
+        if a.genome_reads:
+            options = {"mates_apart": a.mates_apart, "drop_different": a.drop_different_mates, "multimapping": a.multimapping, "mistake_ratio": a.mistake_ratio}
+            matrix = V.recount(spark.read.parquet(a.assigned), vcrs, spark.read.parquet(a.genome_reads), t2g=t2g, **options)
+        if a.gtf and a.read_length:
+            lengths = R_.transcript_lengths(R.read_gtf(spark, a.gtf))
+            matrix = V.within_reach(matrix, vcrs, lengths, a.technology, a.read_length, a.strand_bias_end)
+        matrix, totals = V.clean(matrix, min_counts=a.min_counts, use_binary=a.binary, drop_empty=a.drop_empty)
+        if vcrs is not None:
+            totals = V.described_totals(totals, vcrs, t2g=t2g, metadata=R.read_table(spark, a.metadata) if a.metadata else None)
         save(matrix, "counts")
         save(totals, "totals")
     elif a.verb == "summarize":

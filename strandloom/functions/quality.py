@@ -47,6 +47,11 @@ def barcode(read, spans: list[tuple[int, int]]) -> Column:
     return F.concat(*(F.substring(_col(read), a + 1, b - a) for a, b in spans))
 
 
+def barcode_of_files(files, spans: list[tuple[int, int, int]]) -> Column:
+    """The segments (file, start, end) of a read's files, joined; ``files`` names the column of a file."""
+    return F.concat(*(barcode(files(f), [(a, b)]) for f, a, b in spans))
+
+
 def counts_per_million(count, total) -> Column:
     return F.try_divide(_col(count) * 1_000_000, _col(total))
 

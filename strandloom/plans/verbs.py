@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
+from ..operators import assigned as A
 from ..operators import counts as C
 from ..operators import filters as FL
 from ..operators import info as I
@@ -132,9 +133,17 @@ def clean_reads(
     return RD.split_at_n(out, min_length) if split_n else out
 
 
-def count(reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk", *, multimapping: bool = True, union: bool = False, stranded: bool = False):
-    """(assigned reads, counts).  ``reads``: read_index, sequence, and sample for bulk, or
-    barcode_read with the barcode and UMI; mates share a read_index."""
+def count(
+    reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk", *, multimapping: bool = True, union: bool = False, stranded: bool = False,
+    umi: tuple[int, int, int] | None = None, whitelist: DataFrame | None = None,
+):
+    """(assigned reads, counts).  ``reads``: read_index, sequence, and sample for bulk; else read_0,
+    read_1 ... (a read's files) or barcode_read (the one file that holds barcode and UMI).  Mates
+    share a read_index.
+
+    ``umi`` is (file, start, end) of the UMI; it must be given where a technology's isn't known.
+    With ``whitelist`` (barcode) only listed barcodes count, and those one change away.
+    """
     name = T.known(technology)
     spans = T.BARCODES[name]
     targets = K.pseudoalign(reads, index, k, stranded=stranded, union=union)
@@ -142,13 +151,62 @@ def count(reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk",
         cells = reads.select("read_index", F.col("sample").alias("barcode")).distinct()
         assigned = targets.join(cells, "read_index")
         return assigned, C.count_matrix(assigned, umis=False, multimapping=multimapping)
-    code = Q.barcode("barcode_read", [(a, b) for _, a, b in spans])
-    umi = Q.barcode("barcode_read", [T.UMIS[name]]) if name in T.UMIS else F.col("read_index").cast("string")
-    cells = reads.select("read_index", code.alias("barcode"), umi.alias("umi")).distinct()
+    if umi is None and name not in T.UMIS:
+        raise ValueError(f"where a UMI lies in {technology} reads isn't known here: give umi=(file, start, end)")
+    umi = umi or (spans[0][0], *T.UMIS[name])
+    files = lambda f: "barcode_read" if "barcode_read" in reads.columns else f"read_{f}"
+    cells = reads.select("read_index", Q.barcode_of_files(files, spans).alias("barcode"), Q.barcode_of_files(files, [umi]).alias("umi")).distinct()
+    cells = C.rescue_barcodes(cells, whitelist) if whitelist is not None else cells
     assigned = targets.join(cells, "read_index")
     return assigned, C.count_matrix(assigned, umis=True, multimapping=multimapping)
 
 
+def variant_genes(vcrs: DataFrame, *, t2g: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+    """Per vcrs_id its genes, from its headers: ``t2g`` (name, label) for transcripts, ``genes``
+    (seq_id, start, end, gene_id, ordinal) for places on a genome."""
+    each = A.header_information(I.explode_headers(vcrs.select("vcrs_id", "vcrs_header")), t2g=t2g, genes=genes)
+    return each.groupBy("vcrs_id").agg(F.array_sort(F.collect_set("gene_id")).alias("genes"))
+
+
+def recount(
+    assigned: DataFrame, vcrs: DataFrame, genome: DataFrame, *, t2g: DataFrame | None = None, genes: DataFrame | None = None, mates_apart: bool = False,
+    drop_different: bool = False, multimapping: bool = False, count_unaligned: bool = True, mistake_ratio: float | None = None,
+) -> DataFrame:
+    """Counts of ``assigned`` (barcode, read_index, targets) that agree with the same reads' genes on
+    a genome (``genome``: barcode, read_index, genes).
+
+    With ``mates_apart`` both reads of a pair are in ``genome`` under one read_index, and each has
+    the genes of either; ``drop_different`` leaves out pairs that agree on none.
+    """
+    seen = genome.select(*A.READ, F.col("genes").alias("genome_genes"))
+    if mates_apart:
+        seen = A.paired_genes(seen, drop_different=drop_different).distinct()
+        if drop_different:
+            dropped = genome.select(*A.READ).distinct().join(seen.select(*A.READ), A.READ, "left_anti")
+            assigned = assigned.join(dropped, A.READ, "left_anti")
+    own = variant_genes(vcrs, t2g=t2g, genes=genes)
+    seen = seen.withColumnRenamed("genome_genes", "genes").filter(F.size("genes") > 0)
+    return C.recount_by_genome(assigned, seen, own, multimapping=multimapping, count_unaligned=count_unaligned, mistake_ratio=mistake_ratio)
+
+
+def within_reach(matrix: DataFrame, vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:
+    """Counts of variants that the technology's reads can reach: one of a VCRS's variants is enough."""
+    side = T.strand_bias(technology, end)
+    if side is None:
+        return matrix
+    each = A.header_information(I.explode_headers(vcrs.select("vcrs_id", "vcrs_header")))
+    each = each.select("vcrs_id", F.col("seq_ID").alias("transcript_id"), F.col("start_variant_position").alias("start"), F.col("end_variant_position").alias("end"))
+    return C.keep_variants(matrix, R.within_strand_reach(each, lengths, end=side, read_length=read_length))
+
+
+def described_totals(totals: DataFrame, vcrs: DataFrame, *, t2g: DataFrame | None = None, genes: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """``totals`` of variants with their headers, genes, and ``metadata`` (vcrs_id and more)."""
+    out = totals.join(vcrs.select("vcrs_id", "vcrs_header").dropDuplicates(["vcrs_id"]), "vcrs_id", "left")
+    if t2g is not None or genes is not None:
+        out = out.join(variant_genes(vcrs, t2g=t2g, genes=genes), "vcrs_id", "left")
+    return A.with_metadata(out, metadata) if metadata is not None else out
+
+
 def clean(
     matrix: DataFrame, *, min_counts: float = 2, use_binary: bool = False, drop_empty: bool = False, sum_rows: bool = False, cpm: bool = False,
     keep: DataFrame | None = None, exclude: DataFrame | None = None, quality: dict | None = None,

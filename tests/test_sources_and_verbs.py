@@ -88,6 +88,42 @@ def test_reference_info_and_counts(spark):
     assert {r["tumor_purity"] for r in purity.collect()} == {1.0}
 
 
+def test_single_cell_counts(spark):
+    target = "ACGTACGGTTACGATTGCA"
+    index = spark.createDataFrame([("v1", target)], "id string, sequence string")
+    from strandloom.operators.kmers import kmer_index
+
+    index = kmer_index(index, 11)
+    rows = [(1, target, "AAAACCCC" + "T" * 22 + "GGGGTTTT" + "ACGTAC"), (2, target, "AAAACCCG" + "T" * 22 + "GGGGTTTT" + "ACGTAC"), (3, target, "CCCCCCCC" + "T" * 22 + "GGGGTTTT" + "GCGTAC")]
+    reads = spark.createDataFrame(rows, "read_index int, read_0 string, read_1 string").withColumn("sequence", F.col("read_0"))
+    with pytest.raises(ValueError, match="umi"):
+        V.count(reads, index, 11, "INDROPSV2")
+    _, matrix = V.count(reads, index, 11, "INDROPSV2", umi=(1, 38, 44))
+    cell = lambda b: b + "TTT" + "GGGGTTTT"
+    assert {(r["barcode"], r["count"]) for r in matrix.collect()} == {(cell(b), 1.0) for b in ("AAAACCCC", "AAAACCCG", "CCCCCCCC")}
+    listed = spark.createDataFrame([(cell("AAAACCCC"),)], "barcode string")
+    _, matrix = V.count(reads, index, 11, "INDROPSV2", umi=(1, 38, 44), whitelist=listed)
+    assert [tuple(r) for r in matrix.collect()] == [(cell("AAAACCCC"), "v1", 1.0)]
+
+
+def test_recount_and_totals(spark):
+    vcrs = spark.createDataFrame([("v1", "T1:c.5A>C;T2:c.9A>C"), ("v2", "T3.1:c.700A>C")], "vcrs_id string, vcrs_header string")
+    t2g = spark.createDataFrame([("T1.4", "G1.2"), ("T3", "G3")], "name string, label string")
+    assert {r["vcrs_id"]: r["genes"] for r in V.variant_genes(vcrs, t2g=t2g).collect()} == {"v1": ["G1", "T2"], "v2": ["G3"]}
+    assigned = spark.createDataFrame([("x", i, ["v1", "v2"]) for i in range(4)], "barcode string, read_index int, targets array<string>")
+    mates = [("x", 0, ["G1"]), ("x", 0, []), ("x", 1, ["G3"]), ("x", 1, ["G1"]), ("x", 2, ["G9"]), ("x", 2, ["G9"])]
+    genome = spark.createDataFrame(mates, "barcode string, read_index int, genes array<string>")
+    got = lambda **o: {r["vcrs_id"]: r["count"] for r in V.recount(assigned, vcrs, genome, t2g=t2g, mates_apart=True, **o).collect()}
+    assert got() == {"v1": 1.0} and got(multimapping=True) == {"v1": 3.0, "v2": 2.0} and got(multimapping=True, drop_different=True) == {"v1": 2.0, "v2": 1.0}
+    matrix = spark.createDataFrame([("x", "v1", 3.0), ("x", "v2", 2.0)], "barcode string, vcrs_id string, count double")
+    lengths = spark.createDataFrame([("T1", 10, 2000), ("T2", 10, 2000), ("T3", 10, 1000)], "transcript_id string, utr5 int, transcript_length int")
+    assert {r["vcrs_id"] for r in V.within_reach(matrix, vcrs, lengths, "dropseq", 200).collect()} == {"v2"}
+    assert V.within_reach(matrix, vcrs, lengths, "bulk", 200).count() == 2
+    more = spark.createDataFrame([("v1", "note"), ("v1", "note")], "vcrs_id string, comment string")
+    totals = V.described_totals(V.clean(matrix)[1], vcrs, t2g=t2g, metadata=more)
+    assert {(r["vcrs_id"], r["vcrs_count"], tuple(r["genes"]), r["comment"]) for r in totals.collect()} == {("v1", 3.0, ("G1", "T2"), "note"), ("v2", 2.0, ("G3",), None)}
+
+
 def test_command_line(spark, tmp_path):
     fasta = put(tmp_path, "s.fa", ">s x\nCCCCGCCCCACCCCGCCCCTCCCCGCCCCACCCCGCCCCTCCCCGCCCCACCCCGCCCCTCCCCGCCCCACCCCG\n")
     table = put(tmp_path, "v.csv", "seq_ID,mutation\ns,c.35G>A\ns,c.20+3T>A\n")
@@ -99,6 +135,10 @@ def test_command_line(spark, tmp_path):
     cli.main(["count", "--fastq", f"{out}/reads.fastq", "--vcrs", f"{out}/vcrs.parquet", "--out", out, "-k", "31"], spark)
     cli.main(["clean", "--counts", f"{out}/counts.parquet", "--out", f"{out}/clean"], spark)
     assert spark.read.parquet(f"{out}/clean/totals.parquet").first()["vcrs_count"] == 44
+    cli.main(["fastqpp", "--fastq", f"{out}/reads.fastq", "--out", f"{out}/pp", "--trim-head", "2", "--min-length", "38"], spark)
+    assert {len(r["sequence"]) for r in R.read_fastq(spark, f"{out}/pp/reads.fastq").collect()} == {38}
+    cli.main(["clean", "--counts", f"{out}/counts.parquet", "--vcrs", f"{out}/vcrs.parquet", "--t2g", put(tmp_path, "t2g.tsv", "s\tg\n"), "--out", f"{out}/clean2"], spark)
+    assert spark.read.parquet(f"{out}/clean2/totals.parquet").first()["genes"] == ["g"]
 
 
 def test_streaming(spark, tmp_path):
