@@ -45,6 +45,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--columns", nargs="*", default=["all"])
     p.add_argument("-k", type=int, default=59)
     p.add_argument("--genome")
+    p.add_argument("--transcriptome")
+    p.add_argument("--gtf", help="for splice junctions")
+    p.add_argument("--variants", help="the variants that build has written")
+    p.add_argument("--gene-column", help="a column of --variants")
+    p.add_argument("--near-splice-junction-threshold", type=int, default=10)
+    p.add_argument("--stranded", action="store_true")
     p = verb("filter", "rows that pass filters", "table")
     p.add_argument("--filters", nargs="+", required=True)
     p = verb("fastqpp", "cleaner reads", "fastq")
@@ -156,7 +162,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         W.write_t2g(vcrs, f"{a.out}/t2g.tsv", mode=mode)
         W.write_id_map(vcrs, f"{a.out}/id_to_header.csv", mode=mode)
     elif a.verb == "info":
-        save(V.info(spark.read.parquet(a.vcrs), a.columns, k=a.k, reference=sequences(a.genome) if a.genome else None), "info")
+        inputs = {"k": a.k, "stranded": a.stranded, "near": a.near_splice_junction_threshold}
+        inputs |= {name: sequences(path) for name, path in (("reference", a.genome), ("transcriptome", a.transcriptome)) if path}
+        if a.gtf:
+            inputs["junctions"] = R.splice_junctions(R.read_gtf(spark, a.gtf))
+        if a.variants:
+            rows = spark.read.parquet(a.variants)
+            inputs["variants"] = rows.select("header", "seq_id", "start", "end")
+            if a.gene_column:
+                inputs["genes"] = rows.select("header", F.col(a.gene_column).alias("gene_name"))
+        save(V.info(spark.read.parquet(a.vcrs), a.columns, **inputs), "info")
     elif a.verb == "filter":
         save(V.filter(R.read_table(spark, a.table), a.filters), "filtered")
     elif a.verb == "fastqpp":

@@ -20,92 +20,19 @@ from ..operators.build import Built, BuildOptions
 from ..operators.build import build as _build
 from ..operators.fixed import materialised
 from . import technology as T
+from .describe import info
 
 #: Filters of ``reference`` where none are given.
 DEFAULT_FILTERS = (
     "alignment_to_reference:is_not_true", "pseudoaligned_to_reference:is_not_true", "num_distinct_triplets:greater_than=5",
     "longest_homopolymer_length:less_or_equal=10",
 )
-OVERLAP = ("number_of_kmers_with_overlap_to_other_VCRSs", "VCRSs_with_overlapping_kmers", "number_of_other_VCRSs_with_overlapping_kmers", "overlaps_other_VCRSs")
 
 
 def build(variants: DataFrame, sequences: DataFrame, *, seq_id_column="seq_ID", var_column="mutation", var_id_column=None, **options) -> Built:
     return _build(variants, sequences, BuildOptions(**options), seq_id_col=seq_id_column, var_col=var_column, id_col=var_id_column)
 
 
-def info(
-    vcrs: DataFrame, columns="all", *, k: int = 59, stranded: bool = False, reference: DataFrame | None = None, transcriptome: DataFrame | None = None,
-    junctions: DataFrame | None = None, variants: DataFrame | None = None, genes: DataFrame | None = None,
-) -> DataFrame:
-    """``vcrs`` (vcrs_id, vcrs_header, vcrs_sequence) with the wanted columns; each is a join of its
-    own, so columns that are not asked for are not planned.
-
-    Columns that need a reference, junctions, variants (header, seq_id, start, end) or genes
-    (header, gene_name) are left out where that is not given, unless they are asked for by name.
-    """
-    every = columns == "all" or list(columns) == ["all"]
-    wanted = set(I.EXPRESSIONS) if every else set(columns)
-    out = I.with_expressions(vcrs, [c for c in I.EXPRESSIONS if c in wanted]) if wanted & set(I.EXPRESSIONS) else vcrs
-    done = set(I.EXPRESSIONS)
-
-    def attach(names: tuple[str, ...], given, make) -> None:
-        nonlocal out
-        done.update(names)
-        asked = wanted & set(names)
-        if asked and any(g is None for g in given):
-            raise ValueError(f"{', '.join(sorted(asked))}: an input for this is missing")
-        if asked or (every and all(g is not None for g in given)):
-            out = out.join(make(), "vcrs_id", "left")
-
-    def overlaps() -> DataFrame:
-        found = K.kmer_overlaps(vcrs, k, stranded, "vcrs_id", "vcrs_sequence")
-        n = F.size("others")
-        return found.select(F.col("id").alias("vcrs_id"), F.col("kmers").alias(OVERLAP[0]), F.col("others").alias(OVERLAP[1]), n.alias(OVERLAP[2]), (n > 0).alias(OVERLAP[3]))
-
-    def substrings() -> DataFrame:
-        pairs = K.substring_relations(vcrs, stranded, "vcrs_id", "vcrs_sequence")
-        inside = pairs.groupBy(F.col("id").alias("vcrs_id")).agg(F.array_sort(F.collect_list("inside")).alias("substring_of"))
-        around = pairs.groupBy(F.col("inside").alias("vcrs_id")).agg(F.array_sort(F.collect_list("id")).alias("superstring_of"))
-        both = vcrs.select("vcrs_id").join(inside, "vcrs_id", "left").join(around, "vcrs_id", "left")
-        return both.withColumns({"VCRS_is_a_substring_of_another_VCRS": F.col("substring_of").isNotNull(), "VCRS_is_a_superstring_of_another_VCRS": F.col("superstring_of").isNotNull()})
-
-    def aligned() -> DataFrame:
-        parts = []
-        for side, ref in (("genome", reference), ("cdna", transcriptome)):
-            if ref is not None:
-                hits = K.align_to_reference(vcrs, ref, k, stranded, "vcrs_id", "vcrs_sequence")
-                parts.append(hits.select(F.col("id").alias("vcrs_id"), F.col("hits").alias(f"alignment_to_reference_count_{side}"), F.col("alignment_to_reference").alias(f"alignment_to_reference_{side}")))
-        both = parts[0] if len(parts) == 1 else parts[0].join(parts[1], "vcrs_id")
-        sides = [c.removeprefix("alignment_to_reference_count_") for c in both.columns if "_count_" in c]
-        any_hit = sum((F.col(f"alignment_to_reference_count_{s}") for s in sides), F.lit(0))
-        return both.withColumns({"alignment_to_reference_count_total": any_hit, "alignment_to_reference": any_hit > 0})
-
-    def pseudoaligned() -> DataFrame:
-        index = K.kmer_index(reference, k, stranded, "seq_id", "sequence")
-        reads = vcrs.select("vcrs_id", F.col("vcrs_sequence").alias("sequence"))
-        hit = K.pseudoalign(reads, index, k, stranded=stranded, keys=["vcrs_id"]).select("vcrs_id", F.lit(True).alias("_p"))
-        return vcrs.select("vcrs_id").join(hit, "vcrs_id", "left").select("vcrs_id", F.coalesce("_p", F.lit(False)).alias("pseudoaligned_to_reference"))
-
-    def by_header(rows: DataFrame, made: dict) -> DataFrame:
-        each = I.explode_headers(vcrs.select("vcrs_id", "vcrs_header")).withColumnRenamed("vcrs_header_individual", "header")
-        return each.join(rows, "header", "left").groupBy("vcrs_id").agg(*(c.alias(n) for n, c in made.items()))
-
-    attach(OVERLAP, (), overlaps)
-    attach(("substring_of", "superstring_of", "VCRS_is_a_substring_of_another_VCRS", "VCRS_is_a_superstring_of_another_VCRS"), (), substrings)
-    names = ("alignment_to_reference", "alignment_to_reference_count_total", "alignment_to_reference_genome", "alignment_to_reference_cdna")
-    attach(names, (reference if reference is not None else transcriptome,), aligned)
-    attach(("pseudoaligned_to_reference",), (reference,), pseudoaligned)
-    near = lambda: by_header(R.nearby_variants(variants, k), {"nearby_variants_count": F.max("nearby_variants_count"), "nearby_variants": F.array_distinct(F.flatten(F.collect_list("nearby_variants")))})
-    attach(("nearby_variants", "nearby_variants_count"), (variants,), near)
-    splice = lambda: by_header(R.nearest_junction(variants, junctions), {"distance_to_nearest_splice_junction": F.min("distance_to_nearest_splice_junction")})
-    attach(("distance_to_nearest_splice_junction",), (variants, junctions), splice)
-    total = lambda: by_header(I.gene_totals(genes), {"number_of_variants_in_this_gene_total": F.max("number_of_variants_in_this_gene_total")})
-    attach(("number_of_variants_in_this_gene_total",), (genes,), total)
-    if unknown := wanted - done:
-        raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
-    return out
-
-
 def filter(table: DataFrame, filters) -> DataFrame:  # noqa: A001
     return FL.apply_filters(table, filters)
 

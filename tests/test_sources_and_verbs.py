@@ -75,7 +75,7 @@ def test_reference_info_and_counts(spark):
     assert kept.count() == 3
     table = V.info(kept, "all", k=11, reference=seqs)
     row = table.orderBy("vcrs_id").first()
-    assert row["alignment_to_reference"] is False and row["pseudoaligned_to_reference"] is False and row["vcrs_variant_type"] == "substitution" and row["overlaps_other_VCRSs"] is False
+    assert row["alignment_to_reference"] is False and row["pseudoaligned_to_reference"] is False and row["vcrs_variant_type"] == "substitution" and row["kmer_overlap_with_other_VCRSs"] is False
     with pytest.raises(ValueError, match="unknown"):
         V.info(kept, ["nonsense"])
     reads = V.simulate(kept.select("vcrs_id", F.col("vcrs_sequence").alias("sequence")), read_length=15)
@@ -88,6 +88,32 @@ def test_reference_info_and_counts(spark):
     assert {r["tumor_purity"] for r in purity.collect()} == {1.0}
 
 
+def test_all_columns(spark):
+    seq = "ACGTTGCAACCTGGATCGATTACGGCATTCAGGCTAAGCTTCCGATAAGCTGATCCGTAA"
+    vcrs = spark.createDataFrame([("v1", "s:c.15A>C;s:c.30G>A", seq[5:25]), ("v2", "s:c.40A>T", "TTTTTTTTTTTTTTT"), ("v3", "t:c.9A>C", seq[10:20])], "vcrs_id string, vcrs_header string, vcrs_sequence string")
+    places = spark.createDataFrame([("s:c.15A>C", "s", 15, 15), ("s:c.30G>A", "s", 30, 30), ("s:c.40A>T", "s", 40, 40), ("t:c.9A>C", "t", 9, 9)], "header string, seq_id string, start int, end int")
+    genes = spark.createDataFrame([("s:c.15A>C", "g1"), ("s:c.30G>A", "g1"), ("s:c.40A>T", "g1"), ("t:c.9A>C", None)], "header string, gene_name string")
+    marks = spark.createDataFrame([("s", 33)], "seq_id string, position int")
+    ref = spark.createDataFrame([("r", seq)], "seq_id string, sequence string")
+    cdna = spark.createDataFrame([("s:c.15A>C", "AA"), ("s:c.30G>A", "CC"), ("s:c.40A>T", "GG")], "header string, vcrs_sequence string")
+    genome = cdna.withColumn("vcrs_sequence", F.regexp_replace("vcrs_sequence", "GG", "GT"))
+    table = V.info(vcrs, "all", k=9, near=5, reference=ref, transcriptome=ref.limit(0), junctions=marks, variants=places, genes=genes, cdna_vcrs=cdna, genome_vcrs=genome)
+    got = {r["vcrs_id"]: r for r in table.collect()}
+    one, two, three = (got[f"v{i}"] for i in (1, 2, 3))
+    assert (one["alignment_to_reference"], one["alignment_to_reference_count_genome"], one["alignment_to_reference_cdna"], two["alignment_to_reference"]) == (True, 12, False, False)
+    assert (one["substring_alignment_to_reference"], two["substring_alignment_to_reference_count_total"], three["substring_alignment_to_reference_genome"]) == (True, 0, True)
+    assert one["pseudoaligned_to_reference"] and not one["pseudoaligned_to_reference_despite_not_truly_aligning"] and not two["pseudoaligned_to_reference"]
+    assert (one["nearby_variants"], one["has_a_nearby_variant"], three["nearby_variants_count"]) == ([], False, 0)
+    assert (one["distance_to_nearest_splice_junction"], one["is_near_splice_junction_5"], two["is_near_splice_junction_5"], three["distance_to_nearest_splice_junction"]) == (3, True, False, None)
+    assert one["header_with_gene_name"] == "s(g1):c.15A>C;s(g1):c.30G>A" and three["header_with_gene_name"] == "t:c.9A>C"
+    assert (one["number_of_variants_in_this_gene_total"], three["number_of_variants_in_this_gene_total"]) == (3, None)
+    assert (one["cdna_and_genome_same"], two["cdna_and_genome_same"], three["cdna_and_genome_same"]) == (True, False, None)
+    assert one["VCRSs_for_which_this_VCRS_is_a_superstring"] == ["v3"] and three["VCRS_is_a_substring_of_another_VCRS"]
+    assert V.info(vcrs, ["has_a_nearby_variant"], k=12, variants=places).filter("has_a_nearby_variant").count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        V.info(vcrs, ["header_with_gene_name"])
+
+
 def test_single_cell_counts(spark):
     target = "ACGTACGGTTACGATTGCA"
     index = spark.createDataFrame([("v1", target)], "id string, sequence string")
@@ -131,6 +157,8 @@ def test_command_line(spark, tmp_path):
     cli.main(["build", "--variants", table, "--sequences", fasta, "--out", out, "-w", "30", "-k", "31"], spark)
     assert [r["vcrs_sequence"] for r in spark.read.parquet(f"{out}/vcrs.parquet").collect()] == ["GCCCCACCCCGCCCCTCCCCGCCCCACCCCACCCCTCCCCGCCCCACCCCGCCCCTCCCCG"]
     assert {(r["drop_reason"], r["variants"]) for r in spark.read.parquet(f"{out}/report.parquet").collect()} == {(None, 1), ("intronic", 1)}
+    cli.main(["info", "--vcrs", f"{out}/vcrs.parquet", "--variants", f"{out}/variants.parquet", "--genome", fasta, "-k", "31", "--out", out], spark)
+    assert spark.read.parquet(f"{out}/info.parquet").first()["nearby_variants_count"] == 0
     cli.main(["sim", "--vcrs", f"{out}/vcrs.parquet", "--out", out, "--read-length", "40"], spark)
     cli.main(["count", "--fastq", f"{out}/reads.fastq", "--vcrs", f"{out}/vcrs.parquet", "--out", out, "-k", "31"], spark)
     cli.main(["clean", "--counts", f"{out}/counts.parquet", "--out", f"{out}/clean"], spark)
