@@ -27,7 +27,7 @@ SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: The contractions that the pre-tokenizer knows (fixed values).
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 #: Characters of one array slice, and known pre-tokens per process at most.
-SLICE_CHARS, CACHE_WORDS = 600_000, 300_000
+SLICE_CHARS, CACHE_WORDS = 200_000, 300_000
 NO_RANK = np.iinfo(np.int32).max
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
@@ -199,7 +199,7 @@ class WordBpe:
 
     def _tokens_of(self, chars: np.ndarray, new: np.ndarray, end: np.ndarray, with_ids: bool):
         """For each pre-token the place in (start, count, flat)."""
-        base, inverse = powers(max(SLICE_CHARS * 2, 1 << int(len(chars) + 2).bit_length()))
+        base, inverse = powers(1 << max(19, int(len(chars) + 2).bit_length()))
         with np.errstate(over="ignore"):
             mixed = (chars.astype(np.uint64) + np.uint64(0x51ED)) * np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)

@@ -14,7 +14,7 @@ import numpy as np
 
 from .bpe import LETTER, NUMBER, OTHER, SPACE, SPACES, powers
 
-SLICE = 500_000
+SLICE = 200_000
 
 
 @lru_cache(1)
@@ -87,7 +87,7 @@ class Hasher:
     """64-bit hashes of any pieces of an array of code points."""
 
     def __init__(self, chars: np.ndarray):
-        base, self.inverse = powers(1 << max(21, int(len(chars) + 2).bit_length()))
+        base, self.inverse = powers(1 << max(19, int(len(chars) + 2).bit_length()))
         with np.errstate(over="ignore"):
             value = mix(chars.astype(np.uint64) + np.uint64(0x1234567))
             self.total = np.zeros(len(chars) + 1, np.uint64)

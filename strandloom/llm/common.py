@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most.
+ARROW_ROWS = 1000
 #: Keys that may be broadcast to pick rows; beyond that they are joined.
 BROADCAST_KEYS = 200_000
 #: Working columns begin with this, so that columns of the caller never clash with them.
@@ -78,10 +80,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def on_workers(df: DataFrame) -> DataFrame:
-    """``df``, after telling Python workers where this package lies.
+    """``df``, after telling Python workers where this package lies, and Spark to send small batches.
 
-    That serves sessions on one machine; on a cluster ship the package with ``--py-files``.
+    The first serves sessions on one machine; on a cluster ship the package with ``--py-files``.
+    Texts can be long, so the session's limit of rows in an Arrow batch is lowered where it is higher.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(rows, str(ARROW_ROWS))
     place = str(Path(__file__).resolve().parents[2])
     environment = df.sparkSession.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)

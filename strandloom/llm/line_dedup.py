@@ -145,11 +145,21 @@ def deduplicate_lines(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("_sl_row", row_key(id_col, text))
     few = (gone.agg(F.count("*") + F.sum(F.size("_sl_removed"))).first()[0] or 0) <= BROADCAST_LINES
-    joined = keyed.join(F.broadcast(gone) if few else gone, "_sl_row", "left").drop("_sl_row")
-    parts = F.split(text, "\n")
-    filled = F.filter("_sl_removed", lambda i: F.trim(F.translate(F.get(parts, i), "\r\t", "  ")) != "")
-    joined = joined.withColumn("_sl_removed", filled)
-    stay = F.filter(parts, lambda x, i: ~F.array_contains("_sl_removed", i))
-    cleaned = F.when(F.col("_sl_removed").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    joined = joined.withColumn("_sl_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)))
-    return joined.withColumn(text_col, cleaned)
+    joined = keyed.join(F.broadcast(gone) if few else gone, "_sl_row", "left")
+
+    def cleaned(parts: Column) -> Column:
+        filled = F.filter("_sl_removed", lambda i: F.trim(F.translate(F.get(parts, i), "\r\t", "  ")) != "")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_sl_removed")
+        left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+        whole = F.col("_sl_removed").isNull()
+        return F.struct(
+            F.when(whole, F.col(text_col)).otherwise(left).alias("text"), filled.alias("removed"),
+            F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias("lines"),
+        )
+
+    # over an array of one, so that lines are split once; what follows refers to the values, not to their making
+    made = F.transform(F.array(F.split(text, "\n")), cleaned)
+    rest = [c for c in docs.columns if c != text_col]
+    out = joined.select(*rest, F.inline(made).alias("_sl_text", "_sl_filled", "_sl_lines"))
+    names = [F.col("_sl_text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    return out.select(*names, F.col("_sl_filled").alias("_sl_removed"), "_sl_lines")
