@@ -38,13 +38,13 @@ _CIGAR = "'5M' || (l_linenumber) || 'I' || (l_orderkey % 50 + 1) || 'D3N2S' || (
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, {_CIGAR} AS cigar, l_orderkey + 5 + (l_orderkey % 50 + 1) + 3 + l_linenumber + 10 - 1 AS ends,
-      pow(10, -l_linenumber / 10.0) AS error, 'ENST' || l_orderkey AS bare, l_linenumber::VARCHAR AS plain FROM lineitem""")
+      round(pow(10, -l_linenumber / 10.0), 9) AS error, 'ENST' || l_orderkey AS bare, l_linenumber::VARCHAR AS plain FROM lineitem""")
 def small_helpers(spark, d):
     n, o = F.col("l_linenumber").cast("string"), F.col("l_orderkey")
     cigar = F.concat(F.lit("5M"), n, F.lit("I"), (o % 50 + 1).cast("string"), F.lit("D3N2S"), (F.col("l_linenumber") + 10).cast("string"), F.lit("M"))
     t = T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cigar.alias("cigar"))
     return t.select(
-        "*", S.cigar_end("l_orderkey", "cigar").cast("long").alias("ends"), Q.error_rate("l_linenumber").alias("error"),
+        "*", S.cigar_end("l_orderkey", "cigar").cast("long").alias("ends"), F.round(Q.error_rate("l_linenumber"), 9).alias("error"),
         H.without_version(F.concat(F.lit("ENST"), o.cast("string"), F.lit("."), n)).alias("bare"), H.plain_seq_id(F.concat(n, F.lit(".0"))).alias("plain"),
     )
 
@@ -224,7 +224,7 @@ def _ec(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"""+ {_TARGETS}, e AS (SELECT *, {_CODE} AS ec, list_sort(list_distinct(list_transform(targets, lambda t: CASE WHEN t = 'T4' THEN 'T4' ELSE 'G' || (cast(right(t, 1) AS INT) // 2) END))) AS genes FROM x)
-    SELECT read_index, barcode, umi, ec, array_to_string(targets, ';') AS transcripts, array_to_string(genes, ';') AS genes, len(genes) = 1 AS counted, CASE WHEN len(genes) = 1 THEN 1.0 ELSE 0.0 END AS value FROM e""", "bus")
+    SELECT read_index, barcode, umi, ec, array_to_string(targets, ';') AS transcripts, array_to_string(genes, ';') AS genes, len(genes) = 1 AS counted, CASE WHEN len(genes) = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM e""", "bus")
 def bus_reads(spark, d):
     bus, ec = _ec(spark, d)
     names = spark.range(5).select(F.col("id").cast("int").alias("index"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("name"))
@@ -357,7 +357,7 @@ def allele_fractions_across(spark, d):
     return C.allele_fractions_across(c.filter(F.col("count") > 25), c.filter(F.col("count") <= 10)).withColumn("vaf", F.round("vaf", 9))
 
 
-@query("""+ b AS (SELECT vcrs_id, CASE WHEN sum("count") > 0 THEN 1.0 ELSE 0.0 END AS "count" FROM counts WHERE "count" > 10 AND cast(substr(vcrs_id, 2) AS BIGINT) % 3 > 0 GROUP BY 1)
+@query("""+ b AS (SELECT vcrs_id, CASE WHEN sum("count") > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS "count" FROM counts WHERE "count" > 10 AND cast(substr(vcrs_id, 2) AS BIGINT) % 3 > 0 GROUP BY 1)
     SELECT (SELECT min(barcode) FROM counts WHERE "count" > 10 AND cast(substr(vcrs_id, 2) AS BIGINT) % 3 > 0) AS barcode, vcrs_id, "count" FROM b""", "counts")
 def binary_sums(spark, d):
     c = T.counts(spark, d)
