@@ -131,16 +131,21 @@ def vcf_variant(pos, ref, alt) -> Column:
     )
 
 
-def vcf_long_duplication(pos, ref, alt, seq) -> Column:
-    """'g.start_POSdup' where an insertion repeats the bases before it; else null."""
-    pos, ref, alt, seq = map(_col, (pos, ref, alt, seq))
+def long_duplication(pos, ref, alt, before) -> Column:
+    """'g.start_POSdup' where an insertion repeats ``before``, the bases up to it; else null."""
+    pos, ref, alt, before = map(_col, (pos, ref, alt, before))
     n = F.length(alt) - 1
     start = pos - n + 1
-    before = F.substring(seq, start.cast("int"), n.cast("int"))
     same = (vcf_type(ref, alt) == "insertion") & (start >= 1) & (F.substring(alt, F.lit(2), n) == before) & (F.substring(alt, -1, 1) == ref)
     return F.when(same, F.concat(F.lit("g."), start.cast("string"), F.lit("_"), pos.cast("string"), F.lit("dup")))
 
 
+def vcf_long_duplication(pos, ref, alt, seq) -> Column:
+    """``long_duplication`` by the whole sequence."""
+    n = F.length(_col(alt)) - 1
+    return long_duplication(pos, ref, alt, F.substring(_col(seq), (_col(pos) - n + 1).cast("int"), n.cast("int")))
+
+
 def repair_strand(variant, strand) -> Column:
     """A genomic name as read on the plus strand: on '-', bases are complemented, insertions reversed."""
     variant, strand = _col(variant), _col(strand)

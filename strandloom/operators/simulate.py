@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -54,34 +52,28 @@ def sequencing_errors(reads: DataFrame, *, rate: float = 1e-4, shares: tuple[flo
     towards ``max_errors``.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for read_id, seq in zip(batch["read_id"], batch["sequence"], strict=True):
-                rng = np.random.default_rng([seed, *read_id.encode()])
-                hits = np.flatnonzero(rng.random(len(seq)) < rate)
-                bases, errors = list(seq), 0
-                for i in hits.tolist():
-                    if max_errors is not None and errors >= max_errors:
-                        break
-                    if rng.random() < shares[0]:
-                        bases[i] = str(rng.choice([b for b in "ACGT" if b != seq[i]]))
-                        errors += 1
-                    elif rng.random() < shares[2]:
-                        bases[i] = str(rng.choice(list("ACGT")))
-                        errors += 1
-                    else:
-                        bases[i] = ""
-                out.append("".join(bases))
-            yield batch.assign(sequence=out)
-
-    return reads.mapInPandas(run, reads.schema)
+    draw = lambda i, n: F.pmod(F.xxhash64("read_id", i, F.lit(seed + 101 * n)), F.lit(1 << 52)) / float(1 << 52)
+    hit = lambda i: draw(i, 0) < rate
+    other, any_base = (lambda i: draw(i, 1) < shares[0]), (lambda i: draw(i, 2) < shares[2])
+    pick = lambda bases, i: F.substring(bases, F.floor(draw(i, 3) * F.length(bases)).cast("int") + 1, F.lit(1))
+    places = S.positions(F.length("sequence"))
+    last = F.length("sequence")
+    if max_errors is not None:  # the place of the last error that is allowed
+        counted = F.filter(places, lambda i: hit(i) & (other(i) | any_base(i)))
+        last = F.when(F.size(counted) > max_errors, F.get(counted, max_errors - 1) if max_errors else F.lit(0)).otherwise(last)
+
+    def read(i: Column) -> Column:
+        base = F.substring("sequence", i, F.lit(1))
+        wrong = F.when(other(i), pick(F.replace(F.lit("ACGT"), base, F.lit("")), i)).when(any_base(i), pick(F.lit("ACGT"), i)).otherwise("")
+        return F.when(hit(i) & (i <= F.col("_last")), wrong).otherwise(base)
+
+    return reads.withColumn("_last", last).withColumn("sequence", F.array_join(F.transform(places, read), "")).drop("_last")
 
 
 def noisy_quality(reads: DataFrame, mean: float = 30, sd: float = 5, seed: int = 42) -> DataFrame:
     """Qualities from a normal distribution within 0 .. 40, drawn from hashes of the read and place."""
     unit = lambda i, s: (F.pmod(F.xxhash64("read_id", i, F.lit(seed + s)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    normal = lambda i: F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * np.pi * unit(i, 1))
+    normal = lambda i: F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * math.pi * unit(i, 1))
     score = lambda i: F.greatest(F.lit(0), F.least(F.lit(40), F.round(mean + sd * normal(i)).cast("int")))
     return reads.withColumn("quality", F.array_join(F.transform(S.positions(F.length("sequence")), lambda i: F.chr(score(i) + 33)), ""))
 

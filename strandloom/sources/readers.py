@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,16 +33,11 @@ def read_fastq(spark: SparkSession, path, file_index: int = 0) -> DataFrame:
     """
     numbered = spark.read.text(path).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     numbered = numbered.withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
-    counts = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one number per part
-    before, total = [], 0
-    for p in sorted(counts):
-        before.append((p, total))
-        total += counts[p]
-    first = F.lit(0).cast("long")
-    if before:
-        table = F.create_map(*(F.lit(x) for pair in before for x in pair))
-        first = F.coalesce(F.try_element_at(table, F.col("_part")), F.lit(0)).cast("long")
-    line = first + F.col("_row")
+    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = numbered.join(F.broadcast(offsets), "_part")
+    line = F.col("_first") + F.col("_row")
     rows = numbered.select(F.floor(line / 4).alias("read_index"), (line % 4).alias("_k"), F.col("value"))
     pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
     out = rows.groupBy("read_index").agg(F.regexp_replace(pick(0), "^@", "").alias("header"), pick(1).alias("sequence"), pick(3).alias("quality"))
@@ -82,13 +77,9 @@ def vcf_variants(records: DataFrame, sequences: DataFrame | None = None) -> Data
     n = F.length("ALT")
     out = out.withColumns({"seq_id": F.col("CHROM"), "_low": F.col("POS") - n + 1, "_high": F.col("POS")})
     out = windows(out, sequences, "_low", "_high", "_before")
-    same = (F.col("variant_type") == "insertion") & (F.substring("ALT", -1, 1) == F.col("REF")) & (F.col("_low") >= 0)
-    same = same & (F.substring("ALT", F.lit(2), n) == F.col("_before"))
-    name = F.concat(F.lit("g."), (F.col("_low") + 1).cast("string"), F.lit("_"), F.col("POS").cast("string"), F.lit("dup"))
-    same = F.coalesce(same, F.lit(False))
-    return out.withColumns(
-        {"variant": F.when(same, name).otherwise(F.col("variant")), "variant_type": F.when(same, "duplication").otherwise(F.col("variant_type"))}
-    ).drop("_low", "_high", "_before", "seq_id")
+    name = H.long_duplication("POS", "REF", "ALT", "_before")
+    kind = F.when(name.isNotNull(), "duplication").otherwise(F.col("variant_type"))
+    return out.withColumns({"variant": F.coalesce(name, "variant"), "variant_type": kind}).drop("_low", "_high", "_before", "seq_id")
 
 
 def read_gtf(spark: SparkSession, path) -> DataFrame:

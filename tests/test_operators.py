@@ -114,6 +114,18 @@ def test_simulated_reads_are_slices(spark):
     assert SIM.noisy_quality(every).filter(F.length("quality") == F.length("sequence")).count() == 10
 
 
+def test_sequencing_errors(spark):
+    reads = spark.createDataFrame([(f"r{i}", "ACGT" * 50) for i in range(200)], "read_id string, sequence string")
+    count = lambda df: df.select(F.sum(F.levenshtein("sequence", F.repeat(F.lit("ACGT"), 50)))).first()[0]
+    plain = SIM.sequencing_errors(reads, rate=0.01, shares=(1.0, 0.0, 0.0))
+    assert 300 < count(plain) < 500 and plain.filter("length(sequence) <> 200").count() == 0
+    assert plain.exceptAll(SIM.sequencing_errors(reads.repartition(7), rate=0.01, shares=(1.0, 0.0, 0.0))).count() == 0
+    assert SIM.sequencing_errors(reads, rate=0.5, shares=(0.0, 0.0, 0.0)).select(F.avg(F.length("sequence"))).first()[0] < 110
+    one = SIM.sequencing_errors(reads, rate=0.1, shares=(1.0, 0.0, 0.0), max_errors=1)
+    assert one.select(F.max(F.levenshtein("sequence", F.repeat(F.lit("ACGT"), 50)))).first()[0] == 1 and count(one) == 200
+    assert count(SIM.sequencing_errors(reads, rate=0.1, max_errors=0)) == 0
+
+
 def test_build_count_round_trip(spark):
     """Reads of a sequence are assigned to it, whatever the partitioning."""
     targets = spark.createDataFrame([("v1", "ACGTACGGTTACGATTGCA"), ("v2", "TTGCCCATGACCAGTGGAC")], "id string, sequence string")
