@@ -99,6 +99,20 @@ def kmers(seq, k: int, stranded: bool = True) -> Column:
     return forward if stranded else F.concat(forward, F.transform(forward, lambda x: reverse_complement(x)))
 
 
+def kmer_hash(kmer) -> Column:
+    """md5 of a k-mer, as hex."""
+    return F.md5(_col(kmer))
+
+
+def window_around(seq, part, size: int, draw) -> Column:
+    """A window of ``size`` bases that holds the first ``part``; ``draw`` (0 to 1) picks it.  Null where it isn't there or doesn't fit."""
+    at = F.instr(_col(seq), _col(part))
+    low = F.greatest(at + F.length(_col(part)) - size, F.lit(1))
+    high = F.least(at, F.length(_col(seq)) - size + 1)
+    start = low + F.floor(_col(draw) * (high - low + 1)).cast("int")
+    return F.when((at > 0) & (low <= high), F.substring(_col(seq), F.least(start, high), F.lit(size)))
+
+
 def canonical(kmer) -> Column:
     """The smaller of a k-mer and its reverse complement."""
     return F.least(_col(kmer), reverse_complement(kmer))

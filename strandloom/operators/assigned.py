@@ -222,6 +222,33 @@ def detected_variants(matrix: DataFrame, least: float = 1) -> DataFrame:
     return matrix.groupBy("vcrs_id").agg(F.sum("count").alias("_n")).filter(F.col("_n") >= least).select("vcrs_id")
 
 
-def one_wild_type(vcrs: DataFrame, column: str = "wt_sequence") -> DataFrame:
+def reference_headers(reads: DataFrame, references: DataFrame, header: str = "header") -> DataFrame:
+    """``reads`` (read_header) with reference_header: the merged header that names them, the first in
+    order; without one, their own."""
+    each = references.select(F.col(header).alias("_whole"), F.explode(F.split(header, ";")).alias("read_header"))
+    first = each.groupBy("read_header").agg(F.min("_whole").alias("reference_header"))
+    return reads.join(first, "read_header", "left").withColumn("reference_header", F.coalesce("reference_header", "read_header"))
+
+
+def sequences_of(seqs: DataFrame, ids: DataFrame, *, keep: bool = True, id_col: str = "seq_id") -> DataFrame:
+    """The sequences whose id is in ``ids``, or with ``keep=False`` the others."""
+    return seqs.join(ids.select(id_col).distinct(), id_col, "left_semi" if keep else "left_anti")
+
+
+def not_distracted(reads: DataFrame, targets: DataFrame, dlist: DataFrame, k: int) -> DataFrame:
+    """``reads`` (read_index, targets) that a distractor has taken and that get back: those of whose
+    targets none shares a k-mer with a distractor of its own.
+
+    ``targets``: vcrs_id, sequence; ``dlist``: id (of the target), sequence.
+    """
+    from .kmers import exploded
+
+    own = exploded(targets, k, False, "vcrs_id", "sequence").select("id", "kmer").distinct()
+    shared = own.join(exploded(dlist, k, False, "id", "sequence").select("id", "kmer").distinct(), ["id", "kmer"]).select(F.col("id").alias("vcrs_id")).distinct()
+    taken = reads.select("read_index", F.explode("targets").alias("vcrs_id")).join(shared, "vcrs_id").select("read_index").distinct()
+    return reads.join(taken, "read_index", "left_anti")
+
+
+def one_wild_type(vcrs: DataFrame, column: str = "wt_sequences") -> DataFrame:
     """The rows whose list of wild-type sequences has one distinct value."""
     return vcrs.filter(F.size(F.array_distinct(column)) == 1)

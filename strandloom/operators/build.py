@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hgvs as H
@@ -65,6 +65,43 @@ def prepare(variants: DataFrame, seq_id_col: str, var_col: str, id_col: str | No
     return out if "original_order" in out.columns else out.withColumn("original_order", F.monotonically_increasing_id())
 
 
+def literal_inputs(spark: SparkSession, sequences: str | list[str], variants: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(variants, sequences) from texts given in place: seq1, seq2 ... with one variant each, or one for all."""
+    seqs = [sequences] if isinstance(sequences, str) else list(sequences)
+    names = [variants] * len(seqs) if isinstance(variants, str) else list(variants)
+    names = names * len(seqs) if len(names) == 1 else names
+    if len(names) != len(seqs):
+        raise ValueError(f"{len(names)} variants for {len(seqs)} sequences: as many are needed, or one for all")
+    ids = [f"seq{i}" for i in range(1, len(seqs) + 1)]
+    rows = spark.createDataFrame(list(zip(ids, names, [f"var{i}" for i in range(1, len(ids) + 1)], strict=True)), "seq_ID string, mutation string, var_ID string")
+    return rows, spark.createDataFrame(list(zip(ids, seqs, strict=True)), "seq_id string, sequence string")
+
+
+def with_transcript_bounds(variants: DataFrame, gtf: DataFrame, seq_id_col: str = "seq_ID") -> DataFrame:
+    """``variants`` with start_transcript_position, end_transcript_position and strand of their transcript.
+
+    Unknown transcripts get 0, 9999999 and '.'; one that the GTF names twice is an error.
+    """
+    known = gtf.filter("feature = 'transcript'").select(H.without_version("transcript_id").alias("_id"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("strand").alias("_strand"))
+    once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("transcript named twice: "), F.first("_id")))).otherwise(F.first("_s"))
+    known = known.groupBy("_id").agg(once.alias("_s"), F.first("_e").alias("_e"), F.first("_strand").alias("_strand"))
+    out = variants.join(known, H.without_version(seq_id_col) == F.col("_id"), "left")
+    values = {
+        "start_transcript_position": F.coalesce("_s", F.lit(0)), "end_transcript_position": F.coalesce("_e", F.lit(9999999)), "strand": F.coalesce("_strand", F.lit(".")),
+    }
+    return out.withColumns(values).drop("_id", "_s", "_e", "_strand")
+
+
+def without_duplications(variants: DataFrame, var_col: str = "mutation") -> DataFrame:
+    """The rows that name no duplication; rows without a name stay."""
+    return variants.filter(~F.coalesce(F.contains(F.col(var_col), F.lit("dup")), F.lit(False)))
+
+
+def with_genome_variant(variants: DataFrame, var_col: str = "mutation_genome") -> DataFrame:
+    """The rows that have a variant on the genome."""
+    return variants.filter(F.coalesce(F.col(var_col), F.lit("")).rlike(r"^g\.|^[^:]+:g\."))
+
+
 def keep_fullest(variants: DataFrame) -> DataFrame:
     """Of rows with the same sequence and variant, the one with the fewest nulls; then the first."""
     filled = sum((F.col(c).isNotNull().cast("int") for c in variants.columns), F.lit(0))
@@ -218,14 +255,16 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
     return Built(staying, numbered(vcrs, "original_order"), checked)
 
 
-def merge_identical(variants: DataFrame, reverse_complements: bool = True) -> DataFrame:
+def merge_identical(variants: DataFrame, reverse_complements: bool = True, keep_wild_types: bool = False) -> DataFrame:
     """One row per distinct sequence (or pair with its reverse complement): vcrs_header (headers
-    joined with ';' in order), vcrs_sequence (of the first header), original_order (the least)."""
+    joined with ';' in order), vcrs_sequence (of the first header), original_order (the least), and
+    with ``keep_wild_types`` wt_sequences, in the order of the headers."""
     seq = F.col("vcrs_sequence")
     key = F.least(seq, S.reverse_complement(seq)) if reverse_complements else seq
     merged = variants.groupBy(key.alias("_key")).agg(
         F.array_join(F.array_sort(F.collect_list("header")), ";").alias("vcrs_header"),
         F.min_by("vcrs_sequence", "header").alias("vcrs_sequence"),
         F.min("original_order").alias("original_order"),
+        *([F.transform(F.array_sort(F.collect_list(F.struct("header", "wt_sequence"))), lambda x: x["wt_sequence"]).alias("wt_sequences")] if keep_wild_types else []),
     )
     return merged.drop("_key")

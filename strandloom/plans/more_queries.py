@@ -389,3 +389,50 @@ def recount_with_mistakes(spark, d):
 def set_sizes(spark, d):
     t = T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity")
     return E.set_comparison(t.filter("l_quantity > 49").select("k"), t.filter("l_quantity < 2").select("k"), "k")
+
+
+@query("""+ t AS (SELECT 'T' || (l_partkey % 300) AS transcript_id, min(l_partkey) AS s, max(l_partkey) + 9 AS e FROM lineitem WHERE l_partkey % 300 < 200 GROUP BY 1),
+    v AS (SELECT 'T' || (doc_id % 300) AS tid, seq_id, variant FROM variants WHERE NOT contains(variant, 'dup'))
+    SELECT seq_id, variant, tid, coalesce(s, 0) AS s, coalesce(e, 9999999) AS e, CASE WHEN s IS NULL THEN '.' ELSE '+' END AS strand FROM v LEFT JOIN t ON transcript_id = tid""", "variants")
+def transcript_bounds(spark, d):
+    name = F.concat(F.lit("T"), (F.col("l_partkey") % 300).cast("string")).alias("transcript_id")
+    gtf = T.read(spark, d, "lineitem").filter("l_partkey % 300 < 200").groupBy(name).agg(F.min("l_partkey").alias("start"), (F.max("l_partkey") + 9).alias("end"))
+    gtf = gtf.withColumns({"feature": F.lit("transcript"), "strand": F.lit("+"), "transcript_id": F.concat("transcript_id", F.lit(".3"))})
+    v = T.variants(spark, d).withColumn("tid", F.concat(F.lit("T"), (F.col("doc_id") % 300).cast("string")))
+    out = B.with_transcript_bounds(B.without_duplications(v, "variant"), gtf, "tid")
+    return out.select("seq_id", "variant", "tid", F.col("start_transcript_position").alias("s"), F.col("end_transcript_position").alias("e"), "strand")
+
+
+@query("""+ h AS (SELECT seq_id || ':' || variant AS h, seq_id, pos FROM variants), m AS (SELECT string_agg(h, ';' ORDER BY h) AS w, list(h) AS names FROM h WHERE pos % 4 > 0 GROUP BY seq_id, pos // 3),
+    e AS (SELECT unnest(names) AS h, w FROM m) SELECT h.h AS read_header, coalesce(w, h.h) AS reference_header FROM h LEFT JOIN e USING (h)""", "variants")
+def reference_headers(spark, d):
+    v = T.variants(spark, d).withColumn("h", F.concat("seq_id", F.lit(":"), "variant"))
+    merged = v.filter("pos % 4 > 0").groupBy("seq_id", F.floor(F.col("pos") / 3).alias("p")).agg(F.array_join(F.array_sort(F.collect_list("h")), ";").alias("header"))
+    return A.reference_headers(v.select(F.col("h").alias("read_header")), merged)
+
+
+@query("""+ a AS (SELECT seq_id, seq FROM dna WHERE doc_id % 3 = 0), b AS (SELECT seq_id, seq FROM dna WHERE doc_id % 3 > 0 AND seq_id NOT IN (SELECT 'S' || (o_custkey * 7) FROM orders))
+    SELECT seq_id, md5(seq) AS hashed FROM a UNION ALL SELECT seq_id, md5(seq) FROM b""", "dna")
+def sequences_of(spark, d):
+    t = T.dna(spark, d).select("seq_id", "doc_id", F.col("seq").alias("sequence"))
+    named = T.read(spark, d, "orders").select(F.concat(F.lit("S"), (F.col("o_custkey") * 7).cast("string")).alias("seq_id"))
+    a = A.sequences_of(t, t.filter("doc_id % 3 = 0"))
+    b = A.sequences_of(t.filter("doc_id % 3 > 0"), named, keep=False)
+    return a.unionByName(b).select("seq_id", S.kmer_hash("sequence").alias("hashed"))
+
+
+@query("""+ r AS (SELECT doc_id, seq, substr(seq, 1 + doc_id % 20, 12) AS part FROM dna WHERE length(seq) >= 60), p AS (SELECT *, instr(seq, part) AS spot FROM r)
+    SELECT doc_id, substr(seq, greatest(spot + 12 - 40, 1), 40) AS leftmost, substr(seq, least(spot, length(seq) - 39), 40) AS rightmost FROM p""", "dna")
+def windows_around(spark, d):
+    t = T.dna(spark, d).filter("length(seq) >= 60").withColumn("part", F.expr("substr(seq, 1 + doc_id % 20, 12)"))
+    return t.select("doc_id", S.window_around("seq", "part", 40, F.lit(0.0)).alias("leftmost"), S.window_around("seq", "part", 40, F.lit(0.999999)).alias("rightmost"))
+
+
+@query("""+ t AS (SELECT seq_id || ':' || variant AS header, substr(seq, 1 + pos % 5, 20) AS s, substr(seq, 1 + pos % 2, 20) AS w FROM variants JOIN dna USING (seq_id)),
+    m AS (SELECT string_agg(header, ';' ORDER BY header) AS vcrs_header, arg_min(s, header) AS vcrs_sequence, count(DISTINCT w) AS n FROM t GROUP BY s)
+    SELECT vcrs_header, vcrs_sequence FROM m WHERE n = 1""", "variants", "dna")
+def one_wild_type(spark, d):
+    v = T.variants(spark, d).join(T.dna(spark, d).select("seq_id", "seq"), "seq_id")
+    v = v.select(F.concat("seq_id", F.lit(":"), "variant").alias("header"), F.expr("substr(seq, 1 + pos % 5, 20)").alias("vcrs_sequence"), F.expr("substr(seq, 1 + pos % 2, 20)").alias("wt_sequence"), F.lit(0).alias("original_order"))
+    merged = B.merge_identical(v, reverse_complements=False, keep_wild_types=True)
+    return A.one_wild_type(merged).select("vcrs_header", "vcrs_sequence")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,26 @@ def read_fastq(spark: SparkSession, path, file_index: int = 0) -> DataFrame:
     return out.select(F.lit(file_index).alias("file_index"), "read_index", "header", "sequence", "quality")
 
 
+def list_fastqs(spark: SparkSession, source: str | list[str]) -> list[str]:
+    """Paths of FASTQ files: a list of them, a folder, a text file that lists them, or one file."""
+    if not isinstance(source, str):
+        return list(source)
+    if source.endswith(".txt"):
+        return [r["value"].strip() for r in spark.read.text(source).filter("trim(value) <> ''").collect()]  # names only
+    if re.search(r"\.(fastq|fq)(\.\w+)?$", source):
+        return [source]
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}").load(source).select("path")
+    return sorted(r["path"] for r in found.collect())  # names only
+
+
+def concatenated(reads: list[DataFrame]) -> DataFrame:
+    """Reads of several files as those of one; file_index tells them apart."""
+    out = reads[0].withColumn("file_index", F.lit(0))
+    for i, other in enumerate(reads[1:], 1):
+        out = out.unionByName(other.withColumn("file_index", F.lit(i)))
+    return out
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV, TSV or Parquet by the name's ending; without a schema all columns are text."""
     if path.rstrip("/").endswith(".parquet"):

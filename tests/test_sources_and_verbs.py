@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli
+from strandloom.operators import assigned as A
+from strandloom.operators import build as B
 from strandloom.plans import technology as T
 from strandloom.plans import verbs as V
 from strandloom.sources import readers as R
@@ -88,6 +90,28 @@ def test_reference_info_and_counts(spark):
     assert {r["tumor_purity"] for r in purity.collect()} == {1.0}
 
 
+def test_inputs_given_in_place_and_lists_of_files(spark, tmp_path):
+    rows, seqs = B.literal_inputs(spark, ["ACGT", "GGGG"], "c.1A>C")
+    assert [tuple(r) for r in rows.collect()] == [("seq1", "c.1A>C", "var1"), ("seq2", "c.1A>C", "var2")] and seqs.count() == 2
+    with pytest.raises(ValueError, match="3 sequences"):
+        B.literal_inputs(spark, ["A", "C", "G"], ["c.1A>C", "c.1C>A"])
+    read = "@r\nACGT\n+\nIIII\n"
+    one, two = put(tmp_path, "a.fastq", read), put(tmp_path, "b.fq", read * 2)
+    put(tmp_path, "notes.md", "x")
+    listed = put(tmp_path, "list.txt", f"{two}\n\n{one}\n")
+    names = lambda source: [p.rsplit("/", 1)[-1] for p in R.list_fastqs(spark, source)]
+    assert names(str(tmp_path)) == ["a.fastq", "b.fq"] and names(listed) == ["b.fq", "a.fastq"] and names(one) == ["a.fastq"] and names([two]) == ["b.fq"]
+    together = R.concatenated([R.read_fastq(spark, p) for p in (one, two)])
+    assert sorted((r["file_index"], r["read_index"]) for r in together.collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_reads_that_distractors_took(spark):
+    targets = spark.createDataFrame([("v1", "ACGTACGGTTACG"), ("v2", "TTGCCCATGACCA")], "vcrs_id string, sequence string")
+    dlist = spark.createDataFrame([("v1", "GGACGTACGGTT"), ("v2", "AAAAAAAAAAAA")], "id string, sequence string")
+    reads = spark.createDataFrame([(1, ["v1"]), (2, ["v2"]), (3, ["v1", "v2"])], "read_index int, targets array<string>")
+    assert [r["read_index"] for r in A.not_distracted(reads, targets, dlist, 7).collect()] == [2]
+
+
 def test_all_columns(spark):
     seq = "ACGTTGCAACCTGGATCGATTACGGCATTCAGGCTAAGCTTCCGATAAGCTGATCCGTAA"
     vcrs = spark.createDataFrame([("v1", "s:c.15A>C;s:c.30G>A", seq[5:25]), ("v2", "s:c.40A>T", "TTTTTTTTTTTTTTT"), ("v3", "t:c.9A>C", seq[10:20])], "vcrs_id string, vcrs_header string, vcrs_sequence string")
