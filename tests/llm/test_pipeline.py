@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from test_near_and_lines import sentence
+from test_near_and_lines import best_edits, brute_components, brute_lines, sentence
 
 
 def test_stages(spark, tmp_path):
@@ -64,6 +64,43 @@ def test_rows_without_ids_and_empty_tables(spark, tmp_path):
     assert all(stage(spark, none, folder).count() == 0 for _, stage in P.STAGES)
 
 
+def test_stages_against_brute_force(spark, tmp_path):
+    """What line dedup, near dedup, decontamination and packing keep, against plain versions of them."""
+    rng = random.Random(31)
+    pool = [sentence(rng, n) for n in (8, 14, 30, 40, 60)]
+    items = [(i, sentence(rng, 30)) for i in range(3)]
+    rows = []
+    for i in range(70):
+        lines = [rng.choice(pool) if rng.random() < 0.3 else sentence(rng, rng.randint(5, 20)) for _ in range(rng.randint(1, 7))]
+        if rng.random() < 0.2:
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(items)[1])
+        rows.append((i, "\n".join(lines)))
+    for i in range(70, 90):
+        words = rows[rng.randrange(70)][1].split(" ")
+        words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    folder = str(tmp_path)
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    stages = dict(P.STAGES)
+    gone = brute_lines(rows)
+    rows = [(i, "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows]
+    rows = [(i, t) for i, t in rows if t.strip() or not gone[i]]
+    df = stages["line_dedup"](spark, df, folder)
+    assert sorted((r["doc_id"], r["text"]) for r in df.collect()) == rows
+    _, label = brute_components(rows, 5)
+    rows = [(i, t) for i, t in rows if label[i] == i]
+    df = stages["near_dedup"](spark, df, folder)
+    assert sorted((r["doc_id"], r["text"]) for r in df.collect()) == rows
+    bound = lambda x: min(int(len(x) * 0.06), max((len(x) - 10) // 10, 0))
+    rows = [(i, t) for i, t in rows if all(best_edits(x, " ".join(t.split())) > bound(x) for _, x in items)]
+    df = stages["decontamination"](spark, df, folder)
+    assert sorted((r["doc_id"], r["text"]) for r in df.collect()) == rows
+    pieces = stages["packing"](spark, df, folder).collect()
+    assert {r["doc_id"] for r in pieces} == {i for i, _ in rows} and len(rows) < 80
+
+
 def test_copy_with_blank_lines_goes(spark):
     rng = random.Random(10)
     text = sentence(rng, 60) + "\n\n \n" + sentence(rng, 60)
