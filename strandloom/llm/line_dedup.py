@@ -96,13 +96,15 @@ def removed_lines(
 
     place = F.struct("doc", "row", "start")
     head = spots.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    later = spots.join(head.select("run", "first"), "run").filter(place != F.col("first")).select("row", "start", "end")
+    # written first, so that both sides of the join are exchanged and a hot run can be split
+    head = written(head.select("run", "first"), "heads")
+    later = spots.join(head, "run").filter(place != F.col("first")).select("row", "start", "end")
     later = later.repartition("row").groupBy("row", "start").agg(F.max("end").alias("end"))
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     later = later.withColumn("from", F.greatest("start", F.max("end").over(before) + 1)).filter(F.col("from") <= F.col("end"))
     removed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("from", "end"))), lambda x: F.sequence(x["from"], x["end"])))
     out = written(later.groupBy("row").agg(removed.alias("removed")), "removed")
-    discard(spots)
+    discard(spots, head)
     return out
 
 
