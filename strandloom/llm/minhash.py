@@ -212,7 +212,7 @@ def _filtered(edges: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) that the bitmaps let pass."""
     ends = [profiles.select(F.col("id").alias(c), F.struct("n", "bits").alias(f"p_{c}")) for c in "ab"]
     both = edges.join(ends[0], "a").join(ends[1], "b")
-    return both.filter(_near(_fields("p_a"), _fields("p_b"), percent)).select("a", "b").distinct()
+    return both.filter(_near(_fields("p_a"), _fields("p_b"), percent)).select("a", "b")
 
 
 def _confirm(docs: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
@@ -230,7 +230,9 @@ def _star(rows: DataFrame, seed: int) -> DataFrame:
     Leaders come first in one random order of all texts, so a text has few leaders in all its buckets.
     """
     first = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(seed))).alias("leader")
-    pairs = rows.join(rows.groupBy("key").agg(first), "key").filter("component <> leader.component")
+    # written first, so that both sides of the join are exchanged and a hot bucket can be split
+    leaders = written(rows.groupBy("key").agg(first), "leaders")
+    pairs = rows.join(leaders, "key").filter("component <> leader.component")
     return pairs.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
 
 
@@ -239,8 +241,9 @@ def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     known = buckets.join(found.withColumnRenamed("node", "id"), "id", "left")
     known = written(known.select("key", "id", F.coalesce("component", "id").alias("component")), "known")
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    out = written(known.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    discard(known)
+    mixed = written(mixed.select("key"), "mixed_keys")
+    out = written(known.join(mixed, "key", "left_semi"), "mixed")
+    discard(known, mixed)
     return out
 
 
