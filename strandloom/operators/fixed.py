@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` as rows in the session's checkpoint folder, for tables that several plans read again.
 
-    Without such a folder it stays a plan, and is worked out wherever it is used.
+    The folder is ``spark.checkpoint.dir``.  Where it is unset a session on one machine gets a temporary
+    folder; a cluster gets an error, as its machines share none.
     """
     context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()

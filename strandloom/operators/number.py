@@ -1,45 +1,39 @@
-"""Gapless numbers without a single-task window."""
+"""Gapless numbers without a single-task window, for any number of rows and any order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fixed import materialised
 
 
-def row_numbers(rows: DataFrame, *order: str, name: str = "row_number", parts: int = 64) -> DataFrame:
-    """``rows`` numbered from 1 in the order of numeric or string columns ``order``.
+def ranked(rows: DataFrame, *order: Column | str, name: str = "row_number", ranges: int | None = None) -> DataFrame:
+    """``rows`` numbered from 1 in the order of columns of any type (``F.desc`` and the like work too).
 
-    Rows are dealt into ranges of the first column by its approximate quantiles; a range's numbers
-    begin after the rows of the ranges before it, which are counted once.
+    Rows are dealt into ranges of *all* order columns by a sample, so a first column of few values
+    still gives many ranges, and only rows that are equal in all of them stay together.  Ranges are sorted, and a
+    range's numbers begin after the rows of the ranges before it, which are counted once.  The sorted
+    ranges are written down first: they are read twice, and have to be the same each time.
     """
-    first = order[0]
-    if dict(rows.dtypes)[first] in ("int", "bigint", "smallint", "double", "float"):
-        cuts = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("c"))
-        ranged = rows.crossJoin(F.broadcast(cuts))  # one row
-        place = F.coalesce(F.size(F.filter("c", lambda x: x < F.col(first))), F.lit(-1))
-    else:
-        cuts = rows.agg(F.percentile_approx(F.conv(F.substring(F.hex(first), 1, 12), 16, 10).cast("long"), [i / parts for i in range(1, parts)], 10_000).alias("c"))
-        ranged = rows.crossJoin(F.broadcast(cuts))
-        code = F.conv(F.rpad(F.substring(F.hex(first), 1, 12), 12, "0"), 16, 10).cast("long")
-        place = F.coalesce(F.size(F.filter("c", lambda x: x < code)), F.lit(-1))
-    ranged = ranged.withColumn("_range", place).drop("c")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    dealt = rows.repartitionByRange(*order) if ranges is None else rows.repartitionByRange(ranges, *order)
+    place = {"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    dealt = materialised(dealt.sortWithinPartitions(*order).withColumns(place))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_range").orderBy(*order)
-    out = ranged.withColumn("_rank", F.row_number().over(own)).join(F.broadcast(offsets), "_range")
-    return out.withColumn(name, F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
+    out = dealt.join(F.broadcast(offsets), "_range")  # as many rows as shuffle partitions
+    return out.withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_range", "_at", "_before")
 
 
-def numbered(rows: DataFrame, *order: str, prefix: str = "vcrs_", name: str = "vcrs_id") -> DataFrame:
-    """Ids like vcrs_07: numbers in order, with as many digits as the last one has.
+def row_numbers(rows: DataFrame, *order: str, name: str = "row_number") -> DataFrame:
+    """``rows`` numbered from 1 in the order of columns ``order``; nulls come first."""
+    return ranked(rows, *order, name=name)
 
-    The rows are written down first: they are read several times, and have to be the same each time.
-    """
-    rows = materialised(rows)
-    out = row_numbers(rows, *order, name="_number")
-    total = rows.agg(F.length(F.count("*").cast("string")).alias("_digits"))
-    out = out.crossJoin(F.broadcast(total))
+
+def numbered(rows: DataFrame, *order: str, prefix: str = "vcrs_", name: str = "vcrs_id") -> DataFrame:
+    """Ids like vcrs_07: numbers in order, with as many digits as the last one has."""
+    out = ranked(rows, *order, name="_number")
+    total = out.agg(F.length(F.max("_number").cast("string")).alias("_digits"))
+    out = out.crossJoin(F.broadcast(total))  # one row
     return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_number").cast("string"), F.col("_digits"), "0"))).drop("_number", "_digits")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hgvs as H
+from .fastq import read_fastq  # noqa: F401
 
 GTF = T.StructType([T.StructField(n, t) for n, t in (
     ("seqname", T.StringType()), ("source", T.StringType()), ("feature", T.StringType()), ("start", T.LongType()), ("end", T.LongType()),
@@ -27,25 +28,6 @@ def read_fasta(spark: SparkSession, path, *, split_headers: bool = False, id_onl
     return rows.select((H.fasta_id("title") if id_only else F.col("title")).alias("seq_id"), "title", "sequence")
 
 
-def read_fastq(spark: SparkSession, path, file_index: int = 0) -> DataFrame:
-    """file_index, read_index, header, sequence, quality.
-
-    Lines are numbered over the parts of the file in order: the part's first line follows from the
-    counts of the parts before it, so no task sees more than its own part.
-    """
-    numbered = spark.read.text(path).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    numbered = numbered.withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    numbered = numbered.join(F.broadcast(offsets), "_part")
-    line = F.col("_first") + F.col("_row")
-    rows = numbered.select(F.floor(line / 4).alias("read_index"), (line % 4).alias("_k"), F.col("value"))
-    pick = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
-    out = rows.groupBy("read_index").agg(F.regexp_replace(pick(0), "^@", "").alias("header"), pick(1).alias("sequence"), pick(3).alias("quality"))
-    return out.select(F.lit(file_index).alias("file_index"), "read_index", "header", "sequence", "quality")
-
-
 def list_fastqs(spark: SparkSession, source: str | list[str]) -> list[str]:
     """Paths of FASTQ files: a list of them, a folder, a text file that lists them, or one file."""
     if not isinstance(source, str):
