@@ -180,11 +180,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         trim = {"head": a.trim_head, "tail": a.trim_tail, "window": a.cut_window, "mean": a.cut_mean, "poly_g": a.trim_poly_g}
         W.write_fastq(V.clean_reads(reads, trim=trim, control=control, mask_below=a.mask_below, split_n=a.split_n, min_length=a.min_length or None), f"{a.out}/reads.fastq", mode=mode)
     elif a.verb == "count":
-        from .operators.kmers import kmer_index
-
-        index = kmer_index(spark.read.parquet(a.vcrs), a.k, False, "vcrs_id", "vcrs_sequence")
         options = {"multimapping": not a.no_multimapping, "union": a.union, "umi": tuple(a.umi) if a.umi else None}
-        assigned, matrix = V.count(_reads(spark, a), index, a.k, a.technology, whitelist=_whitelist(spark, a.whitelist), **options)
+        assigned, matrix = V.count(_reads(spark, a), spark.read.parquet(a.vcrs), a.k, a.technology, whitelist=_whitelist(spark, a.whitelist), **options)
         save(assigned, "assigned")
         save(matrix, "counts")
     elif a.verb == "clean":

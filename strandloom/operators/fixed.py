@@ -1,8 +1,10 @@
-"""Columns that are computed once."""
+"""Columns and tables that are computed once, and Python workers that find this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +33,15 @@ def materialised(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
+
+
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, after telling Python workers of a session on one machine where this package lies.
+
+    On a cluster ship the package with ``--py-files``.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    place, paths = str(Path(__file__).resolve().parents[2]), environment.get("PYTHONPATH", "").split(os.pathsep)
+    if place not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([place, *filter(None, paths)])
+    return df

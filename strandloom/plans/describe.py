@@ -90,9 +90,8 @@ def substring_aligned(x: Inputs) -> DataFrame:
 
 
 def pseudoaligned(x: Inputs) -> DataFrame:
-    index = K.kmer_index(x.reference, x.k, x.stranded, "seq_id", "sequence")
     reads = x.vcrs.select("vcrs_id", F.col("vcrs_sequence").alias("sequence"))
-    hit = K.pseudoalign(reads, index, x.k, stranded=x.stranded, keys=["vcrs_id"]).select("vcrs_id", F.lit(True).alias("_p"))
+    hit = K.pseudoalign_to(reads, x.reference, x.k, stranded=x.stranded, keys=["vcrs_id"], id_col="seq_id").select("vcrs_id", F.lit(True).alias("_p"))
     flag = F.coalesce("_p", F.lit(False)).alias("pseudoaligned_to_reference")
     return x.vcrs.select("vcrs_id").join(hit, "vcrs_id", "left").select("vcrs_id", flag)
 

@@ -254,8 +254,7 @@ def _reads(spark, d):
     p AS (SELECT doc_id, off, id, count(*) AS n FROM h GROUP BY ALL)
     SELECT doc_id, off, string_agg(id::VARCHAR, ';' ORDER BY id) AS targets FROM p JOIN m USING (doc_id, off) WHERE n = mapped GROUP BY ALL""", "dna")
 def pseudoalignment(spark, d):
-    index = K.kmer_index(T.dna(spark, d), _K, False, "doc_id", "seq")
-    out = K.pseudoalign(_reads(spark, d), index, _K, keys=["doc_id", "off"])
+    out = K.pseudoalign_to(_reads(spark, d), T.dna(spark, d), _K, keys=["doc_id", "off"], id_col="doc_id", seq_col="seq")
     return out.select("doc_id", "off", _text(F.col("targets").cast("array<string>")).alias("targets"))
 
 

@@ -64,7 +64,8 @@ def count(
     reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk", *, multimapping: bool = True, union: bool = False, stranded: bool = False,
     umi: tuple[int, int, int] | None = None, whitelist: DataFrame | None = None,
 ):
-    """(assigned reads, counts).  ``reads``: read_index, sequence, and sample for bulk; else read_0,
+    """(assigned reads, counts).  ``index``: sequences (vcrs_id, vcrs_sequence), or single k-mers (kmer,
+    target), which cost more to join.  ``reads``: read_index, sequence, and sample for bulk; else read_0,
     read_1 ... (a read's files) or barcode_read (the one file that holds barcode and UMI).  Mates
     share a read_index.
 
@@ -73,7 +74,10 @@ def count(
     """
     name = T.known(technology)
     spans = T.BARCODES[name]
-    targets = K.pseudoalign(reads, index, k, stranded=stranded, union=union)
+    if "kmer" in index.columns:
+        targets = K.pseudoalign(reads, index, k, stranded=stranded, union=union)
+    else:
+        targets = K.pseudoalign_to(reads, index, k, stranded=stranded, union=union, id_col="vcrs_id", seq_col="vcrs_sequence")
     if spans is None:
         cells = reads.select("read_index", F.col("sample").alias("barcode")).distinct()
         assigned = targets.join(cells, "read_index")

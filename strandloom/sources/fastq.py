@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.fixed import materialised
+from ..operators.fixed import materialised, on_workers
 
 SPLIT = ["_path", "_block"]
 #: Splits up to this number are broadcast (some hundred bytes each, counted first); more are joined by a shuffle.
@@ -116,7 +116,7 @@ def read_fastq(spark: SparkSession, path, file_index: int = 0) -> DataFrame:
     cores changes in between gets an error.
     """
     place = {"_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
-    lines = spark.read.text(path).select(*(c.alias(n) for n, c in place.items()), "value")
+    lines = on_workers(spark.read.text(path)).select(*(c.alias(n) for n, c in place.items()), "value")
     known = splits(lines)
     size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.array_join("_after", ""))), F.lit(0)).alias("chars")).first()
     few = size["n"] <= BROADCAST_SPLITS and size["chars"] <= BROADCAST_CHARS
