@@ -63,6 +63,18 @@ def picked(df: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     return df.join(F.broadcast(keys) if few else keys, keys.columns, how)
 
 
+def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (doc_id, text and more), or where there are more than ``most`` the distinct ones with the smallest hashes.
+
+    Ids may repeat in any number, so a bound on ids is none on rows.  Counting reads the ids only.
+    """
+    if rows.count() <= most:
+        return rows
+    keyed = rows.withColumn("_sl_hash", F.xxhash64("doc_id", "text"))
+    cut = keyed.select("_sl_hash").distinct().orderBy("_sl_hash").limit(most).agg(F.max("_sl_hash")).first()[0]
+    return keyed.filter(F.col("_sl_hash") <= cut).dropDuplicates(["_sl_hash"]).drop("_sl_hash")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII texts take the fast built-in, others ``translate``."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -1,13 +1,14 @@
 """Exact deduplication as a tree merge of sorted digest runs, with DataFrame operations only.
 
-Every partition of the digests is a run: it is written in the order of its digests, with its
-number.  In binomial rounds the runs whose numbers differ in one digit only (i, i + w, i + 2w ...)
-exchange their entries, digest range by digest range, and merge: what meets is sorted, and equal
-digests become one entry (digest, kept id, rows).  After the last round one run is left, in as many
-ranges as there were before, so no round ends in one task, and no digest ever brings more entries
-together than a round merges runs.  The verdicts travel the same tree back down, from the root's
-groups of two rows and more to the rows themselves, so a group that holds a third of all rows is
-never joined under one key.
+Every partition of the digests is a run, with its number; equal digests of a run are one entry (digest,
+kept id, rows).  In binomial rounds the runs whose numbers differ in one digit only (i, i + w, i + 2w ...)
+exchange their entries, digest range by digest range, and merge: the entries that meet are put in the
+order of their digests, equal ones are neighbours, and a window over each such group makes one entry
+of it.  After the last round one run is left, in as many ranges as there were before, so no round
+ends in one task, and no digest ever brings more entries together than a round merges runs.  Each
+level is written once; the verdicts travel the same levels back down, from the root's groups of
+two rows and more to the rows themselves, so a group that holds a third of all rows is never
+joined under one key.
 
 Entries are verified at every level: two texts are the same only if SHA-256, a second
 independent 64-bit hash and the byte length agree.
@@ -15,10 +16,10 @@ independent 64-bit hash and the byte length agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, discard, written
 
 KEY = ["digest", "check", "size"]
 
@@ -28,29 +29,43 @@ def digest_ranges(df: DataFrame) -> int:
     return 1 << (16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
 
 
+BEST = {"largest": F.max, "smallest": F.min}
+
+
+def merge_round(level: DataFrame, key: list[str], keep: str, bits: int) -> DataFrame:
+    """One round: runs that share all but the last ``bits`` bits of their numbers become one.
+
+    The window's order is the order of the merged run: entries of a digest are neighbours in it, one from each of the runs at most.
+    """
+    met = level.withColumn("run", F.shiftright("run", bits)).repartition("run", "range")
+    order = Window.partitionBy("run", "range", *key).orderBy("keep_id")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best, rows = BEST[keep]("keep_id").over(group), F.sum("group_size").over(group)
+    entries = met.select("run", "range", *key, best.alias("keep_id"), rows.alias("group_size"), F.row_number().over(order).alias("nth"))
+    return entries.filter("nth = 1").drop("nth")
+
+
 def merge_runs(rows: DataFrame, key: list[str], head: Column, *, keep: str, ways: int = 32) -> DataFrame:
     """``rows`` (doc_id, the key and more) with keep_id and group_size of their group; null for groups of one row.
 
     ``head`` is a long, the leading 64 bits of the digest.  ``ways`` runs (a power of two) merge into
-    one in every round.  The sorted runs are a written table that the result reads.
+    one in every round.  The runs and what was found of them are written tables that the result reads; the
+    levels between are deleted.
     """
-    best = {"largest": F.max, "smallest": F.min}[keep]
     bits, ranges = ways.bit_length() - 1, digest_ranges(rows)
     place = F.shiftrightunsigned(head, 65 - ranges.bit_length()).cast("int")
-    runs = rows.withColumns({"run": F.spark_partition_id(), "range": place}).sortWithinPartitions("range", *key)
-    runs = written(runs, "runs")
-    level = runs.groupBy("run", "range", *key).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    levels, left = [level], (runs.agg(F.max("run")).first()[0] or 0) + 1
+    runs = written(rows.withColumns({"run": F.spark_partition_id(), "range": place}), "runs")
+    first = runs.groupBy("run", "range", *key).agg(BEST[keep]("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    levels, left = [written(first, "level")], (runs.agg(F.max("run")).first()[0] or 0) + 1
     while left > 1:
-        met = level.withColumn("run", F.shiftright("run", bits)).repartition("run", "range").sortWithinPartitions("run", "range", *key)
-        level = met.groupBy("run", "range", *key).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        levels.append(level)
+        levels.append(written(merge_round(levels[-1], key, keep, bits), "level"))
         left = -(-left // ways)
-    found = levels.pop().filter("group_size > 1")
-    for level in reversed(levels):
+    found = levels[-1].filter("group_size > 1")
+    for level in reversed(levels[:-1]):
         down = level.select(F.shiftright("run", bits).alias("up"), F.col("run").alias("own"), "range", *key)
-        above = found.withColumnRenamed("run", "up")
-        found = down.join(above, ["up", "range", *key]).drop("up").withColumnRenamed("own", "run")
+        found = down.join(found.withColumnRenamed("run", "up"), ["up", "range", *key]).drop("up").withColumnRenamed("own", "run")
+    found = written(found, "found")
+    discard(*levels)
     return runs.join(found, ["run", "range", *key], "left").drop("run", "range")
 
 

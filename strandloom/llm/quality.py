@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, NUMBER, OTHER, SPACE
 from .chars import Hasher, Slice, runs, slices, tables
-from .common import on_workers, smaller
+from .common import bounded_rows, on_workers, smaller
 
 FEATURES = [
     "log_chars", "letters", "upper", "digits", "signs", "spaces", "word_chars", "sign_repeats", "sign_runs",
@@ -201,17 +201,17 @@ def fit(
 
 
 def label_sample(labels: DataFrame, label: str, train: Column, max_rows: int) -> DataFrame:
-    """About ``max_rows`` labelled ids at most (a documented bound), chosen by a hash of the id."""
+    """About ``max_rows`` labelled ids, chosen by a hash of the id; a little fewer, as their rows are bounded afterwards."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("_sl_label")).filter(train & F.col("_sl_label").isin(0, 1))
     usable = usable.groupBy("doc_id").agg(F.max("_sl_label").alias("_sl_label"))
-    share = min(1.0, max_rows / max(1, usable.count()))
+    share = min(1.0, 0.97 * max_rows / max(1, usable.count()))
     return usable.filter(F.abs(F.xxhash64(F.col("doc_id"), F.lit(13)) % 1_000_003) < int(share * 1_000_003))
 
 
 def train_model(docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "quality", max_rows: int = 20_000) -> AdditiveModel:
-    """Learn from about ``max_rows`` labelled rows at most for which ``train`` holds."""
+    """Learn from ``max_rows`` labelled rows at most for which ``train`` holds."""
     # the sample of labels has a proven bound, so it may go to every task
-    picked = docs.join(F.broadcast(label_sample(labels, label, train, max_rows)), "doc_id")
+    picked = bounded_rows(docs.select("doc_id", "text").join(F.broadcast(label_sample(labels, label, train, max_rows)), "doc_id"), max_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in smaller(batches):

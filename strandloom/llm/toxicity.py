@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, OTHER
 from .chars import Hasher, Slice, hash_of, runs, slices, tables
-from .common import on_workers, smaller
+from .common import bounded_rows, on_workers, smaller
 from .quality import label_sample
 
 #: A general lexicon of abuse; mined voters add what a corpus has besides.
@@ -31,7 +31,7 @@ LEXICON = [
     "imbécile", "ordure", "dégoûtant", "nul", "minable",
 ]
 #: Lengths of word beginnings that may become voters (0: the whole word).
-STEMS = (0, 4, 5, 6)
+STEMS = (0, 4, 5, 6, 7)
 PATTERNS = ["shouting", "exclamations", "repeats"]
 
 
@@ -70,7 +70,7 @@ def patterns(part: Slice) -> np.ndarray:
     )
 
 
-def mine(sample: DataFrame, *, voters: int = 300, support: int = 8) -> list[int]:
+def mine(sample: DataFrame, *, voters: int = 600, support: int = 5) -> list[int]:
     """Hashes of the words and beginnings that most favour label 1 in the labelled sample.
 
     Document counts by class come from one aggregation; only terms with support and strong odds
@@ -122,42 +122,52 @@ class LabelModel:
     def fit(cls, votes: np.ndarray, known: np.ndarray, *, rounds: int = 8, trust: float = 2.0) -> tuple[LabelModel, np.ndarray]:
         """``votes``: texts x voters in {0, 1}; ``known``: 0 or 1 per text, else -1.
 
-        Each round estimates rates (accuracies) and within-class covariances (correlations) from
-        the present posterior, and then the posterior from both; a known label adds ``trust`` to
-        its side in log odds, less than the voters can (6).
+        Each round estimates how often each voter votes in either class (its accuracy) and the voters'
+        correlations within a class from the present posterior, and then the posterior from both.  A vote
+        counts by its log odds, and so does silence, which says little of a voter that is mostly silent; both
+        are divided by how many voters the correlations make of one, so voters that repeat each other count as one.
+        A known label adds ``trust`` to its side in log odds, less than the voters can (6).
         """
         share = known[known >= 0].mean() if (known >= 0).any() else 0.5
         post = np.where(known < 0, share, known.astype(float))
         post = 0.05 + 0.9 * post
         anchor = np.where(known < 0, 0.0, trust * (2 * known - 1))
-        together = votes.T @ votes
+        votes = votes.astype(np.float32)  # zeros and ones; half the memory
+        together = (votes.T @ votes).astype(float)
         for _ in range(rounds):
             n1, n0 = post.sum() + 1, (1 - post).sum() + 1
-            m1, m0 = (post @ votes + 0.5) / (n1 + 1), ((1 - post) @ votes + 0.5) / (n0 + 1)
+            of1, of0 = (np.float32(p) @ votes for p in (post, 1 - post))
+            m1, m0 = (of1 + 0.5) / (n1 + 1), (of0 + 0.5) / (n0 + 1)
             within = together.copy()
-            for p, m in ((post, m1), (1 - post, m0)):
-                cross = np.outer(p @ votes, m)
+            for p, of, m in ((post, of1, m1), (1 - post, of0, m0)):
+                cross = np.outer(of, m)
                 within += p.sum() * np.outer(m, m) - cross - cross.T
-            within /= len(votes)
-            within[np.diag_indices(len(within))] += 1e-3 + 0.1 * np.diag(within)
-            weights = np.linalg.solve(within, m1 - m0)
+            spread = np.sqrt(np.maximum(np.diag(within), 1e-9))
+            alike = np.clip(within / np.outer(spread, spread), 0, 1)
+            np.fill_diagonal(alike, 1)
+            repeats = (alike**2).sum(1)
+            said, silent = np.log(m1 / m0) / repeats, np.log((1 - m1) / (1 - m0)) / repeats
+            weights = said - silent
             prior = np.log(n1 / n0)
-            bias = prior - weights @ (m1 + m0) / 2
-            raw = np.clip(votes @ weights + bias, -6, 6)
+            bias = prior + silent.sum()
+            raw = np.clip(votes @ np.float32(weights) + bias, -6, 6)
             post = 1 / (1 + np.exp(-(raw + anchor)))
         return cls(prior, weights, bias), post
 
 
 def logistic(x: np.ndarray, target: np.ndarray, *, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier on soft labels, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    w, penalty = np.zeros(n), np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, x.T @ (target - p) - penalty * w)
+        h, gradient = np.diag(penalty), -penalty * w
+        for at in range(0, len(x), 4096):  # so that no second copy of all rows is needed
+            part = np.c_[x[at : at + 4096], np.ones(len(x[at : at + 4096]))]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            h = h + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+            gradient = gradient + part.T @ (target[at : at + 4096] - p)
+        step = np.linalg.solve(h, gradient)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -195,19 +205,21 @@ class ToxicityModel:
 
 
 def unlabelled_sample(docs: DataFrame, used: DataFrame, train: Column, max_rows: int) -> DataFrame:
-    """About ``max_rows`` ids at most (a documented bound) without a label in use, chosen by a hash of the id."""
+    """About ``max_rows`` ids without a label in use, chosen by a hash of the id; a little fewer, as their rows are bounded afterwards."""
     usable = docs.select("doc_id").filter(train & F.col("doc_id").isNotNull()).join(F.broadcast(used.select("doc_id")), "doc_id", "left_anti")
-    share = min(1.0, max_rows / max(1, usable.count()))
+    share = min(1.0, 0.97 * max_rows / max(1, usable.count()))
     return usable.filter(F.abs(F.xxhash64(F.col("doc_id"), F.lit(17)) % 1_000_003) < int(share * 1_000_003)).distinct()
 
 
 def train_model(
-    docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", max_rows: int = 20_000, max_unlabelled: int = 10_000, voters: int = 300
+    docs: DataFrame, labels: DataFrame, train: Column, *, label: str = "toxic", max_rows: int = 20_000, max_unlabelled: int = 10_000, voters: int = 600
 ) -> ToxicityModel:
-    """Learn from about ``max_rows`` labelled and ``max_unlabelled`` other rows at most for which ``train`` holds."""
+    """Learn from ``max_rows`` labelled and ``max_unlabelled`` other rows at most for which ``train`` holds."""
     used = label_sample(labels, label, train, max_rows)
-    sample = on_workers(docs.join(F.broadcast(used), "doc_id").select("_sl_label", "text"))
-    others = docs.join(F.broadcast(unlabelled_sample(docs, used, train, max_unlabelled)), "doc_id").select(F.lit(-1).alias("_sl_label"), "text")
+    docs = docs.select("doc_id", "text")
+    sample = on_workers(bounded_rows(docs.join(F.broadcast(used), "doc_id"), max_rows).select("_sl_label", "text"))
+    others = bounded_rows(docs.join(F.broadcast(unlabelled_sample(docs, used, train, max_unlabelled)), "doc_id"), max_unlabelled)
+    others = others.select(F.lit(-1).alias("_sl_label"), "text")
     words = [hash_of(w) for w in LEXICON]
     model = ToxicityModel(np.unique(np.array(words + mine(sample, voters=voters), np.uint64)), np.zeros(0))
 
@@ -229,10 +241,10 @@ def train_model(
         return model
     rows = rows.assign(key=[(*map(float, e), *map(float, v)) for e, v in zip(rows["extra"], rows["votes"], strict=True)])
     rows = rows.sort_values(["y", "key"])  # the same model whatever the order of rows
-    votes = np.zeros((len(rows), width))
+    votes = np.zeros((len(rows), width), np.float32)
     for i, v in enumerate(rows["votes"]):
         votes[i, v] = 1
-    extra = np.array(rows["extra"].tolist())
+    extra = np.array(rows["extra"].tolist(), np.float32)
     _, post = LabelModel.fit(votes, rows["y"].to_numpy())
     model.weights = logistic(np.c_[votes, extra], post)
     return model

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import fold
+from strandloom.llm.common import bounded_rows, fold
 from strandloom.llm.language_id import identify
 from strandloom.llm.quality import _pair_tree, fit, score_quality
 from strandloom.llm.toxicity import LabelModel, score_toxicity
@@ -160,3 +160,16 @@ def test_languages(spark):
     assert got[503]["lang_pred"] == "aa" and got[None]["lang_pred"] == "bb" and got[504]["lang_pred"] != "und"
     assert {r["lang_pred"] for r in identify(docs, F.lit(False)).collect()} == {"und"}
     assert identify(docs.limit(0), train()).count() == 0
+
+
+def test_rows_that_are_learned_from_have_a_bound(spark):
+    """One id that repeats brings no more rows than the bound; the rows that stay depend on no order."""
+    rows = [(i % 3, f"text {i}", i) for i in range(500)] + [(1, "text 1", 9)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sl_label int")
+    some = [{(r["doc_id"], r["text"]) for r in bounded_rows(df.repartition(n), 40).collect()} for n in (1, 7)]
+    assert len(some[0]) == 40 and some[0] == some[1]
+    assert bounded_rows(df, 550).count() == 550 and bounded_rows(df.limit(0), 5).count() == 0
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = df.select("doc_id", "text")
+    assert score_quality(docs, labels, F.lit(True), max_rows=100).count() == 550
+    assert score_toxicity(docs, labels, F.lit(True), max_rows=100).count() == 550

@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from strandloom.llm.bpe import load
-from strandloom.llm.exact_dedup import deduplicate, exact_groups
+from strandloom.llm.exact_dedup import deduplicate, exact_groups, merge_round
 from strandloom.llm.packing import OpenBins, pack
 from strandloom.llm.sharding import kd_shards
 from strandloom.llm.token_counts import token_counts
@@ -48,6 +48,18 @@ def test_exact_groups(docs):
     assert deduplicate(docs.filter("doc_id > 3")).columns == docs.columns
 
 
+def test_rounds_merge_in_order(docs):
+    """Every round sorts what meets and finds equal neighbours; no hash aggregate stands in for that."""
+    runs = [(r, 0, d, 10 * r + d, 1) for r in range(7) for d in range(5) if (r + d) % 3]
+    level = docs.sparkSession.createDataFrame(runs, "run int, range int, digest int, keep_id int, group_size long")
+    plan = merge_round(level, ["digest"], "largest", 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [run") == 1 and plan.count("Window [") == 1 and plan.count("Exchange hashpartitioning(run") == 1 and "Aggregate" not in plan
+    for _ in range(3):
+        level = merge_round(level, ["digest"], "smallest", 1)
+    own = lambda d: [10 * r + d for r in range(7) if (r + d) % 3]
+    assert sorted(tuple(r) for r in level.collect()) == [(0, 0, d, min(own(d)), len(own(d))) for d in range(5)]
+
+
 def test_token_counts(docs):
     library = Tokenizer.from_file(PATH)
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
