@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import sequence as S
+from ..functions.ragged import byte_slices
+from .fixed import on_workers
 
 
 def split_at_n(reads: DataFrame, min_length: int | None = None, prefix: int = 0) -> DataFrame:
@@ -54,16 +60,41 @@ def quality_control(
     return reads.filter(keep)
 
 
+def with_window_cuts(reads: DataFrame, window: int, mean: int) -> DataFrame:
+    """``reads`` with _cut: how many bases are kept when a window slides from the 5' end and the read is cut where its mean
+    quality is under ``mean``.  Windows are differences of running sums."""
+    source = on_workers(reads).select("*", F.coalesce("quality", F.lit("")).alias("_q"))
+    names = reads.columns
+    n = len(names)
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in byte_slices(batch.column(n)):
+                size = np.diff(offsets)
+                total = np.r_[0, np.cumsum(data.astype(np.int64) - 33)]
+                begin = np.arange(max(0, len(data) - window + 1))
+                owner = np.repeat(np.arange(len(size)), size)[: len(begin)]
+                low = (total[begin + window] - total[begin] < mean * window) & (begin + window <= offsets[owner + 1])
+                cut = size.copy()
+                np.minimum.at(cut, owner[low], begin[low] - offsets[owner[low]])
+                part = batch.slice(first, len(size))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(cut.astype(np.int32))], [*names, "_cut"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in reads.schema)
+    return source.mapInArrow(cuts, f"{kinds}_cut int")
+
+
 def trim(reads: DataFrame, *, head: int = 0, tail: int = 0, window: int | None = None, mean: int = 13, poly_g: int | None = None) -> DataFrame:
     """Cut bases at both ends, a poor end by a sliding window, and a run of Gs at the end."""
-    length = F.length("sequence")
+    columns, length = reads.columns, F.length("sequence")
     if window:
-        length = F.least(length, Q.cut_window_tail("sequence", "quality", window, mean))
+        reads = with_window_cuts(reads, window, mean)
+        length = F.least(length, F.col("_cut"))
     if poly_g:
         length = F.least(length, F.length(F.regexp_replace("sequence", f"G{{{poly_g},}}$", "")))
     rows = reads.withColumn("_n", F.greatest(F.least(length, F.length("sequence") - tail) - head, F.lit(0)))
     cut = lambda c: F.substring(c, F.lit(head + 1), F.col("_n")).alias(c)
-    return rows.select(*(cut(c) if c in ("sequence", "quality") else c for c in reads.columns))
+    return rows.select(*(cut(c) if c in ("sequence", "quality") else c for c in columns))
 
 
 def agreeing(reads: DataFrame, mates: DataFrame) -> DataFrame:
