@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hgvs as H
 from ..functions import sequence as S
-from .fixed import fixed
+from .fixed import fixed, materialised
 from .number import numbered
 
 #: Bases of a tile of a long sequence, and how many of the next tile it has besides.  A window that is
@@ -109,8 +109,9 @@ def keep_fullest(variants: DataFrame) -> DataFrame:
     return variants.withColumn("_filled", filled).withColumn("_rank", F.row_number().over(best)).drop("_filled")
 
 
-def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: str) -> DataFrame:
-    """``rows`` with the bases [low, high) of their sequence as column ``name``.
+def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: str, longest: int | None = None) -> DataFrame:
+    """``rows`` with the bases [low, high) of their sequence as column ``name``; ``longest`` is the most bases that
+    a window has, where that is known.
 
     Sequences are dealt in overlapping tiles, so no row ever carries a whole chromosome: a window
     that is no longer than the overlap lies in the tile that begins at or before it.  Longer windows
@@ -123,6 +124,8 @@ def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: st
     short = (F.col(high) - F.col(low)) <= OVERLAP
     near = rows.filter(short).withColumn("_tile", number(F.col(low))).join(tiles, ["seq_id", "_tile"], "left")
     near = near.withColumn(name, cut).drop("_tile", "_bases")
+    if longest is not None and longest <= OVERLAP:
+        return near
     far = rows.filter(~short)
     touched = far.select("seq_id", low, high).distinct().select("*", F.explode(F.sequence(number(F.col(low)), number(F.col(high) - 1))).alias("_tile"))
     parts = touched.join(tiles.withColumn("_bases", F.left("_bases", F.lit(TILE))), ["seq_id", "_tile"])
@@ -184,6 +187,7 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
         high = F.least(F.col("end") + w, F.col("sequence_length"), F.coalesce(F.col("end_transcript_position"), F.col("sequence_length"))) + 1
     rows = fixed(rows, {"flank_low": low, "flank_high": high})
     rows = fixed(rows, {"_low": F.least("flank_low", "wild_start"), "_high": F.greatest("flank_high", F.col("end") + 1)})
+    rows = materialised(rows)  # read for near and for far windows, and for what is left out
     live = windows(rows.filter("drop_reason IS NULL"), sequences, "_low", "_high", "_window")
 
     part = lambda a, b: S.slice_between("_window", F.greatest(a, F.col("_low")) - F.col("_low"), b - F.col("_low"))

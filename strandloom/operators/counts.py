@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
+from .fixed import materialised
+from .number import ranked
 
 PAIR = ["barcode", "vcrs_id"]
 
@@ -122,9 +124,18 @@ def cell_totals(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("barcode").agg(F.sum("count").alias("total"), F.count_if(F.col("count") > 0).alias("n_variants"))
 
 
-def quality_filter(matrix: DataFrame, *, min_counts: float | None = None, min_variants: int | None = None, min_cells: int | None = None) -> DataFrame:
-    """Barcodes with enough counts and variants, then variants in enough barcodes."""
+def quality_filter(
+    matrix: DataFrame, *, min_counts: float | str | None = None, min_variants: int | None = None, min_cells: int | None = None,
+    mitochondrial: DataFrame | None = None, max_mitochondrial: float | None = None,
+) -> DataFrame:
+    """Barcodes with enough counts (``min_counts`` may be "knee") and variants and a small enough share of counts in ``mitochondrial``
+    (vcrs_id), then variants in enough barcodes."""
     cells = cell_totals(matrix)
+    if min_counts == "knee":
+        min_counts = knee(matrix)
+    if mitochondrial is not None and max_mitochondrial is not None:
+        low = set_share(matrix, mitochondrial).filter(F.col("share") <= max_mitochondrial)
+        cells = cells.join(low.select("barcode"), "barcode", "left_semi")
     if min_counts is not None:
         cells = cells.filter(F.col("total") >= min_counts)
     if min_variants is not None:
@@ -136,18 +147,30 @@ def quality_filter(matrix: DataFrame, *, min_counts: float | None = None, min_va
     return out
 
 
-def knee(matrix: DataFrame, points: int = 1000) -> float:
-    """The total at the knee of the sorted totals: farthest from the line between its ends.
+def ranked_totals(matrix: DataFrame) -> DataFrame:
+    """Per barcode: total, and rank from 1 by falling totals; ties by barcode."""
+    return ranked(cell_totals(matrix).select("barcode", "total"), F.desc("total"), "barcode", name="rank")
+
+
+def knee(matrix: DataFrame) -> float:
+    """The total at the knee of the totals in falling order: the one farthest below the line between the two ends, the first of several.
+
+    Every total has its rank, and the distances are one aggregate; 0 without any barcode.
+    """
+    totals = materialised(ranked_totals(matrix))
+    ends = totals.agg(F.count("*").alias("n"), F.max("total").alias("high"), F.min("total").alias("low")).first()
+    if not ends["n"] or ends["high"] == ends["low"]:
+        return float(ends["low"] or 0.0)
+    n, high, low = ends["n"] - 1, float(ends["high"]), float(ends["low"])
+    gap = (1 - (F.col("rank") - 1) / n) - (F.col("total") - low) / (high - low)
+    return float(totals.agg(F.max_by("total", F.struct(gap, -F.col("rank")))).first()[0])
+
 
-    The curve is read at ``points`` quantiles, so what reaches the driver is bounded."""
-    shares = [i / points for i in range(points + 1)]
-    row = cell_totals(matrix).agg(F.percentile_approx("total", shares, 10_000)).first()
-    totals = sorted(row[0] or [0.0], reverse=True)
-    high, low, n = totals[0], totals[-1], len(totals) - 1
-    if high == low or n < 1:
-        return low
-    gap = [(1 - i / n) - (t - low) / (high - low) for i, t in enumerate(totals)]
-    return totals[max(range(len(gap)), key=gap.__getitem__)]
+def set_share(matrix: DataFrame, members: DataFrame, name: str = "share") -> DataFrame:
+    """Per barcode which share of its counts variants of a set have (``members``: vcrs_id), such as mitochondrial ones; 0 without counts."""
+    flagged = matrix.join(members.select("vcrs_id", F.lit(True).alias("_in")).distinct(), "vcrs_id", "left")
+    own = F.sum(F.when(F.col("_in"), F.col("count")).otherwise(0.0))
+    return flagged.groupBy("barcode").agg(F.coalesce(F.try_divide(own, F.sum("count")), F.lit(0.0)).alias(name))
 
 
 def per_million(matrix: DataFrame) -> DataFrame:
@@ -175,6 +198,13 @@ def gene_counts(matrix: DataFrame, genes: DataFrame) -> DataFrame:
     return detected.groupBy("gene").agg(F.count("*").alias("gene_count"))
 
 
+def variant_ranks(matrix: DataFrame, top: int | None = None) -> DataFrame:
+    """Per barcode its detected variants by falling count, ``rank`` from 1, ties by id; the first ``top`` of each."""
+    order = Window.partitionBy("barcode").orderBy(F.desc("count"), "vcrs_id")
+    out = matrix.filter("count > 0").withColumn("rank", F.row_number().over(order))
+    return out if top is None else out.filter(F.col("rank") <= top)
+
+
 def top_variants(matrix: DataFrame, n: int, by: str = "count") -> DataFrame:
     """The first n detected variants by count, or by barcodes and then count; ties by id."""
     totals = variant_totals(matrix).filter("vcrs_count > 0")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .build import windows
+from .fixed import materialised
+from .number import last_before, running_totals
+from .sample import draw
 
 
 def every_read(parents: DataFrame, read_length: int, strand: str = "f", mutant: bool = True) -> DataFrame:
@@ -78,22 +82,33 @@ def noisy_quality(reads: DataFrame, mean: float = 30, sd: float = 5, seed: int =
     return reads.withColumn("quality", F.array_join(F.transform(S.positions(F.length("sequence")), lambda i: F.chr(score(i) + 33)), ""))
 
 
+def free_starts(sequences: DataFrame, ranges: DataFrame, read_length: int) -> DataFrame:
+    """(seq_id, first, n): runs of starts from which a read touches no range (seq_id, start, end, both ends included).
+
+    ``sequences``: seq_id, length.  They are the gaps between ranges, less what the end of a read needs.
+    """
+    ends = sequences.select("seq_id", F.col("length").cast("long").alias("start"), F.col("length").cast("long").alias("end"))
+    marks = ranges.join(sequences.select("seq_id"), "seq_id", "left_semi").select("seq_id", F.col("start").cast("long"), F.col("end").cast("long")).unionByName(ends)
+    before = Window.partitionBy("seq_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest(F.coalesce(F.max("end").over(before) + 1, F.lit(0)), F.lit(0))
+    gaps = marks.select("seq_id", first.alias("first"), "start")
+    return gaps.select("seq_id", "first", (F.col("start") - read_length - F.col("first") + 1).alias("n")).filter("n > 0")
+
+
 def background_reads(reference: DataFrame, ranges: DataFrame, n: int, read_length: int, seed: int = 42) -> DataFrame:
-    """Reads of ``reference`` (seq_id, sequence) that touch no range (seq_id, start, end) of it."""
-    sized = reference.filter(F.length("sequence") >= read_length).select("seq_id", "sequence", (F.length("sequence") - read_length + 1).alias("span"))
-    draw = lambda s: F.pmod(F.xxhash64("seq_id", "i", F.lit(seed + s)), F.lit(1 << 52)) / float(1 << 52)
-    total = sized.agg(F.sum("span").alias("total"))
-    per = F.ceil(F.lit(n) * F.col("span") / F.col("total")).cast("int")
-    rows = sized.crossJoin(F.broadcast(total)).select("seq_id", "sequence", "span", F.explode(F.sequence(F.lit(1), per)).alias("i"))
-    rows = rows.withColumn("start", F.floor(draw(0) * F.col("span")).cast("int"))
-    other = ranges.select(F.col("seq_id").alias("_q"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    width = 1 << 12
-    binned = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + read_length) / width))))
-    spots = other.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
-    hit = binned.join(spots, (F.col("seq_id") == F.col("_q")) & (F.col("_bin") == F.col("_b")) & (F.col("_s") < F.col("start") + read_length) & (F.col("_e") >= F.col("start")))
-    clean = rows.join(hit.select("seq_id", "i").distinct(), ["seq_id", "i"], "left_anti")
-    name = F.concat_ws("_", "seq_id", "start", "i")
-    return clean.select(name.alias("read_id"), "seq_id", "start", F.substring("sequence", F.col("start") + 1, F.lit(read_length)).alias("sequence"))
+    """Exactly ``n`` reads of ``reference`` (seq_id, sequence) that touch no range (seq_id, start, end) of it.
+
+    Every free place is equally likely, with replacement; there are none if no place is free.  Places are
+    drawn first, as numbers among all free ones, and bases are fetched from the tiles they lie in.
+    """
+    sizes = reference.select("seq_id", F.length("sequence").alias("length"))
+    gaps = materialised(running_totals(free_starts(sizes, ranges, read_length), "n", "seq_id", "first", name="place"))
+    total = gaps.agg(F.sum("n")).first()[0] or 0
+    draws = reference.sparkSession.range(n if total else 0).select(F.col("id").alias("i"), F.floor(draw(seed, "id") * total).cast("long").alias("place"))
+    marks = gaps.select("place", "seq_id", (F.col("first") - F.col("place")).alias("_shift"))
+    rows = last_before(draws, marks, "place").select("i", "seq_id", (F.col("place") + F.col("_shift")).alias("start"))
+    rows = windows(rows.withColumn("_end", F.col("start") + read_length), reference.select("seq_id", "sequence"), "start", "_end", "_found", longest=read_length)
+    return rows.select(F.concat_ws("_", "seq_id", "start", "i").alias("read_id"), "seq_id", "start", F.col("_found").alias("sequence"))
 
 
 def tumor_purity(variants: DataFrame) -> DataFrame:
