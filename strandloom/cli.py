@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import functools
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .operators import adapters as AD
+from .operators import profile as PR
 from .operators import ranges as R_
+from .operators.build import with_transcript_bounds
 from .plans import technology as T
 from .plans import verbs as V
 from .sources import readers as R
@@ -39,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--disable-merge-identical", action="store_true")
         p.add_argument("--keep-wild-type-kmers", action="store_true")
         p.add_argument("--stranded", action="store_true")
+        p.add_argument("--gtf", help="keep flanks within the transcripts of this GTF")
     p.add_argument("--filters", nargs="*", default=list(V.DEFAULT_FILTERS))
     p.add_argument("--genome")
     p = verb("info", "columns that describe sequences", "vcrs")
@@ -64,6 +69,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cut-window", type=int, help="cut where the mean quality of so many bases falls under --cut-mean")
     p.add_argument("--cut-mean", type=int, default=13)
     p.add_argument("--trim-poly-g", type=int, help="least length of a run of Gs at the end that is cut")
+    p.add_argument("--mates", help="the second reads; pairs are cut to their insert and stay or go together")
+    p.add_argument("--keep-inserts", action="store_true", help="don't look for inserts that are shorter than mates")
+    p.add_argument("--adapter", help="cut at this sequence; auto: find it")
+    p.add_argument("--adapter-mates", help="the same for the second reads")
+    p.add_argument("--profile", action="store_true", help="qualities and bases by cycle, and sequences that come too often")
     p = verb("count", "counts of variants", "vcrs")
     p.add_argument("--fastq", required=True, nargs="+", help="bulk: one file for each sample; else the files of a read, in order")
     p.add_argument("-k", type=int, default=59)
@@ -71,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--technology", default="bulk")
     p.add_argument("--umi", nargs=3, type=int, metavar=("FILE", "START", "END"))
     p.add_argument("--whitelist", help="barcodes, one a line")
-    p.add_argument("--union", action="store_true")
+    p.add_argument("--no-union", action="store_true", help="only targets that all k-mers of a read share")
     p.add_argument("--no-multimapping", action="store_true")
     p = verb("clean", "recount, thresholds and totals", "counts")
     p.add_argument("--assigned", help="reads of count, to be recounted by --genome-reads")
@@ -90,11 +100,32 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--min-counts", type=float, default=2)
     p.add_argument("--binary", action="store_true")
     p.add_argument("--drop-empty", action="store_true")
+    p.add_argument("--sum", action="store_true", help="all barcodes together")
+    p.add_argument("--cpm", action="store_true")
+    p.add_argument("--cell-min-counts", help="a number, or knee")
+    p.add_argument("--cell-min-variants", type=int)
+    p.add_argument("--variant-min-cells", type=int)
+    p.add_argument("--mitochondrial", help="genes, one a line, with --max-mitochondrial")
+    p.add_argument("--max-mitochondrial", type=float, help="largest share of a cell's counts")
+    for n in ("keep", "exclude"):
+        p.add_argument(f"--{n}", help="vcrs ids, one a line")
+        p.add_argument(f"--{n}-genes", help="genes, one a line (needs --vcrs)")
+    p.add_argument("--double-counts", choices=["pieces", "mates"], help="take off what pieces of a read, or mates, counted twice (needs --reads)")
+    p.add_argument("--reads", help="barcode, fastq_header, ec, targets, counted_in_count_matrix")
+    p.add_argument("--vcf", help="records with ID, CHROM, POS, REF and ALT: a VCF of the detected variants is written")
+    p.add_argument("--matrix-market", action="store_true")
     p = verb("summarize", "summary tables", "counts")
     p.add_argument("--top", type=int, default=10)
     p = verb("sim", "synthetic reads", "vcrs")
     p.add_argument("--read-length", type=int, default=150)
-    p.add_argument("--reads", default="all")
+    p.add_argument("--reads", default="all", help="of each variant: a number, or all")
+    p.add_argument("--wild-type", help="a column of --vcrs with wild-type parents")
+    p.add_argument("--wild-type-reads", default="all")
+    p.add_argument("--sequence-column", default="vcrs_sequence")
+    p.add_argument("--variants", type=int, help="how many variants; all without")
+    p.add_argument("--filters", nargs="*", default=[], help="of the variants that may be chosen")
+    p.add_argument("--without", help="table of vcrs_id that may not be chosen")
+    p.add_argument("--noise", action="store_true", help="qualities with noise")
     p.add_argument("--error-rate", type=float, default=0.0)
     p.add_argument("--seed", type=int, default=42)
     return top
@@ -143,15 +174,19 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         }
         seqs = sequences(a.sequences)
         if ".vcf" in a.variants:
-            rows = R.vcf_variants(R.read_vcf(spark, a.variants), seqs)
+            rows = R.vcf_variants(R.without_chr(R.read_vcf(spark, a.variants), seqs), seqs)
             options |= {"seq_id_column": "CHROM", "var_column": "variant", "var_id_column": None}
             rows = rows.drop("variant_type", "INFO", "samples")
         else:
             rows = R.read_table(spark, a.variants)
+        if a.gtf:
+            rows = with_transcript_bounds(rows, R.read_gtf(spark, a.gtf), options["seq_id_column"])
+            options["transcript_bounds"] = True
         if a.verb == "build":
             built = V.build(rows, seqs, **options)
             vcrs = built.vcrs
             save(built.report(), "report")
+            W.write_removed(built.checked, f"{a.out}/removed.txt", mode=mode)
             save(built.variants, "variants")
         else:
             genome = sequences(a.genome) if a.genome else None
@@ -178,9 +213,22 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         reads = R.read_fastq(spark, a.fastq)
         control = {"min_length": a.min_length, "max_n": a.max_n, "mean_quality": a.mean_quality}
         trim = {"head": a.trim_head, "tail": a.trim_tail, "window": a.cut_window, "mean": a.cut_mean, "poly_g": a.trim_poly_g}
+        if a.profile:
+            save(PR.quality_profile(reads), "profile")
+            save(PR.overrepresented(reads), "overrepresented")
+        found = lambda given, t: AD.infer_adapter(t) if given == "auto" else given
+        if a.mates:
+            mates = R.read_fastq(spark, a.mates)
+            adapters = (found(a.adapter, reads), found(a.adapter_mates, mates))
+            sides = V.clean_pairs(reads, mates, cut_inserts=not a.keep_inserts, adapters=adapters, trim=trim, control=control)
+            for i, side in enumerate(sides, 1):
+                W.write_fastq(side.orderBy("read_index"), f"{a.out}/reads_{i}.fastq", mode=mode)
+            return
+        if a.adapter:
+            reads = AD.without_adapter(reads, found(a.adapter, reads))
         W.write_fastq(V.clean_reads(reads, trim=trim, control=control, mask_below=a.mask_below, split_n=a.split_n, min_length=a.min_length or None), f"{a.out}/reads.fastq", mode=mode)
     elif a.verb == "count":
-        options = {"multimapping": not a.no_multimapping, "union": a.union, "umi": tuple(a.umi) if a.umi else None}
+        options = {"multimapping": not a.no_multimapping, "union": not a.no_union, "umi": tuple(a.umi) if a.umi else None}
         assigned, matrix = V.count(_reads(spark, a), spark.read.parquet(a.vcrs), a.k, a.technology, whitelist=_whitelist(spark, a.whitelist), **options)
         save(assigned, "assigned")
         save(matrix, "counts")
@@ -194,19 +242,42 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if a.gtf and a.read_length:
             lengths = R_.transcript_lengths(R.read_gtf(spark, a.gtf))
             matrix = V.within_reach(matrix, vcrs, lengths, a.technology, a.read_length, a.strand_bias_end)
-        matrix, totals = V.clean(matrix, min_counts=a.min_counts, use_binary=a.binary, drop_empty=a.drop_empty)
+            vcrs = V.reachable(vcrs, lengths, a.technology, a.read_length, a.strand_bias_end)
+        ids = lambda path: R.read_list(spark, path, "vcrs_id") if path else None
+        of_genes = lambda path: V.of_genes(vcrs, R.read_list(spark, path, "gene_id"), t2g=t2g) if path else None
+        either = lambda *sets: functools.reduce(lambda x, y: x.unionByName(y), [s for s in sets if s is not None]) if any(s is not None for s in sets) else None
+        least = a.cell_min_counts if a.cell_min_counts in (None, "knee") else float(a.cell_min_counts)
+        quality = {"min_counts": least, "min_variants": a.cell_min_variants, "min_cells": a.variant_min_cells}
+        quality |= {"mitochondrial": of_genes(a.mitochondrial), "max_mitochondrial": a.max_mitochondrial}
+        matrix, totals = V.clean(
+            matrix, min_counts=a.min_counts, use_binary=a.binary, drop_empty=a.drop_empty, sum_rows=a.sum, cpm=a.cpm, quality=quality,
+            keep=either(ids(a.keep), of_genes(a.keep_genes)), exclude=either(ids(a.exclude), of_genes(a.exclude_genes)),
+            reads=spark.read.parquet(a.reads) if a.reads else None, split_at_n=a.double_counts == "pieces", mates=a.double_counts == "mates",
+        )
         if vcrs is not None:
             totals = V.described_totals(totals, vcrs, t2g=t2g, metadata=R.read_table(spark, a.metadata) if a.metadata else None)
         save(matrix, "counts")
         save(totals, "totals")
+        if a.vcf:
+            records = R.read_vcf(spark, a.vcf) if ".vcf" in a.vcf else R.read_table(spark, a.vcf)
+            W.write_vcf(V.vcf(totals, records.select("ID", "CHROM", F.col("POS").cast("long").alias("POS"), "REF", "ALT")), f"{a.out}/variants.vcf", mode=mode)
+        if a.matrix_market:
+            W.write_matrix_market(matrix, f"{a.out}/matrix_market", mode=mode)
     elif a.verb == "summarize":
-        for name, table in V.summarize(spark.read.parquet(a.counts), a.top).items():
+        for name, table in V.summarize(spark.read.parquet(a.counts), a.top, ranks=True).items():
             save(table, name)
     elif a.verb == "sim":
-        parents = spark.read.parquet(a.vcrs).select("vcrs_id", F.col("vcrs_sequence").alias("sequence"))
-        number = "all" if a.reads == "all" else int(a.reads)
-        reads = V.simulate(parents, read_length=a.read_length, alt=number, error_rate=a.error_rate, seed=a.seed)
+        table = spark.read.parquet(a.vcrs)
+        table = table if "vcrs_id" in table.columns else table.withColumnRenamed("header", "vcrs_id")
+        chosen = V.chosen_variants(table, a.variants, filters=a.filters, without=spark.read.parquet(a.without) if a.without else None, seed=a.seed)
+        parents = lambda c: chosen.select("vcrs_id", F.col(c).alias("sequence"))
+        number = lambda n: "all" if n == "all" else int(n)
+        wild = parents(a.wild_type) if a.wild_type else None
+        reads = V.simulate(
+            parents(a.sequence_column), wild, read_length=a.read_length, alt=number(a.reads), ref=number(a.wild_type_reads), error_rate=a.error_rate, noise=a.noise, seed=a.seed
+        )
         save(reads, "reads")
+        save(V.simulated_variants(chosen, reads), "simulated")
         W.write_fastq(reads.withColumnRenamed("read_id", "header"), f"{a.out}/reads.fastq", mode=mode)
 
 

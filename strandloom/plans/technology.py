@@ -23,8 +23,12 @@ TRANSCRIPT_FILE = {
     "INDROPSV2": 0, "INDROPSV3": 2, "SCRUBSEQ": 1, "SMARTSEQ2": 0, "SMARTSEQ3": 0, "SPLIT-SEQ": 0, "STORMSEQ": 0, "SURECELL": 1, "VISIUM": 1,
 }
 
-#: (start, end) of the UMI in the barcode's file, where it is known.
-UMIS = {"10XV2": (16, 26), "10XV3": (16, 28), "VISIUM": (16, 28), "SMARTSEQ3": (11, 19)}
+#: (file, start, end) of the UMI, where it is known.
+UMIS = {
+    "10XV1": (1, 0, 10), "10XV2": (0, 16, 26), "10XV3": (0, 16, 28), "10XV3_ULTIMA": (0, 38, 50), "BDWTA": (0, 52, 60), "CELSEQ": (0, 8, 12),
+    "CELSEQ2": (0, 0, 6), "DROPSEQ": (0, 12, 20), "INDROPSV3": (1, 8, 14), "SCRUBSEQ": (0, 6, 16), "SMARTSEQ3": (0, 11, 19), "SPLIT-SEQ": (1, 0, 10),
+    "SURECELL": (0, 51, 59), "VISIUM": (0, 16, 28),
+}
 
 
 def known(technology: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
+from ..operators import adapters as AD
 from ..operators import assigned as A
 from ..operators import counts as C
 from ..operators import filters as FL
@@ -19,6 +20,7 @@ from ..operators import simulate as SIM
 from ..operators.build import Built, BuildOptions
 from ..operators.build import build as _build
 from ..operators.fixed import materialised
+from ..operators.sample import exact_sample
 from . import technology as T
 from .describe import info
 
@@ -60,8 +62,27 @@ def clean_reads(
     return RD.split_at_n(out, min_length) if split_n else out
 
 
+def clean_pairs(
+    one: DataFrame, two: DataFrame, *, cut_inserts: bool = True, adapters: tuple[str | None, str | None] = (None, None), trim: dict | None = None, control: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Mates (read_index, header, sequence, quality): what lies behind their insert is cut where they overlap, adapters that are
+    given are cut as well, and both are trimmed; a pair stays if both mates pass the controls.
+
+    Splitting at Ns is left out, since pieces have no mates.
+    """
+    side = lambda df, i: df.select("read_index", *(F.col(c).alias(f"{c}_{i}") for c in ("header", "sequence", "quality")))
+    pairs = side(one, 1).join(side(two, 2), "read_index")
+    pairs = AD.trimmed_to_insert(pairs) if cut_inserts else pairs
+    out = []
+    for i, adapter in enumerate(adapters, 1):
+        reads = pairs.select("read_index", *(F.col(f"{c}_{i}").alias(c) for c in ("header", "sequence", "quality")))
+        reads = AD.without_adapter(reads, adapter) if adapter else reads
+        out.append(clean_reads(reads, trim=trim, control=control))
+    return RD.agreeing(out[0], out[1]), RD.agreeing(out[1], out[0])
+
+
 def count(
-    reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk", *, multimapping: bool = True, union: bool = False, stranded: bool = False,
+    reads: DataFrame, index: DataFrame, k: int, technology: str = "bulk", *, multimapping: bool = True, union: bool = True, stranded: bool = False,
     umi: tuple[int, int, int] | None = None, whitelist: DataFrame | None = None,
 ):
     """(assigned reads, counts).  ``index``: sequences (vcrs_id, vcrs_sequence), or single k-mers (kmer,
@@ -70,6 +91,7 @@ def count(
     share a read_index.
 
     ``umi`` is (file, start, end) of the UMI; it must be given where a technology's isn't known.
+    A read's targets are those that any of its k-mers has, or without ``union`` those that all have.
     With ``whitelist`` (barcode) only listed barcodes count, and those one change away.
     """
     name = T.known(technology)
@@ -84,7 +106,7 @@ def count(
         return assigned, C.count_matrix(assigned, umis=False, multimapping=multimapping)
     if umi is None and name not in T.UMIS:
         raise ValueError(f"where a UMI lies in {technology} reads isn't known here: give umi=(file, start, end)")
-    umi = umi or (spans[0][0], *T.UMIS[name])
+    umi = umi or T.UMIS[name]
     files = lambda f: "barcode_read" if "barcode_read" in reads.columns else f"read_{f}"
     cells = reads.select("read_index", Q.barcode_of_files(files, spans).alias("barcode"), Q.barcode_of_files(files, [umi]).alias("umi")).distinct()
     cells = C.rescue_barcodes(cells, whitelist) if whitelist is not None else cells
@@ -120,14 +142,34 @@ def recount(
     return C.recount_by_genome(assigned, seen, own, multimapping=multimapping, count_unaligned=count_unaligned, mistake_ratio=mistake_ratio)
 
 
-def within_reach(matrix: DataFrame, vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:
-    """Counts of variants that the technology's reads can reach: one of a VCRS's variants is enough."""
+def reachable(vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:
+    """``vcrs`` with the headers of those variants only that the technology's reads can reach; one without any goes."""
     side = T.strand_bias(technology, end)
     if side is None:
-        return matrix
+        return vcrs
     each = A.header_information(I.explode_headers(vcrs.select("vcrs_id", "vcrs_header")))
-    each = each.select("vcrs_id", F.col("seq_ID").alias("transcript_id"), F.col("start_variant_position").alias("start"), F.col("end_variant_position").alias("end"))
-    return C.keep_variants(matrix, R.within_strand_reach(each, lengths, end=side, read_length=read_length))
+    each = each.select("vcrs_id", "vcrs_header_individual", F.col("seq_ID").alias("transcript_id"), F.col("start_variant_position").alias("start"), F.col("end_variant_position").alias("end"))
+    within = R.within_strand_reach(each, lengths, end=side, read_length=read_length)
+    headers = within.groupBy("vcrs_id").agg(F.array_join(F.array_sort(F.collect_list("vcrs_header_individual")), ";").alias("vcrs_header"))
+    return vcrs.drop("vcrs_header").join(headers, "vcrs_id").select(*vcrs.columns)
+
+
+def within_reach(matrix: DataFrame, vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:
+    """Counts of variants that the technology's reads can reach: one of a VCRS's variants is enough."""
+    if T.strand_bias(technology, end) is None:
+        return matrix
+    return C.keep_variants(matrix, reachable(vcrs, lengths, technology, read_length, end))
+
+
+def of_genes(vcrs: DataFrame, genes: DataFrame, *, t2g: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """vcrs_id of the sequences that have one of ``genes`` (gene_id) among theirs."""
+    own = variant_genes(vcrs, t2g=t2g, genes=places).select("vcrs_id", F.explode("genes").alias("gene_id"))
+    return own.join(genes.select("gene_id").distinct(), "gene_id", "left_semi").select("vcrs_id").distinct()
+
+
+def vcf(totals: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of a VCF for the detected variants of ``totals`` (vcrs_header, vcrs_count, number_obs) at one place each."""
+    return C.single_locus_records(totals, records)
 
 
 def described_totals(totals: DataFrame, vcrs: DataFrame, *, t2g: DataFrame | None = None, genes: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
@@ -140,10 +182,15 @@ def described_totals(totals: DataFrame, vcrs: DataFrame, *, t2g: DataFrame | Non
 
 def clean(
     matrix: DataFrame, *, min_counts: float = 2, use_binary: bool = False, drop_empty: bool = False, sum_rows: bool = False, cpm: bool = False,
-    keep: DataFrame | None = None, exclude: DataFrame | None = None, quality: dict | None = None,
+    keep: DataFrame | None = None, exclude: DataFrame | None = None, quality: dict | None = None, reads: DataFrame | None = None, split_at_n: bool = False, mates: bool = False,
 ):
-    """(counts, totals per variant)."""
-    out = C.min_counts(matrix, min_counts) if min_counts else matrix
+    """(counts, totals per variant).
+
+    With ``reads`` (barcode, fastq_header, ec, targets, counted_in_count_matrix) what pieces of one read (``split_at_n``), or mates,
+    have counted twice is taken off first.  ``quality`` are options of ``counts.quality_filter``.
+    """
+    out = A.without_double_counts(matrix, reads, split_at_n=split_at_n, mates=mates) if reads is not None and (split_at_n or mates) else matrix
+    out = C.min_counts(out, min_counts) if min_counts else out
     out = C.sum_rows(out) if sum_rows else out
     out = C.binary(out) if use_binary else out
     out = C.quality_filter(out, **quality) if quality else out
@@ -154,8 +201,9 @@ def clean(
     return out, C.variant_totals(out)
 
 
-def summarize(matrix: DataFrame, top: int = 10, genes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables: detected (how many variants at all), per_sample, top_by_count, top_by_samples, genes."""
+def summarize(matrix: DataFrame, top: int = 10, genes: DataFrame | None = None, ranks: bool = False) -> dict[str, DataFrame]:
+    """Tables: detected (how many variants at all), per_sample, top_by_count, top_by_samples, with ``ranks`` top_per_sample (the
+    first of each sample, ranked), genes."""
     totals = C.variant_totals(matrix)
     out = {
         "detected": totals.agg(F.count_if("vcrs_detected").alias("detected"), F.count("*").alias("variants")),
@@ -163,6 +211,8 @@ def summarize(matrix: DataFrame, top: int = 10, genes: DataFrame | None = None)
         "top_by_count": C.top_variants(matrix, top),
         "top_by_samples": C.top_variants(matrix, top, "samples"),
     }
+    if ranks:
+        out["top_per_sample"] = C.variant_ranks(matrix, top)
     if genes is not None:
         out["genes"] = C.gene_counts(matrix, genes).orderBy(F.desc("gene_count"), "gene").limit(top)
     return out
@@ -183,9 +233,19 @@ def simulate(mutant: DataFrame, wild: DataFrame | None = None, *, read_length: i
     return SIM.noisy_quality(out, seed=seed) if noise else out.withColumn("quality", F.repeat(F.lit("I"), F.length("sequence")))
 
 
+def chosen_variants(variants: DataFrame, n: int | None = None, *, filters=(), without: DataFrame | None = None, key: str = "vcrs_id", seed: int = 42) -> DataFrame:
+    """Exactly ``n`` (all without a number) of the variants that pass ``filters`` and aren't in ``without`` (``key``)."""
+    out = FL.apply_filters(variants, list(filters)) if filters else variants
+    out = out.join(without.select(key).distinct(), key, "left_anti") if without is not None else out
+    return out if n is None else exact_sample(out, n, key, seed=seed)
+
+
 def simulated_variants(variants: DataFrame, reads: DataFrame) -> DataFrame:
-    """``variants`` (vcrs_id) with their numbers of reads and tumor purity."""
-    n = reads.groupBy("vcrs_id").agg(F.count_if(F.col("kind") == "M").alias("number_of_reads_mutant"), F.count_if(F.col("kind") == "W").alias("number_of_reads_wt"))
+    """``variants`` (vcrs_id) with their numbers of reads, where these start, and tumor purity."""
+    n = reads.groupBy("vcrs_id").agg(
+        F.count_if(F.col("kind") == "M").alias("number_of_reads_mutant"), F.count_if(F.col("kind") == "W").alias("number_of_reads_wt"),
+        *(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("start")))).alias(f"list_of_read_starting_indices_{name}") for kind, name in (("M", "mutant"), ("W", "wt"))),
+    )
     out = variants.join(n, "vcrs_id", "left").fillna(0, ["number_of_reads_mutant", "number_of_reads_wt"])
     return SIM.tumor_purity(out)
 

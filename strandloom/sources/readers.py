@@ -28,6 +28,12 @@ def read_fasta(spark: SparkSession, path, *, split_headers: bool = False, id_onl
     return rows.select((H.fasta_id("title") if id_only else F.col("title")).alias("seq_id"), "title", "sequence")
 
 
+def ordered_lines(spark: SparkSession, path) -> DataFrame:
+    """value, and the line's place ``_o`` in the order of files, their blocks and lines; partitions come in no such order."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("_o"))
+
+
 def list_fastqs(spark: SparkSession, source: str | list[str]) -> list[str]:
     """Paths of FASTQ files: a list of them, a folder, a text file that lists them, or one file."""
     if not isinstance(source, str):
@@ -86,6 +92,13 @@ def vcf_variants(records: DataFrame, sequences: DataFrame | None = None) -> Data
     return out.withColumns({"variant": F.coalesce(name, "variant"), "variant_type": kind}).drop("_low", "_high", "_before", "seq_id")
 
 
+def without_chr(records: DataFrame, sequences: DataFrame) -> DataFrame:
+    """VCF records whose CHROM loses a leading chr, if no name in ``sequences`` (seq_id) begins with it."""
+    named = sequences.agg(F.coalesce(F.max(F.col("seq_id").startswith("chr")), F.lit(False)).alias("_chr"))  # one row
+    plain = F.when(F.col("_chr"), F.col("CHROM")).otherwise(F.regexp_replace("CHROM", "^chr", ""))
+    return records.crossJoin(F.broadcast(named)).withColumn("CHROM", plain).drop("_chr")
+
+
 def read_gtf(spark: SparkSession, path) -> DataFrame:
     """The nine columns, and gene_id, transcript_id and gene_name from the attributes."""
     rows = spark.read.schema(GTF).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
@@ -107,7 +120,7 @@ def transcript_genes(gtf: DataFrame, strip_versions: bool = False) -> DataFrame:
 def read_t2g(spark: SparkSession, path, *, strip_versions: bool = False, columns: tuple[int, int] = (0, 1)) -> DataFrame:
     """transcript_id, gene_id; the last line of a transcript counts, and dlist maps to itself."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).select(*(F.get(f, F.lit(c)).alias(n) for c, n in zip(columns, ("transcript_id", "gene_id"), strict=True)), F.monotonically_increasing_id().alias("o"))
+    rows = ordered_lines(spark, path).select(*(F.get(f, F.lit(c)).alias(n) for c, n in zip(columns, ("transcript_id", "gene_id"), strict=True)), F.col("_o").alias("o"))
     if strip_versions:
         rows = rows.withColumns({c: H.without_version(c) for c in ("transcript_id", "gene_id")})
     rows = rows.groupBy("transcript_id").agg(F.max_by("gene_id", "o").alias("gene_id"))
@@ -120,7 +133,7 @@ def read_id_map(spark: SparkSession, path) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, matrix, barcodes, genes) -> DataFrame:
     """(barcode, vcrs_id, count) of a MatrixMarket file and its two lists of names."""
-    lines = spark.read.text(matrix).filter(~F.col("value").startswith("%")).withColumn("_o", F.monotonically_increasing_id())
+    lines = ordered_lines(spark, matrix).filter(~F.col("value").startswith("%"))
     head = lines.agg(F.min("_o").alias("_o"))
     f = F.split(F.trim("value"), r"\s+")
     cells = lines.join(F.broadcast(head), "_o", "left_anti").select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), f[2].cast("double").alias("count"))
@@ -128,7 +141,7 @@ def read_matrix_market(spark: SparkSession, matrix, barcodes, genes) -> DataFram
     def named(path, name, index):
         from ..operators.number import row_numbers
 
-        rows = spark.read.text(path).select(F.col("value").alias(name), F.monotonically_increasing_id().alias("_o"))
+        rows = ordered_lines(spark, path).withColumnRenamed("value", name)
         return row_numbers(rows, "_o", name=index).drop("_o")
 
     return cells.join(named(barcodes, "barcode", "i"), "i").join(named(genes, "vcrs_id", "j"), "j").select("barcode", "vcrs_id", "count")
@@ -146,7 +159,7 @@ def read_equivalence_classes(spark: SparkSession, path, transcripts) -> DataFram
     """ec and its target names; the index after the last name is dlist."""
     from ..operators.number import row_numbers
 
-    names = row_numbers(spark.read.text(transcripts).select(F.col("value").alias("target"), F.monotonically_increasing_id().alias("_o")), "_o", name="_n")
+    names = row_numbers(ordered_lines(spark, transcripts).withColumnRenamed("value", "target"), "_o", name="_n")
     names = names.select((F.col("_n") - 1).cast("long").alias("t"), "target")
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).select(f[0].cast("int").alias("ec"), F.explode(F.split(f[1], ",")).alias("t")).withColumn("t", F.col("t").cast("long"))

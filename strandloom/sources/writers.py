@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fixed import materialised
+from ..operators.number import row_numbers
+
 
 def _text(df: DataFrame, path: str, mode: str, single: bool) -> None:
     (df.coalesce(1) if single else df).write.mode(mode).text(path)
@@ -61,6 +64,31 @@ def write_counts(matrix: DataFrame, path: str, mode: str = "errorifexists") -> N
     matrix.write.mode(mode).parquet(path)
 
 
+def write_matrix_market(matrix: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``path``/barcodes.txt, genes.txt and matrix.mtx (barcodes by genes, from 1), each a folder of parts in order.
+
+    Names are numbered by ranges, and cells are written in the order of barcode and gene, so no task sees all of them.
+    """
+    names = {}
+    for column, name in (("barcode", "barcodes"), ("vcrs_id", "genes")):
+        names[column] = materialised(row_numbers(matrix.select(column).distinct(), column, name=f"_{column}"))
+        names[column].orderBy(f"_{column}").select(F.col(column).alias("value")).write.mode(mode).text(f"{path}/{name}.txt")
+    cells = materialised(matrix.filter("count <> 0").groupBy("barcode", "vcrs_id").agg(F.sum("count").alias("count")))
+    sizes = [names["barcode"].count(), names["vcrs_id"].count(), cells.count()]
+    head = f"%%MatrixMarket matrix coordinate real general\n{' '.join(map(str, sizes))}"
+    top = matrix.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    rows = cells.join(names["barcode"], "barcode").join(names["vcrs_id"], "vcrs_id").orderBy("_barcode", "_vcrs_id")
+    shown = F.when(F.col("count") == F.floor("count"), F.col("count").cast("long").cast("string")).otherwise(F.col("count").cast("string"))
+    top.union(rows.select(F.concat_ws(" ", "_barcode", "_vcrs_id", shown).alias("value"))).write.mode(mode).text(f"{path}/matrix.mtx")
+
+
+def write_removed(checked: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The headers of variants that were left out for good, one a line; ``checked``: header, drop_reason."""
+    kept = checked.filter("drop_reason IS NULL").select("header").distinct()
+    gone = checked.filter("drop_reason IS NOT NULL AND header IS NOT NULL").select("header").distinct()
+    gone.join(kept, "header", "left_anti").select(F.col("header").alias("value")).write.mode(mode).text(path)
+
+
 def write_config(params: dict, path: str) -> None:
     """Parameters as JSON; passwords are masked."""
     hidden = {k: ("*****" if "password" in k.lower() and v else v) for k, v in params.items()}
