@@ -147,7 +147,7 @@ def adapter_places(rows: np.ndarray, size: np.ndarray, adapter: np.ndarray, leas
     width = rows.shape[1]
     wrong = np.zeros(rows.shape, np.int16)
     place = np.arange(width)
-    for j, b in enumerate(adapter.tolist()):
+    for j, b in enumerate(adapter[:width].tolist()):
         other = np.ones(rows.shape, bool)
         other[:, : width - j] = rows[:, j:] != b
         wrong += other & (place + j < size[:, None])

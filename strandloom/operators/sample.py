@@ -17,13 +17,13 @@ def draw(seed: int, *columns: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / float(1 << 53)
 
 
-def exact_sample(rows: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
-    """``n`` of ``rows`` (all, if there are fewer), drawn without replacement by a hash of ``keys``, which name a row.
+def exact_sample(rows: DataFrame, n: int, *keys: str, seed: int = 42, code: Column | None = None) -> DataFrame:
+    """``n`` of ``rows`` (all, if there are fewer), drawn without replacement by a hash of ``keys``, which name a row (or by ``code``, a long).
 
     The n smallest hashes are found by their leading bits: each pass counts 2**16 buckets of the bucket in which the
     n-th hash lies.  Only a small last bucket is sorted; every row before it is in.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)) if code is None else code)
     low, left, shift = -(1 << 63), n, 64  # hashes from ``low`` on, of which ``left`` are wanted, agree above ``shift`` bits
     while shift > 0:
         inside = hashed.filter((F.col("_h") >= low) & (F.col("_h") <= low + (1 << shift) - 1)) if shift < 64 else hashed

@@ -18,7 +18,7 @@ from ..operators import kmers as K
 from ..operators import number as N
 from ..operators import ranges as R
 from . import carriers as T
-from .queries import _LINES, _TARGETS, _bus, _lines, _text, query
+from .queries import _LINES, _READS, _TARGETS, _bus, _lines, _reads, _text, query
 
 # ---- functions
 
@@ -67,7 +67,7 @@ def header_checks(spark, d):
 # ---- building from variants with all kinds of faults
 
 _DIRTY = """raw0 AS (SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, d.seq_id, length(d.seq) AS len, d.seq FROM lineitem l JOIN dna d ON d.doc_id = l.l_partkey % (SELECT count(*) FROM documents)),
-    dirty AS (SELECT ok, ln, ln = 1 AND pk % 50 > len AS beyond, CASE WHEN ok % 11 = 0 THEN NULL WHEN ok % 13 = 0 THEN 'nowhere' ELSE seq_id END AS sid, CASE ln WHEN 1 THEN 'c.' || (pk % 50 + 1) || 'A>C' WHEN 2 THEN 'c.?_' || pk || 'del'
+    dirty AS (SELECT ok, ln, seq, pk, ln = 1 AND pk % 50 > len AS beyond, CASE WHEN ok % 11 = 0 THEN NULL WHEN ok % 13 = 0 THEN 'nowhere' ELSE seq_id END AS sid, CASE ln WHEN 1 THEN 'c.' || (pk % 50 + 1) || 'A>C' WHEN 2 THEN 'c.?_' || pk || 'del'
         WHEN 3 THEN 'c.(' || pk || '_' || (pk + 2) || ')del' WHEN 4 THEN 'c.' || pk || '+' || ln || 'del' WHEN 5 THEN 'c.*' || pk || 'del' WHEN 6 THEN 'p.' || pk
         ELSE 'c.' || (1000000 + pk) || '_' || (1000001 + pk) || 'dup' END AS v FROM raw0)"""
 
@@ -87,15 +87,20 @@ def _dirty(spark, d) -> DataFrame:
     return joined.select(where.alias("seq_id"), name.alias("variant"))
 
 
-@query(f"""+ {_DIRTY}, r AS (SELECT *, row_number() OVER (PARTITION BY sid, v ORDER BY ok, ln) AS rn FROM dirty),
+_LEFT, _RIGHT = "substr(seq, greatest(p - 20, 0) + 1, p - greatest(p - 20, 0))", "substr(seq, p + 2, 20)"
+
+
+@query(f"""+ {_DIRTY}, r AS (SELECT *, pk % 50 AS p, row_number() OVER (PARTITION BY sid, v ORDER BY ok, ln) AS rn FROM dirty),
+    s AS (SELECT *, substr(seq, p + 1, 1) AS base, {_LEFT} || 'C' || {_RIGHT} AS mutant, {_LEFT} || substr(seq, p + 1, 1) || {_RIGHT} AS wild FROM r),
     q AS (SELECT CASE WHEN sid IS NULL THEN 'missing' WHEN rn > 1 THEN 'duplicate' WHEN sid = 'nowhere' THEN 'unknown_sequence' WHEN contains(v, '?') THEN 'uncertain'
       WHEN contains(v, '(') THEN 'ambiguous_position' WHEN contains(v, '+') THEN 'intronic' WHEN contains(v, '*') THEN 'posttranslational' WHEN v LIKE 'p.%' THEN 'unparsed'
-      WHEN v LIKE '%dup' OR beyond THEN 'outside' ELSE 'substitution' END AS reason FROM r)
-    SELECT reason, count(*) AS variants FROM q WHERE reason <> 'substitution' GROUP BY 1""", "dna")
+      WHEN v LIKE '%dup' OR beyond THEN 'outside' WHEN base NOT IN ('', 'A') THEN 'wrong_wild_type_base'
+      WHEN CASE WHEN length(mutant) <= 25 THEN contains(wild, mutant) ELSE len([i for i in range(1, length(mutant) - 24) if contains(wild, substr(mutant, i, 25))]) > 0 END THEN 'shares_wild_type_kmer'
+      WHEN length(mutant) < 25 THEN 'too_short' END AS reason FROM s)
+    SELECT coalesce(reason, 'none') AS reason, count(*) AS variants FROM q GROUP BY 1""", "dna")
 def build_reasons(spark, d):
     built = B.build(_dirty(spark, d), T.sequences(spark, d), B.BuildOptions(w=20, k=25), seq_id_col="seq_id", var_col="variant")
-    early = ["missing", "duplicate", "unknown_sequence", "uncertain", "ambiguous_position", "intronic", "posttranslational", "unparsed", "outside"]
-    return built.report().filter(F.col("drop_reason").isin(early)).withColumnRenamed("drop_reason", "reason")
+    return built.report().select(F.coalesce("drop_reason", F.lit("none")).alias("reason"), "variants")
 
 
 @query("""+ t AS (SELECT seq_id, 'c.' || pos || CASE ln % 4 WHEN 0 THEN substr(seq, pos, 1) ELSE 'N' END || '>' || 'A' AS v, substr(seq, pos, 1) AS base, ln FROM raw),
@@ -160,44 +165,45 @@ def cds_positions(spark, d):
     return I.cds_to_cdna(v, cdna, cds).select("seq_id", "pos", "variant", "start_cdna", "end_cdna")
 
 
-@query("""+ a AS (SELECT seq_id AS header, substr(seq, 1, 40) AS x FROM dna WHERE doc_id % 5 <> 0), b AS (SELECT seq_id AS header, substr(seq, 1, CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 39 END) AS y FROM dna WHERE doc_id % 7 <> 0)
+@query("""+ a AS (SELECT seq_id AS header, seq AS x FROM dna), b AS (SELECT seq_id AS header, CASE WHEN doc_id % 2 = 0 THEN seq ELSE substr(seq, 2) END AS y FROM dna)
     SELECT coalesce(a.header, b.header) AS header, x = y AS same FROM a FULL JOIN b ON a.header = b.header""", "dna")
 def cdna_and_genome(spark, d):
     t = T.dna(spark, d)
-    a = t.filter("doc_id % 5 <> 0").select(F.col("seq_id").alias("header"), F.substring("seq", 1, 40).alias("vcrs_sequence"))
-    b = t.filter("doc_id % 7 <> 0").select(F.col("seq_id").alias("header"), F.expr("substr(seq, 1, CASE WHEN doc_id % 2 = 0 THEN 40 ELSE 39 END)").alias("vcrs_sequence"))
+    a = t.select(F.col("seq_id").alias("header"), F.col("seq").alias("vcrs_sequence"))
+    b = t.select(F.col("seq_id").alias("header"), F.expr("CASE WHEN doc_id % 2 = 0 THEN seq ELSE substr(seq, 2) END").alias("vcrs_sequence"))
     return I.compare_cdna_genome(a, b).select("header", F.col("cdna_and_genome_same").alias("same"))
 
 
-_SEEDS = "q AS (SELECT 'Q' || doc_id AS id, substr(seq, 11, 25) AS s FROM dna WHERE length(seq) >= 35 AND doc_id % 4 = 0)"
+_SEEDS = "q AS (SELECT 'Q' || doc_id AS id, seq AS s FROM dna WHERE lang = 'en')"
 
 
-@query(f"""+ {_SEEDS}, k AS (SELECT id, i - 1 AS pos, substr(s, i, 21) AS k FROM q, (SELECT unnest(range(1, 6)) AS i)),
-    r AS (SELECT seq_id, seq, unnest(range(0, length(seq) - 20)) AS p FROM dna WHERE doc_id % 3 = 0), h AS (SELECT DISTINCT id, seq_id, p, seq FROM k JOIN r ON substr(seq, p + 1, 21) = k)
+@query(f"""+ {_SEEDS}, k AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(s) - 19), lambda i: substr(s, i, 21))) AS k FROM q),
+    r AS (SELECT seq_id, seq, unnest(range(0, length(seq) - 20)) AS p FROM dna WHERE lang <> 'en'), h AS (SELECT DISTINCT id, seq_id, p, seq FROM k JOIN r ON substr(seq, p + 1, 21) = k)
     SELECT id || '_' || p AS header, id, substr(seq, greatest(p - 23, 0) + 1, p + 44 - greatest(p - 23, 0)) AS sequence FROM h""", "dna")
 def distractor_contexts(spark, d):
     t = T.dna(spark, d)
-    q = t.filter("length(seq) >= 35 AND doc_id % 4 = 0").select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("id"), F.substring("seq", 11, 25).alias("sequence"))
-    ref = t.filter("doc_id % 3 = 0").select("seq_id", F.col("seq").alias("sequence"))
+    q = t.filter("lang = 'en'").select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("id"), F.col("seq").alias("sequence"))
+    ref = t.filter("lang <> 'en'").select("seq_id", F.col("seq").alias("sequence"))
     return K.distractors(q, ref, 21, stranded=True)
 
 
-@query("""+ q AS (SELECT 'Q' || doc_id AS id, substr(seq, 11, 25) AS s, seq FROM dna WHERE length(seq) >= 35)
-    SELECT id FROM q WHERE contains(substr(seq, CASE WHEN right(id, 1) IN ('1', '2') THEN 13 ELSE 5 END, 60), s) OR contains(reverse(translate(substr(seq, CASE WHEN right(id, 1) IN ('1', '2') THEN 13 ELSE 5 END, 60), 'ACGT', 'TGCA')), s)""", "dna")
+@query("""+ q AS (SELECT 'Q' || doc_id AS id, seq AS s, CASE doc_id % 3 WHEN 0 THEN substr(seq, 2) || 'C' WHEN 1 THEN 'GA' || seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) || 'T' END AS x FROM dna)
+    SELECT id FROM q WHERE contains(x, s) OR contains(reverse(translate(x, 'ACGT', 'TGCA')), s)""", "dna")
 def inside_own_distractor(spark, d):
-    t = T.dna(spark, d).filter("length(seq) >= 35").withColumn("id", F.concat(F.lit("Q"), F.col("doc_id").cast("string")))
-    dlist = t.select("id", F.expr("substr(seq, CASE WHEN right(id, 1) IN ('1', '2') THEN 13 ELSE 5 END, 60)").alias("sequence"))
-    return K.substring_of_distractor(t.select("id", F.substring("seq", 11, 25).alias("sequence")), dlist)
+    t = T.dna(spark, d).withColumn("id", F.concat(F.lit("Q"), F.col("doc_id").cast("string")))
+    around = F.when(F.col("doc_id") % 3 == 0, F.concat(F.expr("substr(seq, 2)"), F.lit("C"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("GA"), "seq"))
+    dlist = t.select("id", around.otherwise(F.concat(S.reverse_complement("seq"), F.lit("T"))).alias("sequence"))
+    return K.substring_of_distractor(t.select("id", F.col("seq").alias("sequence")), dlist)
 
 
-@query("""+ t AS (SELECT doc_id, 'S' || (doc_id // 2 * 2) AS header, substr(seq, 5, 30) AS r FROM dna WHERE length(seq) >= 34), p AS (SELECT seq_id AS header, seq FROM dna WHERE doc_id % 2 = 0),
-    k AS (SELECT doc_id, t.header, seq, list_transform(range(1, length(r) - 20), lambda i: substr(r, i, 21)) AS ks FROM t LEFT JOIN p ON p.header = t.header)
-    SELECT doc_id, coalesce(len(list_filter(ks, lambda x: contains(seq, x) OR contains(reverse(translate(seq, 'ACGT', 'TGCA')), x))) > 0, false) AS shares FROM k""", "dna")
+@query(f"""+ {_READS}, t AS (SELECT doc_id, off, 'S' || (doc_id // 2 * 2) AS header, r FROM reads), p AS (SELECT seq_id AS header, seq FROM dna),
+    k AS (SELECT doc_id, off, t.header, seq, list_transform(range(1, length(r) - 19), lambda i: substr(r, i, 21)) AS ks FROM t LEFT JOIN p ON p.header = t.header)
+    SELECT doc_id, off, coalesce(len(list_filter(ks, lambda x: contains(seq, x) OR contains(reverse(translate(seq, 'ACGT', 'TGCA')), x))) > 0, false) AS shares FROM k""", "dna")
 def reads_in_their_targets(spark, d):
     t = T.dna(spark, d)
-    reads = t.filter("length(seq) >= 34").select("doc_id", F.expr("'S' || (doc_id div 2 * 2)").alias("header"), F.substring("seq", 5, 30).alias("sequence"))
-    targets = t.filter("doc_id % 2 = 0").select(F.col("seq_id").alias("header"), F.col("seq").alias("sequence"))
-    return K.reads_share_kmer(reads, targets, 21).select("doc_id", F.col("read_contains_reference_kmer").alias("shares"))
+    reads = _reads(spark, d).withColumn("header", F.expr("'S' || (doc_id div 2 * 2)"))
+    targets = t.select(F.col("seq_id").alias("header"), F.col("seq").alias("sequence"))
+    return K.reads_share_kmer(reads, targets, 21).select("doc_id", "off", F.col("read_contains_reference_kmer").alias("shares"))
 
 
 @query("""+ v AS (SELECT seq_id || ':' || variant AS header, 'T' || doc_id % 50 AS transcript_id, pos % 3000 AS s FROM variants),
@@ -350,11 +356,11 @@ def detected_variants(spark, d):
 # ---- counts and comparisons
 
 
-@query("""+ m AS (SELECT vcrs_id, sum("count") AS m FROM counts WHERE "count" > 25 GROUP BY 1), w AS (SELECT vcrs_id, sum("count") AS w FROM counts WHERE "count" <= 10 GROUP BY 1)
+@query("""+ m AS (SELECT vcrs_id, sum("count") AS m FROM counts WHERE "count" > 25 GROUP BY 1), w AS (SELECT vcrs_id, sum("count") AS w FROM counts WHERE "count" <= 25 GROUP BY 1)
     SELECT vcrs_id, round(m / nullif(m + w, 0), 9) AS vaf FROM m LEFT JOIN w USING (vcrs_id)""", "counts")
 def allele_fractions_across(spark, d):
     c = T.counts(spark, d)
-    return C.allele_fractions_across(c.filter(F.col("count") > 25), c.filter(F.col("count") <= 10)).withColumn("vaf", F.round("vaf", 9))
+    return C.allele_fractions_across(c.filter(F.col("count") > 25), c.filter(F.col("count") <= 25)).withColumn("vaf", F.round("vaf", 9))
 
 
 @query("""+ b AS (SELECT vcrs_id, CASE WHEN sum("count") > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS "count" FROM counts WHERE "count" > 10 AND cast(substr(vcrs_id, 2) AS BIGINT) % 3 > 0 GROUP BY 1)
@@ -384,21 +390,21 @@ def recount_with_mistakes(spark, d):
     return C.recount_by_genome(reads, genome, genes, mistake_ratio=0.6)
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 49), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity < 2)
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 20), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity <= 30)
     SELECT (SELECT count(*) FROM a JOIN b USING (k)) AS "TP", (SELECT count(*) FROM b ANTI JOIN a USING (k)) AS "FP", (SELECT count(*) FROM a ANTI JOIN b USING (k)) AS "FN" """)
 def set_sizes(spark, d):
     t = T.read(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), "l_quantity")
-    return E.set_comparison(t.filter("l_quantity > 49").select("k"), t.filter("l_quantity < 2").select("k"), "k")
+    return E.set_comparison(t.filter("l_quantity > 20").select("k"), t.filter("l_quantity <= 30").select("k"), "k")
 
 
-@query("""+ t AS (SELECT 'T' || (l_partkey % 300) AS transcript_id, min(l_partkey) AS s, max(l_partkey) + 9 AS e FROM lineitem WHERE l_partkey % 300 < 200 GROUP BY 1),
-    v AS (SELECT 'T' || (doc_id % 300) AS tid, seq_id, variant FROM variants WHERE NOT contains(variant, 'dup'))
+@query("""+ t AS (SELECT 'T' || (l_partkey % 300) AS transcript_id, min(l_partkey) AS s, max(l_partkey) + 9 AS e FROM lineitem GROUP BY 1),
+    v AS (SELECT 'T' || (doc_id % 450) AS tid, seq_id, variant FROM variants WHERE NOT contains(variant, 'dup'))
     SELECT seq_id, variant, tid, coalesce(s, 0) AS s, coalesce(e, 9999999) AS e, CASE WHEN s IS NULL THEN '.' ELSE '+' END AS strand FROM v LEFT JOIN t ON transcript_id = tid""", "variants")
 def transcript_bounds(spark, d):
     name = F.concat(F.lit("T"), (F.col("l_partkey") % 300).cast("string")).alias("transcript_id")
-    gtf = T.read(spark, d, "lineitem").filter("l_partkey % 300 < 200").groupBy(name).agg(F.min("l_partkey").alias("start"), (F.max("l_partkey") + 9).alias("end"))
+    gtf = T.read(spark, d, "lineitem").groupBy(name).agg(F.min("l_partkey").alias("start"), (F.max("l_partkey") + 9).alias("end"))
     gtf = gtf.withColumns({"feature": F.lit("transcript"), "strand": F.lit("+"), "transcript_id": F.concat("transcript_id", F.lit(".3"))})
-    v = T.variants(spark, d).withColumn("tid", F.concat(F.lit("T"), (F.col("doc_id") % 300).cast("string")))
+    v = T.variants(spark, d).withColumn("tid", F.concat(F.lit("T"), (F.col("doc_id") % 450).cast("string")))
     out = B.with_transcript_bounds(B.without_duplications(v, "variant"), gtf, "tid")
     return out.select("seq_id", "variant", "tid", F.col("start_transcript_position").alias("s"), F.col("end_transcript_position").alias("e"), "strand")
 
@@ -428,11 +434,11 @@ def windows_around(spark, d):
     return t.select("doc_id", S.window_around("seq", "part", 40, F.lit(0.0)).alias("leftmost"), S.window_around("seq", "part", 40, F.lit(0.999999)).alias("rightmost"))
 
 
-@query("""+ t AS (SELECT seq_id || ':' || variant AS header, substr(seq, 1 + pos % 5, 20) AS s, substr(seq, 1 + pos % 2, 20) AS w FROM variants JOIN dna USING (seq_id)),
+@query("""+ t AS (SELECT seq_id || ':' || variant AS header, substr(seq, pos, 20) AS s, substr(seq, pos, 20 + pos % 2) AS w FROM variants JOIN dna USING (seq_id)),
     m AS (SELECT string_agg(header, ';' ORDER BY header) AS vcrs_header, arg_min(s, header) AS vcrs_sequence, count(DISTINCT w) AS n FROM t GROUP BY s)
     SELECT vcrs_header, vcrs_sequence FROM m WHERE n = 1""", "variants", "dna")
 def one_wild_type(spark, d):
     v = T.variants(spark, d).join(T.dna(spark, d).select("seq_id", "seq"), "seq_id")
-    v = v.select(F.concat("seq_id", F.lit(":"), "variant").alias("header"), F.expr("substr(seq, 1 + pos % 5, 20)").alias("vcrs_sequence"), F.expr("substr(seq, 1 + pos % 2, 20)").alias("wt_sequence"), F.lit(0).alias("original_order"))
+    v = v.select(F.concat("seq_id", F.lit(":"), "variant").alias("header"), F.expr("substr(seq, int(pos), 20)").alias("vcrs_sequence"), F.expr("substr(seq, int(pos), int(20 + pos % 2))").alias("wt_sequence"), F.lit(0).alias("original_order"))
     merged = B.merge_identical(v, reverse_complements=False, keep_wild_types=True)
     return A.one_wild_type(merged).select("vcrs_header", "vcrs_sequence")

@@ -88,6 +88,8 @@ def test_adapters_with_one_error_in_ten(spark, size):
         at = brute_place(s, adapter, 6, 0.1)
         assert got[i] == (s[:at], q[:at])
     assert got[903] == (None, None)
+    short = spark.createDataFrame([(bases(9) + adapter[:6], "I" * 15), ("", "")], "sequence string, quality string")
+    assert [len(r["sequence"]) for r in AD.without_adapter(short, adapter + bases(70)).collect()][1] == 0
 
 
 def test_an_adapter_is_inferred(spark):
