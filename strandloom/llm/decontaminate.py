@@ -188,10 +188,15 @@ def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.n
     return [unique], [np.bincount(back, np.concatenate(values), len(unique)).astype(np.int64)]
 
 
-def matches(part: Slice, block: Items) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, begin, end, edits, shared) of the matches in a slice; places in the slice."""
-    chars, place, text_begin, text_end = normalise(part)
-    hashed = grams(chars, block.q)
+def prepared(part: Slice, q: int) -> tuple[tuple, np.ndarray]:
+    """A slice as the search wants it: normalised, with its q-grams; the same for all blocks."""
+    normal = normalise(part)
+    return normal, grams(normal[0], q)
+
+
+def matches(part: Slice, block: Items, ready: tuple[tuple, np.ndarray] | None = None) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, item, begin, end, edits, shared) of the matches in a slice (``ready``: ``prepared``); places in the slice."""
+    (chars, place, text_begin, text_end), hashed = ready or prepared(part, block.q)
     spot = np.flatnonzero(block.seen[hashed >> np.uint64(64 - FILTER_BITS)])
     at = np.searchsorted(block.hashes, hashed[spot])
     ok = block.hashes[np.minimum(at, len(block.hashes) - 1)] == hashed[spot]
@@ -221,7 +226,7 @@ def matches(part: Slice, block: Items) -> list[tuple[int, int, int, int, int, in
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.06, block_chars: int = 1_000_000,
+    docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.06, block_chars: int = 1_000_000, blocks_a_scan: int = 4,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """One row per match: doc_id, item_id, match_start, match_end (characters), edits, shared_grams.
@@ -231,6 +236,9 @@ def contamination(
     can bound; items under ``q`` characters, and null ones, match nothing.  Null and empty texts
     match nothing.  Ids may be null or repeat, and so may rows: each stands for itself.  An empty table on
     either side gives no rows.  Other columns are ignored.  The texts are never shuffled.
+
+    Items come in blocks of about ``block_chars`` characters, ``blocks_a_scan`` of which go to every task at a time (some 40 MB of
+    memory each): a benchmark of n characters takes n / (block_chars * blocks_a_scan) scans of the texts, rounded up.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -241,18 +249,22 @@ def contamination(
     schema = f"doc_id {id_type}, item_id {item_type}, match_start long, match_end long, edits int, shared_grams int"
     context, found = docs.sparkSession.sparkContext, None
     item_arrow = to_arrow_type(items.schema["id"].dataType)
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        block = context.broadcast(Items.build([r["id"] for r in own], [r["text"] for r in own], q, rate))
+    number = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    for scan in range(0, blocks, blocks_a_scan):
+        together = []
+        for b in range(scan, min(scan + blocks_a_scan, blocks)):
+            own = items.filter(number == b).orderBy("id", "text").collect()
+            together.append(Items.build([r["id"] for r in own], [r["text"] for r in own], q, rate))
+        block = context.broadcast(together)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            known = block.value
+            known = [items for items in block.value if items.ids]
             for batch in smaller(batches):
                 rows = []
-                if known.ids:
-                    for part in slices(batch.column(1).to_pylist()):
-                        begin = part.begin
-                        rows += [(part.first + t, known.ids[j], a - int(begin[t]), e - int(begin[t]), d, s) for t, j, a, e, d, s in matches(part, known)]
+                for part in slices(batch.column(1).to_pylist()) if known else ():
+                    ready, begin = prepared(part, q), part.begin
+                    for own in known:
+                        rows += [(part.first + t, own.ids[j], a - int(begin[t]), e - int(begin[t]), d, s) for t, j, a, e, d, s in matches(part, own, ready)]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -267,7 +279,7 @@ def contamination(
                 )
 
         one = on_workers(source).mapInArrow(run, schema)
-        if blocks > 1:  # one block at a time is in memory
+        if blocks > blocks_a_scan:  # the blocks of one scan at a time are in memory
             one = written(one, "matches")
             block.destroy()
         found = one if found is None else found.union(one)

@@ -25,8 +25,9 @@ BROADCAST_LINES = 1_000_000
 
 
 def row_key(id_col: str, text: Column) -> Column:
-    """A row is known by its id and its text, so rows that repeat an id do no harm."""
-    return F.xxhash64(F.col(id_col), text, F.octet_length(text))
+    """A row is known by its id and its text, so rows that repeat an id do no harm; two 64-bit hashes, so that no two
+    of even 10**12 rows share a key."""
+    return F.struct(F.xxhash64(F.col(id_col), text, F.octet_length(text)).alias("a"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("b"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -4,11 +4,15 @@ Each task streams over its rows and holds a fixed number of open bins in a bitse
 space: bit ``f`` is set while some open bin has ``f`` places free.  A piece goes to the open bin
 that it leaves fullest; where none has room a new bin opens, and when too many are open the
 fullest closes first.  Where a piece lies is known at once, so rows go out as they come and
-memory stays bounded.  Within each 2000 documents the longest pieces go first.
+memory stays bounded.  Within each Arrow batch the longest pieces go first.
+
+Bins end with their task, and the last ones are partly empty.  So a second, smaller round packs
+the sequences that could still share one, as wholes: it sees their fills only, some thousands of them a task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -19,13 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import on_workers, smaller
+from .common import BROADCAST_KEYS, on_workers, smaller, written
 
 SCHEMA = (
     "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 )
 
 
+#: Sequences that one task of the second round packs, on average.
+REST = 20_000
+
+
 class OpenBins:
     """At most ``limit`` open bins of ``capacity`` places."""
 
@@ -76,8 +84,9 @@ def pack(
     A document is its token ids and ``end_id``.  Only one that is longer than ``capacity`` is
     cut, into pieces of ``capacity`` and a rest.  A null or empty text is just ``end_id``.  Rows
     with null or repeated ids are documents of their own.  Other columns are ignored; an empty
-    table gives no rows.  Sequences belong to one task; their ids hold its partition, so a task
-    that runs again gives the same rows.  Nothing is shuffled.
+    table gives no rows.  In the first round sequences belong to one task; their ids hold its partition, so a task
+    that runs again gives the same rows.  Its rows are a written table that the result reads, and texts
+    are never shuffled.
     """
     source = on_workers(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -118,4 +127,33 @@ def pack(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {id_type}, {SCHEMA}" + ", ids array<long>" * with_ids
-    return source.mapInArrow(run, schema)
+    return _merged(written(source.mapInArrow(run, schema), "pieces"), capacity)
+
+
+def _merged(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` after sequences that fit together have become one."""
+    fills = pieces.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+    least = fills.agg(F.min("fill")).first()[0]
+    if least is None:
+        return pieces
+    # what doesn't fit with the emptiest one fits with none
+    rest = fills.filter(F.col("fill") <= capacity - least)
+    parts = max(1, math.ceil(rest.count() / REST))
+
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((f, i) for b in batches for i, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), reverse=True)
+        bins, first, out = OpenBins(capacity, len(rows)), {}, []
+        for fill, own in rows:
+            bin_id, offset = bins.place(fill)
+            if offset:
+                out.append((own, first[bin_id], offset))
+            else:
+                first[bin_id] = own
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sequence_id", "into", "behind"])
+
+    moved = written(rest.repartition(parts, "sequence_id").mapInArrow(repack, "sequence_id long, into long, behind long"), "moved")
+    few = moved.count() <= BROADCAST_KEYS
+    joined = pieces.join(F.broadcast(moved) if few else moved, "sequence_id", "left")
+    place = {"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("behind", F.lit(0))}
+    return joined.withColumns(place).select(*pieces.columns)

@@ -95,6 +95,26 @@ def test_packing(docs):
         assert at <= 64
 
 
+def test_few_sequences_in_many_partitions(spark):
+    """What the ends of tasks leave partly empty is packed again, whatever the partitioning."""
+    rng = random.Random(9)
+    texts = [" ".join("word" for _ in range(rng.randint(1, 60))) for _ in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = -(-sum(len(t.split()) + 1 for t in texts) // 128)
+    for parts in (1, 24):
+        rows = pack(docs.repartition(parts), PATH, capacity=128).collect()
+        assert len(rows) == 900 and len({r["sequence_id"] for r in rows}) <= 1.01 * least + 1
+        spans = defaultdict(list)
+        for r in rows:
+            spans[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in spans.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 128
+
+
 def test_fullest_bin_closes_first():
     bins = OpenBins(10, 2)
     assert [bins.place(n) for n in (7, 5, 6, 5, 3)] == [(0, 0), (1, 0), (2, 0), (1, 5), (2, 6)]
