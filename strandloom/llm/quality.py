@@ -63,7 +63,8 @@ def features(part: Slice) -> np.ndarray:
     pairs, _ = _distinct(owner[1:][inside], pair[inside], n)
     s0, s1 = runs(sign)
     sign_owner = part.owner(s0)
-    lone = (kind[np.maximum(s0 - 1, 0)] == SPACE) & (kind[np.minimum(s1, len(kind) - 1)] == SPACE)
+    # a text begins behind the space of the one before, and the first one in the same way
+    lone = (np.r_[SPACE, kind[:-1]][s0] == SPACE) & (kind[np.minimum(s1, len(kind) - 1)] == SPACE)
     line = np.ones(len(chars), bool)
     line[chars == 10] = False
     line[part.end] = False
