@@ -13,19 +13,19 @@ def nearby_variants(variants: DataFrame, k: int, seq_col: str = "seq_id", start:
     """Per variant: nearby_variants (headers of others on the sequence with |other end - start| or
     |other start - end| under k) and nearby_variants_count.
 
-    Both sides are binned by k - 1 bases, so a partner lies in the same bin or the next one.
+    A variant that begins near another one's end is near it, and the other is near the first: one join finds both.
+    Both sides are binned by k - 1 bases, so a partner lies in the same bin or a neighbouring one.
     """
     width = max(1, k - 1)
     base = variants.select(F.col(seq_col).alias("seq"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(header).alias("h"))
     base = base.withColumn("row", F.xxhash64("seq", "s", "e", "h"))
-    ends = base.select("seq", F.col("e").alias("oe"), F.col("s").alias("os"), F.col("h").alias("other"), F.col("row").alias("orow"))
-    around = lambda c: F.explode(F.array(*(F.floor(F.col(c) / width) + d for d in (-1, 0, 1)))).alias("bin")
-    by_start = base.select("*", around("s")).join(ends.withColumn("bin", F.floor(F.col("oe") / width)), ["seq", "bin"])
-    by_start = by_start.filter(F.abs(F.col("oe") - F.col("s")) <= width)
-    by_end = base.select("*", around("e")).join(ends.withColumn("bin", F.floor(F.col("os") / width)), ["seq", "bin"])
-    by_end = by_end.filter(F.abs(F.col("os") - F.col("e")) <= width)
-    pairs = by_start.union(by_end).filter("row <> orow").select("row", "other", "orow").distinct()
-    lists = pairs.groupBy("row").agg(F.array_sort(F.collect_list("other")).alias("nearby_variants"))
+    around = F.explode(F.array(*(F.floor(F.col("s") / width) + d for d in (-1, 0, 1)))).alias("bin")
+    starts = base.select("seq", "s", "h", "row", around)
+    ends = base.select("seq", F.col("e").alias("oe"), F.col("h").alias("oh"), F.col("row").alias("orow"), F.floor(F.col("e") / width).alias("bin"))
+    met = starts.join(ends, ["seq", "bin"]).filter((F.abs(F.col("oe") - F.col("s")) <= width) & (F.col("row") != F.col("orow")))
+    side = lambda own, row, other: F.struct(F.col(own).alias("row"), F.struct(F.col(other).alias("other"), F.col(row).alias("id")).alias("mate"))
+    both = met.select(F.inline(F.array(side("row", "orow", "oh"), side("orow", "row", "h"))))
+    lists = both.groupBy("row").agg(F.transform(F.array_sort(F.collect_set("mate")), lambda m: m["other"]).alias("nearby_variants"))
     out = base.join(lists, "row", "left")
     empty = F.coalesce("nearby_variants", F.array().cast("array<string>"))
     return out.select(F.col("h").alias(header), empty.alias("nearby_variants"), F.size(empty).alias("nearby_variants_count"))
