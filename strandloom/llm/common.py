@@ -7,6 +7,8 @@ import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sl_path = path
+    for tables in _SCRATCH.get():
+        tables.append(out)
+    return out
+
+
+#: The tables of the ``scratch`` blocks that are open.
+_SCRATCH: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside are deleted at the end, so what is made of them must be written after it, or be ``kept``."""
+    tables: list[DataFrame] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), tables))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        discard(*(t for t in tables if not getattr(t, "_sl_kept", False)))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table that outlives the ``scratch`` block."""
+    out = written(df, name)
+    out._sl_kept = True
     return out
 
 

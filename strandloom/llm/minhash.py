@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chars import Hasher, mix, runs, slices
-from .common import discard, on_workers, picked, smaller, written
+from .common import discard, kept, on_workers, picked, scratch, smaller, written
 from .components import components
 from .exact_dedup import merge_runs
 
@@ -314,8 +314,13 @@ def near_duplicates(
     without an id can't be named: its component_id is null, and it is kept.  Rows that repeat an id
     are one document, linked with all that any of its texts is linked with.  Other columns are
     ignored; an empty table gives no rows.  ``most_looks`` decides by which of two exact ways a
-    bucket is joined, and changes no result.
+    bucket is joined, and changes no result.  The result is a written table; those it was made of are deleted.
     """
+    with scratch():
+        return kept(_near_duplicates(docs, words, percent, bands, rows, stars, most_looks, id_col, text_col), "near_duplicates")
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, bands: int, rows: int, stars: int, most_looks: int, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(sketches(docs, words, bands, rows), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
@@ -354,5 +359,5 @@ def near_duplicates(
     member = classed.select("doc_id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    kept = F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))
-    return member.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    stays = F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))
+    return member.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", stays.alias("kept"))

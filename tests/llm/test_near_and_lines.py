@@ -333,3 +333,17 @@ def lev(a, b):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).count() == 0 and deduplicate_lines(none).count() == 0
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    """What stays in the shared folder of near duplicates is the result."""
+    from pathlib import Path
+
+    from strandloom.llm.common import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    files = lambda: {str(p) for p in top.rglob("*.parquet")}
+    rng, before = random.Random(5), files()
+    docs = spark.createDataFrame([(i, sentence(rng, 30) if i % 3 else "the same text again and again it is") for i in range(60)], "doc_id long, text string")
+    out = near_duplicates(docs)
+    assert out.count() == 60 and {str(p).split("/")[-2] for p in files() - before} == {"near_duplicates"}

@@ -106,3 +106,24 @@ def test_copy_with_blank_lines_goes(spark):
     text = sentence(rng, 60) + "\n\n \n" + sentence(rng, 60)
     docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (1, 2)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in P.lines(spark, docs, "").collect()] == [1]
+
+
+def test_more_columns_and_repeated_rows(spark, tmp_path):
+    """Columns of a caller that are named like working ones come through, and rows that repeat are rows of their own."""
+    rng = random.Random(14)
+    names = ["row", "pos", "hash", "mark", "score", "predicted", "id", "items", "component", "kept", "label", "y", "piece", "sequence_id", "offset", "into", "a", "b", "run", "removed"]
+    rows = [(i, sentence(rng, 40) + ".\n" + sentence(rng, 20), "en", "s", 1, *range(len(names))) for i in range(20)]
+    rows += [rows[3]] * 2 + [(None, None, None, None, None, *[None] * len(names))] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    df, folder = spark.createDataFrame(rows, schema), str(tmp_path)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, sentence(rng, 30))], "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in P.STAGES[1:]:
+        out = stage(spark, df, folder)
+        got = out.collect()
+        if name == "packing":
+            assert len(got) == len(rows) and sum(r["doc_id"] == 3 for r in got) == 3 and sum(r["doc_id"] is None for r in got) == 2
+        else:
+            assert out.columns == df.columns and len(got) == len(rows)
+            assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+    assert dict(P.STAGES)["quality"](spark, df, folder).columns == df.columns
