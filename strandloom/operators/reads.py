@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import quality as Q
 from ..functions import sequence as S
-from ..functions.ragged import byte_slices
+from ..functions.ragged import byte_slices, strings
 from .fixed import on_workers
 
 
@@ -22,26 +23,59 @@ def split_at_n(reads: DataFrame, min_length: int | None = None, prefix: int = 0)
     Pieces under ``min_length`` go only where there are several.  The first ``prefix`` bases
     (barcode and UMI) are put before every piece and not split.
     """
-    body = F.substring("sequence", F.lit(prefix + 1), F.length("sequence"))
-    edges = F.split(F.regexp_replace(body, "([^Nn])(?=[Nn])|([Nn])(?=[^Nn])", "$1$2\u0001"), "\u0001")
-    sized = F.transform(edges, lambda p, i: F.struct(p.alias("p"), F.aggregate(F.slice(edges, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)).alias("at")))
-    pieces = F.filter(sized, lambda x: (F.length(x["p"]) > 0) & ~x["p"].rlike("^[Nn]"))
-    rows = reads.withColumn("_pieces", pieces).withColumn("_n", F.size("_pieces"))
-    rows = rows.select("*", F.explode("_pieces").alias("_x"))
-    end = F.col("_x.at") + F.length("_x.p")
-    if min_length is not None:
-        rows = rows.filter((F.col("_n") == 1) | (F.length("_x.p") >= min_length))
-    label = F.when(F.col("_n") > 1, F.concat_ws("-", F.col("_x.at"), end)).otherwise(F.concat(F.lit("1-"), end.cast("string")))
     lead = lambda c: F.substring(c, 1, prefix)
-    cut = F.substring("quality", F.col("_x.at") + prefix + 1, F.length("_x.p"))
+    rest = lambda c: F.substring(c, F.lit(prefix + 1), F.length(c))
+    others = [c for c in reads.columns if c not in ("header", "sequence", "quality")]
+    whole = reads.filter("sequence IS NOT NULL").select(
+        *others, "header", lead("sequence").alias("_lead"), lead("quality").alias("_quality_lead"),
+        rest("sequence").alias("_piece"), F.coalesce(rest("quality"), F.lit("")).alias("_quality"),
+    )
+    rows = _pieces(whole)
+    if min_length is not None:
+        rows = rows.filter((F.col("_n") == 1) | (F.col("_end") - F.col("_at") >= min_length))
+    label = F.when(F.col("_n") > 1, F.concat_ws("-", "_at", "_end")).otherwise(F.concat(F.lit("1-"), F.col("_end").cast("string")))
     return rows.select(
-        *(c for c in reads.columns if c not in ("header", "sequence", "quality")),
+        *others,
         F.concat("header", F.lit(":"), label).alias("header"),
-        F.concat(lead("sequence"), "_x.p").alias("sequence"),
-        F.concat(lead("quality"), cut).alias("quality"),
+        F.concat("_lead", "_piece").alias("sequence"),
+        F.concat("_quality_lead", "_quality").alias("quality"),
     )
 
 
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, place of each character and of the end, number of the first character of each text and of the end) of texts."""
+    _, data, offsets = next(byte_slices(texts, 1 << 62))
+    places = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+    return data, places, np.searchsorted(places, offsets)
+
+
+def _pieces(whole: DataFrame) -> DataFrame:
+    """A row for each piece of ``_piece`` between Ns, with the same part of ``_quality``, its places _at and _end and
+    the number _n of pieces.  A text is gone through once, however many pieces it has."""
+    kept = [c for c in whole.columns if c not in ("_piece", "_quality")]
+    schema = T.StructType([*(whole.schema[c] for c in kept), *(T.StructField(c, T.IntegerType()) for c in ("_n", "_at", "_end")), *(T.StructField(c, T.StringType()) for c in ("_piece", "_quality"))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, _, offsets in byte_slices(batch.column("_piece")):
+                part = batch.slice(begin, len(offsets) - 1)
+                data, places, first = _characters(part.column("_piece"))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(first))
+                base = ~np.isin(data[places[:-1]], np.frombuffer(b"Nn", np.uint8))
+                new = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
+                last = np.r_[new[1:], True] if len(owner) else new
+                start = np.flatnonzero(base & (new | ~np.r_[False, base[:-1]][: len(base)]))
+                stop = np.flatnonzero(base & (last | ~np.r_[base[1:], False][: len(base)])) + 1
+                row = owner[start]
+                at, end = start - first[row], stop - first[row]
+                quality, spots, begins = _characters(part.column("_quality"))
+                low, high = (spots[np.minimum(begins[row] + x, begins[row + 1])] for x in (at, end))
+                columns = [*(part.column(c).take(pa.array(row)) for c in kept), *(pa.array(x.astype(np.int32)) for x in (np.bincount(row, minlength=1)[row], at, end))]
+                yield pa.RecordBatch.from_arrays([*columns, strings(data, places[start], places[stop] - places[start]), strings(quality, low, high - low)], schema.names)
+
+    return on_workers(whole).mapInArrow(cut, schema)
+
+
 def mask(reads: DataFrame, phred: int) -> DataFrame:
     return reads.withColumn("sequence", Q.mask_low_quality("sequence", "quality", phred))
 

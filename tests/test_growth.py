@@ -1,7 +1,10 @@
 """Work that grows no faster than the input: what is worked out once, and results on long inputs."""
 
+import re
+
 
 from strandloom.functions import sequence as S
+from strandloom.operators import reads as RD
 
 
 def _plan(df) -> str:
@@ -12,3 +15,14 @@ def test_runs_of_a_base_are_looked_up_once(spark):
     df = spark.createDataFrame([("ACCG" * 50_000,), ("AACCGGT",), ("",), (None,)], "s string").select(S.longest_homopolymer("s").alias("h"))
     assert _plan(df).count("regexp_extract_all") == 1
     assert [r["h"] and tuple(r["h"]) for r in df.collect()] == [(2, ["CC"]), (2, ["AA", "CC", "GG"]), (0, None), None]
+
+
+def test_a_read_of_many_pieces_is_cut_in_one_pass(spark):
+    long = "ACNTNNé" * 20_000
+    rows = [(1, "h", long, "I" * (len(long) - 4)), (2, "", "", ""), (3, "x", None, ""), (4, "y", "TTNA", None), (5, "z", "nnGGn", "abcde")]
+    got = RD.split_at_n(spark.createDataFrame(rows, "i int, header string, sequence string, quality string"))
+    assert "lambdafunction" not in _plan(got)  # nothing is gone through for each piece
+    found = {(r["i"], r["header"]): (r["sequence"], r["quality"]) for r in got.collect()}
+    quality = "I" * (len(long) - 4)
+    want = {(1, f"h:{m.start()}-{m.end()}"): (m[0], quality[m.start() : m.end()]) for m in re.finditer("[^N]+", long)}
+    assert found == want | {(4, "y:0-2"): ("TT", None), (4, "y:3-4"): ("A", None), (5, "z:1-4"): ("GG", "cd")}
