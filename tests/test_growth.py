@@ -1,10 +1,11 @@
 """Work that grows no faster than the input: what is worked out once, and results on long inputs."""
 
+import random
 import re
 
-
 from strandloom.functions import sequence as S
 from strandloom.operators import reads as RD
+from strandloom.operators import superkmers as SK
 
 
 def _plan(df) -> str:
@@ -26,3 +27,11 @@ def test_a_read_of_many_pieces_is_cut_in_one_pass(spark):
     quality = "I" * (len(long) - 4)
     want = {(1, f"h:{m.start()}-{m.end()}"): (m[0], quality[m.start() : m.end()]) for m in re.finditer("[^N]+", long)}
     assert found == want | {(4, "y:0-2"): ("TT", None), (4, "y:3-4"): ("A", None), (5, "z:1-4"): ("GG", "cd")}
+
+
+def test_more_windows_take_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(SK, "TASK_WINDOWS", 500)
+    rng = random.Random(1)
+    seqs = spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=300))) for i in range(40)], "id int, sequence string")
+    usual, _ = SK.dealt(SK.written_runs(seqs, 21, keys=["id"], seq_col="sequence"), 21, False)
+    assert usual.rdd.getNumPartitions() == 40 * 280 // 500 + 1
