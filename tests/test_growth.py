@@ -4,6 +4,7 @@ import random
 import re
 
 from strandloom.functions import sequence as S
+from strandloom.operators import kmers as K
 from strandloom.operators import reads as RD
 from strandloom.operators import superkmers as SK
 
@@ -35,3 +36,18 @@ def test_more_windows_take_more_tasks(spark, monkeypatch):
     seqs = spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=300))) for i in range(40)], "id int, sequence string")
     usual, _ = SK.dealt(SK.written_runs(seqs, 21, keys=["id"], seq_col="sequence"), 21, False)
     assert usual.rdd.getNumPartitions() == 40 * 280 // 500 + 1
+
+
+def test_lists_of_groups_larger_than_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 3)
+    monkeypatch.setattr(K, "TOGETHER", 2)
+    rng, k = random.Random(2), 9
+    shared = ["".join(rng.choices("ACGT", k=20)) for _ in range(6)]
+    rows = [(i, "".join(rng.choices(shared, k=rng.randint(0, 3))) + "".join(rng.choices("ACGT", k=12))) for i in range(60)]
+    rows += [(100 + i, shared[0]) for i in range(12)] + [(200, "ACG"), (201, "")]
+    turn = str.maketrans("ACGT", "TGCA")
+    own = {i: [min(s[j : j + k], s[j : j + k].translate(turn)[::-1]) for j in range(len(s) - k + 1)] for i, s in rows}
+    want = {i: sorted(o for o in own if o != i and set(own[i]) & set(own[o])) for i in own}
+    counts = {i: sum(any(x in own[o] for o in own if o != i) for x in own[i]) for i in own}
+    found = K.kmer_overlaps(spark.createDataFrame(rows, "id int, sequence string"), k)
+    assert {r["id"]: (r["kmers"], r["others"]) for r in found.collect()} == {i: (counts[i], want[i]) for i in own}
