@@ -62,3 +62,12 @@ def test_sequences_do_not_travel_where_places_do(spark, monkeypatch):
     assert "RepartitionByExpression [_doc" in _plan(T.raw(spark, d)) and f"], {-(-lines // 100)}" in _plan(T.raw(spark, d))
     distinct = next(line for line in _plan(further_queries.long_duplications(spark, d)).split("\n") if "Aggregate" in line)
     assert "pos#" in distinct and "seq#" not in distinct
+
+
+def test_targets_are_turned_round_once(spark):
+    reads = spark.createDataFrame([(1, "ACGGA", "a"), (2, "TCCGT", "a"), (3, "GGGGG", "a"), (4, "ACG", "a"), (5, "ACGGA", "no"), (6, None, "a")], "i int, sequence string, header string")
+    targets = spark.createDataFrame([("a", "TTACGGATT"), ("b", None)], "header string, sequence string")
+    for strand, want in (("f", [1]), ("r", [2]), ("both", [1, 2])):
+        found = K.reads_share_kmer(reads, targets, 4, strand)
+        assert [r["i"] for r in found.orderBy("i").collect() if r["read_contains_reference_kmer"]] == want
+        assert "Contains(reverse(" not in _plan(found)
