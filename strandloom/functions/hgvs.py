@@ -29,31 +29,42 @@ def variant_change(variant) -> Column:
     return _nonempty(F.regexp_extract(_col(variant), PATTERN, 2))
 
 
+def positions_start(positions) -> Column:
+    return F.split_part(_col(positions), F.lit("_"), F.lit(1)).try_cast("bigint")
+
+
+def positions_end(positions) -> Column:
+    """The second position, or the first where there is one only."""
+    # '' is no number, so it gives the first too
+    return F.coalesce(F.split_part(_col(positions), F.lit("_"), F.lit(2)).try_cast("bigint"), positions_start(positions))
+
+
+def change_type(change) -> Column:
+    """One of ``TYPES``, else 'unknown', by what ``variant_change`` gives."""
+    change = _col(change)
+    return (
+        F.when(F.contains(change, F.lit(">")), "substitution")
+        .when(F.contains(change, F.lit("delins")), "delins")
+        .when(F.contains(change, F.lit("del")), "deletion")
+        .when(F.contains(change, F.lit("ins")), "insertion")
+        .when(F.contains(change, F.lit("dup")), "duplication")
+        .when(F.contains(change, F.lit("inv")), "inversion")
+        .otherwise("unknown")
+    )
+
+
 def variant_start(variant) -> Column:
-    return F.split_part(variant_positions(variant), F.lit("_"), F.lit(1)).try_cast("bigint")
+    return positions_start(variant_positions(variant))
 
 
 def variant_end(variant) -> Column:
     """The second position, or the first where there is one only."""
-    second = _nonempty(F.split_part(variant_positions(variant), F.lit("_"), F.lit(2)))
-    return F.coalesce(second.try_cast("bigint"), variant_start(variant))
+    return positions_end(variant_positions(variant))
 
 
 def variant_type(variant) -> Column:
     """One of ``TYPES``, else 'unknown'."""
-
-    def kind(change: Column) -> Column:
-        return (
-            F.when(F.contains(change, F.lit(">")), "substitution")
-            .when(F.contains(change, F.lit("delins")), "delins")
-            .when(F.contains(change, F.lit("del")), "deletion")
-            .when(F.contains(change, F.lit("ins")), "insertion")
-            .when(F.contains(change, F.lit("dup")), "duplication")
-            .when(F.contains(change, F.lit("inv")), "inversion")
-            .otherwise("unknown")
-        )
-
-    return let(variant_change(variant), kind)
+    return let(variant_change(variant), change_type)
 
 
 def has_strict_header(header) -> Column:

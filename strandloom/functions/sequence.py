@@ -57,11 +57,15 @@ def positions(n) -> Column:
 
 def common_prefix_length(a, b) -> Column:
     def length(pair: Column) -> Column:
-        n = F.least(F.length(pair["a"]), F.length(pair["b"]))
-        same = lambda m, i: F.when((m == i - 1) & (F.substring(pair["a"], i, F.lit(1)) == F.substring(pair["b"], i, F.lit(1))), i).otherwise(m)
-        return F.when(F.left(pair["a"], n) == F.left(pair["b"], n), n).otherwise(F.aggregate(positions(n), F.lit(0), same))
+        n = F.coalesce(F.least(F.length(pair["a"]), F.length(pair["b"])), F.lit(0))
+        # halving: as many steps as n has binary digits
+        longer = lambda m, s: F.when((m + s <= n) & (F.left(pair["a"], m + s) == F.left(pair["b"], m + s)), m + s).otherwise(m)
+        steps = F.transform(F.sequence(F.lit(0), F.length(F.bin(n)) - 1), lambda i: F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1 - i))
+        return F.when(F.left(pair["a"], n) == F.left(pair["b"], n), n).otherwise(F.aggregate(steps, F.lit(0), longer))
 
-    return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), length)
+    a, b = _col(a), _col(b)
+    # most differ at once, which needs no lambda
+    return F.when(F.left(a, F.lit(1)) != F.left(b, F.lit(1)), 0).otherwise(let(F.struct(a.alias("a"), b.alias("b")), length))
 
 
 def common_suffix_length(a, b) -> Column:
@@ -72,7 +76,7 @@ def tandem_prefix(unit, flank) -> Column:
     """How far ``flank`` goes on as copies of ``unit``, the last one in part; 0 for an empty unit."""
     unit, flank = _col(unit), _col(flank)
     copies = F.floor(F.length(flank) / F.greatest(F.length(unit), F.lit(1))).cast("int") + 2
-    return F.when(F.length(unit) == 0, 0).otherwise(common_prefix_length(F.repeat(unit, copies), flank))
+    return F.when((F.length(unit) == 0) | (F.left(unit, F.lit(1)) != F.left(flank, F.lit(1))), 0).otherwise(common_prefix_length(F.repeat(unit, copies), flank))
 
 
 def tandem_suffix(unit, flank) -> Column:
@@ -137,7 +141,9 @@ def shares_kmer(mutant, wild, k: int) -> Column:
     """
     mutant, wild = _col(mutant), _col(wild)
     some = F.exists(positions(F.length(mutant) - k), lambda i: F.contains(wild, F.substring(mutant, i, F.lit(k))))
-    return F.when(F.length(mutant) <= k, F.contains(wild, mutant)).otherwise(some)
+    # the bases that all of these k-mers have (none in a mutant of 2k or more) are looked for first
+    common = F.substring(mutant, F.length(mutant) - k, F.greatest(2 * k + 1 - F.length(mutant), F.lit(0)))
+    return F.when(F.length(mutant) <= k, F.contains(wild, mutant)).when(~F.contains(wild, common), False).otherwise(some)
 
 
 def contained(seq, other, stranded: bool = False) -> Column:

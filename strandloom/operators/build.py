@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,13 +47,17 @@ class BuildOptions:
 
 @dataclass
 class Built:
-    """``variants``: one row per variant that stays; ``vcrs``: the merged sequences; ``checked``:
-    every input variant with its ``drop_reason`` (null: it stays)."""
+    """``variants``: one row per variant that stays; ``merged``: the merged sequences; ``vcrs``: these, numbered;
+    ``checked``: every input variant with its ``drop_reason`` (null: it stays)."""
 
     variants: DataFrame
-    vcrs: DataFrame
+    merged: DataFrame
     checked: DataFrame
 
+    @cached_property
+    def vcrs(self) -> DataFrame:
+        return numbered(self.merged, "original_order")  # sorts and writes all rows, so only where it is asked for
+
     def report(self) -> DataFrame:
         return self.checked.groupBy("drop_reason").agg(F.count("*").alias("variants"))
 
@@ -144,22 +149,24 @@ def _first_reason(*cases: tuple[str, Column]) -> Column:
 def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | None = None, *, seq_id_col="seq_ID", var_col="mutation", id_col=None) -> Built:
     """``sequences``: seq_id, sequence.  Further columns of ``variants`` are kept.
 
-    Lengths and tiles of the sequences are joined to the variants by their id; everything else is
+    The sequences are written once.  Lengths and tiles of them are joined to the variants by their id; everything else is
     an expression over one row, so the plan has no more shuffles than those joins and the merge.
     """
     o = options or BuildOptions()
     w, k = o.w, o.k
     rows = keep_fullest(prepare(variants, seq_id_col, var_col, id_col))
+    sequences = materialised(sequences.select("seq_id", "sequence"))  # read for lengths, near and far windows
     lengths = sequences.select("seq_id", F.length("sequence").cast("long").alias("sequence_length"))
     rows = rows.join(lengths, "seq_id", "left")
     v = F.col("variant")
+    # a name is searched once for its positions and once for its change
+    rows = fixed(rows, {"nucleotide_positions": F.regexp_extract(v, H.PATTERN, 1), "actual_variant": F.regexp_extract(v, H.PATTERN, 2)})
+    rows = fixed(rows, {c: F.when(F.col(c) != "", F.col(c)) for c in ("nucleotide_positions", "actual_variant")})
     rows = fixed(rows, 
         {
-            "variant_type": H.variant_type(v),
-            "nucleotide_positions": H.variant_positions(v),
-            "actual_variant": H.variant_change(v),
-            "start": H.variant_start(v) - 1,
-            "end": H.variant_end(v) - 1,
+            "variant_type": H.change_type("actual_variant"),
+            "start": H.positions_start("nucleotide_positions") - 1,
+            "end": H.positions_end("nucleotide_positions") - 1,
         }
     )
     early = _first_reason(
@@ -256,7 +263,7 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
     checked = rows.filter("drop_reason IS NOT NULL").select("header", "drop_reason").unionByName(live.select("header", "drop_reason"))
     staying = live.filter("drop_reason IS NULL").drop("drop_reason", "trim_left", "trim_right", "flank_low", "flank_high", "wild_start")
     vcrs = merge_identical(staying, o.merge_reverse_complements) if o.merge_identical else staying.select(F.col("header").alias("vcrs_header"), "vcrs_sequence", "original_order")
-    return Built(staying, numbered(vcrs, "original_order"), checked)
+    return Built(staying, vcrs, checked)
 
 
 def merge_identical(variants: DataFrame, reverse_complements: bool = True, keep_wild_types: bool = False) -> DataFrame:

@@ -15,10 +15,13 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimiser writes definitions into later conditions and projections; over many steps that
     multiplies long expressions.  It does not look through a generator, and one over an array of
-    one struct costs next to nothing.
+    one struct costs next to nothing.  The array is a column of its own, as a generator that holds a lambda
+    would have all its expressions interpreted row by row, and a projection compiles all but the lambda.
+    ``inline_outer`` as the optimiser puts a filter on the array's size, with all definitions, before ``inline``.
     """
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    values = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select(*kept, values.alias("_fixed")).select(*kept, F.inline_outer("_fixed"))
 
 
 def materialised(df: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Work that grows no faster than the input: what is worked out once, and results on long inputs."""
 
+import os
 import random
 import re
 
+import pytest
+
 from strandloom.functions import sequence as S
+from strandloom.operators import build as B
 from strandloom.operators import kmers as K
 from strandloom.operators import reads as RD
 from strandloom.operators import superkmers as SK
@@ -71,3 +75,28 @@ def test_targets_are_turned_round_once(spark):
         found = K.reads_share_kmer(reads, targets, 4, strand)
         assert [r["i"] for r in found.orderBy("i").collect() if r["read_contains_reference_kmer"]] == want
         assert "Contains(reverse(" not in _plan(found)
+
+
+def test_a_build_works_out_each_step_once_and_numbers_only_when_asked(spark, monkeypatch):
+    monkeypatch.setattr(B, "numbered", lambda *_: pytest.fail("numbered without being asked"))
+    built = B.build(T.variants(spark, "/root/testdata/sf0.001"), T.sequences(spark, "/root/testdata/sf0.001"), B.BuildOptions(w=20, k=25), seq_id_col="seq_id", var_col="variant")
+    plan = _plan(built.variants)
+    assert "size(array(struct" not in plan  # no filter that works out a step before it
+    assert "upper(" not in plan  # the sequences are written
+
+
+def test_common_prefixes_and_shared_kmers_of_any_length(spark):
+    rng = random.Random(3)
+    rows = [(None, "A"), ("A", None), (None, None), ("", "A"), ("", ""), ("ACA", "ACACACAA"), ("A" * 300, "A" * 299 + "C")]
+    rows += [(p + "".join(rng.choices("AC", k=rng.randint(0, 9))), p + "".join(rng.choices("AC", k=rng.randint(0, 70)))) for p in ("", "A", "ACCA" * 4, "C" * 33) for _ in range(25)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", S.common_prefix_length("a", "b").alias("p"), S.tandem_prefix("a", "b").alias("t"), *(S.shares_kmer("b", "a", k).alias(f"k{k}") for k in (3, 8))).collect()
+    for r in got:
+        a, b = r["a"], r["b"]
+        if a is None or b is None:
+            assert r["p"] == 0
+            continue
+        assert r["p"] == len(os.path.commonprefix([a, b]))
+        assert r["t"] == (len(os.path.commonprefix([a * (len(b) + 1), b])) if a else 0)
+        for k in (3, 8):
+            assert r[f"k{k}"] == (b in a if len(b) <= k else any(b[i : i + k] in a for i in range(len(b) - k)))
