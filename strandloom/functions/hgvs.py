@@ -35,8 +35,8 @@ def positions_start(positions) -> Column:
 
 def positions_end(positions) -> Column:
     """The second position, or the first where there is one only."""
-    # '' is no number, so it gives the first too
-    return F.coalesce(F.split_part(_col(positions), F.lit("_"), F.lit(2)).try_cast("bigint"), positions_start(positions))
+    second = _nonempty(F.split_part(_col(positions), F.lit("_"), F.lit(2)))  # try_cast of '' would raise and catch
+    return F.coalesce(second.try_cast("bigint"), positions_start(positions))
 
 
 def change_type(change) -> Column:

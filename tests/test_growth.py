@@ -100,3 +100,22 @@ def test_common_prefixes_and_shared_kmers_of_any_length(spark):
         assert r["t"] == (len(os.path.commonprefix([a * (len(b) + 1), b])) if a else 0)
         for k in (3, 8):
             assert r[f"k{k}"] == (b in a if len(b) <= k else any(b[i : i + k] in a for i in range(len(b) - k)))
+
+
+def test_hits_of_a_frequent_kmer_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(K, "TASK_HITS", 50)
+    monkeypatch.setattr(K, "BLOCK", 3)
+    monkeypatch.setattr(SK, "HOT_SHARE", 1e-9)
+    rng, k, turn = random.Random(4), 6, str.maketrans("ACGT", "TGCA")
+    make = lambda i: "".join(rng.choices("ACGT", k=rng.randint(0, 40))) + "A" * (i % 3 * 9)
+    own, ref = {f"q{i}": make(i) for i in range(20)} | {"": "ACG"}, {f"r{i}": make(i) for i in range(20)} | {"x": ""}
+    tables = [spark.createDataFrame(list(x.items()), f"{n} string, sequence string") for x, n in ((own, "id"), (ref, "seq_id"))]
+    for stranded in (True, False):
+        want = []
+        for i, s in own.items():
+            words = {s[j : j + k] for j in range(len(s) - k + 1)}
+            words |= set() if stranded else {w.translate(turn)[::-1] for w in words}
+            want += [(f"{i}_{p}", i, r[max(p - 8, 0) : p + k + 8]) for r in ref.values() for p in range(len(r) - k + 1) if r[p : p + k] in words]
+        got = K.distractors(*tables, k, stranded=stranded)
+        assert got.rdd.getNumPartitions() >= len(want) // 50
+        assert sorted(tuple(r) for r in got.select("header", "id", "sequence").collect()) == sorted(want)
