@@ -119,3 +119,25 @@ def test_hits_of_a_frequent_kmer_are_made_in_many_tasks(spark, monkeypatch):
         got = K.distractors(*tables, k, stranded=stranded)
         assert got.rdd.getNumPartitions() >= len(want) // 50
         assert sorted(tuple(r) for r in got.select("header", "id", "sequence").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_sequences_inside_others_of_any_length(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "MOST_BROADCAST", most)
+    rng, turn = random.Random(5), str.maketrans("ACGT", "TGCA")
+    long = ["".join(rng.choices("ACGT", k=rng.randint(150, 700))) for _ in range(6)]
+    parts = []
+    for size in (1, 2, 5, 6, 8, 11, 12, 13, 20, 21, 22, 60, 64, 65, 130):
+        for _ in range(2):
+            s = rng.choice(long)
+            at = rng.randint(0, len(s) - size)
+            cut = s[at : at + size] if size < 140 else s
+            parts += [cut, cut.translate(turn)[::-1], cut[:-1] + "N"]
+    rows = list(enumerate([*long, long[0], long[1].translate(turn)[::-1], long[2][-30:], *parts, "", None]))
+    df = spark.createDataFrame(rows, "id int, sequence string")
+    for stranded in (True, False):
+        lies = lambda a, b: a in b or (not stranded and a in b.translate(turn)[::-1])
+        want = {(i, j) for i, a in rows for j, b in rows if a and b and i != j and lies(a, b)}
+        got = K.substring_relations(df, stranded)
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(want) and set(found) == want
