@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BASES, COMPLEMENTS = "ACGTNacgtn.", "TGCANtgcan."
 #: Fixed values of the lenient complement: U pairs like T; gap marks and ">" stay.
 LENIENT, LENIENT_COMPLEMENTS = "ATUCGNatucgn*.->", "TAAGCNtaagcn*.->"
+#: Bases in which common prefixes are looked for one by one.
+NEAR = 4
 #: The standard genetic code, bases in the order T, C, A, G (fixed values).
 CODON_BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -64,8 +66,11 @@ def common_prefix_length(a, b) -> Column:
         return F.when(F.left(pair["a"], n) == F.left(pair["b"], n), n).otherwise(F.aggregate(steps, F.lit(0), longer))
 
     a, b = _col(a), _col(b)
-    # most differ at once, which needs no lambda
-    return F.when(F.left(a, F.lit(1)) != F.left(b, F.lit(1)), 0).otherwise(let(F.struct(a.alias("a"), b.alias("b")), length))
+    # most differ within a few bases, which needs no lambda
+    near = F.when(F.left(a, F.lit(1)) != F.left(b, F.lit(1)), 0)
+    for n in range(2, NEAR + 1):
+        near = near.when(F.left(a, F.lit(n)) != F.left(b, F.lit(n)), n - 1)
+    return near.otherwise(let(F.struct(a.alias("a"), b.alias("b")), length))
 
 
 def common_suffix_length(a, b) -> Column:
@@ -206,7 +211,8 @@ def leading_ns(seq) -> Column:
 
 
 def ambiguous_bases(seq) -> Column:
-    return F.regexp_count(_col(seq), F.lit("[Nn]"))
+    some = F.contains(_col(seq), F.lit("N")) | F.contains(_col(seq), F.lit("n"))
+    return F.when(~some, 0).otherwise(F.regexp_count(_col(seq), F.lit("[Nn]")))
 
 
 def cigar_end(pos, cigar) -> Column:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hgvs as H
 from ..functions import sequence as S
-from .fixed import fixed, materialised
+from .fixed import fixed, in_columns, materialised
 from .number import numbered
 
 #: Bases of a tile of a long sequence, and how many of the next tile it has besides.  A window that is
@@ -107,11 +107,31 @@ def with_genome_variant(variants: DataFrame, var_col: str = "mutation_genome") -
     return variants.filter(F.coalesce(F.col(var_col), F.lit("")).rlike(r"^g\.|^[^:]+:g\."))
 
 
+def _filled(variants: DataFrame) -> Column:
+    return sum((F.col(c).isNotNull().cast("int") for c in variants.columns), F.lit(0))
+
+
+def _ranked(variants: DataFrame, *group: str) -> DataFrame:
+    best = Window.partitionBy(*group).orderBy(F.desc("_filled"), "original_order")
+    return variants.withColumn("_rank", F.row_number().over(best)).drop("_filled")
+
+
 def keep_fullest(variants: DataFrame) -> DataFrame:
     """Of rows with the same sequence and variant, the one with the fewest nulls; then the first."""
-    filled = sum((F.col(c).isNotNull().cast("int") for c in variants.columns), F.lit(0))
-    best = Window.partitionBy("seq_id", "variant").orderBy(F.desc("_filled"), "original_order")
-    return variants.withColumn("_filled", filled).withColumn("_rank", F.row_number().over(best)).drop("_filled")
+    return _ranked(variants.withColumn("_filled", _filled(variants)), "seq_id", "variant")
+
+
+def _tiles(sequences: DataFrame, *more: Column) -> DataFrame:
+    tiles = sequences.select("seq_id", *more, F.inline(S.tiles("sequence", TILE, OVERLAP)))
+    return tiles.withColumns({"_tile": _tile_of("at"), "_bases": F.col("bases")}).drop("at", "bases")
+
+
+def _tile_of(place) -> Column:
+    return F.floor(F.greatest(place, F.lit(0)) / TILE)
+
+
+def _cut(low: str, high: str) -> Column:
+    return S.slice_between("_bases", F.col(low) - F.col("_tile") * TILE, F.col(high) - F.col("_tile") * TILE)
 
 
 def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: str, longest: int | None = None) -> DataFrame:
@@ -122,10 +142,7 @@ def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: st
     that is no longer than the overlap lies in the tile that begins at or before it.  Longer windows
     (of long deletions) are put together from the tiles that they touch.
     """
-    tiles = sequences.select("seq_id", F.inline(S.tiles("sequence", TILE, OVERLAP)))
-    tiles = tiles.select("seq_id", (F.col("at") / TILE).cast("int").alias("_tile"), F.col("bases").alias("_bases"))
-    number = lambda c: F.floor(F.greatest(c, F.lit(0)) / TILE).cast("int")
-    cut = S.slice_between("_bases", F.col(low) - F.col("_tile") * TILE, F.col(high) - F.col("_tile") * TILE)
+    tiles, number, cut = _tiles(sequences), _tile_of, _cut(low, high)
     short = (F.col(high) - F.col(low)) <= OVERLAP
     near = rows.filter(short).withColumn("_tile", number(F.col(low))).join(tiles, ["seq_id", "_tile"], "left")
     near = near.withColumn(name, cut).drop("_tile", "_bases")
@@ -149,15 +166,17 @@ def _first_reason(*cases: tuple[str, Column]) -> Column:
 def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | None = None, *, seq_id_col="seq_ID", var_col="mutation", id_col=None) -> Built:
     """``sequences``: seq_id, sequence.  Further columns of ``variants`` are kept.
 
-    The sequences are written once.  Lengths and tiles of them are joined to the variants by their id; everything else is
-    an expression over one row, so the plan has no more shuffles than those joins and the merge.
+    Variants are dealt once, by the tile of their sequence at which their window begins: there equal ones meet, and
+    there the tile is, with the length of its sequence.  The rows with their windows are written once, as columns.
+    What no tile holds (unknown sequences, names without positions, long windows) is looked up from that table by
+    itself; everything else is an expression over one row.
     """
     o = options or BuildOptions()
     w, k = o.w, o.k
-    rows = keep_fullest(prepare(variants, seq_id_col, var_col, id_col))
-    sequences = materialised(sequences.select("seq_id", "sequence"))  # read for lengths, near and far windows
-    lengths = sequences.select("seq_id", F.length("sequence").cast("long").alias("sequence_length"))
-    rows = rows.join(lengths, "seq_id", "left")
+    rows = prepare(variants, seq_id_col, var_col, id_col)
+    rows = rows.withColumn("_filled", _filled(rows))
+    sequences = materialised(sequences.select("seq_id", "sequence"))  # read for tiles, lengths and long windows
+    length = F.length("sequence").cast("long").alias("sequence_length")
     v = F.col("variant")
     # a name is searched once for its positions and once for its change
     rows = fixed(rows, {"nucleotide_positions": F.regexp_extract(v, H.PATTERN, 1), "actual_variant": F.regexp_extract(v, H.PATTERN, 2)})
@@ -165,37 +184,56 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
     rows = fixed(rows, 
         {
             "variant_type": H.change_type("actual_variant"),
-            "start": H.positions_start("nucleotide_positions") - 1,
-            "end": H.positions_end("nucleotide_positions") - 1,
+            "named_start": H.positions_start("nucleotide_positions") - 1,
+            "named_end": H.positions_end("nucleotide_positions") - 1,
         }
     )
-    early = _first_reason(
-        ("missing", F.col("seq_id").isNull() | v.isNull()),
-        ("duplicate", F.col("_rank") > 1),
-        ("unknown_sequence", F.col("sequence_length").isNull()),
-        ("uncertain", v.contains("?")),
-        ("ambiguous_position", v.rlike(r"[()]")),
-        ("intronic", v.rlike(r"[+\-]")),
-        ("posttranslational", v.contains("*")),
-        ("unparsed", F.col("nucleotide_positions").isNull() | F.col("actual_variant").isNull() | F.col("start").isNull() | F.col("end").isNull()),
-        # a position one beyond the end passes here, and has no base
-        ("outside", (F.col("start") > F.col("sequence_length")) | (F.col("end") > F.col("sequence_length"))),
-    )
     kind = F.col("variant_type")
     insertion, duplication = kind == "insertion", kind == "duplication"
     # an insertion lies between its positions; a duplication is an insertion after its bases
-    rows = fixed(rows, {"drop_reason": early, "named_start": F.col("start"), "named_end": F.col("end")}).drop("_rank")
-    rows = fixed(rows, {"start": F.when(insertion, F.col("start") + 1).otherwise(F.col("start")), "end": F.when(insertion, F.col("end") - 1).otherwise(F.col("end"))})
-    rows = fixed(rows, {"wild_start": F.col("start")})
-    rows = fixed(rows, {"start": F.when(duplication, F.col("end") + 1).otherwise(F.col("start"))})
-    low, high = F.greatest(F.col("start") - w, F.lit(0)), F.least(F.col("end") + w, F.col("sequence_length")) + 1
-    if o.transcript_bounds:
-        low = F.greatest(low, F.coalesce(F.col("start_transcript_position") - 1, F.lit(0)))
-        high = F.least(F.col("end") + w, F.col("sequence_length"), F.coalesce(F.col("end_transcript_position"), F.col("sequence_length"))) + 1
-    rows = fixed(rows, {"flank_low": low, "flank_high": high})
-    rows = fixed(rows, {"_low": F.least("flank_low", "wild_start"), "_high": F.greatest("flank_high", F.col("end") + 1)})
-    rows = materialised(rows)  # read for near and for far windows, and for what is left out
-    live = windows(rows.filter("drop_reason IS NULL"), sequences, "_low", "_high", "_window")
+    rows = fixed(rows, {
+        "wild_start": F.when(insertion, F.col("named_start") + 1).otherwise(F.col("named_start")),
+        "end": F.when(insertion, F.col("named_end") - 1).otherwise(F.col("named_end")),
+    })
+    rows = fixed(rows, {"start": F.when(duplication, F.col("end") + 1).otherwise(F.col("wild_start"))})
+    first = F.least(F.greatest(F.col("start") - w, F.lit(0)), "wild_start")
+    # names without positions are dealt to numbers that no tile has
+    spread = F.when(F.col("named_start").isNull() | F.col("named_end").isNull(), -1 - F.pmod(F.xxhash64("variant"), F.lit(1 << 20)))
+    rows = rows.withColumn("_tile", F.coalesce(spread, _tile_of(first))).repartition("seq_id", "_tile")
+    rows = _ranked(rows, "seq_id", "_tile", "variant").join(_tiles(sequences, length), ["seq_id", "_tile"], "left")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """``rows`` with their reason so far and the place of their window, by the length of their sequence."""
+        size = F.col("sequence_length")
+        low, high = F.greatest(F.col("start") - w, F.lit(0)), F.least(F.col("end") + w, size) + 1
+        if o.transcript_bounds:
+            low = F.greatest(low, F.coalesce(F.col("start_transcript_position") - 1, F.lit(0)))
+            high = F.least(F.col("end") + w, size, F.coalesce(F.col("end_transcript_position"), size)) + 1
+        has = lambda *marks: reduce(Column.__or__, (F.contains(v, F.lit(m)) for m in marks))
+        early = _first_reason(
+            ("missing", F.col("seq_id").isNull() | v.isNull()),
+            ("duplicate", F.col("_rank") > 1),
+            ("unknown_sequence", size.isNull()),
+            ("uncertain", has("?")),
+            ("ambiguous_position", has("(", ")")),
+            ("intronic", has("+", "-")),
+            ("posttranslational", has("*")),
+            ("unparsed", F.col("nucleotide_positions").isNull() | F.col("actual_variant").isNull() | F.col("named_start").isNull() | F.col("named_end").isNull()),
+            # a position one beyond the end passes here, and has no base
+            ("outside", (F.col("named_start") > size) | (F.col("named_end") > size)),
+        )
+        rows = fixed(rows, {"flank_low": low, "flank_high": high, "drop_reason": early})
+        return fixed(rows, {"_low": F.least("flank_low", "wild_start"), "_high": F.greatest("flank_high", F.col("end") + 1)})
+
+    whole = F.col("_bases").isNotNull() & (F.col("_high") <= (F.col("_tile") + 1) * TILE + OVERLAP)
+    rows = placed(rows)
+    rows = rows.withColumns({"_held": F.coalesce(whole, F.lit(False)), "_window": F.when(whole, _cut("_low", "_high"))}).drop("_bases", "_tile")
+    rows = in_columns(rows)  # read for what a tile holds, for the rest, and for what is left out
+    rest = rows.filter("NOT _held").drop("sequence_length", "flank_low", "flank_high", "drop_reason", "_low", "_high", "_window")
+    rest = placed(rest.join(sequences.select("seq_id", length), "seq_id", "left"))
+    far = windows(rest.filter("drop_reason IS NULL"), sequences, "_low", "_high", "_window")
+    live = rows.filter("_held AND drop_reason IS NULL").unionByName(far.select(*rows.columns)).drop("_held", "_rank")
+    dropped = rows.filter("_held AND drop_reason IS NOT NULL").select("header", "drop_reason").unionByName(rest.filter("drop_reason IS NOT NULL").select("header", "drop_reason"))
 
     part = lambda a, b: S.slice_between("_window", F.greatest(a, F.col("_low")) - F.col("_low"), b - F.col("_low"))
     live = fixed(live, 
@@ -239,16 +277,21 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
         through = kind.isin("delins", "inversion")
         right = F.when(through, F.concat("wild", "right_flank")).otherwise(F.col("right_flank"))
         left = F.when(through, F.concat("left_flank", "wild")).otherwise(F.col("left_flank"))
-        begins, ends = S.tandem_prefix(probe, right), S.tandem_suffix(probe, left)
+        other = kind != "substitution"
+        # what is compared, and turned round for the left side, is written first, so that no comparison works it out again
+        live = fixed(live, {"_probe": F.when(other, probe), "_right": F.when(other, right), "_left": F.when(other, F.reverse(left))})
+        live = fixed(live, {"_turned": F.reverse("_probe")})
+        live = fixed(live, {"_begins": F.when(other, S.tandem_prefix("_probe", "_right")), "_ends": F.when(other, S.tandem_prefix("_turned", "_left"))})
+        live = live.drop("_probe", "_right", "_left", "_turned")
+        begins, ends = F.col("_begins"), F.col("_ends")
         if need and need != 1:
             least = F.col("inserted_length") if need == float("inf") else F.least(F.col("inserted_length"), F.lit(int(need) - 1))
             begins, ends = F.greatest(begins, least), F.greatest(ends, least)
-        other = kind != "substitution"
         trim_left = F.when(other, F.greatest(begins - (w - F.length("left_flank")), F.lit(0))).otherwise(0)
         trim_right = F.when(other, F.greatest(ends - (w - F.length("right_flank")), F.lit(0))).otherwise(0)
     else:
         trim_left = trim_right = F.lit(0)
-    live = fixed(live, {"trim_left": trim_left, "trim_right": trim_right})
+    live = fixed(live, {"trim_left": trim_left, "trim_right": trim_right}).drop("_begins", "_ends")
     head = S.slice_between("left_flank", "trim_left", F.length("left_flank"))
     tail = S.slice_between("right_flank", F.lit(0), F.length("right_flank") - F.col("trim_right"))
     live = fixed(live, {"wt_sequence": F.concat(head, "wild", tail), "vcrs_sequence": F.concat(head, "mutant", tail)})
@@ -260,7 +303,7 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
         ("empty", F.coalesce(F.col("vcrs_sequence"), F.lit("")) == ""),
     )
     live = fixed(live, {"drop_reason": F.coalesce("drop_reason", late)})
-    checked = rows.filter("drop_reason IS NOT NULL").select("header", "drop_reason").unionByName(live.select("header", "drop_reason"))
+    checked = dropped.unionByName(live.select("header", "drop_reason"))
     staying = live.filter("drop_reason IS NULL").drop("drop_reason", "trim_left", "trim_right", "flank_low", "flank_high", "wild_start")
     vcrs = merge_identical(staying, o.merge_reverse_complements) if o.merge_identical else staying.select(F.col("header").alias("vcrs_header"), "vcrs_sequence", "original_order")
     return Built(staying, vcrs, checked)

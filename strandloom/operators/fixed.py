@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -24,20 +25,40 @@ def fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, values.alias("_fixed")).select(*kept, F.inline_outer("_fixed"))
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` as rows in the session's checkpoint folder, for tables that several plans read again.
+def _shared(df: DataFrame) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``.  Where it is unset a session on one machine gets a temporary
-    folder; a cluster gets an error, as its machines share none.
+    Where it is unset a session on one machine gets a temporary folder; a cluster gets an error, as its machines share none.
     """
     context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if not folder and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-shared-"))
+    return context.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as rows in the session's checkpoint folder, for tables that several plans read again."""
+    _shared(df)
     return df.checkpoint()
 
 
+def in_columns(df: DataFrame) -> DataFrame:
+    """``materialised``, but as Parquet: plans that need few columns or few rows read no others.
+
+    Columns are written under their numbers, as Parquet has no two names that differ in case only; types that
+    it has not (void, intervals) are written as rows.
+    """
+    if any(x in f.dataType.simpleString() for f in df.schema for x in ("void", "interval", "variant")):
+        return materialised(df)
+    path = f"{_shared(df)}/columns-{uuid.uuid4().hex}"
+    numbers = [f"_{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*numbers)
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
 def on_workers(df: DataFrame) -> DataFrame:
     """``df``, after telling Python workers of a session on one machine where this package lies.
 

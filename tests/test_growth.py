@@ -141,3 +141,36 @@ def test_sequences_inside_others_of_any_length(spark, monkeypatch, most):
         got = K.substring_relations(df, stranded)
         found = [tuple(r) for r in got.collect()]
         assert len(found) == len(want) and set(found) == want
+
+
+def test_variants_of_a_build_are_dealt_once(spark, monkeypatch):
+    plans, keep = [], B.in_columns
+    monkeypatch.setattr(B, "in_columns", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = spark.createDataFrame([(f"s{i % 3}", f"c.{i}A>C") for i in range(1, 40)], "seq_ID string, mutation string")
+    seqs = spark.createDataFrame([("s0", "A" * 60), ("s1", "A" * 30), ("s3", "A" * 60)], "seq_id string, sequence string")
+    found = B.build(rows, seqs, B.BuildOptions(w=4, k=5)).checked
+    assert found.count() == 39 and found.filter("drop_reason = 'unknown_sequence'").count() == 13
+    assert len(plans) == 1 and plans[0].count("REPARTITION_BY_COL") == 1
+    assert plans[0].count("Exchange hashpartitioning") == 2  # the variants, and the tiles of sequences
+
+
+@pytest.mark.parametrize("sizes", [(16, 8), (64, 40)])
+def test_windows_are_the_same_whatever_tiles_hold(spark, monkeypatch, sizes):
+    rng = random.Random(6)
+    seqs = [(f"s{i}", "".join(rng.choices("ACGT", k=n))) for i, n in enumerate((700, 90, 17, 1, 0))]
+    names = [None, "", "c.?del", "c.(3_4)del", "c.12+1A>C", "c.*4A>C", "c.5", "c.0del", "c.3_700del", "c.2_690inv", "c.16_17insACGT", "c.1_2dup", "c.1_99999999999del", "c.99999999999A>C"]
+    names += [f"c.{p}_{p + n}{kind}" for p in (1, 15, 16, 17, 60, 89, 695) for n in (0, 1, 30) for kind in ("del", "dup", "inv", "delinsTTG")]
+    names += [f"c.{p}{a}>{b}" for p in (1, 16, 17, 18, 90, 91, 92, 701, 702) for a, b in ("AC", "GT")]
+    rows = [(s, n, x) for s in (*(i for i, _ in seqs), "no", None) for n in names for x in ((1, None) if n and "6" in n else (1,))]
+    tables = spark.createDataFrame(rows, "seq_ID string, mutation string, more int"), spark.createDataFrame(seqs, "seq_id string, sequence string")
+
+    def found():
+        built = B.build(*tables, B.BuildOptions(w=10, k=12))
+        kept = built.variants.select("header", "more", "variant_type", "named_start", "named_end", "sequence_length", "left_flank", "right_flank", "wt_sequence", "vcrs_sequence")
+        return sorted(map(str, kept.collect())), sorted(map(str, built.checked.collect()))
+
+    whole = found()
+    assert len(whole[0]) > 100 and len(whole[1]) == len(rows)
+    monkeypatch.setattr(B, "TILE", sizes[0])
+    monkeypatch.setattr(B, "OVERLAP", sizes[1])
+    assert found() == whole
