@@ -51,6 +51,11 @@ def slice_between(seq, start, end) -> Column:
     return F.substring(_col(seq), (F.greatest(_col(start), F.lit(0)) + 1).cast("int"), size.cast("int"))
 
 
+def slice_of_bytes(seq, start, end) -> Column:
+    """``slice_between`` of a sequence of ASCII: what lies before the slice is not gone through."""
+    return slice_between(_col(seq).cast("binary"), start, end).cast("string")
+
+
 def positions(n) -> Column:
     """1 .. n; empty for n < 1."""
     n = _col(n) if not isinstance(n, int) else F.lit(n)

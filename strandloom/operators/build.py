@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hgvs as H
 from ..functions import sequence as S
-from .fixed import fixed, in_columns, materialised
+from .fixed import fixed, in_columns, is_written, materialised
 from .number import numbered
 
 #: Bases of a tile of a long sequence, and how many of the next tile it has besides.  A window that is
@@ -37,6 +37,8 @@ class BuildOptions:
     merge_identical: bool = True
     merge_reverse_complements: bool = True
     transcript_bounds: bool = False
+    #: Whether the rows are known to name each variant of a sequence once, so that none is looked at for its duplicates.
+    distinct: bool = False
 
     def __post_init__(self) -> None:
         if not 0 < self.w:
@@ -123,7 +125,8 @@ def keep_fullest(variants: DataFrame) -> DataFrame:
 
 def _tiles(sequences: DataFrame, *more: Column) -> DataFrame:
     tiles = sequences.select("seq_id", *more, F.inline(S.tiles("sequence", TILE, OVERLAP)))
-    return tiles.withColumns({"_tile": _tile_of("at"), "_bases": F.col("bases")}).drop("at", "bases")
+    plain = F.octet_length("bases") == F.length("bases")
+    return tiles.withColumns({"_tile": _tile_of("at"), "_bases": F.col("bases"), "_plain": plain}).drop("at", "bases")
 
 
 def _tile_of(place) -> Column:
@@ -131,7 +134,8 @@ def _tile_of(place) -> Column:
 
 
 def _cut(low: str, high: str) -> Column:
-    return S.slice_between("_bases", F.col(low) - F.col("_tile") * TILE, F.col(high) - F.col("_tile") * TILE)
+    start, end = (F.col(c) - F.col("_tile") * TILE for c in (low, high))
+    return F.when(F.col("_plain"), S.slice_of_bytes("_bases", start, end)).otherwise(S.slice_between("_bases", start, end))
 
 
 def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: str, longest: int | None = None) -> DataFrame:
@@ -145,7 +149,7 @@ def windows(rows: DataFrame, sequences: DataFrame, low: str, high: str, name: st
     tiles, number, cut = _tiles(sequences), _tile_of, _cut(low, high)
     short = (F.col(high) - F.col(low)) <= OVERLAP
     near = rows.filter(short).withColumn("_tile", number(F.col(low))).join(tiles, ["seq_id", "_tile"], "left")
-    near = near.withColumn(name, cut).drop("_tile", "_bases")
+    near = near.withColumn(name, cut).drop("_tile", "_bases", "_plain")
     if longest is not None and longest <= OVERLAP:
         return near
     far = rows.filter(~short)
@@ -174,41 +178,51 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
     o = options or BuildOptions()
     w, k = o.w, o.k
     rows = prepare(variants, seq_id_col, var_col, id_col)
-    rows = rows.withColumn("_filled", _filled(rows))
-    sequences = materialised(sequences.select("seq_id", "sequence"))  # read for tiles, lengths and long windows
+    given = rows.columns
+    rows = rows.withColumn("_filled", F.lit(0) if o.distinct else _filled(rows))
+    rows = rows if id_col else rows.drop("header")  # it follows from seq_id and variant
+    sequences = sequences.select("seq_id", "sequence") if is_written(sequences) else materialised(sequences.select("seq_id", "sequence"))
     length = F.length("sequence").cast("long").alias("sequence_length")
     v = F.col("variant")
     # a name is searched once for its positions and once for its change
     rows = fixed(rows, {"nucleotide_positions": F.regexp_extract(v, H.PATTERN, 1), "actual_variant": F.regexp_extract(v, H.PATTERN, 2)})
     rows = fixed(rows, {c: F.when(F.col(c) != "", F.col(c)) for c in ("nucleotide_positions", "actual_variant")})
-    rows = fixed(rows, 
-        {
-            "variant_type": H.change_type("actual_variant"),
-            "named_start": H.positions_start("nucleotide_positions") - 1,
-            "named_end": H.positions_end("nucleotide_positions") - 1,
-        }
-    )
+    rows = fixed(rows, {"named_start": H.positions_start("nucleotide_positions") - 1, "named_end": H.positions_end("nucleotide_positions") - 1})
     kind = F.col("variant_type")
     insertion, duplication = kind == "insertion", kind == "duplication"
-    # an insertion lies between its positions; a duplication is an insertion after its bases
-    rows = fixed(rows, {
-        "wild_start": F.when(insertion, F.col("named_start") + 1).otherwise(F.col("named_start")),
-        "end": F.when(insertion, F.col("named_end") - 1).otherwise(F.col("named_end")),
-    })
-    rows = fixed(rows, {"start": F.when(duplication, F.col("end") + 1).otherwise(F.col("wild_start"))})
+
+    def shaped(rows: DataFrame) -> DataFrame:
+        """``rows`` with what follows from their name, which is worked out again where it is needed and does not travel."""
+        rows = fixed(rows, {"variant_type": H.change_type("actual_variant")})
+        # an insertion lies between its positions; a duplication is an insertion after its bases
+        rows = fixed(rows, {
+            "wild_start": F.when(insertion, F.col("named_start") + 1).otherwise(F.col("named_start")),
+            "end": F.when(insertion, F.col("named_end") - 1).otherwise(F.col("named_end")),
+        })
+        return fixed(rows, {"start": F.when(duplication, F.col("end") + 1).otherwise(F.col("wild_start"))})
+
+    derived = ("variant_type", "wild_start", "end", "start")
+    rows = shaped(rows)
     first = F.least(F.greatest(F.col("start") - w, F.lit(0)), "wild_start")
     # names without positions are dealt to numbers that no tile has
     spread = F.when(F.col("named_start").isNull() | F.col("named_end").isNull(), -1 - F.pmod(F.xxhash64("variant"), F.lit(1 << 20)))
-    rows = rows.withColumn("_tile", F.coalesce(spread, _tile_of(first))).repartition("seq_id", "_tile")
-    rows = _ranked(rows, "seq_id", "_tile", "variant").join(_tiles(sequences, length), ["seq_id", "_tile"], "left")
+    rows = rows.withColumn("_tile", F.coalesce(spread, _tile_of(first))).drop(*derived).repartition("seq_id", "_tile")
+    rows = rows.withColumn("_rank", F.lit(1)).drop("_filled") if o.distinct else _ranked(rows, "seq_id", "_tile", "variant")
+    rows = rows.join(_tiles(sequences, length).hint("shuffle_hash"), ["seq_id", "_tile"], "left")  # a task holds the tiles of its range
 
     def placed(rows: DataFrame) -> DataFrame:
-        """``rows`` with their reason so far and the place of their window, by the length of their sequence."""
+        """``rows`` with the place of their window, by the length of their sequence."""
         size = F.col("sequence_length")
         low, high = F.greatest(F.col("start") - w, F.lit(0)), F.least(F.col("end") + w, size) + 1
         if o.transcript_bounds:
             low = F.greatest(low, F.coalesce(F.col("start_transcript_position") - 1, F.lit(0)))
             high = F.least(F.col("end") + w, size, F.coalesce(F.col("end_transcript_position"), size)) + 1
+        rows = fixed(shaped(rows), {"flank_low": low, "flank_high": high})
+        return fixed(rows, {"_low": F.least("flank_low", "wild_start"), "_high": F.greatest("flank_high", F.col("end") + 1)})
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """``rows`` with their reason so far."""
+        size = F.col("sequence_length")
         has = lambda *marks: reduce(Column.__or__, (F.contains(v, F.lit(m)) for m in marks))
         early = _first_reason(
             ("missing", F.col("seq_id").isNull() | v.isNull()),
@@ -222,17 +236,19 @@ def build(variants: DataFrame, sequences: DataFrame, options: BuildOptions | Non
             # a position one beyond the end passes here, and has no base
             ("outside", (F.col("named_start") > size) | (F.col("named_end") > size)),
         )
-        rows = fixed(rows, {"flank_low": low, "flank_high": high, "drop_reason": early})
-        return fixed(rows, {"_low": F.least("flank_low", "wild_start"), "_high": F.greatest("flank_high", F.col("end") + 1)})
+        return fixed(rows, {"drop_reason": early})
 
+    places = (*derived, "flank_low", "flank_high", "_low", "_high")
     whole = F.col("_bases").isNotNull() & (F.col("_high") <= (F.col("_tile") + 1) * TILE + OVERLAP)
-    rows = placed(rows)
-    rows = rows.withColumns({"_held": F.coalesce(whole, F.lit(False)), "_window": F.when(whole, _cut("_low", "_high"))}).drop("_bases", "_tile")
+    rows = judged(placed(rows))
+    rows = rows.withColumns({"_held": F.coalesce(whole, F.lit(False)), "_window": F.when(whole, _cut("_low", "_high"))}).drop("_bases", "_plain", "_tile", *places)
     rows = in_columns(rows)  # read for what a tile holds, for the rest, and for what is left out
-    rest = rows.filter("NOT _held").drop("sequence_length", "flank_low", "flank_high", "drop_reason", "_low", "_high", "_window")
-    rest = placed(rest.join(sequences.select("seq_id", length), "seq_id", "left"))
-    far = windows(rest.filter("drop_reason IS NULL"), sequences, "_low", "_high", "_window")
-    live = rows.filter("_held AND drop_reason IS NULL").unionByName(far.select(*rows.columns)).drop("_held", "_rank")
+    rows = rows if id_col else rows.withColumn("header", F.concat("seq_id", F.lit(":"), "variant"))
+    rest = rows.filter("NOT _held").drop("sequence_length", "drop_reason", "_window")
+    rest = judged(rest.join(sequences.select("seq_id", length), "seq_id", "left"))
+    far = windows(placed(rest.filter("drop_reason IS NULL")), sequences, "_low", "_high", "_window")
+    live = placed(rows.filter("_held AND drop_reason IS NULL"))
+    live = live.unionByName(far.select(*live.columns)).select(*given, *(c for c in live.columns if c not in (*given, "_held", "_rank")))
     dropped = rows.filter("_held AND drop_reason IS NOT NULL").select("header", "drop_reason").unionByName(rest.filter("drop_reason IS NOT NULL").select("header", "drop_reason"))
 
     part = lambda a, b: S.slice_between("_window", F.greatest(a, F.col("_low")) - F.col("_low"), b - F.col("_low"))

@@ -56,7 +56,14 @@ def in_columns(df: DataFrame) -> DataFrame:
     numbers = [f"_{i}" for i in range(len(df.columns))]
     plain = df.toDF(*numbers)
     plain.write.parquet(path)
-    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out._written = True
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as ``in_columns`` gave it, which need not be written once more."""
+    return getattr(df, "_written", False)
 
 
 def on_workers(df: DataFrame) -> DataFrame:

@@ -184,3 +184,30 @@ def test_places_in_headers_need_no_merged_header(spark):
     merged = rows.groupBy("vcrs_id").agg(F.array_join(F.array_sort(F.collect_list("h")), ";").alias("vcrs_header"))
     want = I.explode_headers(merged).select("vcrs_id", "vcrs_header_individual", "order_in_vcrs")
     assert sorted(map(tuple, I.places_in_headers(rows, "h", "vcrs_id").select("vcrs_id", "h", "order_in_vcrs").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_build_of_distinct_names_cleans_texts_once_and_sorts_no_names(spark, monkeypatch):
+    d, written, keep = "/root/testdata/sf0.001", [], B.in_columns
+    names, seqs = T.variants_and_sequences(spark, d)
+    assert "regexp_replace" not in _plan(names) + _plan(seqs)
+    assert sorted(names.collect()) == sorted(T.variants(spark, d).select("seq_id", "variant").collect())
+    assert sorted(seqs.collect()) == sorted(T.sequences(spark, d).collect())
+    monkeypatch.setattr(B, "in_columns", lambda df: written.append(df) or keep(df))
+    built = [B.build(names, seqs, B.BuildOptions(w=20, k=25, distinct=x), seq_id_col="seq_id", var_col="variant") for x in (True, False)]
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert not {"header", "variant_type", "start", "end", "flank_low", "flank_high"} & set(written[0].columns)  # these follow from the others
+    one, two = (sorted(map(str, b.checked.collect())) for b in built)
+    assert one == two
+    one, two = (sorted(map(str, b.variants.drop("original_order").collect())) for b in built)
+    assert one == two and len(one) > 100
+
+
+def test_windows_of_bytes_are_those_of_characters(spark):
+    rows = [(s, i, j) for s in ("ACGTNACGT", "", None) for i in (-3, 0, 2, 8, 9, 12) for j in (-1, 0, 3, 9, 20)]
+    got = spark.createDataFrame(rows, "s string, i int, j int").select(S.slice_of_bytes("s", "i", "j").alias("a"), S.slice_between("s", "i", "j").alias("b")).collect()
+    assert len(got) == len(rows) and all(r["a"] == r["b"] for r in got)
+    seqs = spark.createDataFrame([("é", "AéCGT" * 2000), ("a", "AACGT" * 2000)], "seq_id string, sequence string")
+    places = spark.createDataFrame([(i, p, p + 7) for i in ("é", "a") for p in (0, 4090, 4096, 9000)], "seq_id string, low long, high long")
+    found = B.windows(places, seqs, "low", "high", "bases").collect()
+    assert all(r["bases"] == (("AéCGT" if r["seq_id"] == "é" else "AACGT") * 2000)[r["low"] : r["high"]] for r in found) and len(found) == 8
