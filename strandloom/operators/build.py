@@ -330,11 +330,22 @@ def merge_identical(variants: DataFrame, reverse_complements: bool = True, keep_
     joined with ';' in order), vcrs_sequence (of the first header), original_order (the least), and
     with ``keep_wild_types`` wt_sequences, in the order of the headers."""
     seq = F.col("vcrs_sequence")
-    key = F.least(seq, S.reverse_complement(seq)) if reverse_complements else seq
-    merged = variants.groupBy(key.alias("_key")).agg(
-        F.array_join(F.array_sort(F.collect_list("header")), ";").alias("vcrs_header"),
-        F.min_by("vcrs_sequence", "header").alias("vcrs_sequence"),
+    # one that begins with less than the other strand does is the smaller, and is not turned round
+    least = F.when(F.left(seq, F.lit(1)) < S.reverse_complement(F.right(seq, F.lit(1))), seq).otherwise(F.least(seq, S.reverse_complement(seq)))
+    key = least if reverse_complements else seq
+    more = ["wt_sequence"] if keep_wild_types else []
+    rows = fixed(variants.select("header", "original_order", "vcrs_sequence", *more), {"_key": key})
+    # of a sequence and its key one travels; rows are sorted by a number before any text
+    row = F.struct(F.col("header").isNull().alias("nameless"), "header", (F.col("_key") != seq).alias("turned"), *more)
+    merged = rows.groupBy(F.xxhash64("_key").alias("_hash"), "_key").agg(
+        F.array_sort(F.collect_list(row)).alias("_rows"),
         F.min("original_order").alias("original_order"),
-        *([F.transform(F.array_sort(F.collect_list(F.struct("header", "wt_sequence"))), lambda x: x["wt_sequence"]).alias("wt_sequences")] if keep_wild_types else []),
     )
-    return merged.drop("_key")
+    first = F.get("_rows", F.lit(0))
+    own = F.when(first["turned"], S.reverse_complement("_key")).otherwise(F.col("_key"))
+    return merged.select(
+        F.array_join("_rows.header", ";").alias("vcrs_header"),
+        F.when(first["header"].isNotNull(), own).alias("vcrs_sequence"),
+        "original_order",
+        *([F.col("_rows.wt_sequence").alias("wt_sequences")] if keep_wild_types else []),
+    )

@@ -211,3 +211,19 @@ def test_windows_of_bytes_are_those_of_characters(spark):
     places = spark.createDataFrame([(i, p, p + 7) for i in ("é", "a") for p in (0, 4090, 4096, 9000)], "seq_id string, low long, high long")
     found = B.windows(places, seqs, "low", "high", "bases").collect()
     assert all(r["bases"] == (("AéCGT" if r["seq_id"] == "é" else "AACGT") * 2000)[r["low"] : r["high"]] for r in found) and len(found) == 8
+
+
+def test_of_a_sequence_and_its_key_one_is_merged(spark):
+    rng, turn = random.Random(7), str.maketrans("ACGTNacgtn.", "TGCANtgcan.")
+    some = ["".join(rng.choices("ACGTNacg", k=rng.randint(0, 9))) for _ in range(60)] + ["ACGT", "é", ""]
+    rows = [(rng.choice([f"h{i}", f"h{i}", None]), rng.choice([s, s.translate(turn)[::-1]]), i) for i, s in enumerate(some * 4)]
+    df = spark.createDataFrame(rows, "header string, vcrs_sequence string, original_order long")
+    for reverse in (True, False):
+        groups = {}
+        for h, s, i in rows:
+            groups.setdefault(min(s, s.translate(turn)[::-1]) if reverse else s, []).append((h, s, i))
+        want = [(";".join(sorted(h for h, _, _ in g if h)), min(((h, s) for h, s, _ in g if h), default=(0, None))[1], min(i for _, _, i in g)) for g in groups.values()]
+        merged = B.merge_identical(df, reverse)
+        assert "min_by" not in _plan(merged)  # the sequence does not travel beside its key
+        key = lambda r: r[2]
+        assert sorted((tuple(r) for r in merged.select("vcrs_header", "vcrs_sequence", "original_order").collect()), key=key) == sorted(want, key=key)
