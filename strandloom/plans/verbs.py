@@ -143,7 +143,10 @@ def recount(
 
 
 def reachable(vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:
-    """``vcrs`` with the headers of those variants only that the technology's reads can reach; one without any goes."""
+    """``vcrs`` with the headers of those variants only that the technology's reads can reach; one without any goes.
+
+    A vcrs_id is one row's; columns besides it and the header are joined to what stays.
+    """
     side = T.strand_bias(technology, end)
     if side is None:
         return vcrs
@@ -151,7 +154,8 @@ def reachable(vcrs: DataFrame, lengths: DataFrame, technology: str, read_length:
     each = each.select("vcrs_id", "vcrs_header_individual", F.col("seq_ID").alias("transcript_id"), F.col("start_variant_position").alias("start"), F.col("end_variant_position").alias("end"))
     within = R.within_strand_reach(each, lengths, end=side, read_length=read_length)
     headers = within.groupBy("vcrs_id").agg(F.array_join(F.array_sort(F.collect_list("vcrs_header_individual")), ";").alias("vcrs_header"))
-    return vcrs.drop("vcrs_header").join(headers, "vcrs_id").select(*vcrs.columns)
+    more = vcrs.drop("vcrs_header")
+    return (more.join(headers, "vcrs_id") if len(more.columns) > 1 else headers).select(*vcrs.columns)
 
 
 def within_reach(matrix: DataFrame, vcrs: DataFrame, lengths: DataFrame, technology: str, read_length: int, end: str | None = None) -> DataFrame:

@@ -227,3 +227,14 @@ def test_of_a_sequence_and_its_key_one_is_merged(spark):
         assert "min_by" not in _plan(merged)  # the sequence does not travel beside its key
         key = lambda r: r[2]
         assert sorted((tuple(r) for r in merged.select("vcrs_header", "vcrs_sequence", "original_order").collect()), key=key) == sorted(want, key=key)
+
+
+def test_headers_within_reach_are_not_numbered(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    built = B.build(T.variants(spark, d), T.sequences(spark, d), B.BuildOptions(w=20, k=25), seq_id_col="seq_id", var_col="variant")
+    lengths = T.sequences(spark, d).select(F.col("seq_id").alias("transcript_id"), F.lit(0).alias("utr5"), F.lit(400).alias("transcript_length"))
+    want = further_queries.V.reachable(built.vcrs, lengths, "dropseq", 100)
+    assert want.columns == built.vcrs.columns  # columns besides the header are still joined
+    want = sorted(r["vcrs_header"] for r in want.collect())
+    monkeypatch.setattr(B, "numbered", lambda *_: pytest.fail("numbered without need"))
+    assert sorted(r["vcrs_header"] for r in further_queries.headers_within_reach(spark, d).collect()) == want != []
