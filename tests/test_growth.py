@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,30 @@ def test_headers_within_reach_are_not_numbered(spark, monkeypatch):
     want = sorted(r["vcrs_header"] for r in want.collect())
     monkeypatch.setattr(B, "numbered", lambda *_: pytest.fail("numbered without need"))
     assert sorted(r["vcrs_header"] for r in further_queries.headers_within_reach(spark, d).collect()) == want != []
+
+
+def test_no_pair_of_sequences_travels_to_be_made_distinct(spark, monkeypatch):
+    rng = random.Random(8)
+    long = ["".join(rng.choices("ACGT", k=400)) for _ in range(20)]
+    rows = list(enumerate([*long, *(s[9 : 9 + n] for s in long for n in (1, 4, 5, 8, 15, 40))])) + [(900, "é" * 70 + long[0]), (901, "é" * 66 + long[0][:5]), (902, "é" * 3 + long[0][:4])]
+    rows += [(903, long[1][:63]), (904, long[1][:64]), (905, long[1][5:70])]
+    lies = lambda a, b: a in b or a in b.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    want = sorted((i, j) for i, a in rows for j, b in rows if i != j and lies(a, b))
+    found = K.substring_relations(spark.createDataFrame(rows, "id int, sequence string"))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    short = K._words_inside(K.SK.written(spark.createDataFrame(rows, "id int, sequence string")), spark.createDataFrame(rows, "inside int, sequence string").repartition(4, "inside"), {4: 4, 5: 5}, 512, True, False)
+    assert short._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(inside") == 1
+
+
+def test_a_word_of_all_sequences_deals_no_kmers_of_distractors_one_by_one(spark, monkeypatch):
+    rng, dealt, frequent = random.Random(9), SK.dealt, []
+    monkeypatch.setattr(SK, "HOT_SHARE", 0.01)
+    monkeypatch.setattr(SK, "dealt", lambda *a, **b: frequent.append(out := dealt(*a, **b)) or out)
+    bases = lambda n: "".join(rng.choices("ACGT", k=n))
+    word = min((bases(SK.SIZE) for _ in range(5000)), key=lambda w: SK._mixed(SK._packed(SK._CODE[list(w.encode())], SK.SIZE)[:1] + 1)[0])  # mostly the minimizer
+    rows = [(f"{i}", bases(20) + word + bases(20)) for i in range(3000)]
+    own, ref = spark.createDataFrame(rows[:2000], "id string, sequence string"), spark.createDataFrame(rows[1900:], "seq_id string, sequence string")
+    cut = lambda part: Counter(s[i : i + 21] for _, s in part for i in range(len(s) - 20))
+    ids, places = cut(rows[:2000]), cut(rows[1900:])
+    assert K.distractors(own, ref, 21, stranded=True).count() == sum(n * places[x] for x, n in ids.items())
+    assert frequent[0][1].count() == 0
