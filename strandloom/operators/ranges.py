@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bases of a bin of the interval join.
 BIN = 1 << 14
+#: Bases between the start and the end of variants whose neighbours are found in one order.
+SHORT = 64
 
 
-def nearby_variants(variants: DataFrame, k: int, seq_col: str = "seq_id", start: str = "start", end: str = "end", header: str = "header") -> DataFrame:
+def _mates_by_join(base: DataFrame, width: int, one: Column) -> DataFrame:
+    """(seq, s, e, h, found): the mates of rows of ``base`` (seq, s, e, h) where one of a pair is ``one`` (a condition).
+
+    A variant that begins near another one's end is near it, and the other is near the first: one join finds both.
+    Both sides are binned by ``width``, so a partner lies in the same bin or a neighbouring one.
+    """
+    every = base.distinct().withColumn("_one", one)
+    around = F.explode(F.array(*(F.floor(F.col("s") / width) + d for d in (-1, 0, 1)))).alias("bin")
+    starts = every.select("seq", "s", "e", "h", "_one", around)
+    ends = every.select("seq", *(F.col(c).alias(f"o{c}") for c in ("s", "e", "h")), F.col("_one").alias("_other"), F.floor(F.col("e") / width).alias("bin"))
+    same = F.col("h").eqNullSafe(F.col("oh")) & (F.col("s") == F.col("os")) & (F.col("e") == F.col("oe"))
+    met = starts.join(ends, ["seq", "bin"]).filter((F.col("_one") | F.col("_other")) & (F.abs(F.col("oe") - F.col("s")) <= width) & ~same)
+    own, other = F.struct("s", "e", "h"), F.struct(F.col("os").alias("s"), F.col("oe").alias("e"), F.col("oh").alias("h"))
+    side = lambda own, mate: F.struct(own.alias("own"), F.struct(mate["h"].alias("other"), mate["s"].alias("s"), mate["e"].alias("e")).alias("mate"))
+    both = met.select("seq", F.inline(F.array(side(own, other), side(other, own))))
+    return both.groupBy("seq", "own").agg(F.collect_set("mate").alias("found")).select("seq", "own.*", "found")
+
+
+def nearby_variants(variants: DataFrame, k: int, seq_col: str = "seq_id", start: str = "start", end: str = "end", header: str = "header", longest: int | None = None) -> DataFrame:
     """Per variant: nearby_variants (headers of others on the sequence with |other end - start| or
     |other start - end| under k) and nearby_variants_count.
 
-    A variant that begins near another one's end is near it, and the other is near the first: one join finds both.
-    Both sides are binned by k - 1 bases, so a partner lies in the same bin or a neighbouring one.
+    Variants whose start and end are up to SHORT apart meet in one order of a bin of their sequence, with those at the
+    edges of the bins around it; nothing is joined, and rows that are dealt by their sequence stay where they are.  Pairs
+    of a longer one are joined.  ``longest``: no start and end of ``variants`` are further apart; looked up if not given.
     """
     width = max(1, k - 1)
     base = variants.select(F.col(seq_col).alias("seq"), F.col(start).alias("s"), F.col(end).alias("e"), F.col(header).alias("h"))
-    base = base.withColumn("row", F.xxhash64("seq", "s", "e", "h"))
-    around = F.explode(F.array(*(F.floor(F.col("s") / width) + d for d in (-1, 0, 1)))).alias("bin")
-    starts = base.select("seq", "s", "h", "row", around)
-    ends = base.select("seq", F.col("e").alias("oe"), F.col("h").alias("oh"), F.col("row").alias("orow"), F.floor(F.col("e") / width).alias("bin"))
-    met = starts.join(ends, ["seq", "bin"]).filter((F.abs(F.col("oe") - F.col("s")) <= width) & (F.col("row") != F.col("orow")))
-    side = lambda own, row, other: F.struct(F.col(own).alias("row"), F.struct(F.col(other).alias("other"), F.col(row).alias("id")).alias("mate"))
-    both = met.select(F.inline(F.array(side("row", "orow", "oh"), side("orow", "row", "h"))))
-    lists = both.groupBy("row").agg(F.transform(F.array_sort(F.collect_set("mate")), lambda m: m["other"]).alias("nearby_variants"))
-    out = base.join(lists, "row", "left")
-    empty = F.coalesce("nearby_variants", F.array().cast("array<string>"))
-    return out.select(F.col("h").alias(header), empty.alias("nearby_variants"), F.size(empty).alias("nearby_variants_count"))
+    size = F.abs(F.col("e") - F.col("s"))
+    longest = (base.agg(F.max(size).alias("n")).first()["n"] or 0) if longest is None else longest
+    reach = width + min(longest, SHORT)
+    bins, own_bin = max(BIN, 8 * reach), F.floor(F.col("s") / F.lit(max(BIN, 8 * reach)))
+    around = F.sequence(F.floor((F.col("s") - reach) / bins), F.floor((F.col("s") + reach) / bins))
+    near = Window.partitionBy("seq", "bin").orderBy("s").rangeBetween(-reach, reach)
+    mate = F.struct(F.col("h").alias("other"), "s", "e")
+    met = base.select("*", F.explode_outer(around).alias("bin")).withColumn("_met", F.collect_list(mate).over(near)).filter((F.col("bin") == own_bin) | F.col("bin").isNull())
+    close = lambda m: (F.abs(m["e"] - F.col("s")) <= width) | (F.abs(m["s"] - F.col("e")) <= width)
+    same = lambda m: m["other"].eqNullSafe(F.col("h")) & (m["s"] == F.col("s")) & (m["e"] == F.col("e"))
+    found = F.filter("_met", lambda m: F.coalesce(close(m) & ~same(m) & F.col("seq").isNotNull(), F.lit(False)))
+    if longest > SHORT:
+        more = _mates_by_join(base, width, size > SHORT)
+        found = F.concat(found, F.coalesce("found", F.array().cast(dict(more.dtypes)["found"])))
+        met = met.join(more.withColumnsRenamed({c: f"_{c}" for c in ("seq", "s", "e", "h")}), (F.col("seq") == F.col("_seq")) & (F.col("s") == F.col("_s")) & F.col("e").eqNullSafe(F.col("_e")) & F.col("h").eqNullSafe(F.col("_h")), "left")
+    lists = F.transform(F.array_sort(F.array_distinct(found)), lambda m: m["other"])
+    return met.select(F.col("h").alias(header), lists.alias("nearby_variants")).withColumn("nearby_variants_count", F.size("nearby_variants"))
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, *, seq: str = "seq_id", pos: str = "pos", label: str = "gene_id", default: str = "unknown") -> DataFrame:

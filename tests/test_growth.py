@@ -12,6 +12,7 @@ from strandloom.functions import sequence as S
 from strandloom.operators import build as B
 from strandloom.operators import info as I
 from strandloom.operators import kmers as K
+from strandloom.operators import ranges as R
 from strandloom.operators import reads as RD
 from strandloom.operators import superkmers as SK
 from strandloom.plans import carriers as T
@@ -266,3 +267,27 @@ def test_a_word_of_all_sequences_deals_no_kmers_of_distractors_one_by_one(spark,
     ids, places = cut(rows[:2000]), cut(rows[1900:])
     assert K.distractors(own, ref, 21, stranded=True).count() == sum(n * places[x] for x, n in ids.items())
     assert frequent[0][1].count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3, 2000])
+def test_nearby_variants_of_any_length_meet_in_one_order(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BIN", 40)
+    monkeypatch.setattr(R, "SHORT", 8)
+    rng = random.Random(most)
+    rows = [(rng.choice(["a", "b", None]), at := rng.choice([rng.randint(-50, 400), None]), at and at + rng.choice([0, 1, 3, rng.randint(-most, most)]), rng.choice([f"h{i}", "h", None])) for i in range(150)]
+    rows += [("a", 5, None, "x"), ("a", 6, 7, "y"), *rows[:9]]
+    near = lambda x, y: x is not None and y is not None and abs(x - y) <= 9
+    mates = lambda r: {o[1:] for o in rows if r[0] is not None and o[0] == r[0] and o != r and (near(o[2], r[1]) or near(o[1], r[2]))}
+    order = lambda x: (x is not None, x or "")
+    want = sorted((order(r[3]), sorted((order(o[2]) for o in mates(r)))) for r in rows)
+    df = spark.createDataFrame(rows, "seq_id string, start long, end long, header string")
+    got = R.nearby_variants(df, 10).collect()
+    assert sorted((order(r["header"]), sorted(map(order, r["nearby_variants"]))) for r in got) == want
+    assert all(r["nearby_variants_count"] == len(r["nearby_variants"]) for r in got)
+    assert all(x == sorted(x) for x in ([y for y in r["nearby_variants"] if y is not None] for r in got))
+
+
+def test_nearby_variants_stay_where_their_sequence_is(spark):
+    df = spark.createDataFrame([("a", i, i + 1, f"{i}") for i in range(40)], "seq_id string, start long, end long, header string").repartition(4, "seq_id")
+    plan = R.nearby_variants(df, 10, longest=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
