@@ -15,6 +15,7 @@ from strandloom.operators import kmers as K
 from strandloom.operators import ranges as R
 from strandloom.operators import reads as RD
 from strandloom.operators import superkmers as SK
+from strandloom.operators import unions as UN
 from strandloom.plans import carriers as T
 from strandloom.plans import further_queries
 
@@ -291,3 +292,24 @@ def test_nearby_variants_stay_where_their_sequence_is(spark):
     df = spark.createDataFrame([("a", i, i + 1, f"{i}") for i in range(40)], "seq_id string, start long, end long, header string").repartition(4, "seq_id")
     plan = R.nearby_variants(df, 10, longest=1)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_a_list_comes_once_for_each_part(spark, monkeypatch, kind):
+    monkeypatch.setattr(UN, "PARTS", 3)
+    monkeypatch.setattr(K, "BLOCK", 5)
+    rng, k, plans = random.Random(10), 9, []
+    shared = ["".join(rng.choices("ACGT", k=20)) for _ in range(9)]
+    rows = [(i, "".join(rng.choices(shared, k=rng.randint(0, 4))) + "".join(rng.choices("ACGT", k=12))) for i in range(120)]
+    rows = [(i if kind == "int" else f"n{i}", s) for i, s in rows]
+    own = {i: {s[j : j + k] for j in range(len(s) - k + 1)} for i, s in rows}
+    want = {i: sorted(o for o in own if o != i and own[i] & own[o]) for i in own}
+    keep = UN.unions
+    monkeypatch.setattr(UN, "unions", lambda *a: plans.append(a) or keep(*a))
+    found = K.kmer_overlaps(spark.createDataFrame(rows, f"id {kind}, sequence string"), k, True)
+    assert {r["id"]: r["others"] for r in found.collect()} == want
+    asked, lists, *_ = plans[0]
+    assert asked.select("_part").distinct().count() <= 3
+    # what travels: pieces of a list for each part at most, and no list of others
+    assert lists.agg(F.max(F.size("_items"))).first()[0] <= 2 * 5 + 5
+    assert "flatten" not in _plan(found) and "Join Inner, (id" not in _plan(found)
