@@ -252,6 +252,12 @@ def test_no_pair_of_sequences_travels_to_be_made_distinct(spark, monkeypatch):
     want = sorted((i, j) for i, a in rows for j, b in rows if i != j and lies(a, b))
     found = K.substring_relations(spark.createDataFrame(rows, "id int, sequence string"))
     assert sorted(tuple(r) for r in found.collect()) == want
+    again = spark.createDataFrame(rows + rows[:30], "id int, sequence string")
+    assert sorted(tuple(r) for r in K.substring_relations(again).collect()) == want  # ids that come twice give no pair twice
+    mixed = [(i, s.lower() if i % 5 == 0 else s) for i, s in rows] + [(i + 2000, s[:5] + "N" + s[6:]) for i, s in rows if i % 7 == 0]
+    lies_as = lambda a, b: a in b or a in b.translate(str.maketrans("ACGTacgt", "TGCAtgca"))[::-1]
+    found = K.substring_relations(spark.createDataFrame(mixed, "id int, sequence string"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, j) for i, a in mixed for j, b in mixed if i != j and lies_as(a, b))
     short = K._words_inside(K.SK.written(spark.createDataFrame(rows, "id int, sequence string")), spark.createDataFrame(rows, "inside int, sequence string").repartition(4, "inside"), {4: 4, 5: 5}, 512, True, False)
     assert short._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(inside") == 1
 
